@@ -29,11 +29,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows in an Arrow batch at most. Texts are a few kilobytes and some far longer, so more rows would fill a task's memory.
+BATCH_ROWS = 400
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch size to BATCH_ROWS where it is larger."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id (null: the smallest long), row_key (of the id and the text) and text ('' for null).
 
     Rows that repeat both id and text share their key and get the same answer.
     """
+    small_batches(docs.sparkSession)
     doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("row_key"), text.alias("text"))
