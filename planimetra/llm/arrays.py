@@ -88,9 +88,18 @@ def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES, column:
             at = to
 
 
-def word_bounds(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word, and the first word of each text (one more than texts). Words are runs without ASCII white space."""
-    inside = ~_SPACE[data]
+def letters_table() -> np.ndarray:
+    """Bytes of ASCII letters, digits, the apostrophe and everything beyond ASCII."""
+    table = np.zeros(256, bool)
+    table[128:] = True
+    for a, b in ("09", "AZ", "az", "''"):
+        table[ord(a) : ord(b) + 1] = True
+    return table
+
+
+def word_bounds(data: np.ndarray, starts: np.ndarray, table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word, and the first word of each text (one more than texts). Words are runs without ASCII white space, or of the bytes in table."""
+    inside = ~_SPACE[data] if table is None else table[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[starts] = True
     before = np.zeros(len(data), bool)
