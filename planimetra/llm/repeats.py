@@ -22,7 +22,7 @@ from planimetra.llm.tables import stored
 _U = np.uint64
 _POSITION_BITS = 22
 #: Anchors with more distinct contexts than this are split: each of their windows becomes a key of its own.
-HOT_CONTEXTS = 192
+HOT_CONTEXTS = 768
 
 _OCCURRENCE = "doc_id long, row_key long, anchor long, context long, start int, windows int"
 _OCCURRENCE_ARROW = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("anchor", pa.int64()), ("context", pa.int64()), ("start", pa.int32()), ("windows", pa.int32())])

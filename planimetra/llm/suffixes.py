@@ -31,32 +31,41 @@ class IndexFamily:
         self.levels: list[tuple[int, list[tuple[bytes, int, int]]]] = []
         self.repeated: dict[int, set[int]] = {}
 
-    def _mark(self, ordered: list[tuple[bytes, int, int]]) -> None:
-        before = ordered[0]
+    def _mark(self, ordered: list[tuple[bytes, int, int]]) -> list[tuple[bytes, int, int]]:
+        """Marks equal neighbours and gives one entry of each: the others could match nothing that it does not."""
+        kept = ordered[:1]
         for entry in ordered[1:]:
+            before = kept[-1]
             if entry[0] == before[0]:
                 self.repeated.setdefault(before[1], set()).add(before[2])
                 self.repeated.setdefault(entry[1], set()).add(entry[2])
-            before = entry
+            else:
+                kept.append(entry)
+        return kept
 
     def add(self, batch: list[tuple[int, bytes]]) -> None:
-        array = sorted((content[at : at + self.window], number, at) for number, content in batch for at in range(len(content) - self.window + 1))
-        self._mark(array)
-        weight = 1
+        array = self._mark(sorted((content[at : at + self.window], number, at) for number, content in batch for at in range(len(content) - self.window + 1)))
         for _, level in self.levels:
-            self._mark(sorted(level + array))  # two sorted runs: one linear merge
+            merged = self._mark(sorted(level + array))  # two sorted runs: one linear merge
+            if len(merged) < len(level) + len(array):
+                known = {entry[0] for entry in level}
+                array = [entry for entry in array if entry[0] not in known]
+        weight = 1
         while self.levels and self.levels[-1][0] == weight:
             array = sorted(self.levels.pop()[1] + array)
             weight *= 2
         self.levels.append((weight, array))
 
 
-def family_matches(window: int, batch_contexts: int = BATCH_CONTEXTS):
+def family_matches(window: int, batch_contexts: int = BATCH_CONTEXTS, batches: int = 16):
+    """Batches of batch_contexts, or of more where an anchor has so many that there would be over batches of them."""
+
     def judge(doc_ids: list[int], contents: list[bytes]) -> Iterator[tuple[int, int, int]]:
         family = IndexFamily(window)
         numbered = list(enumerate(contents))
-        for at in range(0, len(numbered), batch_contexts):
-            family.add(numbered[at : at + batch_contexts])
+        step = max(batch_contexts, -(-len(numbered) // batches))
+        for at in range(0, len(numbered), step):
+            family.add(numbered[at : at + step])
         for number, starts in family.repeated.items():
             yield from ((number, begin, count) for begin, count in _runs(sorted(starts)))
 
