@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from planimetra.llm import language, minhash, substring, suffixes, syncmers, toxicity
+from planimetra.llm import language, lines, minhash, substring, suffixes, syncmers, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(_read(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = lines.drop_repeated_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents")).drop("row_key")
 
@@ -39,6 +45,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op5_line_dedup": op5_line_dedup,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_document_fingerprints": op7_document_fingerprints,
     "op8_toxicity": op8_toxicity,
@@ -65,5 +72,35 @@ WITH words AS (
 )
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
 FROM words LEFT JOIN kept USING (doc_id)
+""",
+    "op5_line_dedup": r"""
+WITH lines AS (
+  SELECT doc_id, i AS line, l, regexp_extract_all(l, '[^\x20\x09-\x0D]+') AS w
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents)
+), worded AS (
+  SELECT doc_id, line, len(w) AS n, w, (doc_id, line) AS p, md5(array_to_string(w, ' ')) AS h FROM lines WHERE len(w) > 0
+), kinds AS (
+  SELECT h, any_value(n) AS n, any_value(w) AS w, min(p) AS p FROM worded GROUP BY h
+), deleted AS (
+  SELECT h, n, p, i, md5(array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ')) AS v
+  FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM kinds WHERE n >= 8)
+), replaced AS (
+  SELECT v, n, i, min(p) AS least FROM deleted GROUP BY v, n, i
+), shorter AS (
+  SELECT h AS v, min(p) AS least FROM kinds WHERE n >= 8 GROUP BY h
+), longer AS (
+  SELECT v, min(p) AS least FROM deleted GROUP BY v
+), near AS (
+  SELECT h FROM deleted JOIN replaced USING (v, n, i) WHERE least < p
+  UNION SELECT h FROM deleted JOIN shorter USING (v) WHERE least < p
+  UNION SELECT h FROM kinds JOIN longer ON kinds.h = longer.v WHERE kinds.n >= 8 AND least < p
+), gone AS (
+  SELECT doc_id, line FROM worded JOIN kinds USING (h) WHERE worded.p <> kinds.p OR h IN (SELECT h FROM near)
+), kept AS (
+  SELECT doc_id, string_agg(l, chr(10) ORDER BY line) AS text, count(*) AS n FROM lines ANTI JOIN gone USING (doc_id, line) GROUP BY doc_id
+)
+SELECT doc_id, coalesce(len(string_split(d.text, chr(10))), 0)::BIGINT AS n_lines,
+       (coalesce(len(string_split(d.text, chr(10))), 0) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k USING (doc_id)
 """,
 }
