@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planimetra.llm import language, lines, minhash, substring, suffixes, syncmers, toxicity
+from planimetra.llm import language, lines, minhash, mixing, substring, suffixes, syncmers, toxicity
+from planimetra.llm.tables import public_id
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(_read(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decided = mixing.decide(_read(spark, sf_dir, "documents"))
+    return decided.select(public_id(), "size", "source_size", "target", "taken")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = lines.drop_repeated_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -45,6 +51,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_mix_sources": op2_mix_sources,
     "op5_line_dedup": op5_line_dedup,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_document_fingerprints": op7_document_fingerprints,
