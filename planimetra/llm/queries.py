@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planimetra.llm import html, language, lines, minhash, mixing, substring, suffixes, syncmers, toxicity
+from planimetra.llm import decontamination, html, language, lines, minhash, mixing, substring, suffixes, syncmers, toxicity
 from planimetra.llm.tables import public_id
 
 
@@ -24,6 +24,11 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decided.select(public_id(), "size", "source_size", "target", "taken")
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flagged = decontamination.flag(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
+    return flagged.select("doc_id", "item_id", "overlap", "contaminated")
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_read(spark, sf_dir, "pages"))
 
@@ -56,6 +61,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_mix_sources": op2_mix_sources,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_html_extraction": op4_html_extraction,
     "op5_line_dedup": op5_line_dedup,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
