@@ -29,7 +29,9 @@ HALF_BANDS = 10
 HALF_ROWS = 2
 #: Equal values among the 40 below which no candidate of similarity 0.85 is expected (22 or fewer: 2 in 100,000).
 LEAST_EQUAL = 23
+#: Rows of a block: of shingle sets (up to kilobytes each), and of bucket rows (40 bytes each).
 BLOCK = 128
+BUCKET_BLOCK = 1024
 
 _U = np.uint64
 _HASHES = 2 * HALF_BANDS * HALF_ROWS
@@ -214,7 +216,7 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield arrays.batch(_EDGE_ARROW, np.concatenate(a), np.concatenate(b))
 
 
-def near_duplicates(documents: DataFrame, block: int = BLOCK) -> DataFrame:
+def near_duplicates(documents: DataFrame, block: int = BLOCK, bucket_block: int = BUCKET_BLOCK) -> DataFrame:
     """doc_id, row_key, n_shingles, component_id, kept of each row of documents.
 
     A-Z are lowered, words are runs without ASCII white space, and a set holds the distinct 5-word shingles (with fewer
@@ -230,7 +232,7 @@ def near_duplicates(documents: DataFrame, block: int = BLOCK) -> DataFrame:
     kinds = stored(kinds.select(*identity, "first.doc_id", "first.row_key"), "kinds")
     dealt = signed.join(kinds.select("doc_id", "row_key"), ["doc_id", "row_key"], "left_semi").select(F.explode("keys").alias("key"), "doc_id", "values")
     counts = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    buckets = in_blocks(dealt.join(counts, "key"), block)
+    buckets = in_blocks(dealt.join(counts, "key"), bucket_block)
     candidates = buckets.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "doc_id").mapInArrow(_bucket_edges, _EDGE)
     groups = stored(components(candidates), "candidate-groups")
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"))

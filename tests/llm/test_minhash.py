@@ -59,7 +59,7 @@ def found(spark, rows, **kw):
 @pytest.mark.parametrize("block", [128, 4])
 def test_links_match_brute_force(spark, block):
     rows = near_copies()
-    assert found(spark, rows, block=block) == brute(rows)
+    assert found(spark, rows, block=block, bucket_block=block) == brute(rows)
 
 
 def test_awkward_rows(spark):
