@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from planimetra.llm import arrays
 from planimetra.llm.components import components
@@ -246,3 +247,15 @@ def near_duplicates(documents: DataFrame, block: int = BLOCK, bucket_block: int
     return joined.select(
         public_id(), "row_key", "n_shingles", public_id("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept")
     )
+
+
+def keep_first(documents: DataFrame) -> DataFrame:
+    """One row of each group of near duplicates: that with the least doc_id, and of rows that repeat it the first by text.
+
+    Empty and null texts are in no group, so their rows all stay. Columns pass through.
+    """
+    doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    leads = near_duplicates(documents).filter("n_shingles = 0 or kept").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_doc"), F.col("row_key").alias("_row"), (F.col("n_shingles") > 0).alias("_one")).distinct()
+    rows = documents.withColumns({"_doc": doc_id, "_row": F.xxhash64(doc_id, F.coalesce("text", F.lit("")))}).join(leads, ["_doc", "_row"])
+    turn = F.row_number().over(Window.partitionBy("_doc", "_row").orderBy("_row"))
+    return rows.withColumn("_turn", turn).filter(~F.col("_one") | (F.col("_turn") == 1)).select(*documents.columns)
