@@ -2,7 +2,8 @@
 
 The distinct contexts of an anchor (see repeats.py) arrive in batches. A batch gets a suffix array, is merge-scanned
 against the levels that exist, where equal neighbours are matches of the full length, and becomes a level itself;
-levels of equal size merge, so that n batches leave at most log2(n) levels.
+levels of equal size merge, so that n batches leave at most log2(n) levels. An anchor with so many contexts that their
+windows would fill a task's memory keeps 64-bit hashes of them instead, and one with more still is split into windows.
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ from planimetra.llm.tables import keyed, public_id
 WINDOW = 400
 GRAM = 48
 BATCH_CONTEXTS = 8
+#: Contexts of an anchor up to which windows are kept as text, and up to which one task takes them as hashes.
+TEXT_CONTEXTS = 768
+HASH_CONTEXTS = 20_000
 
 
 class IndexFamily:
@@ -61,6 +65,9 @@ def family_matches(window: int, batch_contexts: int = BATCH_CONTEXTS, batches: i
     """Batches of batch_contexts, or of more where an anchor has so many that there would be over batches of them."""
 
     def judge(doc_ids: list[int], contents: list[bytes]) -> Iterator[tuple[int, int, int]]:
+        if len(contents) > TEXT_CONTEXTS:
+            yield from _by_hash(contents, window)
+            return
         family = IndexFamily(window)
         numbered = list(enumerate(contents))
         step = max(batch_contexts, -(-len(numbered) // batches))
@@ -72,10 +79,19 @@ def family_matches(window: int, batch_contexts: int = BATCH_CONTEXTS, batches: i
     return judge
 
 
+def _by_hash(contents: list[bytes], window: int) -> Iterator[tuple[int, int, int]]:
+    hashes = [arrays.RangeHash(arrays.byte_values(np.frombuffer(c, np.uint8))).grams(window) for c in contents]
+    _, place, count = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+    repeated = count[place] > 1
+    edge = np.concatenate([[0], np.cumsum([len(h) for h in hashes])])
+    for number, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())):
+        yield from ((number, begin, size) for begin, size in _runs(np.flatnonzero(repeated[a:b]).tolist()))
+
+
 def spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc_id, row_key, start, size) in bytes: all bytes covered by a string of the window's length that starts elsewhere too."""
     unit = repeats.Unit(window, min(gram, window), repeats.byte_values, np.dtype(np.uint8))
-    found = repeats.find(docs, unit, earlier=False)
+    found = repeats.find(docs, unit, earlier=False, hot_contexts=HASH_CONTEXTS)
     return found.whole.unionByName(repeats.anchored(found.contents, family_matches(window), unit)).unionByName(repeats.hot_spans(found.windows, unit, earlier=False))
 
 

@@ -50,9 +50,10 @@ def test_words_match_brute_force(spark, monkeypatch, hot):
     assert Counter(map(tuple, found)) == brute_words(awkward())
 
 
-@pytest.mark.parametrize("hot", [repeats.HOT_CONTEXTS, 1])
-def test_bytes_match_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(repeats.find, "__defaults__", (hot,))
+@pytest.mark.parametrize("text, hot", [(768, 20_000), (1, 20_000), (768, 1)])
+def test_bytes_match_brute_force(spark, monkeypatch, text, hot):
+    monkeypatch.setattr(suffixes, "TEXT_CONTEXTS", text)
+    monkeypatch.setattr(suffixes, "HASH_CONTEXTS", hot)
     found = suffixes.remove_repeats(documents(spark)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     assert Counter(map(tuple, found)) == brute_bytes(awkward())
 
