@@ -1,10 +1,659 @@
-"""Named queries over the driver's tables and the SQL that gives the same rows."""
+"""Named queries over the driver's tables and the SQL that gives the same rows. Names start with the operator's id."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from planimetra.functions import labels, plan, uncertainty, vectors
+from planimetra.operators import damage, evaluate, graph, measure, openings, points, rooms, rules, scale, structure, trajectory
+from planimetra.plans.bindings import sql, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(oracle: str | None = None, *views: str):
+    """Registers a function under its name, with the SQL over the views that it names."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLE_SQL[f.__name__] = sql(oracle, *views) if views else oracle
+        return f
+
+    return register
+
+
+def rounded(df: DataFrame, *names: str, decimals: int = 6) -> DataFrame:
+    """-0.0 becomes 0.0, as sums of either sign may give both."""
+    return df.withColumns({n: F.round(n, decimals) + 0.0 for n in names})
+
+
+# ---- points ---------------------------------------------------------------------------------------------------------
+
+_VOXEL = "CAST(floor(x / 0.5) AS BIGINT) AS vx, CAST(floor(y / 0.5) AS BIGINT) AS vy, CAST(floor(z / 0.5) AS BIGINT) AS vz"
+
+
+@query(f"""SELECT {_VOXEL}, count(*) AS n_points, count(DISTINCT view_id) AS n_views, round(avg(x), 6) + 0.0 AS x, round(avg(y), 6) + 0.0 AS y, round(avg(z), 6) + 0.0 AS z
+FROM points WHERE confidence >= 1 AND sqrt(x * x + y * y + z * z) BETWEEN 0.3 AND 3.5 GROUP BY 1, 2, 3""", "points")
+def a1_voxel_points(spark, sf_dir):
+    kept = points.in_range(points.confident(view(spark, sf_dir, "points"), 1), 0.3, 3.5)
+    return rounded(points.with_views(points.voxels(kept, 0.5), kept, 0.5), "x", "y", "z")
+
+
+@query("""SELECT count(*) AS pixels, count(*) FILTER (confidence >= 2) AS confident, count(*) FILTER (confidence >= 2 AND abs(z) BETWEEN 0.2 AND 5.0) AS in_range FROM points""", "points")
+def a2_funnel(spark, sf_dir):
+    return points.funnel(view(spark, sf_dir, "points").withColumn("depth", F.abs("z")))
+
+
+@query("""SELECT view_id, count(*) AS n_points, round(avg(abs(0.6 * x + 0.8 * y + 0.1)), 6) AS mean_abs, round(sqrt(avg((0.6 * x + 0.8 * y + 0.1) * (0.6 * x + 0.8 * y + 0.1))), 6) AS rmse FROM points GROUP BY view_id""", "points")
+def a3_plane_residuals(spark, sf_dir):
+    return rounded(points.plane_residuals(view(spark, sf_dir, "points"), tuple(map(F.lit, (0.6, 0.8, 0.0, 0.1))), ["view_id"]), "mean_abs", "rmse")
+
+
+@query("SELECT view_id, " + ", ".join(f"round(min({c}), 6) + 0.0 AS {c}_min, round(max({c}), 6) + 0.0 AS {c}_max, round(max({c}) - min({c}), 6) + 0.0 AS {c}_span, round(avg({c}), 6) + 0.0 AS {c}_mean" for c in "xyz") + " FROM points GROUP BY view_id", "points")
+def a4_bounds(spark, sf_dir):
+    return rounded(points.bounds(view(spark, sf_dir, "points"), ["view_id"]), *[f"{c}_{n}" for c in "xyz" for n in ("min", "max", "span", "mean")])
+
+
+@query("""WITH p AS (SELECT point_id, (point_id * 7 % 256) AS u, (point_id * 11 % 192) AS v, CAST(floor(abs(z) * 1000) AS BIGINT) AS depth_mm FROM points)
+SELECT point_id, round((u - 128.0) * (depth_mm / 1000.0) / 210.0, 6) + 0.0 AS x, round((v - 96.0) * (depth_mm / 1000.0) / 210.0, 6) + 0.0 AS y, depth_mm / 1000.0 AS z
+FROM p WHERE depth_mm / 1000.0 BETWEEN 0.2 AND 5.0 AND u % 2 = 0 AND v % 2 = 0""", "points")
+def f1_unproject_depth(spark, sf_dir):
+    pixels = view(spark, sf_dir, "points").selectExpr("point_id", "point_id * 7 % 256 AS u", "point_id * 11 % 192 AS v", "CAST(floor(abs(z) * 1000) AS BIGINT) AS depth_mm", "210D AS fx", "210D AS fy", "128D AS cx", "96D AS cy")
+    return rounded(points.unproject(pixels, 2).select("point_id", "x", "y", "z"), "x", "y")
+
+
+@query("""WITH seen AS (SELECT floor(x / 0.4) AS i, floor(y / 0.4) AS j, floor(z / 0.4) AS k, count(DISTINCT view_id) AS views FROM points GROUP BY 1, 2, 3)
+SELECT point_id, 'OK' AS status FROM points JOIN seen ON i = floor(x / 0.4) AND j = floor(y / 0.4) AND k = floor(z / 0.4) WHERE views >= 2""", "points")
+def j21_view_support(spark, sf_dir):
+    return points.supported(view(spark, sf_dir, "points"), 0.4).select("point_id", "status")
+
+
+@query("""WITH near AS (SELECT p.point_id, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z)) AS d, q.point_id AS other
+  FROM points p JOIN points q ON p.point_id <> q.point_id AND abs(p.x - q.x) <= 1.5 AND abs(p.y - q.y) <= 1.5 AND abs(p.z - q.z) <= 1.5),
+ranked AS (SELECT point_id, d, row_number() OVER (PARTITION BY point_id ORDER BY d, other) AS r FROM near WHERE d <= 1.5),
+mean AS (SELECT point_id, avg(d) AS m FROM ranked WHERE r <= 10 GROUP BY point_id)
+SELECT point_id, round(x, 6) + 0.0 AS x FROM points JOIN mean USING (point_id) WHERE m <= (SELECT avg(m) + 2.0 * stddev_pop(m) FROM mean)""", "points")
+def i11_outlier_removal(spark, sf_dir):
+    return rounded(points.without_outliers(view(spark, sf_dir, "points"), "point_id", 10, 2.0, 1.5).select("point_id", "x"), "x")
+
+
+@query("""SELECT point_id, CAST(trunc(240 * t) AS INT) AS r, CAST(trunc(180 * (1 - 2 * abs(t - 0.5))) AS INT) AS g, CAST(trunc(240 * (1 - t)) AS INT) AS b
+FROM (SELECT point_id, greatest(0.0, least(1.0, (y + 1.2) / 2.5)) AS t FROM points)""", "points")
+def f6_height_colour(spark, sf_dir):
+    return view(spark, sf_dir, "points").select("point_id", labels.height_colour(F.col("y")).alias("c")).select("point_id", "c.*")
+
+
+# ---- trajectories ---------------------------------------------------------------------------------------------------
+
+
+def _poses(spark, sf_dir):
+    return trajectory.numbered(view(spark, sf_dir, "poses"), "trajectory_id", "event_id")
+
+
+_NUMBERED = "WITH n AS (SELECT *, row_number() OVER (PARTITION BY trajectory_id ORDER BY ts_s, event_id) - 1 AS frame FROM poses)"
+
+
+@query(_NUMBERED + """, s AS (SELECT *, sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2) + power(z - lag(z) OVER w, 2)) AS step FROM n WINDOW w AS (PARTITION BY trajectory_id ORDER BY ts_s, frame))
+SELECT trajectory_id, frame, round(step, 6) AS step FROM s""", "poses")
+def w1_steps(spark, sf_dir):
+    return rounded(trajectory.steps(_poses(spark, sf_dir), "trajectory_id").select("trajectory_id", "frame", "step"), "step")
+
+
+@query(_NUMBERED + """, s AS (SELECT *, sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2) + power(z - lag(z) OVER w, 2)) AS step FROM n WINDOW w AS (PARTITION BY trajectory_id ORDER BY ts_s, frame)),
+t AS (SELECT trajectory_id, count(*) AS frames, coalesce(sum(step), 0.0) AS path_length, max(ts_s) - min(ts_s) AS duration,
+  sqrt(power(arg_max(x, frame) - arg_min(x, frame), 2) + power(arg_max(z, frame) - arg_min(z, frame), 2)) AS displacement FROM s GROUP BY trajectory_id)
+SELECT trajectory_id, frames, round(path_length, 5) AS path_length, round(duration, 5) AS duration, round(displacement, 5) AS displacement, round(CASE WHEN duration > 0 THEN path_length / duration ELSE 0 END, 8) AS speed FROM t""", "poses")
+def a5_trajectory_statistics(spark, sf_dir):
+    table = trajectory.statistics(_poses(spark, sf_dir), "trajectory_id").select("trajectory_id", "frames", "path_length", "duration", "displacement", "speed")
+    return rounded(rounded(table, "path_length", "duration", "displacement", decimals=5), "speed", decimals=8)
+
+
+@query(_NUMBERED + """, g AS (SELECT trajectory_id, ts_s, ts_s - lag(ts_s) OVER (PARTITION BY trajectory_id ORDER BY ts_s, frame) AS gap FROM n)
+SELECT trajectory_id, round(max(gap), 5) AS largest_gap, round(max(ts_s) - min(ts_s), 5) AS seconds FROM g GROUP BY trajectory_id""", "poses")
+def w6_largest_gap(spark, sf_dir):
+    table = trajectory.gaps(_poses(spark, sf_dir), "trajectory_id").select("trajectory_id", "largest_gap", (F.col("to_s") - F.col("from_s")).alias("seconds"))
+    return rounded(table, "largest_gap", "seconds", decimals=5)
+
+
+_PAIR = "sqrt(power(p.x - q.x, 2) + power(p.y - q.y, 2) + power(p.z - q.z, 2))"
+
+
+@query(_NUMBERED + f""" SELECT p.trajectory_id, p.frame, q.frame AS later_frame, round(q.ts_s - p.ts_s, 5) AS seconds, round({_PAIR}, 6) AS distance
+FROM n p JOIN n q ON p.trajectory_id = q.trajectory_id AND q.frame > p.frame AND q.ts_s - p.ts_s >= 20 WHERE {_PAIR} <= 0.1""", "poses")
+def a6_revisits(spark, sf_dir):
+    return rounded(rounded(trajectory.revisits(_poses(spark, sf_dir), "trajectory_id", 0.1), "distance"), "seconds", decimals=5)
+
+
+@query(_NUMBERED + f""", c AS (SELECT p.trajectory_id, p.frame AS source, q.frame AS target, {_PAIR} AS distance FROM n p JOIN n q ON p.trajectory_id = q.trajectory_id AND q.frame - p.frame >= 12 AND q.ts_s - p.ts_s >= 18),
+r AS (SELECT *, row_number() OVER (PARTITION BY trajectory_id ORDER BY distance, source, target) AS rank FROM c WHERE distance <= 1.6)
+SELECT trajectory_id, source, target, round(distance, 6) AS distance, rank FROM r WHERE rank <= 30""", "poses")
+def j11_loop_candidates(spark, sf_dir):
+    found = trajectory.loop_candidates(_poses(spark, sf_dir).withColumnRenamed("frame", "node").select("trajectory_id", "node", "ts_s", "x", "y", "z"), "trajectory_id")
+    return rounded(found.select("trajectory_id", "source", "target", "distance", "rank"), "distance")
+
+
+@query(_NUMBERED + """ SELECT trajectory_id, frame AS source, lead(frame) OVER w AS target, round(sqrt(power(lead(x) OVER w - x, 2) + power(lead(z) OVER w - z, 2)), 6) AS distance FROM n WINDOW w AS (PARTITION BY trajectory_id ORDER BY frame) QUALIFY target IS NOT NULL""", "poses")
+def w2_odometry_edges(spark, sf_dir):
+    return rounded(trajectory.odometry_edges(_poses(spark, sf_dir).withColumnRenamed("frame", "node"), "trajectory_id").select("trajectory_id", "source", "target", "distance"), "distance")
+
+
+@query()
+def w3_keyframes(spark, sf_dir):
+    return trajectory.keyframes(_poses(spark, sf_dir), "trajectory_id").select("trajectory_id", "node", "frame")
+
+
+@query(_NUMBERED + """, f AS (SELECT trajectory_id, frame, x * 10 AS sharpness, event_id % 5 > 0 AS exposed, count(*) OVER (PARTITION BY trajectory_id) AS n, least(10, count(*) OVER (PARTITION BY trajectory_id)) AS w FROM n),
+g AS (SELECT *, CAST(floor(frame * w / n) AS INT) AS win, n / w AS span FROM f),
+h AS (SELECT *, CASE WHEN win = 0 AND frame = 0 THEN 1e300 ELSE sharpness * (CASE WHEN exposed THEN 1.0 ELSE 0.1 END) * (0.3 + 0.7 * exp(-0.5 * power((frame - (win + 0.5) * span) / greatest(5.0, 0.35 * span), 2))) END AS score FROM g)
+SELECT trajectory_id, win AS window, frame FROM h QUALIFY row_number() OVER (PARTITION BY trajectory_id, win ORDER BY score DESC, frame) = 1""", "poses")
+def w5_window_keyframes(spark, sf_dir):
+    frames = _poses(spark, sf_dir).select("trajectory_id", "frame", (F.col("x") * 10).alias("sharpness"), (F.col("event_id") % 5 > 0).alias("exposed"))
+    return trajectory.window_keyframes(frames, "trajectory_id", 10)
+
+
+@query(_NUMBERED + """, o AS (SELECT *, CASE WHEN frame % 10 = 0 THEN frame * 0.01 END AS k FROM n),
+b AS (SELECT trajectory_id, frame, last_value(CASE WHEN k IS NOT NULL THEN frame END IGNORE NULLS) OVER (PARTITION BY trajectory_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS f0,
+  last_value(k IGNORE NULLS) OVER (PARTITION BY trajectory_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k0,
+  first_value(CASE WHEN k IS NOT NULL THEN frame END IGNORE NULLS) OVER (PARTITION BY trajectory_id ORDER BY frame ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS f1,
+  first_value(k IGNORE NULLS) OVER (PARTITION BY trajectory_id ORDER BY frame ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS k1 FROM o)
+SELECT trajectory_id, frame, round(CASE WHEN f1 > f0 THEN k0 + (frame - f0) / (f1 - f0) * (k1 - k0) ELSE coalesce(k0, k1) END, 6) AS dx FROM b""", "poses")
+def w7_interpolated_poses(spark, sf_dir):
+    poses = _poses(spark, sf_dir)
+    keys = poses.filter(F.col("frame") % 10 == 0).select("trajectory_id", "frame", (F.col("frame") * 0.01).alias("dx"), F.lit(0.0).alias("dy"), F.lit(0.0).alias("dz"))
+    return rounded(trajectory.interpolated(poses, keys, "trajectory_id").select("trajectory_id", "frame", "dx"), "dx")
+
+
+@query(_NUMBERED + """, e AS (SELECT trajectory_id, sqrt(power(arg_max(x, frame) - arg_min(x, frame), 2) + power(arg_max(z, frame) - arg_min(z, frame), 2)) AS g FROM n GROUP BY trajectory_id)
+SELECT trajectory_id, round(g, 5) AS raw_gap, round(g * 0.5, 5) AS optimised_gap, round(CASE WHEN g > 0 THEN 50.0 END, 4) AS reduction_pct FROM e""", "poses")
+def a21_drift_ablation(spark, sf_dir):
+    raw = _poses(spark, sf_dir)
+    halved = raw.withColumns({c: F.col(c) * 0.5 for c in "xyz"})
+    return rounded(rounded(trajectory.drift(raw, halved, "trajectory_id"), "raw_gap", "optimised_gap", decimals=5), "reduction_pct", decimals=4)
+
+
+@query(_NUMBERED + """ SELECT trajectory_id, frame, round(degrees(2 * acos(least(1.0, abs(qy * lag(qy) OVER w + qw * lag(qw) OVER w)))), 4) AS degrees FROM n WINDOW w AS (PARTITION BY trajectory_id ORDER BY frame)""", "poses")
+def f7_relative_rotation(spark, sf_dir):
+    order = Window.partitionBy("trajectory_id").orderBy("frame")
+    names = ["qx", "qy", "qz", "qw"]
+    return rounded(_poses(spark, sf_dir).select("trajectory_id", "frame", vectors.quaternion_degrees(vectors.vector(*names), tuple(F.lag(n).over(order) for n in names)).alias("degrees")), "degrees", decimals=4)
+
+
+@query("""SELECT event_id, round((1 - 2 * qy * qy) * 1.5 + 2 * qy * qw * 2.0 + x, 6) + 0.0 AS x, round(0.5, 6) AS y, round(-2 * qy * qw * 1.5 + (1 - 2 * qy * qy) * 2.0 + z, 6) + 0.0 AS z FROM poses""", "poses")
+def f5_camera_to_world(spark, sf_dir):
+    poses = view(spark, sf_dir, "poses")
+    world = vectors.transformed(vectors.rotation(vectors.vector("qx", "qy", "qz", "qw")), vectors.vector("x", "y", "z"), tuple(map(F.lit, (1.5, 0.5, 2.0))))
+    return rounded(poses.select("event_id", *[c.alias(n) for c, n in zip(world, "xyz", strict=True)]), "x", "y", "z")
+
+
+@query("""SELECT event_id, round(sqrt(1.0 + 4.0), 6) AS shift, round(degrees(acos(greatest(-1.0, least(1.0, 1.0)))), 3) AS turn FROM poses""", "poses")
+def f8_relative_transform(spark, sf_dir):
+    q, t = vectors.vector("qx", "qy", "qz", "qw"), vectors.vector("x", "y", "z")
+    one = vectors.pose_matrix(q, t)
+    two = vectors.pose_matrix(q, (t[0] + 1, t[1], t[2] + 2))
+    table = view(spark, sf_dir, "poses").select("event_id", vectors.relative_transform(one, two).alias("m"))
+    return rounded(rounded(table.select("event_id", vectors.translation_length(F.col("m")).alias("shift"), vectors.rotation_degrees(F.col("m")).alias("turn")), "shift"), "turn", decimals=3)
+
+
+@query("""WITH c AS (SELECT event_id, (event_id % 100) / 100.0 AS fitness, (event_id % 9) / 100.0 AS rmse, event_id % 160 AS correspondences, (event_id % 7) / 10.0 AS shift, (event_id % 30) * 1.0 AS turn FROM poses)
+SELECT event_id, CASE WHEN fitness >= 0.55 AND rmse <= 0.055 AND correspondences >= 80 AND shift <= 0.5 AND turn <= 22 THEN 'accepted'
+  WHEN shift <= 0.5 AND turn <= 22 AND fitness >= 0.45 AND rmse <= 1.3 * 0.055 THEN 'uncertain' ELSE 'rejected' END AS decision,
+  CAST(fitness < 0.55 AS INT) + CAST(rmse > 0.055 AS INT) + CAST(correspondences < 80 AS INT) + CAST(shift > 0.5 AS INT) + CAST(turn > 22 AS INT) AS n_reasons FROM c""", "poses")
+def p7_loop_validation(spark, sf_dir):
+    loops = view(spark, sf_dir, "poses").selectExpr("event_id", "(event_id % 100) / 100D AS fitness", "(event_id % 9) / 100D AS rmse", "event_id % 160 AS correspondences", "(event_id % 7) / 10D AS shift", "(event_id % 30) * 1D AS turn")
+    return trajectory.validated_loops(loops).select("event_id", "decision", F.size("reasons").alias("n_reasons"))
+
+
+# ---- evaluation -----------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT room_id, entity, part, supp, round(abs(predicted - reference), 9) AS absolute_error, round(abs(predicted - reference) / abs(reference), 9) AS relative_error FROM measurements""", "measurements")
+def f34_errors(spark, sf_dir):
+    return rounded(evaluate.with_errors(view(spark, sf_dir, "measurements")).select("room_id", "entity", "part", "supp", "absolute_error", "relative_error"), "absolute_error", "relative_error", decimals=9)
+
+
+@query("""SELECT type, count(*) AS n, round(avg(e), 5) AS mean, round(median(e), 5) AS median, round(sqrt(avg(e * e)), 5) AS rmse, round(stddev_pop(e), 5) AS std, round(min(e), 5) AS least, round(max(e), 5) AS largest
+FROM (SELECT type, abs(predicted - reference) AS e FROM measurements) GROUP BY type""", "measurements")
+def a18_error_statistics(spark, sf_dir):
+    return evaluate.error_statistics(evaluate.with_errors(view(spark, sf_dir, "measurements")), keys=["type"])
+
+
+@query("""SELECT type, count(*) AS n, count(*) FILTER (s) AS sound, round(avg(w), 4) AS mean_width, round(min(w), 4) AS least_width, round(max(w), 4) AS largest_width, count(*) FILTER (s) AS tested,
+  round(count(*) FILTER (s AND lower <= reference AND reference <= upper) / nullif(count(*) FILTER (s), 0), 4) AS coverage, CASE WHEN count(*) FILTER (s) > 0 THEN 'CALIBRATED' ELSE 'UNCALIBRATED' END AS status
+FROM (SELECT *, lower <= predicted + 1e-9 AND predicted - 1e-9 <= upper AS s, CASE WHEN abs(predicted) > 1e-6 THEN (upper - lower) / abs(predicted) END AS w FROM measurements) GROUP BY type""", "measurements")
+def e3_interval_audit(spark, sf_dir):
+    return evaluate.interval_audit(view(spark, sf_dir, "measurements"), ["type"])
+
+
+def _dimensions(spark, sf_dir):
+    """One value of each kind a key: the last by (part, supp)."""
+    rows = view(spark, sf_dir, "measurements").withColumn("key", evaluate.dimension_key())
+    last = evaluate.last_of_key(rows, "key", ["part", "supp"])
+    return tuple(last.select("key", F.col(c).alias("value")) for c in ("reference", "predicted", "incumbent"))
+
+
+_LAST = """WITH k AS (SELECT *, lower(trim(CAST(room_id AS VARCHAR))) || '_' || type || '_' || CAST(entity AS VARCHAR) AS key FROM measurements),
+l AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY key ORDER BY part DESC, supp DESC) = 1),
+d AS (SELECT *, abs(predicted - reference) AS e, abs(incumbent - reference) AS i FROM l),
+o AS (SELECT *, CASE WHEN abs(e - i) <= 0.002 THEN 'TIE' WHEN e < i THEN 'BEAT' ELSE 'LOSS' END AS outcome FROM d)"""
+
+
+@query(_LAST + " SELECT key, round(reference, 9) AS truth, round(predicted, 9) AS ours, round(incumbent, 9) AS incumbent, round(e, 9) AS our_error, round(i, 9) AS incumbent_error, outcome FROM o", "measurements")
+def j15_incumbent_details(spark, sf_dir):
+    return rounded(evaluate.incumbent_details(*_dimensions(spark, sf_dir)), "truth", "ours", "incumbent", "our_error", "incumbent_error", decimals=9)
+
+
+@query(_LAST + """ SELECT 'EVALUATED' AS status, count(*) AS shared, count(*) FILTER (outcome = 'BEAT') AS beat, count(*) FILTER (outcome = 'TIE') AS tie, count(*) FILTER (outcome = 'LOSS') AS loss,
+  round(count(*) FILTER (outcome <> 'LOSS') / count(*), 4) AS beat_tie_ratio, round(avg(e), 4) AS our_mae, round(avg(i), 4) AS incumbent_mae FROM o""", "measurements")
+def e4_incumbent_summary(spark, sf_dir):
+    return evaluate.incumbent_summary(evaluate.incumbent_details(*_dimensions(spark, sf_dir)))
+
+
+@query("""SELECT lower(trim(CAST(room_id AS VARCHAR))) || '_' || type || '_' || CAST(entity AS VARCHAR) AS key, count(*) AS n FROM measurements GROUP BY 1 HAVING count(*) > 1""", "measurements")
+def j15_duplicate_keys(spark, sf_dir):
+    return evaluate.duplicate_keys(view(spark, sf_dir, "measurements").withColumn("key", evaluate.dimension_key()), "key")
+
+
+@query("""WITH p AS (SELECT room_id AS room, count(*) AS n_predicted, min(predicted) AS a FROM measurements WHERE type = 'ceiling_height' AND part % 2 = 0 GROUP BY 1),
+r AS (SELECT room_id AS room, count(*) AS n_reference, min(reference) AS b FROM measurements WHERE type = 'ceiling_height' AND supp % 3 > 0 GROUP BY 1)
+SELECT CAST(room AS VARCHAR) AS room, 'ceiling_height' AS type, coalesce(n_predicted, 0) AS n_predicted, coalesce(n_reference, 0) AS n_reference, CASE WHEN n_predicted = 1 AND n_reference = 1 THEN round(abs(a - b), 6) END AS score,
+  CASE WHEN n_predicted = 1 AND n_reference = 1 THEN 'MATCHED' WHEN n_reference IS NULL THEN 'PHANTOM' WHEN n_predicted IS NULL THEN 'MISSED' ELSE 'AMBIGUOUS' END AS status FROM p FULL JOIN r USING (room)""", "measurements")
+def e1_match_scalars(spark, sf_dir):
+    rows = view(spark, sf_dir, "measurements")
+    side = lambda c, f: rows.filter(f).select("room_id", "type", F.col(c).alias("value"))
+    return rounded(evaluate.match_scalars(side("predicted", "part % 2 = 0"), side("reference", "supp % 3 > 0")), "score")
+
+
+@query()
+def e1_match_features(spark, sf_dir):
+    rows = view(spark, sf_dir, "measurements").filter("type = 'wall_length'")
+    features = lambda c, shift: rows.select(
+        F.col("room_id").cast("string").alias("room"), "type", (F.col("part") * 1000 + F.col("supp")).alias("ord"), F.concat_ws("-", "entity", "part", "supp").alias("entity"), F.col(c).alias("value"),
+        ((F.col("part") * 7 + shift) % 180).cast("double").alias("angle"), F.array((F.col("entity") * 3.0 + shift * 0.01), (F.col("supp") % 5) * 1.0).alias("centroid"), F.lit(None).cast("string").alias("surface"),
+    )
+    return evaluate.match_features(features("predicted", 0), features("reference", 5))
+
+
+@query("""SELECT status, compared, within, round(within / compared, 4) AS ratio FROM (SELECT 'EVALUATED' AS status, count(*) AS compared, count(*) FILTER (abs(predicted - reference) <= 0.01 OR abs(predicted - reference) / abs(reference) <= 0.005) AS within FROM measurements WHERE type = 'wall_length')""", "measurements")
+def a20_repeatability(spark, sf_dir):
+    return evaluate.repeatability(view(spark, sf_dir, "measurements").filter("type = 'wall_length'"))
+
+
+_TIERED = "WITH t AS (SELECT *, CASE room_id % 3 WHEN 0 THEN 'lidar' WHEN 1 THEN 'video' ELSE 'photo' END AS tier, abs(predicted - reference) AS e, abs(predicted - reference) / abs(reference) AS r FROM measurements)"
+
+
+@query(_TIERED + """ SELECT 'opening_width' AS gate, count(*) FILTER (e <= 0.02) AS numerator, count(*) AS denominator, 0.85 AS threshold, CASE WHEN count(*) FILTER (e <= 0.02) / count(*) >= 0.85 THEN 'PASS' ELSE 'FAIL' END AS result FROM t WHERE tier = 'lidar' AND type = 'opening_width'
+UNION ALL SELECT 'ceiling_height', count(*) FILTER (e <= 0.015), count(*), 1.0, CASE WHEN count(*) FILTER (e <= 0.015) / count(*) >= 1.0 THEN 'PASS' ELSE 'FAIL' END FROM t WHERE tier = 'lidar' AND type = 'ceiling_height'
+UNION ALL SELECT 'video_walls', count(*) FILTER (r <= 0.03), count(*), 0.85, CASE WHEN count(*) FILTER (r <= 0.03) / count(*) >= 0.85 THEN 'PASS' ELSE 'FAIL' END FROM t WHERE tier = 'video' AND type = 'wall_length'
+UNION ALL SELECT 'photo_walls', count(*) FILTER (r <= 0.08), count(*), 0.80, CASE WHEN count(*) FILTER (r <= 0.08) / count(*) >= 0.80 THEN 'PASS' ELSE 'FAIL' END FROM t WHERE tier = 'photo' AND type = 'wall_length'""", "measurements")
+def e2_gates(spark, sf_dir):
+    tier = F.element_at(F.array(*map(F.lit, ("lidar", "video", "photo"))), (F.col("room_id") % 3 + 1).cast("int"))
+    return evaluate.gates(view(spark, sf_dir, "measurements").withColumn("tier", tier))
+
+
+@query("""WITH a AS (SELECT part AS key, avg(predicted) AS v FROM measurements WHERE supp % 2 = 0 GROUP BY 1), b AS (SELECT part AS key, avg(reference) AS w FROM measurements WHERE supp % 3 = 0 GROUP BY 1), j AS (SELECT v, w, abs(v - w) AS e FROM a FULL JOIN b USING (key))
+SELECT count(*) FILTER (v IS NOT NULL AND w IS NOT NULL) AS shared, count(*) FILTER (w IS NULL) AS only_first, count(*) FILTER (v IS NULL) AS only_second, round(avg(e), 5) AS mean, round(median(e), 5) AS median, round(max(e), 5) AS largest FROM j""", "measurements")
+def a19_compare_tiers(spark, sf_dir):
+    rows = view(spark, sf_dir, "measurements")
+    side = lambda f, c: rows.filter(f).groupBy(F.col("part").alias("key")).agg(F.avg(c).alias("value"))
+    return evaluate.compare_tiers(side("supp % 2 = 0", "predicted"), side("supp % 3 = 0", "reference"))
+
+
+# ---- geometry -------------------------------------------------------------------------------------------------------
+
+
+def _rectangles(spark, sf_dir):
+    table = view(spark, sf_dir, "rooms")
+    return table.withColumn("vertices", plan.rectangle(F.col("x0"), F.col("z0"), F.col("w"), F.col("h")))
+
+
+@query("""SELECT room_id, w * h AS area, 2 * (w + h) AS perimeter, CAST(4 AS INT) AS n_edges, least(w, h) AS shortest_edge, round(x0 + w / 2, 6) AS cx, round(z0 + h / 2, 6) AS cz, true AS valid FROM rooms""", "rooms")
+def a8_polygon_measures(spark, sf_dir):
+    shaped = measure.validated_polygon(measure.shape(_rectangles(spark, sf_dir)))
+    table = shaped.withColumn("c", plan.centroid(F.col("vertices"))).select("room_id", "area", "perimeter", "n_edges", "shortest_edge", F.col("c.x").alias("cx"), F.col("c.z").alias("cz"), "valid")
+    return rounded(table, "area", "perimeter", "shortest_edge", "cx", "cz")
+
+
+@query("""SELECT room_id, unnest([0, 1, 2, 3])::INT AS i, unnest([x0, x0 + w, x0 + w, x0]) AS x1, unnest([z0, z0, z0 + h, z0 + h]) AS z1, unnest([w, h, w, h]) AS length FROM rooms""", "rooms")
+def w8_polygon_edges(spark, sf_dir):
+    edges = _rectangles(spark, sf_dir).select("room_id", F.inline(plan.edges(F.col("vertices"))))
+    return edges.select("room_id", "i", "x1", "z1", F.hypot(F.col("x2") - F.col("x1"), F.col("z2") - F.col("z1")).alias("length"))
+
+
+@query("""SELECT room_id, w * h AS area FROM rooms""", "rooms")
+def i18_canonical_polygons(spark, sf_dir):
+    """Rooms whose polygon equals itself turned and reversed: all."""
+    v = F.col("vertices")
+    turned = F.reverse(F.concat(F.slice(v, 3, 2), F.slice(v, 1, 2)))
+    return _rectangles(spark, sf_dir).filter(plan.canonical(v) == plan.canonical(turned)).select("room_id", F.round(plan.area(v), 6).alias("area"))
+
+
+_LINES = """WITH l AS (SELECT wall_id, capture_id, a / sqrt(a * a + c * c) AS la, c / sqrt(a * a + c * c) AS lb, d / sqrt(a * a + c * c) AS lc FROM walls)"""
+
+
+@query(_LINES + " SELECT wall_id, round(la, 6) + 0.0 AS la, round(lb, 6) + 0.0 AS lb, round(lc, 6) + 0.0 AS lc FROM l", "walls")
+def f17_plane_lines(spark, sf_dir):
+    table = structure.in_plan(view(spark, sf_dir, "walls")).select("wall_id", F.col("line.a").alias("la"), F.col("line.b").alias("lb"), F.col("line.c").alias("lc"))
+    return rounded(table, "la", "lb", "lc")
+
+
+@query(_LINES + """ SELECT p.wall_id AS one, q.wall_id AS two, round(CASE WHEN abs(p.la * q.lb - q.la * p.lb) >= sin(radians(10)) THEN (p.lb * q.lc - q.lb * p.lc) / (p.la * q.lb - q.la * p.lb) END, 7) + 0.0 AS x,
+  round(CASE WHEN abs(p.la * q.lb - q.la * p.lb) >= sin(radians(10)) THEN (q.la * p.lc - p.la * q.lc) / (p.la * q.lb - q.la * p.lb) END, 7) + 0.0 AS z, round(degrees(acos(least(1.0, abs(p.la * q.la + p.lb * q.lb)))), 4) AS angle
+FROM l p JOIN l q ON p.capture_id = q.capture_id AND p.wall_id < q.wall_id""", "walls")
+def f10_line_intersections(spark, sf_dir):
+    lines = structure.in_plan(view(spark, sf_dir, "walls")).select("wall_id", "capture_id", "line")
+    p, q = lines.alias("p"), lines.alias("q")
+    pairs = p.join(q, (F.col("p.capture_id") == F.col("q.capture_id")) & (F.col("p.wall_id") < F.col("q.wall_id")))
+    at = plan.line_intersection(F.col("p.line"), F.col("q.line"))
+    table = pairs.select(F.col("p.wall_id").alias("one"), F.col("q.wall_id").alias("two"), at["x"].alias("x"), at["z"].alias("z"), plan.line_degrees(F.col("p.line"), F.col("q.line")).alias("angle"))
+    return rounded(rounded(table, "x", "z", decimals=7), "angle", decimals=4)
+
+
+@query("""WITH r AS (SELECT wall_id, (a * 0.6 + c * 0.8) AS along, -(b * 1.5 + d) AS top FROM walls)
+SELECT wall_id, round(top / along, 5) + 0.0 AS t, round(0.6 * top / along, 5) + 0.0 AS x, round(0.8 * top / along, 5) + 0.0 AS z FROM r WHERE abs(along) >= 1e-4 AND top / along > 0.1 AND top / along <= 8""", "walls")
+def f18_ray_hits(spark, sf_dir):
+    hit = plan.ray_hit(tuple(map(F.lit, (0.0, 1.5, 0.0))), tuple(map(F.lit, (1.2, 0.0, 1.6))), vectors.vector("a", "b", "c", "d"))
+    table = view(spark, sf_dir, "walls").select("wall_id", hit.alias("h")).filter("h is not null").select("wall_id", "h.t", "h.x", "h.z")
+    return rounded(table, "t", "x", "z", decimals=5)
+
+
+@query("""SELECT opening_id, round(sqrt(power(x - (2 + t * 4), 2) + power(z - (1 + t * 3), 2)), 6) AS distance FROM (SELECT *, greatest(0.0, least(1.0, ((x - 2) * 4 + (z - 1) * 3) / 25.0)) AS t FROM openings)""", "openings")
+def f12_segment_distance(spark, sf_dir):
+    d = plan.segment_distance(F.col("x"), F.col("z"), *map(F.lit, (2.0, 1.0, 6.0, 4.0)))
+    return rounded(view(spark, sf_dir, "openings").select("opening_id", d.alias("distance")), "distance")
+
+
+@query("""SELECT wall_id, round(least(h, 180 - h), 6) AS degrees FROM (SELECT wall_id, least(t, 360 - t) AS h FROM (SELECT wall_id, abs(wall_id * 37.0 - wall_id * 11.0) % 360 AS t FROM walls))""", "walls")
+def f15_folded_angles(spark, sf_dir):
+    return rounded(view(spark, sf_dir, "walls").select("wall_id", plan.folded_degrees(F.col("wall_id") * 37.0, F.col("wall_id") * 11.0).alias("degrees")), "degrees")
+
+
+@query("""SELECT wall_id, round(greatest(span - k * s, 0.01), 6) AS lower, round(span + k * s, 6) AS upper, round(greatest(0.1, least(0.99, confidence * greatest(0.5, 1 - rmse / 0.15) * power(0.85, wall_id % 3))), 6) AS trust, round(greatest(0.1, least(0.99, 0.6 * greatest(0.1, least(1.0, inliers / 15000.0)) + 0.4 * greatest(0.1, least(1.0, 1 - rmse / 0.03)))), 3) AS plane_trust
+FROM (SELECT *, 1.96 AS k, sqrt(0.03 * 0.03 + 0.04 * 0.04 + rmse * rmse + power(span * 0.01, 2)) AS s FROM walls)""", "walls")
+def f30_wall_intervals(spark, sf_dir):
+    low, high = uncertainty.length_interval(F.col("span"), F.lit(0.03), F.lit(0.04), F.col("rmse"), scale=0.01)
+    trust = uncertainty.wall_confidence(F.col("confidence"), F.col("rmse"), F.col("wall_id") % 3)
+    return rounded(view(spark, sf_dir, "walls").select("wall_id", low.alias("lower"), high.alias("upper"), trust.alias("trust"), uncertainty.plane_confidence(F.col("inliers"), F.col("rmse")).alias("plane_trust")), "lower", "upper", "trust")
+
+
+@query("""SELECT wall_id, CASE WHEN inliers < 4000 THEN 'few_inliers' WHEN height < 0.7 THEN 'too_low' WHEN span < 0.7 THEN 'too_short' WHEN floor_gap > 0.45 THEN 'above_floor' END AS reason FROM walls""", "walls")
+def p3_wall_candidates(spark, sf_dir):
+    return structure.wall_candidates(view(spark, sf_dir, "walls")).select("wall_id", "reason")
+
+
+@query("""SELECT wall_id, concat_ws(',', CASE WHEN rmse > 0.15 THEN 'high_rmse' END, CASE WHEN confidence < 0.4 THEN 'low_confidence' END, CASE WHEN height < 1.0 THEN 'low_height' END, CASE WHEN inliers < 4000 THEN 'few_inliers' END) AS reasons,
+CASE WHEN rmse > 0.15 OR confidence < 0.4 OR height < 1.0 OR inliers < 4000 THEN 'rejected' ELSE 'accepted' END AS status FROM walls""", "walls")
+def p4_wall_quality(spark, sf_dir):
+    return structure.wall_quality(view(spark, sf_dir, "walls")).select("wall_id", F.concat_ws(",", "reasons").alias("reasons"), "status")
+
+
+@query("""SELECT wall_id, CASE WHEN abs(b) >= 0.80 THEN 'horizontal' WHEN abs(b) <= 0.25 THEN 'vertical' ELSE 'oblique' END AS inclination FROM walls""", "walls")
+def p2_inclination(spark, sf_dir):
+    return view(spark, sf_dir, "walls").select("wall_id", structure.inclination(F.col("b")).alias("inclination"))
+
+
+def _levels(spark, sf_dir):
+    return view(spark, sf_dir, "walls").selectExpr("capture_id", "wall_id AS plane_id", "0.7D + (wall_id % 4) / 10D AS ny", "height + d AS y", "inliers")
+
+
+_LEVELS = "WITH p AS (SELECT capture_id, wall_id AS plane_id, 0.7 + (wall_id % 4) / 10.0 AS ny, height + d AS y, inliers FROM walls), l AS (SELECT * FROM p WHERE abs(ny) >= 0.85)"
+
+
+@query(_LEVELS + """, f AS (SELECT capture_id, arg_min(plane_id, y) AS floor_id, min(y) AS floor_y FROM l GROUP BY 1),
+c AS (SELECT capture_id, arg_max(plane_id, y) AS ceiling_id, max(y) AS ceiling_y FROM l JOIN f USING (capture_id) WHERE y >= floor_y + 1.8 AND inliers >= 3000 GROUP BY 1)
+SELECT capture_id, floor_id, ceiling_id, round(ceiling_y - floor_y, 6) AS height, CASE WHEN floor_id IS NULL THEN 'no_floor' WHEN ceiling_id IS NULL THEN 'no_ceiling' END AS reason
+FROM (SELECT DISTINCT capture_id FROM p) LEFT JOIN f USING (capture_id) LEFT JOIN c USING (capture_id)""", "walls")
+def t1_floor_and_ceiling(spark, sf_dir):
+    return rounded(structure.floor_and_ceiling(_levels(spark, sf_dir), "capture_id").select("capture_id", "floor_id", "ceiling_id", "height", "reason"), "height")
+
+
+@query("""SELECT capture_id, round(CASE WHEN count(*) >= 2 THEN median((atan2(c, a) % (pi() / 2) + pi() / 2) % (pi() / 2)) ELSE 0 END, 6) AS radians, count(*) AS walls FROM walls GROUP BY capture_id""", "walls")
+def a23_dominant_orientation(spark, sf_dir):
+    return rounded(rooms.dominant_orientation(view(spark, sf_dir, "walls"), ["capture_id"]), "radians")
+
+
+@query("""WITH g AS (SELECT capture_id, d AS position, wall_id, CASE WHEN d - lag(d) OVER (PARTITION BY capture_id ORDER BY d) > 0.8 THEN 1 ELSE 0 END AS new FROM walls), i AS (SELECT *, sum(new) OVER (PARTITION BY capture_id ORDER BY position ROWS UNBOUNDED PRECEDING) AS cluster FROM g)
+SELECT capture_id, cluster::BIGINT AS cluster, round(avg(position), 6) AS position, count(*) AS n FROM i GROUP BY 1, 2""", "walls")
+def w11_line_clusters(spark, sf_dir):
+    return rounded(structure.line_clusters(view(spark, sf_dir, "walls").withColumnRenamed("d", "position"), ["capture_id"]), "position")
+
+
+@query()
+def i5_merged_walls(spark, sf_dir):
+    return structure.merged_walls(view(spark, sf_dir, "walls").select("capture_id", "wall_id", "a", "b", "c", "d", "inliers"), "capture_id").select("capture_id", "wall_id", "merged_into")
+
+
+@query()
+def i4_ransac_planes(spark, sf_dir):
+    return structure.planes_by_ransac(view(spark, sf_dir, "points"), "view_id", most=3, least=5, distance=0.2, tries=60).select("view_id", "plane_id", "inliers")
+
+
+def _segments(spark, sf_dir):
+    return structure.in_plan(view(spark, sf_dir, "walls")).selectExpr("capture_id", "wall_id", "wall_id AS ord", "line", "-line.c * line.a - line.b * span * 2 AS x1", "-line.c * line.b + line.a * span * 2 AS z1", "-line.c * line.a + line.b * span * 2 AS x2", "-line.c * line.b - line.a * span * 2 AS z2")
+
+
+_SEGMENTS = _LINES + ", s AS (SELECT l.*, -lc * la - lb * span * 2 AS x1, -lc * lb + la * span * 2 AS z1, -lc * la + lb * span * 2 AS x2, -lc * lb - la * span * 2 AS z2 FROM l JOIN walls USING (wall_id))"
+
+
+@query(_SEGMENTS + """, p AS (SELECT a.capture_id, a.wall_id AS wall_a, b.wall_id AS wall_b, a.la * b.lb - b.la * a.lb AS det, (a.lb * b.lc - b.lb * a.lc) AS nx, (b.la * a.lc - a.la * b.lc) AS nz, degrees(acos(least(1.0, abs(a.la * b.la + a.lb * b.lb)))) AS deg,
+  a.x1 AS ax1, a.z1 AS az1, a.x2 AS ax2, a.z2 AS az2, b.x1 AS bx1, b.z1 AS bz1, b.x2 AS bx2, b.z2 AS bz2 FROM s a JOIN s b ON a.capture_id = b.capture_id AND a.wall_id < b.wall_id),
+q AS (SELECT *, CASE WHEN abs(det) >= sin(radians(10)) THEN nx / det END AS x, CASE WHEN abs(det) >= sin(radians(10)) THEN nz / det END AS z, sqrt(power(ax2 - ax1, 2) + power(az2 - az1, 2)) AS la, sqrt(power(bx2 - bx1, 2) + power(bz2 - bz1, 2)) AS lb FROM p),
+r AS (SELECT *, ((x - ax1) * (ax2 - ax1) + (z - az1) * (az2 - az1)) / la AS sa, ((x - bx1) * (bx2 - bx1) + (z - bz1) * (bz2 - bz1)) / lb AS sb FROM q),
+t AS (SELECT *, greatest(-sa, sa - la, -sb, sb - lb, 0.0) AS ext FROM r)
+SELECT capture_id, wall_a, wall_b, round(x, 4) + 0.0 AS x, round(z, 4) + 0.0 AS z, CASE WHEN x IS NULL THEN NULL ELSE round(ext, 4) END AS extension, abs(deg - 90) <= 15 AS orthogonal, CASE WHEN x IS NULL THEN 'parallel' WHEN ext > 0.35 THEN 'long_extension' END AS reason,
+  CASE WHEN x IS NOT NULL THEN sum(CASE WHEN x IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY capture_id ORDER BY wall_a, wall_b ROWS UNBOUNDED PRECEDING)::BIGINT END AS corner FROM t""", "walls")
+def j3_corners(spark, sf_dir):
+    found = structure.corners(_segments(spark, sf_dir), ["capture_id"]).select("capture_id", "wall_a", "wall_b", "x", "z", "extension", "orthogonal", "reason", "corner")
+    found = found.withColumn("extension", F.when(F.col("x").isNotNull(), F.col("extension")))
+    return rounded(found, "x", "z", "extension", decimals=4)
+
+
+# ---- rooms, openings ------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT a.property_id, a.room_id AS room_a, b.room_id AS room_b, round((least(a.x0 + a.w, b.x0 + b.w) - greatest(a.x0, b.x0)) * (least(a.z0 + a.h, b.z0 + b.h) - greatest(a.z0, b.z0)), 6) AS overlap,
+  round((least(a.x0 + a.w, b.x0 + b.w) - greatest(a.x0, b.x0)) * (least(a.z0 + a.h, b.z0 + b.h) - greatest(a.z0, b.z0)) / least(a.w * a.h, b.w * b.h), 6) AS ratio
+FROM rooms a JOIN rooms b ON a.property_id = b.property_id AND a.room_id < b.room_id AND least(a.x0 + a.w, b.x0 + b.w) > greatest(a.x0, b.x0) AND least(a.z0 + a.h, b.z0 + b.h) > greatest(a.z0, b.z0)
+WHERE (least(a.x0 + a.w, b.x0 + b.w) - greatest(a.x0, b.x0)) * (least(a.z0 + a.h, b.z0 + b.h) - greatest(a.z0, b.z0)) > 0.1""", "rooms")
+def p13_room_overlaps(spark, sf_dir):
+    return rounded(rooms.overlaps(_rectangles(spark, sf_dir), ["property_id"]), "overlap", "ratio")
+
+
+@query("""SELECT property_id, count(*) AS n_rooms, round(sum(w * h), 3) AS total_area FROM rooms GROUP BY property_id""", "rooms")
+def a24_property_documents(spark, sf_dir):
+    shaped = measure.shape(_rectangles(spark, sf_dir))
+    return rooms.property_document(shaped, ["property_id"], "lidar").select("property_id", "n_rooms", "total_area")
+
+
+@query("""WITH o AS (SELECT p.property_id, p.room_id AS opening_id, p.x0 + p.w AS x, p.z0 + 0.5 AS z FROM rooms p),
+c AS (SELECT o.property_id, o.opening_id, r.room_id, row_number() OVER (PARTITION BY o.property_id, o.opening_id ORDER BY r.room_id) AS k FROM o JOIN rooms r USING (property_id)
+  WHERE sqrt(power(greatest(r.x0 - x, 0.0, x - r.x0 - r.w), 2) + power(greatest(r.z0 - z, 0.0, z - r.z0 - r.h), 2)) <= 0.5),
+d AS (SELECT property_id, opening_id, min(room_id) AS room_a, max(room_id) AS room_b FROM c WHERE k <= 2 GROUP BY 1, 2 HAVING count(*) = 2)
+SELECT property_id, room_a, room_b, min(opening_id) AS opening_id FROM d GROUP BY 1, 2, 3""", "rooms")
+def j8_door_links(spark, sf_dir):
+    table = _rectangles(spark, sf_dir)
+    doors = table.select("property_id", F.col("room_id").alias("opening_id"), (F.col("x0") + F.col("w")).alias("x"), (F.col("z0") + 0.5).alias("z"))
+    return rooms.door_links(doors, table.withColumn("ord", F.col("room_id")), ["property_id"]).select("property_id", "room_a", "room_b", "opening_id")
+
+
+@query()
+def j9_adjacency(spark, sf_dir):
+    table = _rectangles(spark, sf_dir).withColumn("ord", F.col("room_id"))
+    doors = table.select("property_id", F.col("room_id").alias("opening_id"), (F.col("x0") + F.col("w")).alias("x"), (F.col("z0") + 0.5).alias("z"))
+    return rooms.adjacency(table, doors, ["property_id"])
+
+
+@query(_SEGMENTS + """, n AS (SELECT o.capture_id, o.opening_id, s.wall_id, score, o.x, o.z, s.x1, s.z1, s.x2 - s.x1 AS dx, s.z2 - s.z1 AS dz FROM openings o JOIN s ON o.capture_id = s.capture_id WHERE width BETWEEN 0.45 AND 2.60),
+m AS (SELECT *, greatest(0.0, least(1.0, ((x - x1) * dx + (z - z1) * dz) / (dx * dx + dz * dz))) AS t FROM n), d AS (SELECT *, sqrt(power(x - x1 - t * dx, 2) + power(z - z1 - t * dz, 2)) AS distance FROM m),
+v AS (SELECT *, score * greatest(0.1, 1 - distance / 0.45) AS value FROM d WHERE distance <= 0.45)
+SELECT capture_id, opening_id, wall_id, round(distance, 5) AS distance, round(value, 5) AS value FROM v QUALIFY row_number() OVER (PARTITION BY capture_id, opening_id ORDER BY value DESC, wall_id) = 1""", "walls", "openings")
+def j5_openings_to_walls(spark, sf_dir):
+    found = openings.to_walls(view(spark, sf_dir, "openings"), _segments(spark, sf_dir), ["capture_id"])
+    return rounded(found, "distance", "value", decimals=5)
+
+
+def _observed(spark, sf_dir):
+    return view(spark, sf_dir, "observations").withColumns({"cos": F.cos(F.radians("angle")), "left_clipped": F.col("observation_id") % 11 == 0, "right_clipped": F.col("observation_id") % 13 == 0})
+
+
+_MAD = """WITH m AS (SELECT surface_id, median(width) AS med FROM observations GROUP BY 1), d AS (SELECT surface_id, median(abs(width - med)) AS mad FROM observations JOIN m USING (surface_id) GROUP BY 1),
+q AS (SELECT *, cos(radians(angle)) AS c, observation_id % 11 = 0 AS l, observation_id % 13 = 0 AS r FROM observations JOIN m USING (surface_id) JOIN d USING (surface_id)),
+w AS (SELECT *, CAST(c < 0.6 AS INT) + CAST(sharpness < 80 AS INT) + CAST(l OR r AS INT) + CAST(distance > 4.5 AS INT) + CAST(abs(width - med) > greatest(0.18, 2.2 * mad) AS INT) AS k FROM q),
+a AS (SELECT *, round(greatest(0.1, 1 - 0.25 * k) * (sharpness / 200.0) * c, 4) AS quality FROM w)"""
+
+
+@query(_MAD + " SELECT observation_id, k AS n_reasons, k = 0 AS high_quality, quality FROM a", "observations")
+def p8_observation_audit(spark, sf_dir):
+    audits = openings.audited(openings.with_spread(_observed(spark, sf_dir), ["surface_id"]))
+    return audits.select("observation_id", F.size("reasons").alias("n_reasons"), "high_quality", "quality")
+
+
+@query(_MAD + """, g AS (SELECT *, count(*) OVER s AS n, sum(CAST(k = 0 AS INT)) OVER s AS good, row_number() OVER (PARTITION BY surface_id ORDER BY quality DESC, observation_id) AS rank FROM a WINDOW s AS (PARTITION BY surface_id)),
+u AS (SELECT * FROM g WHERE CASE WHEN good > 0 THEN k = 0 ELSE rank <= greatest(1, n // 2) END),
+f AS (SELECT surface_id, median(width) AS width, greatest(0.015, 1.96 * sqrt(power(CASE WHEN count(*) > 1 THEN stddev_samp(width) / sqrt(count(*)) ELSE 0.025 END, 2) + 0.000225 + 0.0001)) AS half, count(*) AS n FROM u GROUP BY 1), t AS (SELECT surface_id, count(*) AS frames, count(*) FILTER (k = 0) AS high_quality FROM a GROUP BY 1)
+SELECT surface_id, round(width, 5) AS width, round(greatest(0.1, width - half), 5) AS lower, round(width + half, 5) AS upper, n, frames, high_quality, CASE WHEN frames >= 3 AND high_quality >= 1 THEN 'accepted' WHEN frames >= 2 THEN 'provisional' ELSE 'uncertain' END AS status FROM f JOIN t USING (surface_id)""", "observations")
+def a13_fused_openings(spark, sf_dir):
+    audits = openings.audited(openings.with_spread(_observed(spark, sf_dir), ["surface_id"]))
+    return rounded(openings.fused(audits, ["surface_id"], "observation_id"), "width", "lower", "upper", decimals=5)
+
+
+@query()
+def i7_opening_clusters(spark, sf_dir):
+    rows = view(spark, sf_dir, "observations").select("surface_id", "damage_class", F.col("observation_id").alias("ord"), (F.col("u") / 40).alias("x"), F.col("v").alias("z"))
+    return openings.clusters(rows, ["surface_id", "damage_class"]).select("surface_id", "damage_class", "ord", "cluster")
+
+
+# ---- damage, rules --------------------------------------------------------------------------------------------------
+
+
+def _damage(spark, sf_dir):
+    return view(spark, sf_dir, "observations").selectExpr(
+        "capture_id", "surface_id", "observation_id AS ord", "observation_id", "damage_class", "confidence", "u / 40 AS x", "v AS y", "0D AS z", "angle", "0.2D + width AS area", "width AS lower", "width + 0.4D AS upper",
+        "CASE observation_id % 4 WHEN 0 THEN 'ACCEPTED' WHEN 1 THEN 'PROVISIONAL' WHEN 2 THEN 'NOT_EVALUABLE' ELSE 'UNCERTAIN' END AS status",
+    )
+
+
+@query()
+def i8_damage_clusters(spark, sf_dir):
+    found = damage.clusters(_damage(spark, sf_dir))
+    return damage.fused(found, ["capture_id", "surface_id", "cluster"])
+
+
+@query("""WITH o AS (SELECT surface_id, observation_id, damage_class, confidence, u / 40 AS x, v AS y, angle, 0.2 + width AS area, observation_id % 4 AS s FROM observations), v AS (SELECT surface_id, damage_class, round(sum(confidence), 9) AS c, min(observation_id) AS f FROM o GROUP BY 1, 2),
+w AS (SELECT surface_id, damage_class FROM v QUALIFY row_number() OVER (PARTITION BY surface_id ORDER BY c DESC, f) = 1)
+SELECT surface_id, w.damage_class, count(*) AS n_observations, round(avg(confidence), 3) AS confidence, round(sum(x * confidence) / sum(confidence), 4) AS x, round(sum(y * confidence) / sum(confidence), 4) AS y, arg_min(observation_id, (angle, observation_id)) AS best_observation, round(avg(area), 3) AS area, round(stddev_pop(area), 4) AS spread,
+  CASE WHEN count(*) FILTER (s = 0) > 0 THEN 'ACCEPTED' WHEN count(*) FILTER (s = 2) = count(*) THEN 'NOT_EVALUABLE' WHEN count(*) FILTER (s = 1) > 0 THEN 'PROVISIONAL' ELSE 'UNCERTAIN' END AS status FROM o JOIN w USING (surface_id) GROUP BY ALL""", "observations")
+def a14_fused_damage(spark, sf_dir):
+    return damage.fused(_damage(spark, sf_dir), ["surface_id"]).select("surface_id", "damage_class", "n_observations", "confidence", "x", "y", "best_observation", "area", "spread", "status")
+
+
+@query("""WITH r AS (SELECT observation_id, angle, observation_id % 5 AS n_points, observation_id % 7 = 0 AS clipped, (observation_id % 10) / 100.0 AS plane_rmse FROM observations),
+s AS (SELECT *, greatest(0.08, least(0.85, 0.08 + 0.15 * (1 / greatest(0.2, cos(radians(angle))) - 1) + CASE WHEN clipped THEN 0.35 ELSE 0.0 END + least(0.25, 5 * plane_rmse))) AS u FROM r)
+SELECT observation_id, round(CASE WHEN n_points < 3 OR angle > 75 THEN 1.0 ELSE u END, 6) AS uncertainty, CASE WHEN n_points < 3 OR angle > 75 THEN 'NOT_EVALUABLE' WHEN clipped OR angle > 60 OR u > 0.35 THEN 'PROVISIONAL' ELSE 'ACCEPTED' END AS status FROM s""", "observations")
+def p21_extent_status(spark, sf_dir):
+    rows = view(spark, sf_dir, "observations").selectExpr("observation_id", "angle", "observation_id % 5 AS n_points", "observation_id % 7 = 0 AS clipped", "(observation_id % 10) / 100D AS plane_rmse", "true AS metric")
+    return rounded(damage.extent_status(rows).select("observation_id", "uncertainty", "status"), "uncertainty")
+
+
+@query("""WITH m AS (SELECT surface_id, var_pop(u) AS a, var_pop(v) AS c, covar_pop(u, v) AS b FROM observations GROUP BY 1), t AS (SELECT surface_id, 0.5 * atan2(2 * b, a - c) AS t FROM m)
+SELECT surface_id, round(max(u * cos(t) + v * sin(t)) - min(u * cos(t) + v * sin(t)), 4) AS length, count(*) AS n_points FROM observations JOIN t USING (surface_id) GROUP BY 1""", "observations")
+def a17_linear_extents(spark, sf_dir):
+    return rounded(damage.linear_extents(view(spark, sf_dir, "observations"), "surface_id"), "length", decimals=4)
+
+
+@query()
+def a16_area_extents(spark, sf_dir):
+    return rounded(damage.area_extents(view(spark, sf_dir, "observations"), "surface_id"), "area", decimals=4)
+
+
+_REGION = "SELECT observation_id AS damage_id, CASE observation_id % 6 WHEN 0 THEN 'water_stain' WHEN 1 THEN 'mold' WHEN 2 THEN 'crack_structural' WHEN 3 THEN 'burn_or_char' WHEN 4 THEN 'hole_or_missing_material' ELSE 'surface_peeling' END AS damage_class, CASE observation_id % 4 WHEN 0 THEN 'wall' WHEN 1 THEN 'ceiling' WHEN 2 THEN 'floor' ELSE 'wall' END AS surface_type, (observation_id % 50) / 100.0 AS extent"
+
+
+def _regions(spark, sf_dir):
+    rows = view(spark, sf_dir, "observations")
+    return rows.selectExpr(
+        "observation_id AS damage_id", "CASE observation_id % 6 WHEN 0 THEN 'water_stain' WHEN 1 THEN 'mold' WHEN 2 THEN 'crack_structural' WHEN 3 THEN 'burn_or_char' WHEN 4 THEN 'hole_or_missing_material' ELSE 'surface_peeling' END AS damage_class",
+        "CASE observation_id % 4 WHEN 0 THEN 'wall' WHEN 1 THEN 'ceiling' WHEN 2 THEN 'floor' ELSE 'wall' END AS surface_type", "(observation_id % 50) / 100D AS extent",
+        "CASE WHEN observation_id % 3 > 0 THEN (observation_id % 50) / 100D END AS area", "1.5D AS length", "CASE WHEN observation_id % 5 > 0 THEN 'ACCEPTED' ELSE 'UNCERTAIN' END AS status",
+    )
+
+
+@query(f"""WITH d AS ({_REGION} FROM observations), r(rule_id, damage_class, surface_type, least_extent) AS (VALUES
+('RULE_WATER_STAIN_WALL_CAVITY', 'water_stain', 'wall', 0.01), ('RULE_WATER_STAIN_CEILING_PLENUM', 'water_stain', 'ceiling', 0.01), ('RULE_MOLD_DISCOLORATION_SAMPLING', 'mold', 'wall', 0.005), ('RULE_MOLD_DISCOLORATION_SAMPLING', 'mold', 'ceiling', 0.005), ('RULE_MOLD_DISCOLORATION_SAMPLING', 'mold', 'floor', 0.005),
+('RULE_CRACK_STRUCTURAL_SHEAR', 'crack_structural', 'wall', 0.25), ('RULE_BURN_CHAR_FRAMING', 'burn_or_char', 'wall', 0.05), ('RULE_BURN_CHAR_FRAMING', 'burn_or_char', 'ceiling', 0.05), ('RULE_HOLE_CAVITY_EXPOSURE', 'hole_or_missing_material', 'wall', 0.02), ('RULE_HOLE_CAVITY_EXPOSURE', 'hole_or_missing_material', 'ceiling', 0.02))
+SELECT damage_id, rule_id, printf('Observed %s on %s (%s) spanning %.2f m²', damage_class, surface_type, CAST(damage_id AS VARCHAR), extent) AS evidence FROM d JOIN r USING (damage_class, surface_type) WHERE extent >= least_extent""", "observations")
+def j18_rule_flags(spark, sf_dir):
+    return rules.flags(_regions(spark, sf_dir), rules.rule_table(spark)).select("damage_id", "rule_id", "evidence")
+
+
+@query(f"""WITH d AS ({_REGION}, CASE WHEN observation_id % 3 > 0 THEN (observation_id % 50) / 100.0 END AS area, observation_id % 5 > 0 AS sure FROM observations),
+i AS (SELECT *, unnest(CASE WHEN damage_class IN ('mold', 'burn_or_char') THEN ['01_diag', '02_contain', '03_remed', '04_finish'] ELSE ['01_diag', '03_remed', '04_finish'] END) AS step FROM d)
+SELECT CAST(damage_id AS VARCHAR) || '_item_' || step AS line_item_id, damage_id, CASE WHEN step < '03' THEN 1.0 WHEN sure THEN coalesce(area, 1.5) END AS quantity, CASE WHEN step = '01_diag' THEN 'inspection' WHEN step = '02_contain' THEN 'setup' WHEN sure AND area IS NOT NULL THEN 'm2' WHEN sure THEN 'linear_m' ELSE 'count' END AS unit FROM i""", "observations")
+def r3_repair_scope(spark, sf_dir):
+    return rules.scope(_regions(spark, sf_dir)).select("line_item_id", "damage_id", "quantity", "unit")
+
+
+_PROMPTS = sorted(labels.TAXONOMY)
+
+
+@query("WITH t(prompt, text, damage_class) AS (VALUES " + ", ".join(f"({i}, '{p}', '{labels.TAXONOMY[p]}')" for i, p in enumerate(_PROMPTS)) + """)
+SELECT detection_id, coalesce(damage_class, 'other_visible_damage') AS damage_class, x1 <= 6 OR y1 <= 6 OR x2 >= 634 OR y2 >= 474 AS clipped FROM detections LEFT JOIN t USING (prompt)""", "detections")
+def r5_detection_classes(spark, sf_dir):
+    prompts = F.array(*map(F.lit, [*_PROMPTS, "unknown thing"]))
+    clipped = labels.clipped_at_border(*[F.col(c) for c in ("x1", "y1", "x2", "y2")], F.lit(640), F.lit(480))
+    return view(spark, sf_dir, "detections").select("detection_id", labels.damage_class(F.get(prompts, F.col("prompt").cast("int"))).alias("damage_class"), clipped.alias("clipped"))
+
+
+# ---- scale, graphs --------------------------------------------------------------------------------------------------
+
+
+@query("""WITH r AS (SELECT capture_id, CASE WHEN observation_id % 5 = 0 THEN 9.0 ELSE 1.8 END + (observation_id % 10) / 100.0 AS ratio FROM observations), m AS (SELECT capture_id, median(ratio) AS m, count(*) AS n FROM r GROUP BY 1),
+d AS (SELECT capture_id, greatest(1e-5, 1.4826 * median(abs(ratio - m))) AS mad FROM r JOIN m USING (capture_id) GROUP BY 1), k AS (SELECT r.capture_id, median(ratio) AS s, count(*) AS inliers FROM r JOIN m USING (capture_id) JOIN d USING (capture_id) WHERE abs(ratio - m) <= 2.5 * mad GROUP BY 1)
+SELECT capture_id, round(CASE WHEN n < 15 THEN 1.0 ELSE s END, 6) AS scale, n, coalesce(inliers, 0) AS inliers, round(CASE WHEN n >= 15 THEN inliers / n END, 6) AS inlier_share FROM m LEFT JOIN k USING (capture_id)""", "observations")
+def a15_robust_scale(spark, sf_dir):
+    ratios = view(spark, sf_dir, "observations").selectExpr("capture_id", "CASE WHEN observation_id % 5 = 0 THEN 9D ELSE 1.8D END + (observation_id % 10) / 100D AS ratio")
+    return rounded(scale.robust_scale(ratios, ["capture_id"]).select("capture_id", "scale", "n", "inliers", "inlier_share"), "scale", "inlier_share")
+
+
+_VERIFIED = "WITH RECURSIVE v AS (SELECT a, b, inliers FROM pairs WHERE inliers >= 15 AND config IN (2, 3, 4, 6) AND a <> b AND pair % 40 < 3)"
+
+
+def _verified(spark, sf_dir):
+    return graph.verified(view(spark, sf_dir, "pairs")).filter("pair % 40 < 3")
+
+
+@query("""WITH e AS (SELECT a AS node, b AS other, inliers FROM pairs WHERE inliers >= 15 AND config IN (2, 3, 4, 6) AND a <> b UNION ALL SELECT b, a, inliers FROM pairs WHERE inliers >= 15 AND config IN (2, 3, 4, 6) AND a <> b)
+SELECT node, count(*) AS pairs, sum(inliers)::BIGINT AS inliers, count(DISTINCT other) AS degree FROM e GROUP BY node""", "pairs")
+def a26_match_statistics(spark, sf_dir):
+    return graph.node_degrees(graph.verified(view(spark, sf_dir, "pairs")))
+
+
+@query()
+def i2_match_components(spark, sf_dir):
+    return graph.component_sizes(graph.components(graph.verified(view(spark, sf_dir, "pairs"))))
+
+
+@query("""SELECT pair, CASE WHEN (p - b) / 2147483647 > 0 AND b > 0 THEN CAST((p - b) / 2147483647 AS BIGINT) ELSE 0 END AS a, CASE WHEN (p - b) / 2147483647 > 0 AND b > 0 THEN b ELSE 0 END AS b FROM (SELECT pair, p, p % 2147483647 AS b FROM (SELECT pair, a * 2147483647 + b AS p FROM pairs))""", "pairs")
+def f27_pair_ids(spark, sf_dir):
+    ids = view(spark, sf_dir, "pairs").select("pair", (F.col("a") * 2147483647 + F.col("b")).alias("p"))
+    return ids.select("pair", labels.image_pair(F.col("p")).alias("i")).select("pair", "i.*")
+
+
+@query()
+def a10_monte_carlo(spark, sf_dir):
+    table = _rectangles(spark, sf_dir).withColumn("sigma", F.array(*map(F.lit, (0.03, 0.02, 0.04, 0.025))))
+    return measure.monte_carlo(table, "room_id", 200)
+
+
+@query("""SELECT room_id, CASE WHEN room_id % 17 = 0 THEN 'INVALID' WHEN w < 2.5 OR room_id % 3 = 0 OR (room_id % 10) / 100.0 > 0.05 OR 0.6 + (room_id % 5) / 10.0 < 0.7 THEN 'PROVISIONAL' ELSE 'VALID' END AS validity FROM rooms""", "rooms")
+def p6_measurement_validity(spark, sf_dir):
+    rows = view(spark, sf_dir, "rooms").selectExpr(
+        "room_id", "4 AS n_vertices", "CASE WHEN room_id % 17 = 0 THEN array('self_intersecting') ELSE array('short') END AS polygon_errors", "CASE WHEN w < 2.5 THEN 0.3D ELSE w END AS shortest_edge", "CAST(room_id % 3 = 0 AS INT) AS inferred_corners",
+        "(room_id % 10) / 100D AS largest_extension", "0.6D + (room_id % 5) / 10D AS support", "0.01D AS largest_rmse", "0 AS multi_edge_walls",
+    )
+    return measure.validity(rows).select("room_id", "validity")
