@@ -119,9 +119,12 @@ def byte_values(data: np.ndarray) -> np.ndarray:
     return _WORD_TABLE[data]
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
 def lower_ascii(data: np.ndarray) -> np.ndarray:
-    upper = (data >= 65) & (data <= 90)
-    return np.where(upper, data + 32, data).astype(np.uint8)
+    return _LOWER[data]
 
 
 def owners(starts: np.ndarray) -> np.ndarray:
