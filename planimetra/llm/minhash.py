@@ -32,7 +32,7 @@ HALF_ROWS = 2
 LEAST_EQUAL = 23
 #: Rows of a block: of shingle sets (up to kilobytes each), and of bucket rows (40 bytes each).
 BLOCK = 128
-BUCKET_BLOCK = 1024
+BUCKET_BLOCK = 384
 
 _U = np.uint64
 _HASHES = 2 * HALF_BANDS * HALF_ROWS
@@ -87,9 +87,9 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _labels(linked: np.ndarray) -> np.ndarray:
     """Least index that each row can reach in a symmetric matrix."""
-    label = np.arange(len(linked))
+    label = np.arange(len(linked), dtype=np.int32)
     while True:
-        near = np.where(linked, label[None, :], len(linked)).min(axis=1)
+        near = np.where(linked, label[None, :], np.int32(len(linked))).min(axis=1)
         new = np.minimum(label, near)
         new = new[new]
         if (new == label).all():

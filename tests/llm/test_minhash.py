@@ -83,3 +83,21 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 100 + i) for i in range(1, 60)] + [(7, 7)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {**{i: 0 for i in range(51)}, **{100 + i: 100 for i in range(60)}}
+
+
+def test_components_of_random_graphs(spark):
+    rng = random.Random(9)
+    edges = [(rng.randrange(3000), rng.randrange(3000)) for _ in range(1700)]
+    lead = list(range(3000))
+
+    def root(x):
+        while lead[x] != x:
+            x = lead[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((root(a), root(b)))
+        lead[y] = x
+    nodes = {x for e in edges if e[0] != e[1] for x in e}
+    got = components(spark.createDataFrame(edges, "a long, b long").repartition(13)).collect()
+    assert len(got) == len(nodes) and dict(map(tuple, got)) == {x: root(x) for x in nodes}
