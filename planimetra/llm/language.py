@@ -21,8 +21,8 @@ from planimetra.llm.tables import small_batches
 LENGTHS = (1, 2, 3, 4)
 BUCKETS = 1 << 15
 #: The classifier is fitted on this many labelled texts of each language at most, least hash first.
-SAMPLE_PER_LANGUAGE = 300
-LANDMARKS_PER_LANGUAGE = 40
+SAMPLE_PER_LANGUAGE = 200
+LANDMARKS_PER_LANGUAGE = 30
 RIDGE = 0.1
 UNDETERMINED = "und"
 _ROWS = 64
@@ -62,7 +62,7 @@ def fit(texts: list[str], languages: list[str]) -> tuple[list[str], np.ndarray]:
     value, vector = np.linalg.eigh((landmarks @ landmarks.T).astype(np.float64))
     sound = value > 1e-6 * value.max()
     root = vector[:, sound] / np.sqrt(value[sound])
-    basis = np.concatenate([(x[a : a + 256].astype(np.float32) @ landmarks.T) / norm[a : a + 256, None] for a in range(0, len(x), 256)]) @ root
+    basis = np.concatenate([(x[a : a + _ROWS].astype(np.float32) @ landmarks.T) / norm[a : a + _ROWS, None] for a in range(0, len(x), _ROWS)]) @ root
     target = np.where(label[:, None] == np.arange(len(names)), 1.0, -1.0)
     # each language weighs the same, however many texts it has
     weight = (1 / np.bincount(label, minlength=len(names)))[label][:, None]
