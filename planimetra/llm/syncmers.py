@@ -149,5 +149,5 @@ def fingerprint_documents(documents: DataFrame, parts: int | None = None) -> Dat
     is_head = F.coalesce(*[F.when((F.col("part") == p) & (F.col("doc_id") == d), F.lit(before[p])) for p, d in heads.items()], F.lit(None).cast("int")) if heads else F.lit(None).cast("int")
     guests = dealt.withColumn("part", is_head).filter("part is not null").groupBy("doc_id", "part").agg(F.min(F.struct(order[0].alias("h"), order[1].alias("text"))).alias("t"))
     both = dealt.select("part", "doc_id", "text", F.lit(False).alias("guest")).unionByName(guests.select("part", "doc_id", "t.text", F.lit(True).alias("guest")))
-    ordered = both.repartition(parts, "part").sortWithinPartitions("part", "guest", F.desc("doc_id"), *order)
+    ordered = both.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "guest", F.desc("doc_id"), *order)
     return ordered.mapInArrow(_neighbours, _RESULT).withColumn("doc_id", public_id())
