@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from planimetra.functions import labels, plan, uncertainty, vectors
-from planimetra.operators import damage, evaluate, graph, measure, openings, points, rooms, rules, scale, structure, trajectory
+from planimetra.operators import damage, evaluate, graph, imaging, measure, openings, points, rooms, rules, scale, structure, trajectory
 from planimetra.plans.bindings import sql, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -657,3 +657,125 @@ def p6_measurement_validity(spark, sf_dir):
         "(room_id % 10) / 100D AS largest_extension", "0.6D + (room_id % 5) / 10D AS support", "0.01D AS largest_rmse", "0 AS multi_edge_walls",
     )
     return measure.validity(rows).select("room_id", "validity")
+
+
+# ---- imaging --------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH g AS (SELECT event_id % 50 AS capture, event_id // 50 % 10 AS u, event_id // 500 AS v, 1.0 + (event_id * 7 % 13) / 10.0 AS depth FROM poses),
+s AS (SELECT *, coalesce(lag(depth) OVER (PARTITION BY capture, v ORDER BY u), depth) AS l, coalesce(lead(depth) OVER (PARTITION BY capture, v ORDER BY u), depth) AS r FROM g), t AS (SELECT *, r - l AS dx, l + 2 * depth + r AS sx FROM s),
+w AS (SELECT *, coalesce(lag(dx) OVER c, dx) + 2 * dx + coalesce(lead(dx) OVER c, dx) AS gx, coalesce(lead(sx) OVER c, sx) - coalesce(lag(sx) OVER c, sx) AS gy FROM t WINDOW c AS (PARTITION BY capture, u ORDER BY v))
+SELECT capture, u, v, depth BETWEEN 0.2 AND 8.0 AND sqrt(gx * gx + gy * gy) / 8 / depth < 0.2 AS sound FROM w""", "poses")
+def p12_depth_quality(spark, sf_dir):
+    pixels = view(spark, sf_dir, "poses").selectExpr("event_id % 50 AS capture", "event_id div 50 % 10 AS u", "event_id div 500 AS v", "1D + (event_id * 7 % 13) / 10D AS depth")
+    return imaging.depth_quality(pixels, ["capture"]).select("capture", "u", "v", "sound")
+
+
+@query("""WITH v AS (SELECT trajectory_id, ts_s, event_id % 3 = 0 AS registered FROM poses), t AS (SELECT trajectory_id, count(*) AS keyframes, max(ts_s) - min(ts_s) AS duration FROM v GROUP BY 1),
+g AS (SELECT trajectory_id, ts_s, ts_s - lag(ts_s) OVER (PARTITION BY trajectory_id ORDER BY ts_s) AS gap FROM v WHERE registered), s AS (SELECT trajectory_id, count(*) AS registered, max(ts_s) - min(ts_s) AS span, max(gap) AS largest FROM g GROUP BY 1)
+SELECT trajectory_id, keyframes, coalesce(registered, 0) AS registered, round(coalesce(registered, 0) / keyframes, 6) AS ratio, round(coalesce(span / nullif(duration, 0), 0), 6) AS coverage,
+  coalesce(registered, 0) >= 20 AND coalesce(registered, 0) / keyframes >= 0.3 AND coalesce(span / nullif(duration, 0), 0) >= 0.3 AND NOT coalesce(largest > greatest(15.0, 0.2 * duration), false) AS accepted FROM t LEFT JOIN s USING (trajectory_id)""", "poses")
+def p14_registration_gate(spark, sf_dir):
+    views = view(spark, sf_dir, "poses").withColumn("registered", F.col("event_id") % 3 == 0)
+    window = Window.partitionBy("trajectory_id")
+    views = views.withColumn("duration", F.max("ts_s").over(window) - F.min("ts_s").over(window))
+    return rounded(imaging.registration_gate(views, ["trajectory_id"]).select("trajectory_id", "keyframes", "registered", "ratio", "coverage", "accepted"), "ratio", "coverage")
+
+
+@query(_NUMBERED + """, s AS (SELECT trajectory_id, frame, sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2) + power(z - lag(z) OVER w, 2)) AS step, (event_id % 30) / 10.0 AS error FROM n WINDOW w AS (PARTITION BY trajectory_id ORDER BY frame)),
+m AS (SELECT trajectory_id, median(step) AS m FROM s GROUP BY 1), a AS (SELECT trajectory_id, count(*) AS registered, avg(error) AS error, count(*) FILTER (step > 5 * m) AS jumps FROM s JOIN m USING (trajectory_id) GROUP BY 1)
+SELECT trajectory_id, registered, round(error, 6) AS error, jumps, CASE WHEN error <= 1.5 AND jumps = 0 THEN 'GOOD' WHEN registered >= 3 AND error <= 2.0 THEN 'PROVISIONAL' ELSE 'FAILED' END AS status FROM a""", "poses")
+def p15_sfm_status(spark, sf_dir):
+    poses = _poses(spark, sf_dir).withColumns({"ord": F.col("frame"), "error": (F.col("event_id") % 30) / 10.0, "total": F.count(F.lit(1)).over(Window.partitionBy("trajectory_id"))})
+    return rounded(imaging.sfm_status(poses, ["trajectory_id"]).select("trajectory_id", "registered", "error", "jumps", "status"), "error")
+
+
+@query(_NUMBERED + """, p AS (SELECT trajectory_id, frame, lead(frame) OVER (PARTITION BY trajectory_id ORDER BY frame) AS other FROM n) SELECT trajectory_id, frame, other, frame % 4 > 0 AS linked FROM p WHERE other IS NOT NULL""", "poses")
+def w10_consecutive_links(spark, sf_dir):
+    frames = _poses(spark, sf_dir)
+    linked = frames.filter(F.col("frame") % 4 > 0).select("trajectory_id", "frame", (F.col("frame") + 1).alias("other"))
+    return imaging.consecutive_links(frames, linked, "trajectory_id")
+
+
+@query("""WITH m AS (SELECT trajectory_id, median(x) * 0.01 AS x, median(1.0 + y) AS y, median(z) * 0.01 AS z FROM poses GROUP BY 1), u AS (SELECT trajectory_id, x / sqrt(x * x + y * y + z * z) AS x, y / sqrt(x * x + y * y + z * z) AS y, z / sqrt(x * x + y * y + z * z) AS z FROM m)
+SELECT trajectory_id, round(1 - x * x / (1 + y), 6) AS r00, round(-x, 6) + 0.0 AS r01, round(y, 6) AS r11, round(1 - z * z / (1 + y), 6) AS r22 FROM u""", "poses")
+def f25_upright(spark, sf_dir):
+    cameras = view(spark, sf_dir, "poses").selectExpr("trajectory_id", "x * 0.01D AS ux", "1D + y AS uy", "z * 0.01D AS uz")
+    table = imaging.upright(cameras, ["trajectory_id"]).selectExpr("trajectory_id", "rotation[0] AS r00", "rotation[1] AS r01", "rotation[4] AS r11", "rotation[8] AS r22")
+    return rounded(table, "r00", "r01", "r11", "r22")
+
+
+@query()
+def i12_normals(spark, sf_dir):
+    return imaging.normals(view(spark, sf_dir, "points"), "point_id", 1.5, 12)
+
+
+@query()
+def i6_merged_lines(spark, sf_dir):
+    lines = structure.in_plan(view(spark, sf_dir, "walls")).selectExpr("capture_id", "wall_id", "line.a", "line.b", "line.c", "-span AS start", "span AS end", "inliers")
+    return imaging.merged_lines(lines, "capture_id")
+
+
+@query()
+def i1_wall_cycles(spark, sf_dir):
+    found = structure.corners(_segments(spark, sf_dir), ["capture_id"], longest=5.0, farthest=5.0).filter("accepted")
+    sides = [found.select("capture_id", "corner", F.col(f"wall_{s}").alias("wall_id"), (F.col("x") + 2 * F.col("z")).alias("s")) for s in "ab"]
+    edges = structure.connections(found, ["capture_id"], sides[0].unionByName(sides[1]))
+    return graph.cycles(edges.select("capture_id", F.col("source").cast("int").alias("source"), F.col("target").cast("int").alias("target"), "wall_id"), "capture_id", 6)
+
+
+@query("""WITH m AS (SELECT wall_id, capture_id, a, b, c, d FROM walls), o AS (SELECT observation_id AS mask_id, (observation_id % 5) * 1.0 AS x, capture_id % 25 AS capture_id FROM observations WHERE observation_id < 500),
+r AS (SELECT *, unnest([-0.2, 0.0, 0.2]) AS dx FROM o), h AS (SELECT mask_id, wall_id, (a * dx + c) / sqrt(dx * dx + 1.0) AS along, -(a * x + b * 1.5 + d) AS top FROM r JOIN m USING (capture_id)),
+k AS (SELECT mask_id, wall_id AS plane_id, count(*) FILTER (abs(along) >= 0.08 AND top / along > 0.1 AND top / along <= 8) AS hits, count(*) AS rays FROM h GROUP BY 1, 2),
+b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY mask_id ORDER BY hits DESC, plane_id) = 1) SELECT * FROM b WHERE hits > 0 AND hits >= 0.5 * rays""", "walls", "observations")
+def j6_host_planes(spark, sf_dir):
+    masks = view(spark, sf_dir, "observations").filter("observation_id < 500").selectExpr("observation_id AS mask_id", "CAST(capture_id % 25 AS INT) AS capture_id", "(observation_id % 5) * 1D AS ox", "1.5D AS oy", "0D AS oz", "explode(array(-0.2D, 0D, 0.2D)) AS dx", "0D AS dy", "1D AS dz")
+    planes = view(spark, sf_dir, "walls").selectExpr("capture_id", "wall_id AS plane_id", "wall_id AS ord", "a", "b", "c", "d")
+    return damage.host_planes(masks, planes)
+
+
+@query("""SELECT * FROM (SELECT capture_id, wall_id, point_id, round(abs(walls.a * x + walls.b * y + walls.c * z + walls.d * 0.1), 6) AS plane_distance FROM points JOIN walls ON view_id = capture_id) WHERE plane_distance < 0.4""", "points", "walls")
+def j4_points_in_slabs(spark, sf_dir):
+    walls = view(spark, sf_dir, "walls").selectExpr("wall_id", "capture_id", "a", "b", "c", "d * 0.1D AS d", *[f"{v} AS {c}_{n}" for c in "xyz" for n, v in (("min", "-1e9D"), ("max", "1e9D"))])
+    found = points.near_planes(view(spark, sf_dir, "points"), walls, 0.4)
+    joined = found.join(walls.select("wall_id", "capture_id"), "wall_id").filter(F.col("view_id") == F.col("capture_id"))
+    return rounded(joined.select("capture_id", "wall_id", "point_id", "plane_distance"), "plane_distance")
+
+
+@query("""WITH a AS (SELECT room_id, w * h AS area FROM rooms WHERE room_id % 3 > 0), b AS (SELECT room_id, w * h + CASE WHEN room_id % 5 = 0 THEN 0.05 ELSE 0.0 END AS area FROM rooms WHERE room_id % 3 > 0)
+SELECT room_id, CASE WHEN a.area = b.area THEN 'EXACT' WHEN abs(a.area - b.area) < 0.1 THEN 'EQUIVALENT' ELSE 'DIFFERENT' END AS verdict FROM a JOIN b USING (room_id)""", "rooms")
+def j22_document_difference(spark, sf_dir):
+    table = view(spark, sf_dir, "rooms").filter("room_id % 3 > 0")
+    one, two = table.selectExpr("room_id", "w * h AS area"), table.selectExpr("room_id", "w * h + CASE WHEN room_id % 5 = 0 THEN 0.05D ELSE 0D END AS area")
+    return evaluate.document_difference(one, two).select("room_id", "verdict")
+
+
+@query("""SELECT 2 AS run, round(max(CASE WHEN room_id % 7 = 0 THEN 0.001 ELSE 0.0 END), 6) AS largest, false AS agrees FROM rooms UNION ALL SELECT 3, 0.0, true""", "rooms")
+def j23_determinism(spark, sf_dir):
+    table = view(spark, sf_dir, "rooms")
+    runs = [table.selectExpr(f"{r} AS run", "room_id", f"w * h + CASE WHEN {r} = 2 AND room_id % 7 = 0 THEN 0.001D ELSE 0D END AS value") for r in (1, 2, 3)]
+    return rounded(evaluate.determinism(runs[0].unionByName(runs[1]).unionByName(runs[2]), ["room_id"]), "largest")
+
+
+@query("""SELECT opening_id, CASE WHEN (40 + opening_id % 600) * 200.0 > 0.65 * 640 * 480 THEN 'fills_frame' WHEN opening_id % 2 = 0 AND 40 + opening_id % 600 > 300 THEN 'door_too_wide' WHEN opening_id % 5 = 0 AND opening_id % 3 > 0 THEN 'no_jamb_seen' END AS reason FROM openings""", "openings")
+def p19_opening_sanity(spark, sf_dir):
+    rows = view(spark, sf_dir, "openings").selectExpr(
+        "opening_id", "0D AS x1", "0D AS y1", "40D + opening_id % 600 AS x2", "200D AS y2", "640 AS width", "480 AS height", "CASE WHEN opening_id % 2 = 0 THEN 'door' ELSE 'window' END AS label", "opening_id % 5 = 0 AS left_clipped", "opening_id % 5 = 0 AS right_clipped", "opening_id % 3 = 0 AS depth_step",
+    )
+    return openings.sane(rows).select("opening_id", "reason")
+
+
+@query("""SELECT room_id, 'nope' AS reason FROM rooms WHERE false""", "rooms")
+def f23_moved_rooms(spark, sf_dir):
+    """Rooms whose transform is refused: none of these rotations."""
+    table = _rectangles(spark, sf_dir).select("room_id", "vertices")
+    cos, sin = F.cos(F.col("room_id") * 0.1), F.sin(F.col("room_id") * 0.1)
+    zero, one = F.lit(0.0), F.lit(1.0)
+    moves = table.select("room_id", F.array(cos, zero, sin, one, zero, one, zero, zero, -sin, zero, cos, one, zero, zero, zero, one).alias("matrix"))
+    return rooms.moved_rooms(table, moves).filter("reason is not null").select("room_id", "reason")
+
+
+@query("""SELECT image_id, CASE WHEN mean < 20 OR mean > 240 OR contrast < 12 OR laplacian < 5 THEN 'REJECTED' WHEN laplacian < 15 THEN 'PROVISIONAL' ELSE 'USABLE' END AS status FROM (SELECT observation_id AS image_id, observation_id % 256 AS mean, observation_id % 60 AS contrast, observation_id % 100 AS laplacian FROM observations)""", "observations")
+def p9_image_gate(spark, sf_dir):
+    rows = view(spark, sf_dir, "observations").selectExpr("observation_id AS image_id", "640 AS width", "480 AS height", "observation_id % 256 AS mean", "observation_id % 60 AS contrast", "observation_id % 100 AS laplacian")
+    return damage.image_gate(rows).select("image_id", "status")
