@@ -38,6 +38,8 @@ BOILERPLATE_NAMES = frozenset(
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search share sharing social "
     "comment comments reply replies discussion disqus respond related recommended recommendations breadcrumb breadcrumbs pagination pager widget widgets toolbar copyright legal disclaimer".split()
 )
+#: Inside an article these name its own title.
+PART_OF_ARTICLE = frozenset(("header", "masthead"))
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 CONTENT_NAMES = frozenset("article content main post entry story body text prose markdown".split())
 NAME_WEIGHT, CONTENT_NAME_WEIGHT = -8.0, 1.5
@@ -67,6 +69,8 @@ def _prior(tag: str, attributes: str, article: bool) -> float:
     weight += CONTENT_TAGS.get(tag, 0.0)
     if tag in ("body", "html") or "=" not in attributes and "hidden" not in attributes:
         return weight
+    if "display:none" in attributes.replace(" ", "").lower():
+        weight += NAME_WEIGHT
     for name, a, b, c in _NAMES.findall(attributes):
         name, value = name.lower(), a or b or c
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
@@ -75,7 +79,7 @@ def _prior(tag: str, attributes: str, article: bool) -> float:
             weight += NAME_WEIGHT if value.lower() in BOILERPLATE_ROLES else CONTENT_TAGS["main"] if value.lower() in ("main", "article") else 0
         else:
             parts = {p.lower() for p in _PARTS.findall(value)}
-            if parts & BOILERPLATE_NAMES:
+            if parts & (BOILERPLATE_NAMES - PART_OF_ARTICLE if article else BOILERPLATE_NAMES):
                 weight += NAME_WEIGHT
             elif parts & CONTENT_NAMES:
                 weight += CONTENT_NAME_WEIGHT

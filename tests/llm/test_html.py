@@ -26,6 +26,11 @@ def test_pages_without_article():
     assert [len(x) > 60 for x in html.main_text(page).split("\n")] == [False, True, False, True]
 
 
+def test_names_inside_articles():
+    page = '<article><div class="entry-header"><h1>Title here</h1></div><p>One long text, as they say.</p><div style="display: none">Hidden words. Many of them.</div><div id="comments"><p>A reader writes a long text here. Indeed.</p></div></article>'
+    assert html.main_text(page) == "Title here\nOne long text, as they say."
+
+
 def test_awkward_pages():
     assert [html.main_text(p) for p in ("", " ", "<", "<p", "<!-- x", "<script>x")] [:2] == ["", ""]
     assert html.main_text("<article><p>a < b and c > d, said one. " + "x " * 50000 + "</article>").startswith("a < b and c > d")
