@@ -53,7 +53,7 @@ def byte_values(data, starts):
     return arrays.byte_values(data), starts
 
 
-def contexts_of(values: np.ndarray, first: np.ndarray, window: int, gram: int):
+def contexts_of(values: np.ndarray, first: np.ndarray, window: int, gram: int, most: int = (1 << _POSITION_BITS) - 1):
     """Owner text, anchor hash, context hash, start within the text, and number of windows of each context."""
     empty = np.zeros(0, np.int64)
     if len(values) < window:
@@ -61,14 +61,11 @@ def contexts_of(values: np.ndarray, first: np.ndarray, window: int, gram: int):
     hashes = arrays.RangeHash(values)
     grams = hashes.grams(gram)
     low = _U((1 << _POSITION_BITS) - 1)
-    wide = len(grams) > int(low)
-    if wide:  # one text of many millions of units: rank first, so that the position fits beside the hash
-        order = np.argsort(grams, kind="stable")
+    if len(grams) > most:  # one text of many millions of units: ranks take the place of hash and position
+        order = np.argsort(grams & ~low, kind="stable")
         packed = np.empty(len(grams), _U)
         packed[order] = np.arange(len(grams), dtype=_U)
-        grams_ranked = order
-        least = grams_ranked[arrays.sliding_min(packed, window - gram + 1)]
-        # equal grams rank by position, so the leftmost of a window is taken
+        least = order[arrays.sliding_min(packed, window - gram + 1)]
     else:
         packed = (grams & ~low) | np.arange(len(grams), dtype=_U)
         least = (arrays.sliding_min(packed, window - gram + 1) & low).astype(np.int64)

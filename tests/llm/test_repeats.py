@@ -2,10 +2,11 @@ import hashlib
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from planimetra.llm import repeats, substring, suffixes
+from planimetra.llm import arrays, repeats, substring, suffixes
 from tests.llm.fixtures import awkward, documents
 
 
@@ -79,3 +80,10 @@ def test_empty_table_and_clashing_columns(spark):
 def test_texts_are_kept_whole(spark):
     rows = {r.doc_id: r for r in substring.remove_repeats(documents(spark, [(1, "a  b\tc"), (2, None)])).collect()}
     assert rows[1].kept_text == "a b c" and rows[2].kept_text == ""
+
+
+def test_very_long_texts_choose_the_same_anchors():
+    data, starts = arrays.flat_bytes(pa.array([t or "" for _, t in awkward()]))
+    for values, first, window, gram in ((*repeats.word_values(data, starts), 50, 8), (*repeats.byte_values(data, starts), 400, 48)):
+        short, long = (repeats.contexts_of(values, first, window, gram, most) for most in (1 << 20, 10))
+        assert all((a == b).all() for a, b in zip(short, long, strict=True)) and len(short[0])
