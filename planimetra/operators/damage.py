@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from planimetra.functions import shapes
 from planimetra.functions.plan import ray_hit
 from planimetra.functions.vectors import clipped
+from planimetra.operators.grouped import labelled
 
 LINEAR = ("surface_crack", "crack_structural")
 
@@ -65,19 +66,16 @@ def clusters(observations: DataFrame, radius: float = 0.35) -> DataFrame:
 
     A later observation belongs to the first seed that reaches it, so each (capture, surface) is one ordered group.
     """
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        p = pdf[["x", "y", "z"]].to_numpy(float)
-        label = np.full(len(p), -1)
-        count = 0
+    def label(p: np.ndarray) -> list[int]:
+        out, count = np.full(len(p), -1), 0
         for i in range(len(p)):
-            if label[i] < 0:
-                label[(label < 0) & (np.linalg.norm(p - p[i], axis=1) <= radius) & (np.arange(len(p)) >= i)] = count
+            if out[i] < 0:
+                out[(out < 0) & (np.linalg.norm(p - p[i], axis=1) <= radius)] = count
+                out[i] = count
                 count += 1
-        return pdf.assign(cluster=label.astype(np.int64))
+        return out.tolist()
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in observations.schema.fields)
-    return observations.groupBy("capture_id", "surface_id").applyInPandas(assign, f"{fields}, cluster long")
+    return labelled(observations, ["capture_id", "surface_id"], "ord", ["x", "y", "z"], label, "cluster")
 
 
 def fused(observations: DataFrame, keys: list[str]) -> DataFrame:

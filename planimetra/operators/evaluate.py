@@ -6,9 +6,9 @@ Missing evidence is reported as NOT_EVALUABLE with null counts, never guessed.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -113,11 +113,6 @@ def _costs(p: dict, refs: list[dict]) -> list[tuple[float, int]]:
     return sorted(out)
 
 
-def _plain(row: dict) -> dict:
-    null = lambda x: x is None or isinstance(x, float) and math.isnan(x)
-    return {k: None if not isinstance(v, (list, np.ndarray)) and null(v) else list(v) if isinstance(v, np.ndarray) else v for k, v in row.items()}
-
-
 def match_features(predictions: DataFrame, references: DataFrame) -> DataFrame:
     """Greedy matching of walls and openings in each room and type, in order of ord.
 
@@ -125,22 +120,31 @@ def match_features(predictions: DataFrame, references: DataFrame) -> DataFrame:
     the second is nearly as cheap; then it is AMBIGUOUS and takes none. A group is a room's features of a type, which is small.
     """
     schema = "room string, type string, predicted string, reference string, score double, status string"
-
-    def match(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        free = [_plain(r) for r in right.sort_values("ord").to_dict("records")]
-        out = []
-        for p in (_plain(r) for r in left.sort_values("ord").to_dict("records")):
-            costs = _costs(p, free)
-            if not costs:
-                out.append((p["entity"], None, None, "PHANTOM"))
-            elif len(costs) > 1 and costs[1][0] - costs[0][0] < AMBIGUOUS:
-                out.append((p["entity"], None, costs[0][0], "AMBIGUOUS"))
-            else:
-                out.append((p["entity"], free.pop(costs[0][1])["entity"], costs[0][0], "MATCHED"))
-        out += [(None, r["entity"], None, "MISSED") for r in free]
-        return pd.DataFrame([(*key, *row) for row in out], columns=["room", "type", "predicted", "reference", "score", "status"])
-
-    return predictions.groupBy("room", "type").cogroup(references.groupBy("room", "type")).applyInPandas(match, schema)
+    fields = ["ord", "entity", "value", "angle", "centroid", "surface"]
+    packed = lambda df, name: df.groupBy("room", "type").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(name))
+    groups = packed(predictions, "predictions").join(packed(references, "references"), ["room", "type"], "full_outer")
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for group in batch.to_pylist():
+                free = group["references"] or []
+                rows = []
+                for p in group["predictions"] or []:
+                    costs = _costs(p, free)
+                    if not costs:
+                        rows.append((p["entity"], None, None, "PHANTOM"))
+                    elif len(costs) > 1 and costs[1][0] - costs[0][0] < AMBIGUOUS:
+                        rows.append((p["entity"], None, costs[0][0], "AMBIGUOUS"))
+                    else:
+                        rows.append((p["entity"], free.pop(costs[0][1])["entity"], costs[0][0], "MATCHED"))
+                rows += [(None, r["entity"], None, "MISSED") for r in free]
+                out += [(group["room"], group["type"], *row) for row in rows]
+            kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.string())
+            names = ["room", "type", "predicted", "reference", "score", "status"]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=names)
+
+    return groups.mapInArrow(match, schema)
 
 
 def repeatability(pairs: DataFrame, keys: list[str] = ()) -> DataFrame:

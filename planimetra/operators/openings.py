@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,6 +10,7 @@ from pyspark.sql.window import Window
 from planimetra.functions.gates import first_reason, reasons
 from planimetra.functions.plan import segment_distance
 from planimetra.functions.uncertainty import NORMAL_95
+from planimetra.operators.grouped import labelled
 
 
 def sane(candidates: DataFrame) -> DataFrame:
@@ -41,10 +41,9 @@ def to_walls(openings: DataFrame, walls: DataFrame, keys: list[str], farthest: f
 def clusters(observations: DataFrame, keys: list[str], reach: float = 0.75) -> DataFrame:
     """Adds cluster: observations (ord, x, z) of a wall and class join the nearest running centre within reach, else start one."""
 
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        sums, counts, label = [], [], []
-        for p in pdf[["x", "z"]].to_numpy(float):
+    def label(places: np.ndarray) -> list[int]:
+        sums, counts, out = [], [], []
+        for p in places:
             far = [float(np.linalg.norm(s / n - p)) for s, n in zip(sums, counts)]
             k = int(np.argmin(far)) if far else -1
             if k < 0 or far[k] >= reach:
@@ -53,11 +52,10 @@ def clusters(observations: DataFrame, keys: list[str], reach: float = 0.75) -> D
                 k = len(sums) - 1
             sums[k] = sums[k] + p
             counts[k] += 1
-            label.append(k)
-        return pdf.assign(cluster=np.array(label, np.int64))
+            out.append(k)
+        return out
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in observations.schema.fields)
-    return observations.groupBy(*keys).applyInPandas(assign, f"{fields}, cluster long")
+    return labelled(observations, keys, "ord", ["x", "z"], label, "cluster")
 
 
 def with_spread(observations: DataFrame, keys: list[str]) -> DataFrame:
