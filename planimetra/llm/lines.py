@@ -25,7 +25,7 @@ _PLACE = ["doc_id", "row_key", "line"]
 
 
 def _words(line) -> F.Column:
-    return F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.array_remove(F.split(line, r"[\x20\x09-\x0D]+"), "")
 
 
 def _half(words: F.Column, extra: int) -> F.Column:
@@ -116,11 +116,11 @@ def drop_repeated_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> Dat
     same = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     rows = documents.select(*names).withColumns({"_doc": same, "_row": F.xxhash64(same, F.coalesce("text", F.lit("")))})
     joined = rows.join(gone.select(F.col("doc_id").alias("_doc"), F.col("row_key").alias("_row"), F.col("gone").alias("_gone")), ["_doc", "_row"], "left")
-    split = F.split("text", "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_gone"))
-    left = F.array_join(F.transform(stay, lambda i: F.element_at(split, i + 1)), "\n")
+    joined = joined.withColumn("_all", F.split("text", "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_all") - 1), F.col("_gone"))
+    left = F.array_join(F.transform(stay, lambda i: F.element_at("_all", i + 1)), "\n")
     return joined.select(
         *[F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left).alias("text") if c == "text" else F.col(c) for c in names],
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size("_all")).cast("long").alias("n_lines"),
         F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_removed"),
     )
