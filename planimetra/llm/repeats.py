@@ -141,11 +141,12 @@ class Repeats:
 def find(docs: DataFrame, unit: Unit, earlier: bool, hot_contexts: int = HOT_CONTEXTS) -> Repeats:
     """docs: doc_id, row_key, text. earlier: only a repeat of a smaller doc_id counts, else any other place does."""
     found = stored(occurrences(docs, unit), "contexts")
-    shared = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
+    # counts are stored before they are joined: only a join of two plain shuffles has its hot keys split at run time
+    shared = stored(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"), "shared-anchors")
     found = stored(found.join(shared, "anchor"), "shared-contexts")
     kinds = stored(found.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "row_key", "start")).alias("least")), "context-kinds")
-    several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    kinds = kinds.join(several, "anchor", "left")
+    several = stored(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), "several-kinds")
+    kinds = stored(kinds.join(several, "anchor", "left"), "counted-kinds")
     joined = found.join(kinds, ["anchor", "context"])
     if earlier:
         repeats, rest = F.col("doc_id") > F.col("least.doc_id"), F.col("doc_id") == F.col("least.doc_id")
