@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from planimetra.llm import decontamination, language, lines, minhash, mixing
 from planimetra.llm.tables import stored
 
+#: Share of common shingles, in percent, from which the near_dedup stage takes documents as near duplicates.
+NEAR = 80
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in a language, with all their columns; 'und' ones go."""
@@ -28,7 +31,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least doc_id of each group; rows that repeat its id and text leave one."""
-    return minhash.keep_first(docs)
+    return minhash.keep_first(docs, NEAR)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

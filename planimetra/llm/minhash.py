@@ -3,9 +3,9 @@
 Two small collections of half-bands, A and B, take the place of many independent tables: every pair (A[i], B[j]) is a
 table, so 10 + 10 half-bands of two values make 100 tables from 40 minhashes instead of 400. Rows are dealt by A[i];
 the pairs with B[j] are formed inside the bucket. Two documents of similarity 0.85 miss all tables with a probability
-of 2 * (1 - 0.85**2)**10, about 5 in a million.
+of 2 * (1 - 0.85**2)**10, about 5 in a million; for a lower threshold there are more half-bands, 13 + 13 for 0.8.
 
-Candidates that agree in few of the 40 values are dropped; the others form candidate groups, and only the links that
+Candidates that agree in few of the values are dropped; the others form candidate groups, and only the links that
 full shingle sets confirm count. Large buckets and groups are dealt as pairs of blocks, each in a task of its own, and
 give a forest of links, never all pairs.
 """
@@ -13,6 +13,9 @@ give a forest of links, never all pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property, partial
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -26,19 +29,49 @@ from planimetra.llm.tables import keyed, public_id, stored
 
 SHINGLE = 5
 PERCENT = 85
-HALF_BANDS = 10
 HALF_ROWS = 2
-#: Equal values among the 40 below which no candidate of similarity 0.85 is expected (22 or fewer: 2 in 100,000).
-LEAST_EQUAL = 23
+#: Probability at most that a pair at the threshold is in no table, and that it has too few equal values.
+MISSED, UNEQUAL = 6e-6, 2e-5
 #: Rows of a block: of shingle sets (up to kilobytes each), and of bucket rows (40 bytes each).
 BLOCK = 128
 BUCKET_BLOCK = 384
 
 _U = np.uint64
-_HASHES = 2 * HALF_BANDS * HALF_ROWS
-_rng = np.random.default_rng(11)
-_SEED = _rng.integers(1, 2**63, _HASHES, dtype=np.uint64)
-_ODD = _rng.integers(1, 2**63, _HASHES, dtype=np.uint64) | _U(1)
+
+
+@dataclass(frozen=True)
+class Bands:
+    """Half-bands and hashes for pairs of a similarity of percent or more."""
+
+    percent: int
+
+    @cached_property
+    def half(self) -> int:
+        """Half-bands of each collection."""
+        share, n = (self.percent / 100) ** HALF_ROWS, 1
+        while 2 * (1 - share) ** n > MISSED:
+            n += 1
+        return n
+
+    @property
+    def hashes(self) -> int:
+        return 2 * self.half * HALF_ROWS
+
+    @cached_property
+    def least_equal(self) -> int:
+        """Equal values below which no candidate is expected: 23 of 40 for 85, 29 of 52 for 80."""
+        share, n, least = self.percent / 100, self.hashes, 0
+        fewer = (1 - share) ** n
+        while fewer <= UNEQUAL:
+            least += 1
+            fewer += comb(n, least) * share**least * (1 - share) ** (n - least)
+        return least
+
+    @cached_property
+    def seeds(self) -> tuple[np.ndarray, np.ndarray]:
+        rng = np.random.default_rng(11)
+        return rng.integers(1, 2**63, self.hashes, dtype=np.uint64), rng.integers(1, 2**63, self.hashes, dtype=np.uint64) | _U(1)
+
 
 _SIGNATURE = "doc_id long, row_key long, n_shingles long, set_sum long, set_xor long, values binary, keys array<long>"
 _SIGNATURE_ARROW = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("n_shingles", pa.int64()), ("set_sum", pa.int64()), ("set_xor", pa.int64()), ("values", pa.binary()), ("keys", pa.list_(pa.int64()))])
@@ -64,24 +97,24 @@ def shingle_sets(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
     return np.concatenate(sets) if sets else np.zeros(0, _U), np.cumsum(size)
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signatures(batches: Iterator[pa.RecordBatch], bands: Bands) -> Iterator[pa.RecordBatch]:
+    hashes, (seed, odd) = bands.hashes, bands.seeds
     for rows, data, starts in arrays.chunks(batches):
         sets, edge = shingle_sets(data, starts)
         n = np.diff(edge)
         full = np.flatnonzero(n)
         at = edge[full]
-        least = np.zeros((len(n), _HASHES), np.uint32)
+        least = np.zeros((len(n), hashes), np.uint32)
         sums, xors = np.zeros(len(n), _U), np.zeros(len(n), _U)
         if len(full):
-            for k in range(_HASHES):
-                least[full, k] = np.minimum.reduceat((((sets ^ _SEED[k]) * _ODD[k]) >> _U(32)).astype(np.uint32), at)
+            for k in range(hashes):
+                least[full, k] = np.minimum.reduceat((((sets ^ seed[k]) * odd[k]) >> _U(32)).astype(np.uint32), at)
             spread = arrays.mixed(sets)
             sums[full], xors[full] = np.add.reduceat(spread, at), np.bitwise_xor.reduceat(spread, at)
-        half = HALF_BANDS * HALF_ROWS
-        pairs = least[:, :half].astype(_U).reshape(len(n), HALF_BANDS, HALF_ROWS)
-        keys = arrays.mixed(arrays.mixed(pairs[:, :, 0] << _U(32) | pairs[:, :, 1]) + np.arange(HALF_BANDS, dtype=_U)[None, :])
-        values = arrays.binaries(least.astype(np.uint8).ravel(), np.arange(len(n) + 1) * _HASHES)
-        listed = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * HALF_BANDS, pa.int32()), pa.array(arrays.signed(keys.ravel())))
+        pairs = least[:, : hashes // 2].astype(_U).reshape(len(n), bands.half, HALF_ROWS)
+        keys = arrays.mixed(arrays.mixed(pairs[:, :, 0] << _U(32) | pairs[:, :, 1]) + np.arange(bands.half, dtype=_U)[None, :])
+        values = arrays.binaries(least.astype(np.uint8).ravel(), np.arange(len(n) + 1) * hashes)
+        listed = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * bands.half, pa.int32()), pa.array(arrays.signed(keys.ravel())))
         yield arrays.batch(_SIGNATURE_ARROW, rows.column(0), rows.column(1), n, arrays.signed(sums), arrays.signed(xors), values, listed)
 
 
@@ -97,16 +130,16 @@ def _labels(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _candidates(values: np.ndarray) -> np.ndarray:
+def _candidates(values: np.ndarray, least_equal: int) -> np.ndarray:
     """Which rows of one bucket also share a half-band of B and enough values."""
     equal = np.zeros((len(values), len(values)), np.uint8)
     for column in values.T:
         equal += column[:, None] == column[None, :]
-    other = np.ascontiguousarray(values[:, HALF_BANDS * HALF_ROWS :]).view(np.uint16)
+    other = np.ascontiguousarray(values[:, values.shape[1] // 2 :]).view(np.uint16)
     shared = np.zeros(equal.shape, bool)
     for column in other.T:
         shared |= column[:, None] == column[None, :]
-    return shared & (equal >= LEAST_EQUAL)
+    return shared & (equal >= least_equal)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[pa.Table]:
@@ -144,18 +177,18 @@ def _edges_of(table: pa.Table, names: tuple[str, ...]) -> list[int]:
 _DEAL = ("key", "low", "high")
 
 
-def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bucket_edges(batches: Iterator[pa.RecordBatch], bands: Bands) -> Iterator[pa.RecordBatch]:
     for table in _groups(batches, _DEAL):
         ids = table.column("doc_id").to_numpy()
-        values = np.frombuffer(b"".join(table.column("values").to_pylist()), np.uint8).reshape(-1, _HASHES)
+        values = np.frombuffer(b"".join(table.column("values").to_pylist()), np.uint8).reshape(-1, bands.hashes)
         edges = np.array(_edges_of(table, _DEAL))
         size = np.diff(edges)
         two = edges[:-1][size == 2]
-        shared = (np.ascontiguousarray(values[two][:, HALF_BANDS * HALF_ROWS :]).view(np.uint16) == np.ascontiguousarray(values[two + 1][:, HALF_BANDS * HALF_ROWS :]).view(np.uint16)).any(axis=1) if len(two) else np.zeros(0, bool)
-        two = two[shared & ((values[two] == values[two + 1]).sum(axis=1) >= LEAST_EQUAL)] if len(two) else two
+        shared = (np.ascontiguousarray(values[two][:, bands.hashes // 2 :]).view(np.uint16) == np.ascontiguousarray(values[two + 1][:, bands.hashes // 2 :]).view(np.uint16)).any(axis=1) if len(two) else np.zeros(0, bool)
+        two = two[shared & ((values[two] == values[two + 1]).sum(axis=1) >= bands.least_equal)] if len(two) else two
         a, b = [ids[two]], [ids[two + 1]]
         for at, n in zip(edges[:-1][size > 2].tolist(), size[size > 2].tolist()):
-            label = _labels(_candidates(values[at : at + n]))
+            label = _labels(_candidates(values[at : at + n], bands.least_equal))
             moved = np.flatnonzero(label != np.arange(n))
             a.append(ids[at + moved])
             b.append(ids[at + label[moved]])
@@ -178,7 +211,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield arrays.batch(schema, rows.column("key"), rows.column("n"), rows.column("doc_id"), arrays.binaries(sets.view(np.uint8), edge * 8))
 
 
-def _links(sets: list[np.ndarray]) -> np.ndarray:
+def _links(sets: list[np.ndarray], percent: int) -> np.ndarray:
     size = np.array([len(s) for s in sets])
     _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(len(sets)), size)
@@ -193,10 +226,10 @@ def _links(sets: list[np.ndarray]) -> np.ndarray:
         part = np.zeros((len(sets), 8192), np.float32)
         part[owner[a:b], place[a:b] - at] = 1
         common += part @ part.T
-    return 100 * common >= PERCENT * (size[:, None] + size[None, :] - common)
+    return 100 * common >= percent * (size[:, None] + size[None, :] - common)
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for table in _groups(batches, _DEAL):
         ids = table.column("doc_id").to_numpy()
         sets = [np.frombuffer(s, _U) for s in table.column("shingles").to_pylist()]
@@ -205,11 +238,11 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x, y in zip(edges, edges[1:]):
             if y - x == 2:
                 common = len(np.intersect1d(sets[x], sets[x + 1], assume_unique=True))
-                if 100 * common >= PERCENT * (len(sets[x]) + len(sets[x + 1]) - common):
+                if 100 * common >= percent * (len(sets[x]) + len(sets[x + 1]) - common):
                     a.append(ids[x : x + 1])
                     b.append(ids[x + 1 : x + 2])
             elif y - x > 2:
-                label = _labels(_links(sets[x:y]))
+                label = _labels(_links(sets[x:y], percent))
                 moved = np.flatnonzero(label != np.arange(y - x))
                 a.append(ids[x + moved])
                 b.append(ids[x + label[moved]])
@@ -217,30 +250,30 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield arrays.batch(_EDGE_ARROW, np.concatenate(a), np.concatenate(b))
 
 
-def near_duplicates(documents: DataFrame, block: int = BLOCK, bucket_block: int = BUCKET_BLOCK) -> DataFrame:
+def near_duplicates(documents: DataFrame, block: int = BLOCK, bucket_block: int = BUCKET_BLOCK, percent: int = PERCENT) -> DataFrame:
     """doc_id, row_key, n_shingles, component_id, kept of each row of documents.
 
     A-Z are lowered, words are runs without ASCII white space, and a set holds the distinct 5-word shingles (with fewer
-    words, all of them as one). Documents with 100 * common >= 85 * union are linked; component_id is the least doc_id
+    words, all of them as one). Documents with 100 * common >= percent * union are linked; component_id is the least doc_id
     that can be reached. Empty and null texts are linked with nothing. Rows that repeat a doc_id are one document as to
     links. A null doc_id is below all others and comes back as null; where it leads a group, so does component_id, and
     kept tells whether a row is that leader. Other columns play no part.
     """
-    docs = keyed(documents)
-    signed = stored(docs.mapInArrow(_signatures, _SIGNATURE), "signatures")
+    docs, bands = keyed(documents), Bands(percent)
+    signed = stored(docs.mapInArrow(partial(_signatures, bands=bands), _SIGNATURE), "signatures")
     identity = ["n_shingles", "set_sum", "set_xor"]
     kinds = signed.filter("n_shingles > 0").groupBy(*identity).agg(F.min(F.struct("doc_id", "row_key")).alias("first"))
     kinds = stored(kinds.select(*identity, "first.doc_id", "first.row_key"), "kinds")
     dealt = signed.join(kinds.select("doc_id", "row_key"), ["doc_id", "row_key"], "left_semi").select(F.explode("keys").alias("key"), "doc_id", "values")
     counts = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     buckets = in_blocks(dealt.join(counts, "key"), bucket_block)
-    candidates = buckets.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "doc_id").mapInArrow(_bucket_edges, _EDGE)
+    candidates = buckets.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "doc_id").mapInArrow(partial(_bucket_edges, bands=bands), _EDGE)
     groups = stored(components(candidates), "candidate-groups")
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     members = groups.join(sizes, "component").select(F.col("component").alias("key"), "n", F.col("node").alias("doc_id"))
     chosen = kinds.select("doc_id", "row_key").join(members, "doc_id")
     sets = docs.join(chosen, ["doc_id", "row_key"]).select("key", "n", "doc_id", "text").mapInArrow(_sets, "key long, n long, doc_id long, shingles binary")
-    checked = in_blocks(stored(sets, "shingle-sets"), block).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "doc_id").mapInArrow(_confirmed, _EDGE)
+    checked = in_blocks(stored(sets, "shingle-sets"), block).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "doc_id").mapInArrow(partial(_confirmed, percent=percent), _EDGE)
     found = components(checked)
     leads = kinds.join(found, kinds.doc_id == found.node, "left").select(*identity, F.coalesce("component", "doc_id").alias("component_id"))
     joined = signed.join(leads, identity, "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
@@ -249,13 +282,13 @@ def near_duplicates(documents: DataFrame, block: int = BLOCK, bucket_block: int
     )
 
 
-def keep_first(documents: DataFrame) -> DataFrame:
+def keep_first(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row of each group of near duplicates: that with the least doc_id, and of rows that repeat it the first by text.
 
     Empty and null texts are in no group, so their rows all stay. Columns pass through.
     """
     doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    leads = near_duplicates(documents).filter("n_shingles = 0 or kept").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_doc"), F.col("row_key").alias("_row"), (F.col("n_shingles") > 0).alias("_one")).distinct()
+    leads = near_duplicates(documents, percent=percent).filter("n_shingles = 0 or kept").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_doc"), F.col("row_key").alias("_row"), (F.col("n_shingles") > 0).alias("_one")).distinct()
     rows = documents.withColumns({"_doc": doc_id, "_row": F.xxhash64(doc_id, F.coalesce("text", F.lit("")))}).join(leads, ["_doc", "_row"])
     turn = F.row_number().over(Window.partitionBy("_doc", "_row").orderBy("_row"))
     return rows.withColumn("_turn", turn).filter(~F.col("_one") | (F.col("_turn") == 1)).select(*documents.columns)

@@ -101,3 +101,30 @@ def test_components_of_random_graphs(spark):
     nodes = {x for e in edges if e[0] != e[1] for x in e}
     got = components(spark.createDataFrame(edges, "a long, b long").repartition(13)).collect()
     assert len(got) == len(nodes) and dict(map(tuple, got)) == {x: root(x) for x in nodes}
+
+
+def test_pairs_from_80_to_below_85(spark):
+    rng, rows, between = random.Random(12), [], 0
+    for i in range(200):
+        w = words(150, 5000 + i)
+        near = list(w)
+        for k in rng.sample(range(10, 140), 3):
+            near[k] = "changed" + str(k)
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(near))]
+        a, b = sets_of(rows[-2:])
+        between += 0.8 <= len(a & b) / len(a | b) < 0.85
+    want = {d for i in range(200) for d in (2 * i, 2 * i + 1) if d % 2 == 0 or not similar(rows[2 * i : 2 * i + 2], 80)}
+    assert between > 50
+    assert {r.doc_id for r in minhash.keep_first(documents(spark, rows), 80).collect()} == want
+    stage = pytest.importorskip("corpus_pipeline").near_dedup
+    assert {r.doc_id for r in stage(spark, documents(spark, rows), "").collect()} == want
+    assert found(spark, rows) == brute(rows)
+
+
+def similar(rows, percent):
+    a, b = sets_of(rows)
+    return 100 * len(a & b) >= percent * len(a | b)
+
+
+def test_bands_follow_the_threshold():
+    assert [(b.half, b.least_equal) for b in map(minhash.Bands, (85, 80))] == [(10, 23), (13, 29)]
