@@ -647,7 +647,7 @@ def f27_pair_ids(spark, sf_dir):
 @query()
 def a10_monte_carlo(spark, sf_dir):
     table = _rectangles(spark, sf_dir).withColumn("sigma", F.array(*map(F.lit, (0.03, 0.02, 0.04, 0.025))))
-    return measure.monte_carlo(table, "room_id", 200)
+    return measure.monte_carlo(table, "room_id")
 
 
 @query("""SELECT room_id, CASE WHEN room_id % 17 = 0 THEN 'INVALID' WHEN w < 2.5 OR room_id % 3 = 0 OR (room_id % 10) / 100.0 > 0.05 OR 0.6 + (room_id % 5) / 10.0 < 0.7 THEN 'PROVISIONAL' ELSE 'VALID' END AS validity FROM rooms""", "rooms")
@@ -721,7 +721,7 @@ def i1_wall_cycles(spark, sf_dir):
     found = structure.corners(_segments(spark, sf_dir), ["capture_id"], longest=5.0, farthest=5.0).filter("accepted")
     sides = [found.select("capture_id", "corner", F.col(f"wall_{s}").alias("wall_id"), (F.col("x") + 2 * F.col("z")).alias("s")) for s in "ab"]
     edges = structure.connections(found, ["capture_id"], sides[0].unionByName(sides[1]))
-    return graph.cycles(edges.select("capture_id", F.col("source").cast("int").alias("source"), F.col("target").cast("int").alias("target"), "wall_id"), "capture_id", 6)
+    return graph.cycles(edges.select("capture_id", F.col("source").cast("int").alias("source"), F.col("target").cast("int").alias("target"), "wall_id"), "capture_id", 9)
 
 
 @query("""WITH m AS (SELECT wall_id, capture_id, a, b, c, d FROM walls), o AS (SELECT observation_id AS mask_id, (observation_id % 5) * 1.0 AS x, capture_id % 25 AS capture_id FROM observations WHERE observation_id < 500),
