@@ -620,13 +620,6 @@ def a15_robust_scale(spark, sf_dir):
     return rounded(scale.robust_scale(ratios, ["capture_id"]).select("capture_id", "scale", "n", "inliers", "inlier_share"), "scale", "inlier_share")
 
 
-_VERIFIED = "WITH RECURSIVE v AS (SELECT a, b, inliers FROM pairs WHERE inliers >= 15 AND config IN (2, 3, 4, 6) AND a <> b AND pair % 40 < 3)"
-
-
-def _verified(spark, sf_dir):
-    return graph.verified(view(spark, sf_dir, "pairs")).filter("pair % 40 < 3")
-
-
 @query("""WITH e AS (SELECT a AS node, b AS other, inliers FROM pairs WHERE inliers >= 15 AND config IN (2, 3, 4, 6) AND a <> b UNION ALL SELECT b, a, inliers FROM pairs WHERE inliers >= 15 AND config IN (2, 3, 4, 6) AND a <> b)
 SELECT node, count(*) AS pairs, sum(inliers)::BIGINT AS inliers, count(DISTINCT other) AS degree FROM e GROUP BY node""", "pairs")
 def a26_match_statistics(spark, sf_dir):
