@@ -1,13 +1,15 @@
 """Near-duplicate documents by MinHash with tensored banding.
 
 Two small collections of half-bands, A and B, take the place of many independent tables: every pair (A[i], B[j]) is a
-table, so 10 + 10 half-bands of two values make 100 tables from 40 minhashes instead of 400. Rows are dealt by A[i];
-the pairs with B[j] are formed inside the bucket. Two documents of similarity 0.85 miss all tables with a probability
-of 2 * (1 - 0.85**2)**10, about 5 in a million; for a lower threshold there are more half-bands, 13 + 13 for 0.8.
-
-Candidates that agree in few of the values are dropped; the others form candidate groups, and only the links that
-full shingle sets confirm count. Large buckets and groups are dealt as pairs of blocks, each in a task of its own, and
-give a forest of links, never all pairs.
+table, so 10 + 10 half-bands of two values make 100 tables from 40 minhashes instead of 400. Two documents of
+similarity 0.85 miss all tables with a probability of 2 * (1 - 0.85**2)**10, about 5 in a million; for a lower
+threshold there are more half-bands, 13 + 13 for 0.8.
+
+Links are confirmed on full shingle sets, in two rounds. First each table key links its documents to one hub of the key,
+the document that meets most others: rows * tables, whatever the size of a group, and a group of close copies is one
+component after it. Then what is left is judged exactly: buckets of A that still hold several components are compared
+by their minhashes, only outside their largest component and only between components, and the groups of candidates
+that this gives by their sets. Both are dealt as cells of a grid whose blocks hold a bounded number of bytes.
 """
 
 from __future__ import annotations
@@ -32,9 +34,9 @@ PERCENT = 85
 HALF_ROWS = 2
 #: Probability at most that a pair at the threshold is in no table, and that it has too few equal values.
 MISSED, UNEQUAL = 6e-6, 2e-5
-#: Rows of a block: of shingle sets (up to kilobytes each), and of bucket rows (40 bytes each).
-BLOCK = 128
-BUCKET_BLOCK = 384
+#: A block of a cell: rows, and bytes of shingle sets. They bound a task's memory, and no row is left out for them.
+BLOCK_ROWS = 2048
+BLOCK_BYTES = 4_000_000
 
 _U = np.uint64
 
@@ -73,8 +75,8 @@ class Bands:
         return rng.integers(1, 2**63, self.hashes, dtype=np.uint64), rng.integers(1, 2**63, self.hashes, dtype=np.uint64) | _U(1)
 
 
-_SIGNATURE = "doc_id long, row_key long, n_shingles long, set_sum long, set_xor long, values binary, keys array<long>"
-_SIGNATURE_ARROW = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("n_shingles", pa.int64()), ("set_sum", pa.int64()), ("set_xor", pa.int64()), ("values", pa.binary()), ("keys", pa.list_(pa.int64()))])
+_SIGNATURE = "doc_id long, row_key long, n_shingles long, set_sum long, set_xor long, values binary, keys array<long>, others array<long>"
+_SIGNATURE_ARROW = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("n_shingles", pa.int64()), ("set_sum", pa.int64()), ("set_xor", pa.int64()), ("values", pa.binary()), ("keys", pa.list_(pa.int64())), ("others", pa.list_(pa.int64()))])
 _EDGE = "a long, b long"
 _EDGE_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -111,34 +113,39 @@ def _signatures(batches: Iterator[pa.RecordBatch], bands: Bands) -> Iterator[pa.
                 least[full, k] = np.minimum.reduceat((((sets ^ seed[k]) * odd[k]) >> _U(32)).astype(np.uint32), at)
             spread = arrays.mixed(sets)
             sums[full], xors[full] = np.add.reduceat(spread, at), np.bitwise_xor.reduceat(spread, at)
-        pairs = least[:, : hashes // 2].astype(_U).reshape(len(n), bands.half, HALF_ROWS)
-        keys = arrays.mixed(arrays.mixed(pairs[:, :, 0] << _U(32) | pairs[:, :, 1]) + np.arange(bands.half, dtype=_U)[None, :])
+        pairs = least.astype(_U).reshape(len(n), 2, bands.half, HALF_ROWS)
+        keys = arrays.mixed(arrays.mixed(pairs[..., 0] << _U(32) | pairs[..., 1]) + np.arange(bands.half, dtype=_U))
         values = arrays.binaries(least.astype(np.uint8).ravel(), np.arange(len(n) + 1) * hashes)
-        listed = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * bands.half, pa.int32()), pa.array(arrays.signed(keys.ravel())))
-        yield arrays.batch(_SIGNATURE_ARROW, rows.column(0), rows.column(1), n, arrays.signed(sums), arrays.signed(xors), values, listed)
+        edges = pa.array(np.arange(len(n) + 1) * bands.half, pa.int32())
+        listed = [pa.ListArray.from_arrays(edges, pa.array(arrays.signed(np.ascontiguousarray(keys[:, c]).ravel()))) for c in (0, 1)]
+        yield arrays.batch(_SIGNATURE_ARROW, rows.column(0), rows.column(1), n, arrays.signed(sums), arrays.signed(xors), values, *listed)
 
 
-def _labels(linked: np.ndarray) -> np.ndarray:
-    """Least index that each row can reach in a symmetric matrix."""
-    label = np.arange(len(linked), dtype=np.int32)
+def _joined(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """(larger, least) node pairs that join what linked joins. left, right: node of each row and column; nodes may repeat."""
+    nodes, place = np.unique(np.concatenate([left, right]), return_inverse=True)
+    a, b = place[: len(left)], place[len(left) :]
+    label = np.arange(len(nodes), dtype=np.int32)
     while True:
-        near = np.where(linked, label[None, :], np.int32(len(linked))).min(axis=1)
-        new = np.minimum(label, near)
+        new = label.copy()
+        np.minimum.at(new, a, np.where(linked, label[b][None, :], np.int32(len(nodes))).min(axis=1, initial=len(nodes)))
+        np.minimum.at(new, b, np.where(linked, label[a][:, None], np.int32(len(nodes))).min(axis=0, initial=len(nodes)))
         new = new[new]
         if (new == label).all():
-            return label
+            moved = np.flatnonzero(label != np.arange(len(nodes)))
+            return np.stack([nodes[moved], nodes[label[moved]]], axis=1)
         label = new
 
 
-def _candidates(values: np.ndarray, least_equal: int) -> np.ndarray:
-    """Which rows of one bucket also share a half-band of B and enough values."""
-    equal = np.zeros((len(values), len(values)), np.uint8)
-    for column in values.T:
-        equal += column[:, None] == column[None, :]
-    other = np.ascontiguousarray(values[:, values.shape[1] // 2 :]).view(np.uint16)
+def _similar(left: np.ndarray, right: np.ndarray, least_equal: int) -> np.ndarray:
+    """Which rows of left and right, both of one bucket of A, also share a half-band of B and enough values."""
+    equal = np.zeros((len(left), len(right)), np.uint8)
+    for x, y in zip(left.T, right.T):
+        equal += x[:, None] == y[None, :]
     shared = np.zeros(equal.shape, bool)
-    for column in other.T:
-        shared |= column[:, None] == column[None, :]
+    half = left.shape[1] // 2
+    for x, y in zip(*(np.ascontiguousarray(side[:, half:]).view(np.uint16).T for side in (left, right))):
+        shared |= x[:, None] == y[None, :]
     return shared & (equal >= least_equal)
 
 
@@ -174,83 +181,146 @@ def _edges_of(table: pa.Table, names: tuple[str, ...]) -> list[int]:
     return [*np.flatnonzero(new).tolist(), table.num_rows]
 
 
-_DEAL = ("key", "low", "high")
+_DEAL = ("key", "u", "v")
 
 
-def _bucket_edges(batches: Iterator[pa.RecordBatch], bands: Bands) -> Iterator[pa.RecordBatch]:
+def _cells(batches: Iterator[pa.RecordBatch], payload: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+    """doc_id, component, whether a row is of the left side, and payload of each cell."""
     for table in _groups(batches, _DEAL):
-        ids = table.column("doc_id").to_numpy()
-        values = np.frombuffer(b"".join(table.column("values").to_pylist()), np.uint8).reshape(-1, bands.hashes)
-        edges = np.array(_edges_of(table, _DEAL))
-        size = np.diff(edges)
-        two = edges[:-1][size == 2]
-        shared = (np.ascontiguousarray(values[two][:, bands.hashes // 2 :]).view(np.uint16) == np.ascontiguousarray(values[two + 1][:, bands.hashes // 2 :]).view(np.uint16)).any(axis=1) if len(two) else np.zeros(0, bool)
-        two = two[shared & ((values[two] == values[two + 1]).sum(axis=1) >= bands.least_equal)] if len(two) else two
-        a, b = [ids[two]], [ids[two + 1]]
-        for at, n in zip(edges[:-1][size > 2].tolist(), size[size > 2].tolist()):
-            label = _labels(_candidates(values[at : at + n], bands.least_equal))
-            moved = np.flatnonzero(label != np.arange(n))
-            a.append(ids[at + moved])
-            b.append(ids[at + label[moved]])
-        a, b = np.concatenate(a), np.concatenate(b)
-        pairs = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        yield arrays.batch(_EDGE_ARROW, pairs[:, 0].copy(), pairs[:, 1].copy())
-
-
-def in_blocks(rows: DataFrame, block: int) -> DataFrame:
-    """rows with key, n (rows of the key) and doc_id, dealt to pairs of blocks (key, low, high) of about block rows each."""
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("doc_id", F.lit(1)), blocks).cast("int")
-    return rows.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("low", F.least("_own", "_other")).withColumn("high", F.greatest("_own", "_other")).drop("_own", "_other", "n")
+        ids, component, left = (table.column(c).to_numpy() for c in ("doc_id", "component", "left"))
+        carried = table.column(payload).to_pylist()
+        edges = _edges_of(table, _DEAL)
+        for x, y in zip(edges, edges[1:]):
+            yield ids[x:y], component[x:y], left[x:y], carried[x:y]
+
+
+def _edge_batches(pairs: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Edges of many small cells in few batches."""
+    kept, n = [], 0
+    for found in pairs:
+        kept.append(found)
+        n += len(found)
+        if n > 10_000:
+            yield _edge_batch(kept)
+            kept, n = [], 0
+    if n:
+        yield _edge_batch(kept)
+
+
+def _edge_batch(kept: list[np.ndarray]) -> pa.RecordBatch:
+    a, b = np.unique(np.concatenate(kept), axis=0).T
+    return arrays.batch(_EDGE_ARROW, a.copy(), b.copy())
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], bands: Bands) -> Iterator[pa.RecordBatch]:
+    """Pairs of components that the minhashes hold to be linked."""
+
+    def pairs() -> Iterator[np.ndarray]:
+        for _, component, left, carried in _cells(batches, "values"):
+            values = np.frombuffer(b"".join(carried), np.uint8).reshape(-1, bands.hashes)
+            a, b = component[left], component[~left]
+            yield _joined(_similar(values[left], values[~left], bands.least_equal) & (a[:, None] != b[None, :]), a, b)
+
+    yield from _edge_batches(pairs())
+
+
+def _linked(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which sets of left and right are linked. Only shingles that both sides have are counted."""
+    sizes = [np.array([len(s) for s in side]) for side in (left, right)]
+    kinds = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    places, owners = [], []
+    for side, size in zip((left, right), sizes):
+        flat = np.concatenate(side)
+        place = np.searchsorted(kinds, flat)
+        known = np.flatnonzero(kinds[np.minimum(place, len(kinds) - 1)] == flat) if len(kinds) else np.zeros(0, np.int64)
+        order = known[np.argsort(place[known], kind="stable")]
+        places.append(place[order])
+        owners.append(np.repeat(np.arange(len(side)), size)[order])
+    common = np.zeros((len(left), len(right)), np.float32)
+    width = 2048
+    for at in range(0, len(kinds), width):
+        parts = []
+        for place, owner, size in zip(places, owners, sizes):
+            a, b = np.searchsorted(place, [at, at + width])
+            part = np.zeros((len(size), width), np.float32)
+            part[owner[a:b], place[a:b] - at] = 1
+            parts.append(part)
+        common += parts[0] @ parts[1].T
+    return 100 * common >= percent * (sizes[0][:, None] + sizes[1][None, :] - common)
+
+
+def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Links between the documents of the two sides of each cell that are in different components."""
+
+    def pairs() -> Iterator[np.ndarray]:
+        for ids, component, left, carried in _cells(batches, "shingles"):
+            if left.all() or not left.any():
+                continue
+            sets = [np.frombuffer(s, _U) for s in carried]
+            a, b = ([sets[i] for i in np.flatnonzero(side)] for side in (left, ~left))
+            if len(a) == len(b) == 1:
+                common = len(np.intersect1d(a[0], b[0], assume_unique=True))
+                found = np.array([[100 * common >= percent * (len(a[0]) + len(b[0]) - common)]])
+            else:
+                found = _linked(a, b, percent)
+            yield _joined(found & (component[left][:, None] != component[~left][None, :]), ids[left], ids[~left])
+
+    yield from _edge_batches(pairs())
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("doc_id", pa.int64()), ("shingles", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("shingles", pa.binary())])
     for rows, data, starts in arrays.chunks(batches):
         sets, edge = shingle_sets(data, starts)
-        yield arrays.batch(schema, rows.column("key"), rows.column("n"), rows.column("doc_id"), arrays.binaries(sets.view(np.uint8), edge * 8))
-
-
-def _links(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    size = np.array([len(s) for s in sets])
-    _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(sets)), size)
-    useful = count[place] > 1
-    column = np.cumsum(count > 1) - 1
-    place, owner = column[place[useful]], owner[useful]
-    order = np.argsort(place, kind="stable")
-    place, owner = place[order], owner[order]
-    common = np.zeros((len(sets), len(sets)))
-    for at in range(0, int(place[-1]) + 1 if len(place) else 0, 8192):
-        a, b = np.searchsorted(place, [at, at + 8192])
-        part = np.zeros((len(sets), 8192), np.float32)
-        part[owner[a:b], place[a:b] - at] = 1
-        common += part @ part.T
-    return 100 * common >= percent * (size[:, None] + size[None, :] - common)
+        yield arrays.batch(schema, rows.column("doc_id"), arrays.binaries(sets.view(np.uint8), edge * 8))
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for table in _groups(batches, _DEAL):
-        ids = table.column("doc_id").to_numpy()
-        sets = [np.frombuffer(s, _U) for s in table.column("shingles").to_pylist()]
-        edges = _edges_of(table, _DEAL)
-        a, b = [], []
-        for x, y in zip(edges, edges[1:]):
-            if y - x == 2:
-                common = len(np.intersect1d(sets[x], sets[x + 1], assume_unique=True))
-                if 100 * common >= percent * (len(sets[x]) + len(sets[x + 1]) - common):
-                    a.append(ids[x : x + 1])
-                    b.append(ids[x + 1 : x + 2])
-            elif y - x > 2:
-                label = _labels(_links(sets[x:y], percent))
-                moved = np.flatnonzero(label != np.arange(y - x))
-                a.append(ids[x + moved])
-                b.append(ids[x + label[moved]])
-        if a:
-            yield arrays.batch(_EDGE_ARROW, np.concatenate(a), np.concatenate(b))
-
-
-def near_duplicates(documents: DataFrame, block: int = BLOCK, bucket_block: int = BUCKET_BLOCK, percent: int = PERCENT) -> DataFrame:
+def _hubs(tables: DataFrame) -> DataFrame:
+    """(doc_id, hub) for every document of a table key but its hub. tables: key, doc_id.
+
+    The hub of a key is the document that meets most others over all its keys, the least of several: what lies in the
+    middle of a group is linked with more of it than its first document is.
+    """
+    counts = stored(tables.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "table-sizes")
+    met = stored(tables.join(counts, "key"), "met")
+    degrees = met.groupBy("doc_id").agg(F.sum("n").alias("degree"))
+    hubs = met.select("key", "doc_id").join(degrees, "doc_id").groupBy("key").agg(F.max(F.struct("degree", F.bitwise_not("doc_id").alias("turned"))).alias("top"))
+    hubs = stored(hubs.select("key", F.bitwise_not("top.turned").alias("hub")), "hubs")
+    return met.select("key", "doc_id").join(hubs, "key").filter("doc_id != hub").select("doc_id", "hub").distinct()
+
+
+def _grid(rows: DataFrame, size, rows_of_block: int, bytes_of_block: int) -> DataFrame:
+    """Cells (key, u, v) of blocks of the rows outside a key's largest component (left) and of all its rows.
+
+    rows: key, doc_id, component. size: bytes of a row. Every pair of rows in different components is in a cell, and a
+    row is in as many cells as the other side has blocks.
+    """
+    parts = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes"))
+    totals = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "bytes", "component")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).filter("parts > 1")
+    blocks = lambda n, b: F.greatest(F.ceil(n / rows_of_block), F.ceil(b / bytes_of_block), F.lit(1)).cast("int")
+    totals = totals.select("key", F.col("top.component").alias("_most"), blocks(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("_us"), blocks(F.col("n"), F.col("bytes")).alias("_vs"))
+    known = rows.join(stored(totals, "grid-keys"), "key")
+    u, v = (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col(c)).cast("int") for c in ("_us", "_vs"))
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    left = known.filter("component != _most").withColumns({"u": u, "left": F.lit(True)}).withColumn("v", every("_vs"))
+    right = known.withColumns({"v": v, "left": F.lit(False)}).withColumn("u", every("_us"))
+    return left.unionByName(right).drop("_most", "_us", "_vs")
+
+
+def _stars(edges: DataFrame, sizes: DataFrame, bytes_of_block: int) -> DataFrame:
+    """Cells of each hub against blocks of its documents. edges: doc_id, hub. sizes: doc_id, bytes."""
+    sized = edges.join(sizes, "doc_id")
+    totals = stored(sized.groupBy("hub").agg(F.ceil(F.sum("bytes") / bytes_of_block).cast("int").alias("blocks")), "star-sizes")
+    right = sized.join(totals, "hub").select(F.col("hub").alias("key"), F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("u"), "doc_id", F.lit(False).alias("left"))
+    left = totals.select(F.col("hub").alias("key"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("u"), F.col("hub").alias("doc_id"), F.lit(True).alias("left"))
+    return left.unionByName(right).select("key", "u", F.lit(0).alias("v"), "doc_id", F.col("doc_id").alias("component"), "left")
+
+
+def _dealt(cells: DataFrame, payload: str) -> DataFrame:
+    return cells.select(*_DEAL, "doc_id", "component", "left", payload).repartition(*_DEAL).sortWithinPartitions(*_DEAL, F.desc("left"), "doc_id")
+
+
+def near_duplicates(documents: DataFrame, percent: int = PERCENT, block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, row_key, n_shingles, component_id, kept of each row of documents.
 
     A-Z are lowered, words are runs without ASCII white space, and a set holds the distinct 5-word shingles (with fewer
@@ -264,17 +334,29 @@ def near_duplicates(documents: DataFrame, block: int = BLOCK, bucket_block: int
     identity = ["n_shingles", "set_sum", "set_xor"]
     kinds = signed.filter("n_shingles > 0").groupBy(*identity).agg(F.min(F.struct("doc_id", "row_key")).alias("first"))
     kinds = stored(kinds.select(*identity, "first.doc_id", "first.row_key"), "kinds")
-    dealt = signed.join(kinds.select("doc_id", "row_key"), ["doc_id", "row_key"], "left_semi").select(F.explode("keys").alias("key"), "doc_id", "values")
-    counts = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    buckets = in_blocks(dealt.join(counts, "key"), bucket_block)
-    candidates = buckets.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "doc_id").mapInArrow(partial(_bucket_edges, bands=bands), _EDGE)
-    groups = stored(components(candidates), "candidate-groups")
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    members = groups.join(sizes, "component").select(F.col("component").alias("key"), "n", F.col("node").alias("doc_id"))
-    chosen = kinds.select("doc_id", "row_key").join(members, "doc_id")
-    sets = docs.join(chosen, ["doc_id", "row_key"]).select("key", "n", "doc_id", "text").mapInArrow(_sets, "key long, n long, doc_id long, shingles binary")
-    checked = in_blocks(stored(sets, "shingle-sets"), block).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "doc_id").mapInArrow(partial(_confirmed, percent=percent), _EDGE)
-    found = components(checked)
+    ids = kinds.select("doc_id", "row_key")
+    # buckets of A that hold two documents at least; only in them can a table key be shared
+    banded = signed.join(ids, ["doc_id", "row_key"], "left_semi").select(F.explode("keys").alias("key"), "doc_id", "values", "others")
+    shared = stored(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "shared-keys")
+    buckets = stored(banded.join(shared, "key"), "buckets")
+
+    def sets(chosen: DataFrame) -> DataFrame:
+        """doc_id, shingles of the documents in chosen."""
+        rows = ids.join(chosen.select("doc_id").distinct(), "doc_id")
+        return docs.join(rows, ["doc_id", "row_key"]).select("doc_id", "text").mapInArrow(_sets, "doc_id long, shingles binary")
+
+    def confirmed(cells: DataFrame) -> DataFrame:
+        return _dealt(cells.join(sets(cells), "doc_id"), "shingles").mapInArrow(partial(_confirmed, percent=percent), _EDGE)
+
+    tables = stored(buckets.select("doc_id", F.explode("others").alias("other"), "key").select(F.xxhash64("key", "other").alias("key"), "doc_id"), "tables")
+    sizes = kinds.groupBy("doc_id").agg(F.sum(8 * F.col("n_shingles")).alias("bytes"))
+    near = stored(components(confirmed(stored(_stars(_hubs(tables), sizes, block_bytes), "star-cells"))), "near-hubs")
+    labelled = lambda rows: rows.join(near.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    rest = _grid(labelled(buckets.select("key", "doc_id", "values")), F.length("values"), block_rows, block_bytes)
+    groups = stored(components(_dealt(rest, "values").mapInArrow(partial(_candidates, bands=bands), _EDGE)), "candidate-groups")
+    members = labelled(ids.select("doc_id").distinct()).join(groups.select(F.col("node").alias("component"), F.col("component").alias("key")), "component").join(sizes, "doc_id")
+    cells = stored(_grid(members, F.col("bytes"), block_rows, block_bytes).drop("bytes"), "set-cells")
+    found = components(confirmed(cells).unionByName(near.filter("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))))
     leads = kinds.join(found, kinds.doc_id == found.node, "left").select(*identity, F.coalesce("component", "doc_id").alias("component_id"))
     joined = signed.join(leads, identity, "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return joined.select(
@@ -290,5 +372,7 @@ def keep_first(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     leads = near_duplicates(documents, percent=percent).filter("n_shingles = 0 or kept").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_doc"), F.col("row_key").alias("_row"), (F.col("n_shingles") > 0).alias("_one")).distinct()
     rows = documents.withColumns({"_doc": doc_id, "_row": F.xxhash64(doc_id, F.coalesce("text", F.lit("")))}).join(leads, ["_doc", "_row"])
-    turn = F.row_number().over(Window.partitionBy("_doc", "_row").orderBy("_row"))
-    return rows.withColumn("_turn", turn).filter(~F.col("_one") | (F.col("_turn") == 1)).select(*documents.columns)
+    # rows that all stay get a number of their own, so that one filter on the rank is left, which Spark applies before the shuffle
+    rows = rows.withColumn("_own", F.when(~F.col("_one"), F.monotonically_increasing_id()))
+    turn = F.row_number().over(Window.partitionBy("_doc", "_row", "_own").orderBy("_row"))
+    return rows.withColumn("_turn", turn).filter("_turn = 1").select(*documents.columns)

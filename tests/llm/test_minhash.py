@@ -56,10 +56,29 @@ def found(spark, rows, **kw):
     return Counter((r.doc_id, r.n_shingles, -(2**63) if r.component_id is None else r.component_id) for r in out)
 
 
-@pytest.mark.parametrize("block", [128, 4])
-def test_links_match_brute_force(spark, block):
-    rows = near_copies()
-    assert found(spark, rows, block=block, bucket_block=block) == brute(rows)
+def cloud():
+    """Copies of two texts that lie at any distance of each other, most of them linked with few, and a chain of texts."""
+    rng, rows = random.Random(4), []
+    for g in range(2):
+        base = words(120, 300 + g)
+        for _ in range(150):
+            w = list(base)
+            for _ in range(rng.randint(0, 14)):
+                w[rng.randrange(len(w))] = "edit" + str(rng.randrange(40))
+            rows.append(" ".join(w))
+    w = words(200, 310)
+    for k in range(40):
+        w = w[:]
+        w[5 * k % 200] = f"step{k}"
+        rows.append(" ".join(w))
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("blocks", [(2048, 4_000_000), (7, 9_000)])
+@pytest.mark.parametrize("rows", [near_copies(), cloud()], ids=["groups", "cloud"])
+def test_links_match_brute_force(spark, rows, blocks):
+    assert found(spark, rows, block_rows=blocks[0], block_bytes=blocks[1]) == brute(rows)
 
 
 def test_awkward_rows(spark):
