@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from planimetra.llm import arrays
 from planimetra.llm.tables import stored
@@ -204,7 +205,10 @@ def hot_spans(windows: DataFrame, unit: Unit, earlier: bool) -> DataFrame:
     """Spans of the windows of hot anchors, each window hash a key of its own."""
     known = windows.groupBy("window").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"))
     joined = windows.join(known, "window").filter(F.col("doc_id") > F.col("least") if earlier else F.col("copies") > 1)
-    return joined.select("doc_id", "row_key", "start", F.lit(unit.window).alias("size"))
+    # neighbours become one span, so that a long text does not gather one for each of its windows
+    run = F.col("start") - F.row_number().over(Window.partitionBy("doc_id", "row_key").orderBy("start"))
+    runs = joined.select("doc_id", "row_key", "start").distinct().withColumn("run", run).groupBy("doc_id", "row_key", "run")
+    return runs.agg(F.min("start").alias("start"), (F.count(F.lit(1)) + (unit.window - 1)).cast("int").alias("size")).drop("run")
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
