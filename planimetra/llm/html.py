@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,6 +40,8 @@ BOILERPLATE_NAMES = frozenset(
 #: Inside an article these name its own title.
 PART_OF_ARTICLE = frozenset(("header", "masthead"))
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+#: What follows these in a name is something else that is there or not.
+MODIFIERS = frozenset("with without has have no not is hide show before after".split())
 CONTENT_NAMES = frozenset("article content main post entry story body text prose markdown".split())
 NAME_WEIGHT, CONTENT_NAME_WEIGHT = -8.0, 1.5
 LARGEST = 12.0
@@ -62,6 +63,15 @@ class Block:
         self.text, self.linked, self.tag, self.prior, self.article, self.parent, self.above = text, linked, tag, prior, article, parent, above
 
 
+def _name_weight(parts: list[str], article: bool) -> float:
+    """Of one class or id, by its parts: page-with-sidebar is no sidebar, and related-story-body says nothing."""
+    parts = [p.lower() for p in parts]
+    said = set(parts[: next((i for i, p in enumerate(parts) if p in MODIFIERS), len(parts))])
+    boilerplate = bool(said & (BOILERPLATE_NAMES - PART_OF_ARTICLE if article else BOILERPLATE_NAMES))
+    content = bool(said & CONTENT_NAMES)
+    return 0.0 if boilerplate == content else NAME_WEIGHT if boilerplate else CONTENT_NAME_WEIGHT
+
+
 def _prior(tag: str, attributes: str, article: bool) -> float:
     weight = 0.0
     if tag in BOILERPLATE_TAGS and not (tag == "header" and article):
@@ -78,11 +88,8 @@ def _prior(tag: str, attributes: str, article: bool) -> float:
         elif name == "role":
             weight += NAME_WEIGHT if value.lower() in BOILERPLATE_ROLES else CONTENT_TAGS["main"] if value.lower() in ("main", "article") else 0
         else:
-            parts = {p.lower() for p in _PARTS.findall(value)}
-            if parts & (BOILERPLATE_NAMES - PART_OF_ARTICLE if article else BOILERPLATE_NAMES):
-                weight += NAME_WEIGHT
-            elif parts & CONTENT_NAMES:
-                weight += CONTENT_NAME_WEIGHT
+            for token in value.split():
+                weight += _name_weight(_PARTS.findall(token), article)
     return weight
 
 
@@ -155,8 +162,8 @@ def blocks(page: str) -> list[Block]:
         links += tag == "a"
         _, prior, article, _ = stack[-1]
         own = _prior(tag, attributes or "", article)
-        # the inner of two opposite signs decides, but nothing inside boilerplate is content again
-        prior = min(prior, 0.0) + own if own < 0 else prior + own if prior >= 0 else prior
+        # the inner of two opposite signs decides, but nothing inside boilerplate is content again, except a page's main part
+        prior = min(prior, 0.0) + own if own < 0 else own if tag == "main" else prior + own if prior >= 0 else prior
         stack.append((tag, prior, article or tag in CONTENT_TAGS, number))
     if at < len(page):
         text.append(html.unescape(page[at:]))
@@ -180,43 +187,96 @@ def log_odds(block: Block) -> float:
 
 
 def minimum_cut(excess: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """Which nodes stay with the source. excess: source less sink capacity of each node. By shortest augmenting paths."""
-    links: list[list[int]] = [[] for _ in excess]
+    """Which nodes stay with the source in the least minimum cut. excess: source less sink capacity of each node.
+
+    A node whose terminal outweighs all its open edges is on that side of every minimum cut, so it is decided, and its edges
+    become terminal capacity of its neighbours, until nothing more follows. What is left falls into small parts, and
+    blocking flows solve each. A page of blocks that mostly speak for themselves takes time in proportion to its length.
+    """
+    excess = list(excess)
+    links: list[list[tuple[int, float]]] = [[] for _ in excess]
+    for a, b, capacity in edges:
+        links[a].append((b, capacity))
+        links[b].append((a, capacity))
+    open_ = [sum(c for _, c in near) for near in links]
+    side: list[bool | None] = [None] * len(excess)
+    waiting = list(range(len(excess)))
+    while waiting:
+        v = waiting.pop()
+        if side[v] is not None or abs(excess[v]) < open_[v] - _EPSILON or 0 < excess[v] <= open_[v] + _EPSILON:
+            continue
+        side[v] = excess[v] > 0
+        for w, capacity in links[v]:
+            if side[w] is None:
+                excess[w] += capacity if side[v] else -capacity
+                open_[w] -= capacity
+                waiting.append(w)
+    for start in range(len(excess)):
+        if side[start] is None:
+            part, at = [start], {start: 0}
+            for v in part:
+                for w, _ in links[v]:
+                    if side[w] is None and w not in at:
+                        at[w] = len(part)
+                        part.append(w)
+            inner = [(at[v], at[w], c) for v in part for w, c in links[v] if w in at and at[v] < at[w]]
+            for v, content in zip(part, _blocking_flows([excess[v] for v in part], inner), strict=True):
+                side[v] = content
+    return [bool(x) for x in side]
+
+
+_EPSILON = 1e-9
+
+
+def _blocking_flows(excess: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
+    """The least minimum cut of one part: levels from the source, then flows along them until every path is blocked."""
+    n = len(excess)
+    out: list[list[int]] = [[] for _ in excess]
     to, room = [], []
     for a, b, capacity in edges:
-        links[a].append(len(to))
-        links[b].append(len(to) + 1)
+        out[a].append(len(to))
+        out[b].append(len(to) + 1)
         to += [b, a]
         room += [capacity, capacity]
-    excess = list(excess)
     while True:
-        came: list[int | None] = [None] * len(excess)
-        queue = deque(v for v, x in enumerate(excess) if x > 1e-12)
-        reached = [x > 1e-12 for x in excess]
-        end = None
-        while queue and end is None:
-            v = queue.popleft()
-            for e in links[v]:
-                w = to[e]
-                if not reached[w] and room[e] > 1e-12:
-                    reached[w] = True
-                    came[w] = e
-                    if excess[w] < -1e-12:
-                        end = w
-                        break
-                    queue.append(w)
-        if end is None:
-            return reached
-        path, v = [], end
-        while came[v] is not None:
-            path.append(came[v])
-            v = to[came[v] ^ 1]
-        flow = min(excess[v], -excess[end], *(room[e] for e in path))
-        excess[v] -= flow
-        excess[end] += flow
-        for e in path:
-            room[e] -= flow
-            room[e ^ 1] += flow
+        level = [-1] * n
+        queue = [v for v in range(n) if excess[v] > _EPSILON]
+        for v in queue:
+            level[v] = 0
+        roots, sinks = queue[:], False
+        for v in queue:
+            sinks |= excess[v] < -_EPSILON
+            for e in out[v]:
+                if room[e] > _EPSILON and level[to[e]] < 0:
+                    level[to[e]] = level[v] + 1
+                    queue.append(to[e])
+        if not sinks:
+            return [x >= 0 for x in level]
+        following = [0] * n
+        for root in roots:
+            path: list[int] = []
+            v = root
+            while excess[root] > _EPSILON:
+                if excess[v] < -_EPSILON:
+                    flow = min(excess[root], -excess[v], *(room[e] for e in path))
+                    excess[root] -= flow
+                    excess[v] += flow
+                    for e in path:
+                        room[e] -= flow
+                        room[e ^ 1] += flow
+                    path, v = [], root
+                elif following[v] < len(out[v]):
+                    e = out[v][following[v]]
+                    if room[e] > _EPSILON and level[to[e]] == level[v] + 1:
+                        path.append(e)
+                        v = to[e]
+                    else:
+                        following[v] += 1
+                elif path:
+                    v = to[path.pop() ^ 1]
+                    following[v] += 1
+                else:
+                    break
 
 
 def main_text(page: str) -> str:

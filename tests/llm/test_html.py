@@ -65,3 +65,46 @@ def test_nulls_repeats_and_clashing_columns(spark):
     got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert len(got) == 4 and sorted(r.n_chars for r in got)[:2] == [0, 0]
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_a_name_alone_takes_no_page_away():
+    long = "A long sentence that any reader would call the text of this page. " * 2
+    for page in ('<main class="page-with-sidebar"><p>%s</p></main>', '<div class="related-story-body"><p>%s</p></div>', '<div class="no-sidebar layout"><p>%s</p></div>', '<div class="has-ads"><main><p>%s</p></main></div>'):
+        assert html.main_text(page % long) == long.strip()
+    for name in ("sidebar", "ad-slot", "cookie_notice", "pageFooter", "reader-comments"):
+        assert html.main_text(f'<article><p>{long}</p></article><div class="{name}"><p>{long}More.</p></div>') == long.strip()
+
+
+def test_long_pages_take_linear_time():
+    import time
+
+    pair = '<p>A sentence of this very long article, as all of them are, which goes on for quite some time.</p><div><a href="/x">Some link</a></div>'
+    doubtful = "<div>Words of some block</div><div>Short one. Here</div>"
+    for part in (pair, doubtful):
+        began = time.perf_counter()
+        blocks = html.main_text(f"<body>{part * 25_000}</body>")
+        assert time.perf_counter() - began < 15
+        assert part is doubtful or blocks.count("\n") == 24_999
+
+
+def labelled(seed):
+    """A page in one of several layouts, and the blocks of its article."""
+    rng = random.Random(seed)
+    sentence = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(n)).capitalize() + "."
+    title, text = sentence(6), [" ".join(sentence(rng.randint(6, 18)) for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(3, 12))]
+    links = lambda n: "".join(f'<li><a href="/{i}">{sentence(2)[:-1]}</a></li>' for i in range(n))
+    body = f"<h1>{title}</h1>" + "".join(f"<p>{t}</p>" for t in text)
+    body = rng.choice(['<article>%s</article>', '<main id="main">%s</main>', '<div class="post-content">%s</div>', '<div><div class="col-8">%s</div></div>', '<div class="layout with-sidebar"><div role="main">%s</div></div>']) % body
+    side = rng.choice(['<aside><h3>More</h3><ul>%s</ul></aside>', '<div class="sidebar"><ul>%s</ul></div>', '<div id="rightRail"><ul>%s</ul></div>']) % links(rng.randint(3, 9))
+    comments = "".join(f'<li><p>{sentence(9)} {sentence(7)}</p></li>' for _ in range(rng.randint(0, 4)))
+    page = f'<body><header><a href="/">{sentence(2)}</a></header><nav><ul>{links(6)}</ul></nav><div class="cookie-banner"><p>{sentence(12)} {sentence(5)}</p></div>{body}{side}<section id="comments"><ol>{comments}</ol></section><form><label>{sentence(4)}</label></form><footer><p>{sentence(8)}</p></footer></body>'
+    return page, [title, *text]
+
+
+def test_precision_and_recall_on_labelled_pages():
+    right = found = wanted = 0
+    for seed in range(200):
+        page, want = labelled(seed)
+        got = html.main_text(page).split("\n")
+        right, found, wanted = right + len(set(got) & set(want)), found + len(got), wanted + len(want)
+    assert right / found > 0.98 and right / wanted > 0.98, (right / found, right / wanted)
