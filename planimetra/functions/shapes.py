@@ -49,6 +49,31 @@ def clipped(subject: np.ndarray, convex: np.ndarray) -> np.ndarray:
     return np.array(out).reshape(-1, 2)
 
 
+def triangles(polygon: np.ndarray) -> list[np.ndarray]:
+    """Triangles that fill a simple polygon, by cutting ears."""
+    p = polygon[::-1] if signed_area(polygon) < 0 else polygon
+    turn = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+    left, out = list(range(len(p))), []
+    while len(left) > 3:
+        for i in range(len(left)):
+            a, b, c = (p[left[(i + k) % len(left)]] for k in (-1, 0, 1))
+            others = [p[j] for j in left if j not in (left[i - 1], left[i], left[(i + 1) % len(left)])]
+            if turn(a, b, c) > 0 and not any(min(turn(a, b, q), turn(b, c, q), turn(c, a, q)) > 0 for q in others):
+                out.append(np.array([a, b, c]))
+                break
+            if turn(a, b, c) == 0:
+                break
+        else:
+            i = 0  # not simple: drop a corner
+        del left[i]
+    return [*out, p[left]]
+
+
+def overlap(one: np.ndarray, two: np.ndarray) -> float:
+    """Common area of two simple polygons of any shape."""
+    return sum(abs(signed_area(clipped(a, b))) for a in triangles(one) for b in triangles(two))
+
+
 def segment_gap(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> float:
     """Least distance of two segments."""
     cross = lambda u, v: u[0] * v[1] - u[1] * v[0]

@@ -18,12 +18,10 @@ LINEAR = ("surface_crack", "crack_structural")
 def host_planes(rays: DataFrame, planes: DataFrame, nearest=0.10, farthest=8.0, grazing=0.08, support=0.5) -> DataFrame:
     """The plane of each mask (mask_id) that most of its rays (ox..oz, dx..dz) hit, if at least support of them do.
 
-    planes (plane_id, ord, a, b, c, d) are a few surfaces of a capture. Ties go to the first in ord.
+    rays and planes (plane_id, ord, a, b, c, d) have capture_id, and planes are a few surfaces of a capture. Ties go to the first in ord.
     """
     hit = ray_hit(tuple(F.col(f"o{c}") for c in "xyz"), tuple(F.col(f"d{c}") for c in "xyz"), tuple(F.col(c) for c in "abcd"), nearest, farthest, grazing)
-    keys = ["capture_id"] if "capture_id" in planes.columns and "capture_id" in rays.columns else None
-    joined = rays.join(planes, keys) if keys else rays.crossJoin(F.broadcast(planes))
-    counts = joined.withColumn("_hit", hit).groupBy("mask_id", "plane_id", "ord").agg(F.count("_hit").alias("hits"), F.count(F.lit(1)).alias("rays"))
+    counts = rays.join(planes, "capture_id").withColumn("_hit", hit).groupBy("mask_id", "plane_id", "ord").agg(F.count("_hit").alias("hits"), F.count(F.lit(1)).alias("rays"))
     best = counts.groupBy("mask_id").agg(F.max(F.struct("hits", (-F.col("ord")).alias("o"), "plane_id", "rays")).alias("m"))
     return best.select("mask_id", "m.plane_id", "m.hits", "m.rays").filter((F.col("hits") > 0) & (F.col("hits") >= support * F.col("rays")))
 

@@ -17,13 +17,14 @@ def exposed(mean: Column) -> Column:
 
 
 def photo_warnings(photos: DataFrame, similarities: DataFrame) -> DataFrame:
-    """Adds advisory warnings to photos (photo_id, ord, sharpness, mean, width, height).
+    """Adds advisory warnings to photos (photo_id, ord, sharpness, mean, dark and bright (shares of pixels), width, height).
 
     similarities: photo_id, other, value of pairs in which other comes earlier.
     """
     most = similarities.groupBy("photo_id").agg(F.max("value").alias("_like"))
     found = reasons(
-        blurred=F.col("sharpness") < 35, dark=F.col("mean") < 40, bright=F.col("mean") > 220, near_duplicate=F.col("_like") > 0.985, low_resolution=F.least("width", "height") < 720
+        motion_blur_or_soft_focus=F.col("sharpness") < 35, severe_darkness=(F.col("mean") < 35) | (F.col("dark") > 0.55), severe_overexposure=(F.col("mean") > 225) | (F.col("bright") > 0.55),
+        duplicate_viewpoint_likely=F.coalesce(F.col("_like") > 0.985, F.lit(False)), low_resolution=F.least("width", "height") < 720,
     )
     return photos.join(most, "photo_id", "left").withColumn("warnings", found).drop("_like")
 
@@ -31,13 +32,15 @@ def photo_warnings(photos: DataFrame, similarities: DataFrame) -> DataFrame:
 def depth_quality(pixels: DataFrame, keys: list[str], steepest: float = 0.20, low: float = 0.20, high: float = 8.0) -> DataFrame:
     """Adds sound to depth pixels (u, v, depth): finite, in range, and with a small Sobel gradient for their depth.
 
-    The eight neighbours come from windows over rows and columns, not from a self-join; at the border the own depth stands in.
+    The eight neighbours come from windows over rows and columns, not from a self-join; at the border and beside a missing
+    pixel the own depth stands in.
     """
     row, column = Window.partitionBy(*keys, "v").orderBy("u"), Window.partitionBy(*keys, "u").orderBy("v")
     own = F.col("depth")
-    left, right = F.coalesce(F.lag("depth").over(row), own), F.coalesce(F.lead("depth").over(row), own)
+    beside = lambda f, c, place, order: F.when(F.abs(f(place).over(order) - F.col(place)) == 1, f(c).over(order))
+    left, right = (F.coalesce(beside(f, "depth", "u", row), own) for f in (F.lag, F.lead))
     table = pixels.withColumns({"_dx": right - left, "_sx": left + 2 * own + right})
-    at = lambda f, c: F.coalesce(f(c).over(column), F.col(c))
+    at = lambda f, c: F.coalesce(beside(f, c, "v", column), F.col(c))
     gx = at(F.lag, "_dx") + 2 * F.col("_dx") + at(F.lead, "_dx")
     gy = at(F.lead, "_sx") - at(F.lag, "_sx")
     finite = ~F.isnan(own) & (F.abs(own) < float("inf"))

@@ -87,18 +87,35 @@ def supported(points: DataFrame, size: float = 0.05, least_views: int = 2, least
 def without_outliers(points: DataFrame, key: str, neighbours: int = 20, deviations: float = 2.0, radius: float = 1.0) -> DataFrame:
     """Points whose mean distance to their nearest neighbours is at most mean + deviations * std of all.
 
-    Neighbours are looked for within radius; a point with none there is an outlier.
+    Neighbours are looked for within radius first, and farther for points that have too few there.
     """
-    mean = spatial.nearest(points, points, AXES, radius, neighbours, key).groupBy(key).agg(F.avg("distance").alias("_near"))
+    mean = spatial.nearest_of_all(points, AXES, radius, neighbours, key).groupBy(key).agg(F.avg("distance").alias("_near"))
     limit = mean.agg((F.avg("_near") + deviations * F.stddev_pop("_near")).alias("_limit"))
     return points.join(mean, key).crossJoin(F.broadcast(limit)).filter(F.col("_near") <= F.col("_limit")).drop("_near", "_limit")
 
 
-def near_planes(points: DataFrame, walls: DataFrame, thickness: float = 0.06, margin: float = 0.15) -> DataFrame:
-    """Points joined to walls (a, b, c, d, x_min..z_max) in whose slab they lie; walls are a few rows a capture."""
-    p, w = points.alias("p"), walls.alias("w")
-    d = F.abs(F.col("w.a") * F.col("p.x") + F.col("w.b") * F.col("p.y") + F.col("w.c") * F.col("p.z") + F.col("w.d"))
-    inside = d < thickness
+def near_planes(points: DataFrame, walls: DataFrame, keys: list[str], thickness: float = 0.06, margin: float = 0.15, cell: float = 0.5) -> DataFrame:
+    """Points joined to walls (keys.., wall_id, a, b, c, d, x_min..z_max) of their capture in whose slab they lie.
+
+    A wall is copied to the cells of its box that its slab can reach, so a point meets the walls of its own cell only.
+    Ends of a box that are null or over 1 km away are taken from the capture's points.
+    """
+    d = lambda x, y, z: F.col("a") * x + F.col("b") * y + F.col("c") * z + F.col("d")
+    ends = points.groupBy(*keys).agg(*[f(c).alias(f"_{c}_{n}") for c in AXES for f, n in ((F.min, "min"), (F.max, "max"))])
+    far = 1000.0
+    boxed = walls.join(ends, keys).withColumns({f"_{c}_{n}": F.when(F.abs(f"{c}_{n}") <= far, F.col(f"{c}_{n}") + (margin if n == "max" else -margin)).otherwise(F.col(f"_{c}_{n}")) for c in AXES for n in ("min", "max")})
+    for c in AXES:
+        steps = F.sequence(F.floor(F.col(f"_{c}_min") / cell), F.floor(F.col(f"_{c}_max") / cell))
+        boxed = boxed.filter(F.col(f"_{c}_min") <= F.col(f"_{c}_max")).withColumn(f"_cell{AXES.index(c)}", F.explode(steps))
+    middle = d(*[(F.col(f"_cell{i}") + 0.5) * cell for i in range(3)])
+    reach = thickness + cell / 2 * (F.abs("a") + F.abs("b") + F.abs("c"))
+    boxed = boxed.filter(F.abs(middle) <= reach).drop(*[f"_{c}_{n}" for c in AXES for n in ("min", "max")])
+    placed = points.select("*", *spatial.cell(AXES, cell)).alias("p")
+    cells = [f"_cell{i}" for i in range(3)]
+    w = boxed.alias("w")
+    distance = F.abs(F.col("w.a") * F.col("p.x") + F.col("w.b") * F.col("p.y") + F.col("w.c") * F.col("p.z") + F.col("w.d"))
+    inside = distance < thickness
     for c in AXES:
         inside = inside & (F.col(f"p.{c}") >= F.col(f"w.{c}_min") - margin) & (F.col(f"p.{c}") <= F.col(f"w.{c}_max") + margin)
-    return p.join(w, inside).select("p.*", "w.wall_id", d.alias("plane_distance"))
+    joined = placed.join(w, [F.col(f"p.{k}") == F.col(f"w.{k}") for k in [*keys, *cells]]).filter(inside)
+    return joined.select(*[F.col(f"p.{c}") for c in points.columns], "w.wall_id", distance.alias("plane_distance"))

@@ -54,8 +54,8 @@ def _array(vertices) -> np.ndarray:
 
 
 def overlap_area(one: pd.Series, two: pd.Series) -> pd.Series:
-    """Common area of two convex polygons."""
-    return pd.Series([abs(shapes.signed_area(shapes.clipped(_array(a), _array(b)))) for a, b in zip(one, two)])
+    """Common area of two simple polygons."""
+    return pd.Series([shapes.overlap(_array(a), _array(b)) for a, b in zip(one, two)])
 
 
 def gap(one: pd.Series, two: pd.Series) -> pd.Series:
@@ -84,22 +84,33 @@ def contact_length(one: pd.Series, two: pd.Series) -> pd.Series:
 
 
 def overlaps(rooms: DataFrame, keys: list[str], area: float = 0.10, ratio: float = 0.05) -> DataFrame:
-    """Pairs of convex rooms of a property that share more than area, or than ratio of the smaller one."""
+    """Pairs of rooms of a property that share more than area, or than ratio of the smaller one."""
     pairs = _pairs(rooms, keys, 0.0).withColumn("overlap", _pairwise(overlap_area))
     table = pairs.withColumn("ratio", F.col("overlap") / F.nullif(F.least(plan.area(F.col("va")), plan.area(F.col("vb"))), F.lit(0.0)))
     return table.filter((F.col("overlap") > area) | (F.col("ratio") > ratio)).drop("va", "vb")
 
 
+def _near_rooms(places: DataFrame, rooms: DataFrame, keys: list[str], reach: float, cell: float = 5.0) -> DataFrame:
+    """places (keys.., x, z) with each room of theirs that they lie in (distance 0) or within reach of; rooms are met in a grid."""
+    table = rooms.withColumns({f"_{n}": c for n, c in box(F.col("vertices")).items()})
+    for c in "xz":
+        table = table.withColumn(f"_g{c}", F.explode(F.sequence(F.floor((F.col(f"_{c}_min") - reach) / cell), F.floor((F.col(f"_{c}_max") + reach) / cell))))
+    celled = places.withColumns({f"_g{c}": F.floor(F.col(c) / cell) for c in "xz"})
+    joined = celled.join(table, [*keys, "_gx", "_gz"])
+    x, z, edges = F.col("x"), F.col("z"), plan.edges(F.col("vertices"))
+    turns = lambda e: ((e["z1"] > z) != (e["z2"] > z)) & (x < e["x1"] + (z - e["z1"]) / F.nullif(e["z2"] - e["z1"], F.lit(0.0)) * (e["x2"] - e["x1"]))
+    inside = F.size(F.filter(edges, turns)) % 2 == 1
+    gap = F.array_min(F.transform(edges, lambda e: plan.segment_distance(x, z, e["x1"], e["z1"], e["x2"], e["z2"])))
+    near = joined.withColumn("distance", F.when(inside, 0.0).otherwise(gap)).filter(F.col("distance") <= reach)
+    return near.drop("vertices", "_gx", "_gz", *[f"_{c}_{n}" for c in "xz" for n in ("min", "max")])
+
+
 def door_links(openings: DataFrame, rooms: DataFrame, keys: list[str], reach: float = 0.5) -> DataFrame:
     """Rooms that an opening (opening_id, x, z) joins: the first two by ord within reach of it; one row a pair of rooms.
 
     rooms: keys.., room_id, ord, vertices. The exterior distance is 0 inside a room.
     """
-    edges = rooms.select(*keys, "room_id", "ord", F.inline(plan.edges(F.col("vertices"))))
-    near = openings.join(edges, keys).withColumn("_d", plan.segment_distance(F.col("x"), F.col("z"), F.col("x1"), F.col("z1"), F.col("x2"), F.col("z2")))
-    turns = ((F.col("z1") > F.col("z")) != (F.col("z2") > F.col("z"))) & (F.col("x") < F.col("x1") + (F.col("z") - F.col("z1")) / F.nullif(F.col("z2") - F.col("z1"), F.lit(0.0)) * (F.col("x2") - F.col("x1")))
-    by_room = near.groupBy(*keys, "opening_id", "room_id", "ord").agg(F.min("_d").alias("d"), F.count_if(turns).alias("turns"))
-    close = by_room.filter((F.col("turns") % 2 == 1) | (F.col("d") <= reach))
+    close = _near_rooms(openings, rooms.select(*keys, "room_id", "ord", "vertices"), keys, reach)
     two = close.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "opening_id").orderBy("ord"))).filter("_r <= 2")
     linked = two.groupBy(*keys, "opening_id").agg(F.sort_array(F.collect_list("room_id")).alias("r")).filter(F.size("r") == 2)
     return linked.select(*keys, F.col("r")[0].alias("room_a"), F.col("r")[1].alias("room_b"), "opening_id").groupBy(*keys, "room_a", "room_b").agg(F.min("opening_id").alias("opening_id"), F.lit(0.9).alias("shared_length"))
@@ -120,9 +131,8 @@ def adjacency(rooms: DataFrame, openings: DataFrame, keys: list[str]) -> DataFra
 
 def walls_to_rooms(walls: DataFrame, rooms: DataFrame, keys: list[str], reach: float = 4.0) -> DataFrame:
     """Every room within reach of a wall's centre (x, z)."""
-    edges = rooms.select(*keys, "room_id", F.inline(plan.edges(F.col("vertices"))))
-    near = walls.select(*keys, "wall_id", "x", "z").join(edges, keys).withColumn("_d", plan.segment_distance(F.col("x"), F.col("z"), F.col("x1"), F.col("z1"), F.col("x2"), F.col("z2")))
-    return near.groupBy(*keys, "wall_id", "room_id").agg(F.min("_d").alias("distance")).filter(F.col("distance") <= reach)
+    near = _near_rooms(walls.select(*keys, "wall_id", "x", "z"), rooms.select(*keys, "room_id", "vertices"), keys, reach)
+    return near.select(*keys, "wall_id", "room_id", "distance")
 
 
 def visited_cells(poses: DataFrame, keys: list[str], size: float, share: float = 0.01, least: int = 10) -> DataFrame:

@@ -7,6 +7,8 @@ import itertools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from planimetra.operators.shared import cut
+
 
 def cell(columns: list[str], size: float) -> list[Column]:
     return [F.floor(F.col(c) / size).cast("long").alias(f"_cell{i}") for i, c in enumerate(columns)]
@@ -42,3 +44,25 @@ def nearest(left: DataFrame, right: DataFrame, columns: list[str], radius: float
     pairs = within(left, right, columns, radius, extra=F.col(f"a.{key}") != F.col(f"b.{key}")).select(F.col(f"a.{key}").alias(key), F.col(f"b.{key}").alias("neighbour"), "distance")
     rank = F.row_number().over(Window.partitionBy(key).orderBy("distance", "neighbour"))
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def nearest_of_all(points: DataFrame, columns: list[str], radius: float, k: int, key: str) -> DataFrame:
+    """nearest() of points among themselves without a largest radius: points with fewer than k neighbours look twice as far, again and again.
+
+    The wider rounds join only the points that are left; they end when the radius spans all points.
+    """
+    span = points.agg(*[(F.max(c) - F.min(c)).alias(c) for c in columns]).first()
+    reach = sum((x or 0.0) ** 2 for x in span) ** 0.5
+    left, out = points, None
+    while True:
+        last = radius >= reach
+        found = cut(nearest(left, points, columns, radius, k, key))
+        if last:
+            return found if out is None else out.unionByName(found)
+        done = found.filter(F.col("rank") == k).select(key)
+        part = found.join(done, key, "left_semi")
+        out = part if out is None else out.unionByName(part)
+        left = cut(left.join(done, key, "left_anti"))
+        if left.isEmpty():
+            return out
+        radius = min(2 * radius, reach)

@@ -82,4 +82,7 @@ def sql(query: str, *names: str) -> str:
     """query behind the views that it names, for DuckDB."""
     ctes = ", ".join(f"{n} AS (SELECT {_doubles(VIEWS[n][1].format(**_DUCK))} FROM {VIEWS[n][0]})" for n in names)
     body = _doubles(query.strip())
-    return f"WITH {ctes}{', ' + body[5:] if body.upper().startswith('WITH ') else ' ' + body}"
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(head):
+            return f"{head}{ctes}, {body[len(head):]}"
+    return f"WITH {ctes} {body}"
