@@ -275,14 +275,18 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield arrays.batch(schema, rows.column("doc_id"), arrays.binaries(sets.view(np.uint8), edge * 8))
 
 
-def _hubs(tables: DataFrame) -> DataFrame:
-    """(doc_id, hub) for every document of a table key but its hub. tables: key, doc_id.
+def _met(tables: DataFrame) -> DataFrame:
+    """(key, doc_id, n) of the table keys that n > 1 documents share. tables: key, doc_id."""
+    counts = stored(tables.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "table-sizes")
+    return tables.join(counts, "key")
+
+
+def _hubs(met: DataFrame) -> DataFrame:
+    """(doc_id, hub) for every document of a table key but its hub.
 
     The hub of a key is the document that meets most others over all its keys, the least of several: what lies in the
     middle of a group is linked with more of it than its first document is.
     """
-    counts = stored(tables.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "table-sizes")
-    met = stored(tables.join(counts, "key"), "met")
     degrees = met.groupBy("doc_id").agg(F.sum("n").alias("degree"))
     hubs = met.select("key", "doc_id").join(degrees, "doc_id").groupBy("key").agg(F.max(F.struct("degree", F.bitwise_not("doc_id").alias("turned"))).alias("top"))
     hubs = stored(hubs.select("key", F.bitwise_not("top.turned").alias("hub")), "hubs")
@@ -309,7 +313,7 @@ def _grid(rows: DataFrame, size, rows_of_block: int, bytes_of_block: int) -> Dat
 
 def _stars(edges: DataFrame, sizes: DataFrame, bytes_of_block: int) -> DataFrame:
     """Cells of each hub against blocks of its documents. edges: doc_id, hub. sizes: doc_id, bytes."""
-    sized = edges.join(sizes, "doc_id")
+    sized = stored(edges.join(sizes, "doc_id"), "star-edges")
     totals = stored(sized.groupBy("hub").agg(F.ceil(F.sum("bytes") / bytes_of_block).cast("int").alias("blocks")), "star-sizes")
     right = sized.join(totals, "hub").select(F.col("hub").alias("key"), F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("u"), "doc_id", F.lit(False).alias("left"))
     left = totals.select(F.col("hub").alias("key"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("u"), F.col("hub").alias("doc_id"), F.lit(True).alias("left"))
@@ -340,22 +344,22 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT, block_rows: in
     shared = stored(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "shared-keys")
     buckets = stored(banded.join(shared, "key"), "buckets")
 
-    def sets(chosen: DataFrame) -> DataFrame:
-        """doc_id, shingles of the documents in chosen."""
-        rows = ids.join(chosen.select("doc_id").distinct(), "doc_id")
-        return docs.join(rows, ["doc_id", "row_key"]).select("doc_id", "text").mapInArrow(_sets, "doc_id long, shingles binary")
+    tables = stored(buckets.select("doc_id", F.explode("others").alias("other"), "key").select(F.xxhash64("key", "other").alias("key"), "doc_id"), "tables")
+    met = stored(_met(tables), "met")
+    # texts are shuffled once, and sets made once, for all documents that share a table key
+    chosen = ids.join(met.select("doc_id").distinct(), "doc_id")
+    sets = stored(docs.join(chosen, ["doc_id", "row_key"]).select("doc_id", "text").mapInArrow(_sets, "doc_id long, shingles binary"), "shingle-sets")
 
     def confirmed(cells: DataFrame) -> DataFrame:
-        return _dealt(cells.join(sets(cells), "doc_id"), "shingles").mapInArrow(partial(_confirmed, percent=percent), _EDGE)
+        return _dealt(cells.join(sets, "doc_id"), "shingles").mapInArrow(partial(_confirmed, percent=percent), _EDGE)
 
-    tables = stored(buckets.select("doc_id", F.explode("others").alias("other"), "key").select(F.xxhash64("key", "other").alias("key"), "doc_id"), "tables")
     sizes = kinds.groupBy("doc_id").agg(F.sum(8 * F.col("n_shingles")).alias("bytes"))
-    near = stored(components(confirmed(stored(_stars(_hubs(tables), sizes, block_bytes), "star-cells"))), "near-hubs")
+    near = stored(components(confirmed(_stars(_hubs(met), sizes, block_bytes))), "near-hubs")
     labelled = lambda rows: rows.join(near.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     rest = _grid(labelled(buckets.select("key", "doc_id", "values")), F.length("values"), block_rows, block_bytes)
     groups = stored(components(_dealt(rest, "values").mapInArrow(partial(_candidates, bands=bands), _EDGE)), "candidate-groups")
     members = labelled(ids.select("doc_id").distinct()).join(groups.select(F.col("node").alias("component"), F.col("component").alias("key")), "component").join(sizes, "doc_id")
-    cells = stored(_grid(members, F.col("bytes"), block_rows, block_bytes).drop("bytes"), "set-cells")
+    cells = _grid(members, F.col("bytes"), block_rows, block_bytes).drop("bytes")
     found = components(confirmed(cells).unionByName(near.filter("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))))
     leads = kinds.join(found, kinds.doc_id == found.node, "left").select(*identity, F.coalesce("component", "doc_id").alias("component_id"))
     joined = signed.join(leads, identity, "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
