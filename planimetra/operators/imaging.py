@@ -107,12 +107,12 @@ def upright(cameras: DataFrame, keys: list[str]) -> DataFrame:
     return unit.select(*keys, F.when(1 + y > 1e-9, whole).otherwise(flipped).alias("rotation"))
 
 
-def normals(points: DataFrame, key: str, radius: float = 0.10, neighbours: int = 30) -> DataFrame:
+def normals(points: DataFrame, key: str, radius: float = 0.10, neighbours: int = 30, keys: list[str] = ()) -> DataFrame:
     """Unit normals from the plane of each point's nearest neighbours; points with fewer than two are left out.
 
     Neighbours are found by the grid join, covariances summed in SQL, and only 3x3 eigenvectors are taken in Arrow batches.
     """
-    near = spatial.nearest(points, points, ["x", "y", "z"], radius, neighbours, key)
+    near = spatial.nearest(points, points, ["x", "y", "z"], radius, neighbours, key, keys)
     joined = near.select(F.col(key), F.col("neighbour")).join(points.select(F.col(key).alias("neighbour"), "x", "y", "z"), "neighbour")
     moments = [F.covar_pop(a, b).alias(f"{a}{b}") for i, a in enumerate("xyz") for b in "xyz"[i:]]
     table = joined.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *moments).filter("n >= 2")
@@ -190,6 +190,24 @@ def frames_of_tiers(lidar: DataFrame, video: DataFrame, video_poses: DataFrame,
     return out
 
 
+def posed_images(images: DataFrame, poses: DataFrame) -> DataFrame:
+    """images (image_name) with the pose of their name; a missing one stays null."""
+    return images.join(poses, "image_name", "left")
+
+
+def metric_poses(poses: DataFrame) -> DataFrame:
+    """Poses of a solver (r, t) whose translation has three finite numbers, as x, y, z; others get the reason."""
+    sound = (F.size("t") == 3) & ~F.exists("t", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    sound = F.coalesce(sound, F.lit(False))
+    return poses.withColumns({**{c: F.when(sound, F.get("t", F.lit(i))) for i, c in enumerate("xyz")}, "reason": F.when(~sound, "no_translation")})
+
+
+def first_frames(frames: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """The first most frames of each capture."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("frame"))
+    return frames.withColumn("_rank", rank).filter(F.col("_rank") <= most).drop("_rank")
+
+
 def plane_documents(documents: DataFrame) -> DataFrame:
     """Planes of captures (capture_id, priority, detected_planes, planes, walls): the first list that is there in the first document."""
     found = documents.withColumn("_p", F.coalesce("detected_planes", "planes", "walls"))

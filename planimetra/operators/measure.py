@@ -22,7 +22,7 @@ def shape(rooms: DataFrame, vertices: str = "vertices") -> DataFrame:
 def validated_polygon(rooms: DataFrame) -> DataFrame:
     """Adds errors, warnings and valid to rooms with shape(): three corners, no duplicates, simple, 1 to 500 m2."""
     distinct = F.size(F.array_distinct(F.transform("vertices", lambda v: F.struct(F.round(v["x"], 4).alias("x"), F.round(v["z"], 4).alias("z")))))
-    errors = reasons(too_few_vertices=distinct < 3, duplicate_vertices=distinct < F.size("vertices"), self_intersecting=F.col("crossings") > 0, area_out_of_range=~F.col("area").between(1.0, 500.0))
+    errors = reasons(too_few_vertices=F.coalesce(distinct < 3, F.lit(True)), duplicate_vertices=distinct < F.size("vertices"), self_intersecting=F.col("crossings") > 0, area_out_of_range=~F.col("area").between(1.0, 500.0))
     return rooms.withColumns({"errors": errors, "warnings": reasons(short_edge=F.col("shortest_edge") < 0.20)}).withColumn("valid", F.size("errors") == 0)
 
 

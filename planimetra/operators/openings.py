@@ -30,7 +30,7 @@ def to_walls(openings: DataFrame, walls: DataFrame, keys: list[str], farthest: f
     walls: wall_id, ord, x1, z1, x2, z2, a few in each group of keys. Of equal walls the first in ord wins.
     """
     fits = openings.filter(F.col("width").between(least, most))
-    joined = fits.join(walls.select(*keys, "wall_id", "ord", "x1", "z1", "x2", "z2"), keys)
+    joined = fits.select(*keys, "opening_id", "x", "z", "score").join(walls.select(*keys, "wall_id", "ord", "x1", "z1", "x2", "z2"), keys)
     d = segment_distance(F.col("x"), F.col("z"), F.col("x1"), F.col("z1"), F.col("x2"), F.col("z2"), 1e-6)
     near = joined.withColumn("distance", d).filter(F.col("distance") <= farthest)
     value = F.col("score") * F.greatest(F.lit(0.1), 1 - F.col("distance") / farthest)

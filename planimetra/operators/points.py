@@ -33,10 +33,10 @@ def with_views(cells: DataFrame, points: DataFrame, size: float) -> DataFrame:
     return cells.join(points.groupBy(*grid).agg(F.count_distinct("view_id").alias("n_views")), ["vx", "vy", "vz"])
 
 
-def funnel(pixels: DataFrame, least_confidence: int = 2, low: float = 0.2, high: float = 5.0) -> DataFrame:
+def funnel(pixels: DataFrame, least_confidence: int = 2, low: float = 0.2, high: float = 5.0, keys: list[str] = ()) -> DataFrame:
     """Counters of a capture: pixels, those confident, those also in range. pixels: confidence, depth."""
     sure = F.col("confidence") >= least_confidence
-    return pixels.agg(
+    return pixels.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("pixels"),
         F.count_if(sure).alias("confident"),
         F.count_if(sure & F.col("depth").between(low, high)).alias("in_range"),
@@ -50,7 +50,7 @@ def unproject(pixels: DataFrame, stride: int = 1, low: float = 0.2, high: float
     return kept.filter(z.between(low, high)).withColumns({"x": (F.col("u") - F.col("cx")) * z / F.col("fx"), "y": (F.col("v") - F.col("cy")) * z / F.col("fy"), "z": z})
 
 
-def to_world(points: DataFrame, poses: DataFrame, key: str = "frame") -> DataFrame:
+def to_world(points: DataFrame, poses: DataFrame, key: str | list[str] = "frame") -> DataFrame:
     """Camera points joined to the pose of their frame (qx..qw, tx, ty, tz), in world coordinates."""
     joined = points.join(poses, key)
     world = transformed(rotation(tuple(F.col(f"q{c}") for c in "xyzw")), tuple(F.col(f"t{c}") for c in "xyz"), tuple(F.col(c) for c in "xyz"))
@@ -84,14 +84,15 @@ def supported(points: DataFrame, size: float = 0.05, least_views: int = 2, least
     return marked.crossJoin(F.broadcast(total)).filter(F.col("_ok") | ~enough).withColumn("status", F.when(enough, "OK").otherwise("PROVISIONAL")).select(*points.columns, "status")
 
 
-def without_outliers(points: DataFrame, key: str, neighbours: int = 20, deviations: float = 2.0, radius: float = 1.0) -> DataFrame:
-    """Points whose mean distance to their nearest neighbours is at most mean + deviations * std of all.
+def without_outliers(points: DataFrame, key: str, neighbours: int = 20, deviations: float = 2.0, radius: float = 1.0, keys: list[str] = ()) -> DataFrame:
+    """Points whose mean distance to their nearest neighbours, of their capture (keys), is at most mean + deviations * std of all there.
 
     Neighbours are looked for within radius first, and farther for points that have too few there.
     """
-    mean = spatial.nearest_of_all(points, AXES, radius, neighbours, key).groupBy(key).agg(F.avg("distance").alias("_near"))
-    limit = mean.agg((F.avg("_near") + deviations * F.stddev_pop("_near")).alias("_limit"))
-    return points.join(mean, key).crossJoin(F.broadcast(limit)).filter(F.col("_near") <= F.col("_limit")).drop("_near", "_limit")
+    mean = spatial.nearest_of_all(points, AXES, radius, neighbours, key, keys).groupBy(key).agg(F.avg("distance").alias("_near"))
+    near = points.join(mean, key)
+    limit = near.groupBy(*keys).agg((F.avg("_near") + deviations * F.stddev_pop("_near")).alias("_limit"))
+    return (near.join(limit, list(keys)) if keys else near.crossJoin(F.broadcast(limit))).filter(F.col("_near") <= F.col("_limit")).drop("_near", "_limit")
 
 
 def near_planes(points: DataFrame, walls: DataFrame, keys: list[str], thickness: float = 0.06, margin: float = 0.15, cell: float = 0.5) -> DataFrame:

@@ -149,6 +149,64 @@ def room_of_cell(cells: DataFrame, size: float, reach: float = 2.0) -> DataFrame
     return cells.withColumn("vertices", F.when(F.lit(size * size > 1.0), own).otherwise(square))
 
 
+def _between(values: Column, low: Column, high: Column) -> Column:
+    return F.filter(values, lambda x: (x >= low) & (x <= high))
+
+
+def regions(poses: DataFrame, walls: DataFrame, keys: list[str], margin: float = 0.4) -> DataFrame:
+    """Rooms and the connector of captures from where the camera was: keys.., room_id, is_connector, frames, area, parts (rectangles in x, z).
+
+    poses: keys.., frame, x, z. walls: keys.., wall_id, x, z (middle), a, c (normal). In the frame of the walls' main direction, clustered
+    wall lines cut the plan into cells; cells with enough poses are the connector (a middle band) or one of four quarters.
+    A capture under 3.5 m wide is one room. A point of the plan is in one cell, so rooms never overlap.
+    """
+    k = [F.col(x) for x in keys]
+    turn = dominant_orientation(walls, keys).select(*keys, "radians")
+    placed = poses.join(turn, keys, "left").withColumn("radians", F.coalesce("radians", F.lit(0.0)))
+    cos, sin = F.cos("radians"), F.sin("radians")
+    uv = lambda x, z: (F.col(x) * cos + F.col(z) * sin, -F.col(x) * sin + F.col(z) * cos)
+    placed = placed.withColumns(dict(zip("uv", uv("x", "z"))))
+    ends = placed.groupBy(*keys).agg(F.first("radians").alias("radians"), F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{c}_{s}") for c in "xzuv" for f, s in ((F.min, "min"), (F.max, "max"), (F.avg, "mean"))])
+    small = ((F.col("x_max") - F.col("x_min") + 1) < 3.5) & ((F.col("z_max") - F.col("z_min") + 1) < 3.5)
+    whole = F.array(plan.rectangle(F.col("x_min") - 0.5, F.col("z_min") - 0.5, F.col("x_max") - F.col("x_min") + 1, F.col("z_max") - F.col("z_min") + 1))
+    one = ends.filter(small).select(*keys, F.lit("room_01").alias("room_id"), F.lit(False).alias("is_connector"), F.col("n").alias("frames"), plan.area(whole[0]).alias("area"), whole.alias("parts"))
+
+    turned = walls.join(ends.filter(~small).select(*keys, "radians"), keys)
+    (nu, nv), (cu, cv) = uv("a", "c"), uv("x", "z")
+    axis = F.when(F.abs(nu) > F.abs(nv), "u").otherwise("v")
+    from planimetra.operators.structure import line_clusters
+
+    lines = line_clusters(turned.select(*keys, axis.alias("axis"), F.when(axis == "u", cu).otherwise(cv).alias("position")), [*keys, "axis"])
+    by_axis = lines.groupBy(*keys).agg(*[F.collect_list(F.when(F.col("axis") == a, F.col("position"))).alias(f"{a}_lines") for a in "uv"])
+    large = ends.filter(~small).join(by_axis, keys, "left")
+    for a in "uv":
+        low, high = F.col(f"{a}_min") - margin, F.col(f"{a}_max") + margin
+        inner = _between(F.coalesce(f"{a}_lines", F.array().cast("array<double>")), low, high)
+        cuts = F.array_sort(F.array_distinct(F.concat(F.array(low), inner, F.array(high))))
+        large = large.withColumn(f"{a}_cuts", F.when(F.size(cuts) < 3, F.array(low, (F.col(f"{a}_min") + F.col(f"{a}_max")) / 2, high)).otherwise(cuts))
+    at = lambda a: F.size(F.filter(f"{a}_cuts", lambda b: b <= F.col(a))) - 1
+    celled = placed.select(*keys, "u", "v").join(large, keys).withColumns({"i": at("u"), "j": at("v")})
+    cut = lambda a, i: F.get(f"{a}_cuts", i)
+    counted = celled.groupBy(*keys, "i", "j").agg(F.count(F.lit(1)).alias("frames")).join(large, keys).filter(F.col("frames") >= F.greatest(F.lit(10), F.floor(F.col("n") / 100)))
+    counted = counted.withColumns({"u0": cut("u", F.col("i")), "u1": cut("u", F.col("i") + 1), "v0": cut("v", F.col("j")), "v1": cut("v", F.col("j") + 1)}).withColumns({"cu": (F.col("u0") + F.col("u1")) / 2, "cv": (F.col("v0") + F.col("v1")) / 2})
+    every = Window.partitionBy(*keys)
+    low, high = (F.col("v_min") + (F.col("v_max") - F.col("v_min")) * s for s in (0.35, 0.65))
+    counted = counted.withColumn("_band", F.col("cv").between(low, high) & (F.count(F.lit(1)).over(every) > 3))
+    central = F.row_number().over(every.orderBy(F.hypot(F.col("cu") - F.col("u_mean"), F.col("cv") - F.col("v_mean")), "i", "j"))
+    connector = F.col("_band") | (~F.max("_band").over(every) & (central == 1))
+    west, north = F.col("cu") < (F.col("u_min") + F.col("u_max")) / 2, F.col("cv") >= high
+    quarter = F.when(north, F.when(west, 1).otherwise(2)).otherwise(F.when(west, 4).otherwise(3))
+    grouped = counted.withColumn("is_connector", connector).withColumn("_quarter", F.when(F.col("is_connector"), 5).otherwise(quarter))
+    back = lambda u, v: F.struct((u * F.cos("radians") - v * F.sin("radians")).alias("x"), (u * F.sin("radians") + v * F.cos("radians")).alias("z"))
+    part = F.array(*[back(F.col(a), F.col(b)) for a, b in (("u0", "v0"), ("u1", "v0"), ("u1", "v1"), ("u0", "v1"))])
+    area = (F.col("u1") - F.col("u0")) * (F.col("v1") - F.col("v0"))
+    table = grouped.groupBy(*keys, "_quarter", "is_connector").agg(F.sum("frames").alias("frames"), F.sum(area).alias("area"), F.transform(F.sort_array(F.collect_list(F.struct("i", "j", part.alias("p")))), lambda c: c["p"]).alias("parts"))
+    table = table.filter(F.col("is_connector") | (F.col("area") >= 1.0))
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("_quarter"))
+    named = table.withColumn("room_id", F.when(F.col("is_connector"), "connector_01").otherwise(F.format_string("room_%02d", number)))
+    return one.unionByName(named.select(*k, "room_id", "is_connector", "frames", "area", "parts"))
+
+
 def moved_rooms(rooms: DataFrame, transforms: DataFrame, slack: float = 0.03) -> DataFrame:
     """Rooms (room_id, vertices) under their rigid transform (matrix of 16); those whose matrix is not rigid get a reason."""
     from planimetra.functions.vectors import cell, cross, dot

@@ -37,16 +37,16 @@ def within(left: DataFrame, right: DataFrame, columns: list[str], radius: float,
     return (kept if extra is None else kept.filter(extra)).select("a", "b", "distance")
 
 
-def nearest(left: DataFrame, right: DataFrame, columns: list[str], radius: float, k: int, key: str) -> DataFrame:
-    """For each row of left its k nearest others of right within radius: key, neighbour's key, distance, rank from 1."""
+def nearest(left: DataFrame, right: DataFrame, columns: list[str], radius: float, k: int, key: str, keys: list[str] = ()) -> DataFrame:
+    """For each row of left its k nearest others of right within radius and equal in keys: key, neighbour's key, distance, rank from 1."""
     from pyspark.sql.window import Window
 
-    pairs = within(left, right, columns, radius, extra=F.col(f"a.{key}") != F.col(f"b.{key}")).select(F.col(f"a.{key}").alias(key), F.col(f"b.{key}").alias("neighbour"), "distance")
+    pairs = within(left, right, columns, radius, keys, extra=F.col(f"a.{key}") != F.col(f"b.{key}")).select(F.col(f"a.{key}").alias(key), F.col(f"b.{key}").alias("neighbour"), "distance")
     rank = F.row_number().over(Window.partitionBy(key).orderBy("distance", "neighbour"))
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def nearest_of_all(points: DataFrame, columns: list[str], radius: float, k: int, key: str) -> DataFrame:
+def nearest_of_all(points: DataFrame, columns: list[str], radius: float, k: int, key: str, keys: list[str] = ()) -> DataFrame:
     """nearest() of points among themselves without a largest radius: points with fewer than k neighbours look twice as far, again and again.
 
     The wider rounds join only the points that are left; they end when the radius spans all points.
@@ -56,7 +56,7 @@ def nearest_of_all(points: DataFrame, columns: list[str], radius: float, k: int,
     left, out = points, None
     while True:
         last = radius >= reach
-        found = cut(nearest(left, points, columns, radius, k, key))
+        found = cut(nearest(left, points, columns, radius, k, key, keys))
         if last:
             return found if out is None else out.unionByName(found)
         done = found.filter(F.col("rank") == k).select(key)

@@ -165,6 +165,11 @@ def interpolated(poses: DataFrame, corrections: DataFrame, key: str) -> DataFram
     return table.withColumns(mixed).drop("_k", "_a", "_b")
 
 
+def nodes_of_frames(frames: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
+    """frames with the node of the keyframe that each is, null for others. nodes: key, node, frame."""
+    return frames.join(nodes.select(key, "frame", "node"), [key, "frame"], "left")
+
+
 def loop_residual(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Mean distance between where loop edges (source, target, dx, dy, dz) say their source is and where it is; 0 for none."""
     a = nodes.select(F.col("node").alias("source"), *[F.col(c).alias(f"s{c}") for c in AXES])

@@ -61,21 +61,21 @@ def _doubles(text: str) -> str:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    table, columns = VIEWS[name]
+    table, named = VIEWS[name]
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     source = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    return source.selectExpr(*_split(_doubles(columns.format(**_SPARK))))
+    return source.selectExpr(*columns(_doubles(named.format(**_SPARK))))
 
 
-def _split(columns: str) -> list[str]:
+def columns(listed: str) -> list[str]:
     """Columns at commas outside parentheses."""
     out, depth, start = [], 0, 0
-    for i, c in enumerate(columns):
+    for i, c in enumerate(listed):
         depth += (c == "(") - (c == ")")
         if c == "," and not depth:
-            out.append(columns[start:i].strip())
+            out.append(listed[start:i].strip())
             start = i + 1
-    return [*out, columns[start:].strip()]
+    return [*out, listed[start:].strip()]
 
 
 def sql(query: str, *names: str) -> str:

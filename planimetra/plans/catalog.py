@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from planimetra.functions import labels, plan, uncertainty, vectors
 from planimetra.operators import damage, evaluate, graph, imaging, measure, openings, points, rooms, rules, scale, structure, trajectory
+from planimetra.plans import bindings, captures
 from planimetra.plans.bindings import sql, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -802,3 +803,46 @@ def f23_moved_rooms(spark, sf_dir):
 def p9_image_gate(spark, sf_dir):
     rows = view(spark, sf_dir, "observations").selectExpr("observation_id AS image_id", "640 AS width", "480 AS height", "observation_id % 256 AS mean", "observation_id % 60 AS contrast", "observation_id % 100 AS laplacian")
     return damage.image_gate(rows).select("image_id", "status")
+
+
+# ---- whole runs -----------------------------------------------------------------------------------------------------
+
+_PIXELS = "point_id AS pixel, view_id % 8 AS capture_id, view_id AS frame, point_id * 7 % 256 AS u, point_id * 11 % 192 AS v, CAST(floor(abs(z) * 1000) AS BIGINT) AS depth_mm, CAST(confidence AS INT) AS confidence"
+
+
+@query(f"""WITH p AS (SELECT {_PIXELS} FROM points), c AS (SELECT capture_id, frame, (u - 128.0) * (depth_mm / 1000.0) / 210.0 AS x, (v - 96.0) * (depth_mm / 1000.0) / 210.0 AS y, depth_mm / 1000.0 AS z FROM p WHERE confidence >= 1 AND depth_mm / 1000.0 BETWEEN 0.2 AND 5.0),
+w AS (SELECT capture_id, cos(frame * 0.37) * x + sin(frame * 0.37) * z + frame * 0.1 AS x, y AS y, cos(frame * 0.37) * z - sin(frame * 0.37) * x AS z FROM c)
+SELECT capture_id, CAST(floor(x / 0.25) AS BIGINT) AS vx, CAST(floor(y / 0.25) AS BIGINT) AS vy, CAST(floor(z / 0.25) AS BIGINT) AS vz, count(*) AS n_points, round(avg(x), 5) + 0.0 AS x, round(avg(y), 5) + 0.0 AS y, round(avg(z), 5) + 0.0 AS z FROM w GROUP BY ALL""", "points")
+def c1_reconstruction(spark, sf_dir):
+    pixels = view(spark, sf_dir, "points").selectExpr(*bindings.columns(_PIXELS), "210D AS fx", "210D AS fy", "128D AS cx", "96D AS cy")
+    half = F.col("frame") * 0.185
+    poses = pixels.select("capture_id", "frame").distinct().select("*", F.col("frame").cast("double").alias("ts_s"), (F.col("frame") * 0.1).alias("x"), *[F.lit(0.0).alias(c) for c in ("y", "z", "qx", "qz")], F.sin(half).alias("qy"), F.cos(half).alias("qw"))
+    cloud = captures.reconstruction(pixels, poses, voxel=0.25, confidence=1, outliers=False)["cloud"]
+    return rounded(cloud.drop("point_id"), "x", "y", "z", decimals=5)
+
+
+@query("""WITH o AS (SELECT a.property_id, (least(a.x0 + a.w, b.x0 + b.w) - greatest(a.x0, b.x0)) * (least(a.z0 + a.h, b.z0 + b.h) - greatest(a.z0, b.z0)) AS overlap
+  FROM rooms a JOIN rooms b ON a.property_id = b.property_id AND a.room_id < b.room_id AND least(a.x0 + a.w, b.x0 + b.w) > greatest(a.x0, b.x0) AND least(a.z0 + a.h, b.z0 + b.h) > greatest(a.z0, b.z0)),
+n AS (SELECT property_id, count(*) AS k FROM o WHERE overlap > 0.1 GROUP BY 1)
+SELECT property_id, count(*) AS n_rooms, round(sum(w * h), 3) AS total_area, coalesce(any_value(k), 0) AS n_overlaps, any_value(k) IS NULL AS valid FROM rooms LEFT JOIN n USING (property_id) GROUP BY property_id""", "rooms")
+def c5_property(spark, sf_dir):
+    table = _rectangles(spark, sf_dir).withColumn("ord", F.col("room_id"))
+    doors = table.select("property_id", F.col("room_id").alias("opening_id"), (F.col("x0") + F.col("w")).alias("x"), (F.col("z0") + 0.5).alias("z"))
+    return captures.property_of(table, doors)["document"].select("property_id", "n_rooms", "total_area", F.col("overlaps").alias("n_overlaps"), "valid")
+
+
+_TIERS = "CASE entity % 3 WHEN 0 THEN 'lidar' WHEN 1 THEN 'video' ELSE 'photo' END AS tier, *"
+
+
+@query(f"""WITH t AS (SELECT {_TIERS}, abs(predicted - reference) AS e FROM measurements), g AS (
+  SELECT 'opening_width' AS name, count(*) FILTER (e <= 0.02) AS k, count(*) AS n, 0.85 AS share FROM t WHERE tier = 'lidar' AND type = 'opening_width'
+  UNION ALL SELECT 'ceiling_height', count(*) FILTER (e <= 0.015), count(*), 1.0 FROM t WHERE tier = 'lidar' AND type = 'ceiling_height'
+  UNION ALL SELECT 'video_walls', count(*) FILTER (e / abs(reference) <= 0.03), count(*), 0.85 FROM t WHERE tier = 'video' AND type = 'wall_length'
+  UNION ALL SELECT 'photo_walls', count(*) FILTER (e / abs(reference) <= 0.08), count(*), 0.8 FROM t WHERE tier = 'photo' AND type = 'wall_length')
+SELECT 'gate' AS section, name, k AS numerator, n AS denominator, share AS value, CASE WHEN k / n >= share THEN 'PASS' ELSE 'FAIL' END AS result FROM g
+UNION ALL SELECT 'accuracy', tier || '.' || type, count(*), count(*), round(avg(e), 6), 'EVALUATED' FROM t GROUP BY tier, type
+UNION ALL SELECT 'intervals', tier, count(*) FILTER (reference BETWEEN lower AND upper), count(*), round(count(*) FILTER (reference BETWEEN lower AND upper) / count(*), 6), 'EVALUATED' FROM t GROUP BY tier
+UNION ALL SELECT 'incumbent', tier, count(*) FILTER (e < abs(i.incumbent - t.reference)), count(*), round(count(*) FILTER (e < abs(i.incumbent - t.reference)) / count(*), 6), 'EVALUATED' FROM t JOIN measurements i USING (room_id, entity, type) GROUP BY tier""", "measurements")
+def e6_benchmark(spark, sf_dir):
+    rows = view(spark, sf_dir, "measurements").selectExpr(*bindings.columns(_TIERS))
+    return captures.benchmark(rows, rows.select("room_id", "entity", "type", "incumbent"))

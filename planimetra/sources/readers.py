@@ -34,6 +34,11 @@ def odometry(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
+def frame_count(poses: DataFrame) -> int:
+    """Number of odometry rows."""
+    return poses.count()
+
+
 def camera_matrix(spark: SparkSession, path: str) -> list[list[float]]:
     rows = [tuple(r) for r in spark.read.csv(path, schema="a double, b double, c double").limit(4).collect()]
     if len(rows) != 3 or any(x is None for r in rows for x in r):
