@@ -1,10 +1,13 @@
 """Toxicity by class-conditional Kneser-Ney language models.
 
-Word bigram models of toxic and of ordinary labelled texts back off to class unigrams and then to continuation counts
-that both classes share; pairs are kept for words that tell the classes apart, since only those move the ratio. Counts of all labelled rows go into hashed tables of a fixed size, whose sums Spark takes; the
-numbers of distinct neighbours that Kneser-Ney needs are linear-counting estimates from 64-bit maps. A text's features
-are its mean log-likelihood ratio per word and the largest mean over a few consecutive words; a logistic curve, fitted
-on rows that gave no counts, turns them into a score.
+Two word bigram models, of toxic and of ordinary labelled texts, back off to their own continuation counts (after how many
+different words a word was seen in texts of the class), and those to continuation counts that both classes share. All pairs
+of neighbours in all labelled rows are counted, under 64-bit keys, in Spark tables. A text's features are its mean
+log-likelihood ratio per word under the bigram models, and the largest ratio of a single word under the lower order, since one
+expression can make a text toxic; a logistic curve, fitted on rows that gave no counts, turns them into a score.
+
+The discount is one count: a pair or a continuation that was seen once is chance and backs off wholly. So the tables that scoring
+needs hold only what was seen twice at least in a class, and nothing is left out of the counts for that.
 """
 
 from __future__ import annotations
@@ -14,164 +17,159 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planimetra.llm import arrays
-from planimetra.llm.tables import small_batches
-
-WORD_BITS = 17
-PAIR_BITS = 19
-#: Pairs are counted where the second word is more frequent in toxic texts by this log ratio at least.
-TELLING = 1.0
-#: Of words, and of pairs: rare pairs of rare words are chance, so they back off wholly.
-DISCOUNT, PAIR_DISCOUNT = 0.75, 3.0
-SPAN = 3
-#: A history seen less often than this in either class backs off wholly: its pairs tell little.
-LEAST_HISTORY = 50
-#: No word says more than this for or against a class: rare pairs would.
+from planimetra.llm.tables import keyed, public_id, stored
+
+#: A history's own pairs count against this many words of the lower order, in both classes.
+PRIOR = 50
+#: No word says more than this for or against a class.
 LARGEST_RATIO = 5.0
 #: The calibration curve is fitted on about this many labelled rows at most; counts take all rows.
 CALIBRATION_ROWS = 20_000
 #: Labels are broadcast to the texts up to this many rows (16 bytes each), and joined by a shuffle beyond.
 BROADCAST_LABELS = 1_000_000
+#: The model's tables are broadcast up to this many rows in all (16 bytes each), and joined to the texts' words beyond.
+BROADCAST_MODEL = 4_000_000
 
 _U = np.uint64
 _TABLE = arrays.letters_table()
+#: Stands before the first word of a text.
+_START = _U(1)
 
 
 def tokens(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word buckets, pair buckets (of a word and the one before), map bits of each word, and each text's first word."""
+    """Hash of each word, of the one before, of both, and each text's first word."""
     data = arrays.lower_ascii(data)
     begin, end, first = arrays.word_bounds(data, starts, _TABLE)
-    code = arrays.word_hashes(data, begin, end)
-    word = (code >> _U(64 - WORD_BITS)).astype(np.int64)
-    bit = code & _U(63)
-    pair = np.full(len(code), -1, np.int64)
-    if len(code) > 1:
-        pair[1:] = (arrays.mixed(code[1:] + arrays.mixed(code[:-1])) >> _U(64 - PAIR_BITS)).astype(np.int64)
-        pair[first[:-1][first[:-1] < len(code)]] = -1
-    return word, pair, bit, first
-
-
-@dataclass
-class Counts:
-    """Words and pairs of class 0 and 1; of both together: maps of words that follow and that come before."""
-
-    words: np.ndarray
-    pairs: np.ndarray
-    after: np.ndarray
-    before: np.ndarray
-
-    @classmethod
-    def empty(cls) -> Counts:
-        return cls(np.zeros((2, 1 << WORD_BITS), np.int64), np.zeros((2, 1 << PAIR_BITS), np.int64), np.zeros(1 << WORD_BITS, _U), np.zeros(1 << WORD_BITS, _U))
-
-    def add_words(self, data: np.ndarray, starts: np.ndarray, toxic: np.ndarray) -> None:
-        word, pair, bit, first = tokens(data, starts)
-        label = np.repeat(toxic, np.diff(first))
-        for k in (0, 1):
-            self.words[k] += np.bincount(word[label == k], minlength=1 << WORD_BITS)
-        linked = np.flatnonzero(pair >= 0)
-        np.bitwise_or.at(self.after, word[linked - 1], _U(1) << bit[linked])
-        np.bitwise_or.at(self.before, word[linked], _U(1) << bit[linked - 1])
-
-    def add_pairs(self, data: np.ndarray, starts: np.ndarray, toxic: np.ndarray, telling: np.ndarray) -> None:
-        """Pairs that end with a telling word."""
-        word, pair, _, first = tokens(data, starts)
-        label = np.repeat(toxic, np.diff(first))
-        own = (pair >= 0) & telling[word]
-        np.add.at(self.pairs, (label[own], pair[own]), 1)
+    word = arrays.word_hashes(data, begin, end)
+    before = np.full(len(word), _START)
+    before[1:] = word[:-1]
+    before[first[:-1][first[:-1] < len(word)]] = _START
+    return word, before, arrays.mixed(word + arrays.mixed(before)), first
 
 
-_COUNT = "kind int, bucket int, ordinary long, toxic long"
-_COUNT_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("ordinary", pa.int64()), ("toxic", pa.int64())])
+_PAIR = "pair long, before long, word long, ordinary long, toxic long"
+_PAIR_ARROW = pa.schema([(c, pa.int64()) for c in ("pair", "before", "word", "ordinary", "toxic")])
 
 
-def _count(telling=None):
-    """Sums of a partition: of words and maps, or with telling (a broadcast) of pairs."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of neighbours of a chunk of texts, counted by class."""
+    for rows, data, starts in arrays.chunks(batches):
+        word, before, pair, first = tokens(data, starts)
+        if len(word):
+            label = np.repeat(rows.column("toxic").to_numpy(), np.diff(first))
+            kinds, at, place = np.unique(pair, return_index=True, return_inverse=True)
+            toxic = np.bincount(place, weights=label, minlength=len(kinds)).astype(np.int64)
+            yield arrays.batch(_PAIR_ARROW, arrays.signed(kinds), arrays.signed(before[at]), arrays.signed(word[at]), np.bincount(place, minlength=len(kinds)) - toxic, toxic)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Counts.empty()
-        for rows, data, starts in arrays.chunks(batches):
-            if telling is None:
-                counts.add_words(data, starts, rows.column("toxic").to_numpy())
-            else:
-                counts.add_pairs(data, starts, rows.column("toxic").to_numpy(), telling.value)
-        for kind, (a, b) in enumerate((counts.words, counts.pairs, (counts.after, counts.before))):
-            some = np.flatnonzero((a != 0) | (b != 0))
-            if len(some):
-                yield arrays.batch(_COUNT_ARROW, np.full(len(some), kind), some, a[some].astype(np.int64), b[some].astype(np.int64))
 
-    return run
+@dataclass
+class Tables:
+    """What scoring looks up: log ratios of words, what a history adds to them, and ratios of pairs; unseen: of other words."""
 
+    words: DataFrame
+    histories: DataFrame
+    pairs: DataFrame
+    unseen: float
 
-def _distinct(maps: np.ndarray) -> np.ndarray:
-    ones = np.bitwise_count(maps).astype(np.float64)
-    return -64 * np.log1p(-np.minimum(ones, 63.5) / 64)
+    @classmethod
+    def of(cls, counted: DataFrame) -> Tables:
+        """counted: before, word, pair, ordinary, toxic."""
+        kinds = lambda c: F.count_if(F.col(c) > 0)
+        words = stored(counted.groupBy("word").agg(kinds("ordinary").alias("n0"), kinds("toxic").alias("n1"), F.count(F.lit(1)).alias("n")), "continuations")
+        t = words.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n0", "n1", "n")], F.count(F.lit(1)).alias("words"), kinds("n0").alias("kinds0"), kinds("n1").alias("kinds1")).first()
+        shared = (F.col("n") + 0.5) / (t.n + 0.5 * t.words + 0.5)
+
+        def lower(k: int) -> Column:
+            total, seen = (t.n0, t.kinds0) if k == 0 else (t.n1, t.kinds1)
+            return (F.greatest(F.col(f"n{k}") - 1, F.lit(0)) + seen * shared) / total if total else shared
+
+        unseen = np.log((t.kinds1 or 1) / (t.n1 or 1)) - np.log((t.kinds0 or 1) / (t.n0 or 1))
+        levels = words.select("word", lower(0).alias("low0"), lower(1).alias("low1"), (F.greatest("n0", "n1") > 1).alias("told"))
+        histories = counted.groupBy("before").agg(F.sum("ordinary").alias("c0"), F.sum("toxic").alias("c1"), kinds("ordinary").alias("k0"), kinds("toxic").alias("k1")).filter("c0 > k0 or c1 > k1")
+        histories = stored(histories, "histories")
+        left = lambda k: (F.col(f"k{k}") + PRIOR) / (F.col(f"c{k}") + PRIOR)
+        repeated = counted.filter("ordinary > 1 or toxic > 1").join(levels, "word").join(histories, "before")
+        own = lambda k, c: F.greatest(F.col(c) - 1, F.lit(0)) / (F.col(f"c{k}") + PRIOR) + left(k) * F.col(f"low{k}")
+        return cls(
+            stored(levels.filter("told").select("word", (F.log("low1") - F.log("low0")).alias("ratio")), "word-ratios"),
+            stored(histories.select("before", (F.log(left(1)) - F.log(left(0))).alias("adds")), "history-ratios"),
+            stored(repeated.select("pair", (F.log(own(1, "toxic")) - F.log(own(0, "ordinary"))).alias("pair_ratio")), "pair-ratios"),
+            float(unseen),
+        )
+
+    def features(self, rows: DataFrame) -> DataFrame:
+        """doc_id, row_key, toxic of rows with mean and peak; both are 0 without words. rows have text too."""
+        small = sum(t.count() for t in (self.words, self.histories, self.pairs)) <= BROADCAST_MODEL
+        return self._looked_up(rows) if small else self._joined(rows)
+
+    def _looked_up(self, rows: DataFrame) -> DataFrame:
+        sorted_ = [_Sorted.of(t) for t in (self.words, self.histories, self.pairs)]
+        shared, unseen = rows.sparkSession.sparkContext.broadcast(sorted_), self.unseen
+        schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("toxic", pa.int32()), ("mean", pa.float64()), ("peak", pa.float64())])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words, histories, pairs = shared.value
+            for own, data, starts in arrays.chunks(batches):
+                word, before, pair, first = tokens(data, starts)
+                alone = words(word, unseen)
+                both = pairs(pair, alone + histories(before, 0.0))
+                n = np.diff(first)
+                x = np.zeros((2, len(n)))
+                full = np.flatnonzero(n)
+                if len(full):
+                    at = first[:-1][full]
+                    x[0, full] = np.add.reduceat(np.clip(both, -LARGEST_RATIO, LARGEST_RATIO), at) / n[full]
+                    x[1, full] = np.maximum.reduceat(np.clip(alone, -LARGEST_RATIO, LARGEST_RATIO), at)
+                yield arrays.batch(schema, own.column("doc_id"), own.column("row_key"), own.column("toxic"), x[0], x[1])
+
+        return rows.select("doc_id", "row_key", "toxic", "text").mapInArrow(run, "doc_id long, row_key long, toxic int, mean double, peak double")
+
+    def _joined(self, rows: DataFrame) -> DataFrame:
+        """The same by joins, for tables of any size."""
+        schema = pa.schema([("row_key", pa.int64()), ("pair", pa.int64()), ("before", pa.int64()), ("word", pa.int64()), ("n", pa.int64())])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for own, data, starts in arrays.chunks(batches):
+                word, before, pair, first = tokens(data, starts)
+                if len(word):
+                    row = np.repeat(own.column("row_key").to_numpy(), np.diff(first))
+                    _, at, n = np.unique(arrays.mixed(pair + arrays.mixed(row.view(_U))), return_index=True, return_counts=True)
+                    yield arrays.batch(schema, row[at], *(arrays.signed(x[at]) for x in (pair, before, word)), n)
+
+        found = rows.dropDuplicates(["row_key"]).select("row_key", "text").mapInArrow(run, "row_key long, pair long, before long, word long, n long")
+        found = found.join(self.words, "word", "left").join(self.histories, "before", "left").join(self.pairs, "pair", "left")
+        clipped = lambda x: F.greatest(F.lit(-LARGEST_RATIO), F.least(F.lit(LARGEST_RATIO), x))
+        alone = F.coalesce("ratio", F.lit(self.unseen))
+        both = F.coalesce("pair_ratio", alone + F.coalesce("adds", F.lit(0.0)))
+        told = found.groupBy("row_key").agg((F.sum(clipped(both) * F.col("n")) / F.sum("n")).alias("mean"), F.max(clipped(alone)).alias("peak"))
+        return rows.select("doc_id", "row_key", "toxic").join(told, "row_key", "left").na.fill(0.0, ["mean", "peak"])
 
 
 @dataclass
-class Model:
-    """Tables that scoring looks up, all of a fixed size, and the curve's weights."""
-
-    words: np.ndarray
-    pairs: np.ndarray
-    total: np.ndarray
-    spread: np.ndarray
-    telling: np.ndarray
-    curve: np.ndarray
+class _Sorted:
+    keys: np.ndarray
+    values: np.ndarray
 
     @classmethod
-    def of(cls, counts: Counts) -> Model:
-        """Kneser-Ney with one discount: the weight that a history leaves to lower orders is shared by the classes."""
-        context = _distinct(counts.before)
-        shared = (context + 0.5) / (context + 0.5).sum()
-        size = np.maximum(counts.words.sum(axis=1, keepdims=True), 1)
-        kinds = (counts.words > 0).sum(axis=1, keepdims=True)
-        seen = np.maximum(counts.words - DISCOUNT, 0) / size
-        words = seen + np.where(kinds > 0, DISCOUNT * kinds / size, 1.0) * shared
-        both = counts.words.sum(axis=0)
-        spread = np.where(both > 0, np.clip(PAIR_DISCOUNT * _distinct(counts.after) / np.maximum(both, 1), 1e-3, 1), 1.0)
-        telling = (np.log(words[1] / words[0]) >= TELLING) & (counts.words[1] >= 3)
-        return cls(words.astype(np.float32), np.maximum(counts.pairs - PAIR_DISCOUNT, 0).astype(np.float32), counts.words.astype(np.float32), spread.astype(np.float32), telling, np.zeros(3))
-
-    def ratios(self, word: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        """Log-likelihood of each word in the toxic model less that in the ordinary one."""
-        told = np.flatnonzero((pair >= 0) & self.telling[word])
-        told = told[self.total[:, word[told - 1]].min(axis=0) >= LEAST_HISTORY]
-        left = word[told - 1]
-        out = []
-        for k in (0, 1):
-            p = self.words[k][word]
-            total = self.total[k][left]
-            seen = np.minimum(np.where(total > 0, self.pairs[k][pair[told]] / np.maximum(total, 1), 0), 1)
-            p[told] = seen + self.spread[left] * p[told]
-            out.append(np.log(p))
-        return np.clip(out[1] - out[0], -LARGEST_RATIO, LARGEST_RATIO)
-
-    def features(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Mean ratio, and largest mean ratio over SPAN consecutive words, of each text; 0 without words."""
-        word, pair, _, first = tokens(data, starts)
-        ratio = self.ratios(word, pair).astype(np.float64)
-        n = np.diff(first)
-        out = np.zeros((len(n), 2))
-        full = np.flatnonzero(n)
-        if len(full):
-            at = first[:-1][full]
-            out[full, 0] = np.add.reduceat(ratio, at) / n[full]
-            sums = ratio.copy()
-            start = np.repeat(first[:-1], n)
-            place = np.arange(len(ratio)) - start
-            for back in range(1, SPAN):
-                ok = np.flatnonzero(place >= back)
-                sums[ok] += ratio[ok - back]
-            out[full, 1] = np.maximum.reduceat(sums, at) / SPAN
+    def of(cls, table: DataFrame) -> _Sorted:
+        arrow = table.toArrow()
+        keys, values = (arrow.column(i).to_numpy() for i in (0, 1))
+        order = np.argsort(keys.view(_U))
+        return cls(keys.view(_U)[order], values[order])
+
+    def __call__(self, keys: np.ndarray, otherwise: np.ndarray | float) -> np.ndarray:
+        """Values of keys, and otherwise for those that are not there."""
+        out = np.broadcast_to(np.asarray(otherwise, float), keys.shape).copy()
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            known = self.keys[at] == keys
+            out[known] = self.values[at[known]]
         return out
 
-    def score(self, features: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.curve[0] + features @ self.curve[1:], -30, 30)))
-
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Weights (constant first) by Newton's method."""
@@ -191,49 +189,35 @@ def fold() -> F.Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(5))
 
 
-def _fill(counts: Counts, parts: DataFrame) -> None:
-    """Sums the parts by bucket and puts them in place: a row for each bucket at most comes to the driver."""
-    merged = parts.groupBy("kind", "bucket").agg(*(F.coalesce(F.sum(F.when(F.col("kind") < 2, F.col(c))), F.bit_or(F.when(F.col("kind") > 1, F.col(c)))).alias(c) for c in ("ordinary", "toxic")))
-    table = merged.toArrow()
-    kind, bucket = table.column("kind").to_numpy(), table.column("bucket").to_numpy()
-    for k, target in enumerate((counts.words, counts.pairs, (counts.after, counts.before))):
-        own = kind == k
-        target[0][bucket[own]], target[1][bucket[own]] = (table.column(c).to_numpy()[own].astype(target[0].dtype) for c in ("ordinary", "toxic"))
+@dataclass
+class Model:
+    tables: Tables
+    curve: np.ndarray
+
+    def score(self, rows: DataFrame) -> DataFrame:
+        constant, mean, peak = map(float, self.curve)
+        value = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.lit(constant) + mean * F.col("mean") + peak * F.col("peak")))
+        return self.tables.features(rows).withColumn("score", 1 / (1 + F.exp(-value)))
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> Model:
     """Counts of folds 2 to 4, a curve fitted on fold 1. A doc_id that labels call toxic at least once is."""
-    spark = documents.sparkSession
-    known = labels.filter("doc_id is not null and toxic is not null").filter(fold() != 0).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)")
+    known = labels.filter("doc_id is not null and toxic is not null").filter(fold() != 0).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)")
     if known.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS:
         known = F.broadcast(known)
-    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(fold() != 0).join(known, "doc_id")
-    counted = rows.filter(fold() > 1).select("text", "toxic")
-    counts = Counts.empty()
-    _fill(counts, counted.mapInArrow(_count(), _COUNT))
-    telling = spark.sparkContext.broadcast(Model.of(counts).telling)
-    _fill(counts, counted.mapInArrow(_count(telling), _COUNT))
-    model = Model.of(counts)
+    rows = keyed(documents).join(known, "doc_id")
+    counted = rows.filter(fold() > 1).select("text", "toxic").mapInArrow(_counted, _PAIR)
+    tables = Tables.of(stored(counted.groupBy("pair", "before", "word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")), "word-pairs"))
     calibration = rows.filter(fold() == 1)
     n = known.filter(fold() == 1).count()
     if n > CALIBRATION_ROWS:
         calibration = calibration.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * CALIBRATION_ROWS / n))
-    shared = spark.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("mean", pa.float64()), ("peak", pa.float64()), ("toxic", pa.int32())])
-        for rows, data, starts in arrays.chunks(batches):
-            x = shared.value.features(data, starts)
-            yield arrays.batch(schema, x[:, 0], x[:, 1], rows.column("toxic"))
-
-    seen = calibration.select("text", "toxic").mapInArrow(run, "mean double, peak double, toxic int").toArrow()
+    seen = tables.features(calibration).select("mean", "peak", "toxic").toArrow()
     x, y = np.column_stack([seen.column("mean").to_numpy(), seen.column("peak").to_numpy()]), seen.column("toxic").to_numpy()
     if 0 < y.sum() < len(y):
         order = np.lexsort((y, x[:, 1], x[:, 0]))  # sums must not depend on the order of rows
-        model.curve = logistic(x[order], y[order].astype(float))
-    else:
-        model.curve = np.array([-30.0 if not y.sum() else 30.0, 0, 0])
-    return model
+        return Model(tables, logistic(x[order], y[order].astype(float)))
+    return Model(tables, np.array([-30.0 if not y.sum() else 30.0, 0.0, 0.0]))
 
 
 def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -243,14 +227,6 @@ def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
     has no words and gets the score of an empty one. A null doc_id is held out. Without labels of both classes every score
     is that of the class there is, 0 if there is none.
     """
-    spark = documents.sparkSession
-    small_batches(spark)
-    model = spark.sparkContext.broadcast(fit(documents, labels))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64())])
-        for rows, data, starts in arrays.chunks(batches):
-            yield arrays.batch(schema, rows.column(0), rows.column(1), model.value.score(model.value.features(data, starts)))
-
-    ready = documents.select(F.col("doc_id").cast("long").alias("doc_id"), (fold() == 0).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    return ready.mapInArrow(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    model = fit(documents, labels)
+    scored = model.score(keyed(documents).withColumn("toxic", F.lit(None).cast("int"))).withColumn("doc_id", public_id())
+    return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
