@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,11 +49,15 @@ def tokens(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     before = np.full(len(word), _START)
     before[1:] = word[:-1]
     before[first[:-1][first[:-1] < len(word)]] = _START
-    return word, before, arrays.mixed(word + arrays.mixed(before)), first
+    return word, before, _pair(before, word), first
 
 
-_PAIR = "pair long, before long, word long, ordinary long, toxic long"
-_PAIR_ARROW = pa.schema([(c, pa.int64()) for c in ("pair", "before", "word", "ordinary", "toxic")])
+def _pair(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return arrays.mixed(word + arrays.mixed(before))
+
+
+_PAIR = "before long, word long, ordinary long, toxic long"
+_PAIR_ARROW = pa.schema([(c, pa.int64()) for c in ("before", "word", "ordinary", "toxic")])
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,7 +68,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             label = np.repeat(rows.column("toxic").to_numpy(), np.diff(first))
             kinds, at, place = np.unique(pair, return_index=True, return_inverse=True)
             toxic = np.bincount(place, weights=label, minlength=len(kinds)).astype(np.int64)
-            yield arrays.batch(_PAIR_ARROW, arrays.signed(kinds), arrays.signed(before[at]), arrays.signed(word[at]), np.bincount(place, minlength=len(kinds)) - toxic, toxic)
+            yield arrays.batch(_PAIR_ARROW, arrays.signed(before[at]), arrays.signed(word[at]), np.bincount(place, minlength=len(kinds)) - toxic, toxic)
 
 
 @dataclass
@@ -74,10 +79,11 @@ class Tables:
     histories: DataFrame
     pairs: DataFrame
     unseen: float
+    _shared: Broadcast | None = None
 
     @classmethod
     def of(cls, counted: DataFrame) -> Tables:
-        """counted: before, word, pair, ordinary, toxic."""
+        """counted: before, word, ordinary, toxic."""
         kinds = lambda c: F.count_if(F.col(c) > 0)
         words = stored(counted.groupBy("word").agg(kinds("ordinary").alias("n0"), kinds("toxic").alias("n1"), F.count(F.lit(1)).alias("n")), "continuations")
         t = words.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n0", "n1", "n")], F.count(F.lit(1)).alias("words"), kinds("n0").alias("kinds0"), kinds("n1").alias("kinds1")).first()
@@ -97,7 +103,7 @@ class Tables:
         return cls(
             stored(levels.filter("told").select("word", (F.log("low1") - F.log("low0")).alias("ratio")), "word-ratios"),
             stored(histories.select("before", (F.log(left(1)) - F.log(left(0))).alias("adds")), "history-ratios"),
-            stored(repeated.select("pair", (F.log(own(1, "toxic")) - F.log(own(0, "ordinary"))).alias("pair_ratio")), "pair-ratios"),
+            stored(repeated.select("before", "word", (F.log(own(1, "toxic")) - F.log(own(0, "ordinary"))).alias("pair_ratio")), "pair-ratios"),
             float(unseen),
         )
 
@@ -107,8 +113,9 @@ class Tables:
         return self._looked_up(rows) if small else self._joined(rows)
 
     def _looked_up(self, rows: DataFrame) -> DataFrame:
-        sorted_ = [_Sorted.of(t) for t in (self.words, self.histories, self.pairs)]
-        shared, unseen = rows.sparkSession.sparkContext.broadcast(sorted_), self.unseen
+        if self._shared is None:
+            self._shared = rows.sparkSession.sparkContext.broadcast([_Sorted.of(t) for t in (self.words, self.histories, self.pairs)])
+        shared, unseen = self._shared, self.unseen
         schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("toxic", pa.int32()), ("mean", pa.float64()), ("peak", pa.float64())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +137,7 @@ class Tables:
 
     def _joined(self, rows: DataFrame) -> DataFrame:
         """The same by joins, for tables of any size."""
-        schema = pa.schema([("row_key", pa.int64()), ("pair", pa.int64()), ("before", pa.int64()), ("word", pa.int64()), ("n", pa.int64())])
+        schema = pa.schema([("row_key", pa.int64()), ("before", pa.int64()), ("word", pa.int64()), ("n", pa.int64())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for own, data, starts in arrays.chunks(batches):
@@ -138,10 +145,10 @@ class Tables:
                 if len(word):
                     row = np.repeat(own.column("row_key").to_numpy(), np.diff(first))
                     _, at, n = np.unique(arrays.mixed(pair + arrays.mixed(row.view(_U))), return_index=True, return_counts=True)
-                    yield arrays.batch(schema, row[at], *(arrays.signed(x[at]) for x in (pair, before, word)), n)
+                    yield arrays.batch(schema, row[at], *(arrays.signed(x[at]) for x in (before, word)), n)
 
-        found = rows.dropDuplicates(["row_key"]).select("row_key", "text").mapInArrow(run, "row_key long, pair long, before long, word long, n long")
-        found = found.join(self.words, "word", "left").join(self.histories, "before", "left").join(self.pairs, "pair", "left")
+        found = rows.dropDuplicates(["row_key"]).select("row_key", "text").mapInArrow(run, "row_key long, before long, word long, n long")
+        found = found.join(self.words, "word", "left").join(self.histories, "before", "left").join(self.pairs, ["before", "word"], "left")
         clipped = lambda x: F.greatest(F.lit(-LARGEST_RATIO), F.least(F.lit(LARGEST_RATIO), x))
         alone = F.coalesce("ratio", F.lit(self.unseen))
         both = F.coalesce("pair_ratio", alone + F.coalesce("adds", F.lit(0.0)))
@@ -157,9 +164,10 @@ class _Sorted:
     @classmethod
     def of(cls, table: DataFrame) -> _Sorted:
         arrow = table.toArrow()
-        keys, values = (arrow.column(i).to_numpy() for i in (0, 1))
-        order = np.argsort(keys.view(_U))
-        return cls(keys.view(_U)[order], values[order])
+        *keys, values = (c.to_numpy() for c in arrow.columns)
+        key = keys[0].view(_U) if len(keys) == 1 else _pair(*(k.view(_U) for k in keys))
+        order = np.argsort(key)
+        return cls(key[order], values[order])
 
     def __call__(self, keys: np.ndarray, otherwise: np.ndarray | float) -> np.ndarray:
         """Values of keys, and otherwise for those that are not there."""
@@ -207,7 +215,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
         known = F.broadcast(known)
     rows = keyed(documents).join(known, "doc_id")
     counted = rows.filter(fold() > 1).select("text", "toxic").mapInArrow(_counted, _PAIR)
-    tables = Tables.of(stored(counted.groupBy("pair", "before", "word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")), "word-pairs"))
+    tables = Tables.of(stored(counted.groupBy("before", "word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")), "word-pairs"))
     calibration = rows.filter(fold() == 1)
     n = known.filter(fold() == 1).count()
     if n > CALIBRATION_ROWS:

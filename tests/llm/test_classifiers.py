@@ -111,7 +111,7 @@ def test_tables_match_brute_force(spark):
         want[d] = (sum(both) / len(both), max(clip(math.log(low(1, w) / low(0, w))) for w in words[1:])) if both else (0.0, 0.0)
     texts = spark.createDataFrame([(d, d, t, k) for d, t, k in rows], "doc_id long, row_key long, text string, toxic int")
     counted = spark.createDataFrame(rows[:100], "doc_id long, text string, toxic int").select("text", "toxic").mapInArrow(toxicity._counted, toxicity._PAIR)
-    tables = toxicity.Tables.of(counted.groupBy("pair", "before", "word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")))
+    tables = toxicity.Tables.of(counted.groupBy("before", "word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")))
     for way in (tables._looked_up, tables._joined):
         got = {r.doc_id: (r.mean, r.peak) for r in way(texts).collect()}
         assert got.keys() == want.keys() and all(abs(a - b) < 1e-9 for d in want for a, b in zip(got[d], want[d]))
