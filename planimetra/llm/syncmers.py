@@ -2,8 +2,9 @@
 
 A k-mer of code points is a closed syncmer if the least of its inner s-mers stands at either edge. Whether it is one
 depends on nothing around it, so the same passage gives the same anchors in any text. A fingerprint keeps the anchors
-with the least hashes together with their place, in text order; two fingerprints are compared by the longest chain of
-equal anchors that stand in the same order in both.
+with hashes in the lowest eighth, and always the ANCHORS least ones, together with their place, in text order; two
+fingerprints are compared by the longest chain of equal anchors that stand in the same order in both. The number of
+anchors grows with the text, so that a long text's likeness gets no coarser and its passages keep anchors of their own.
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ from planimetra.llm.tables import public_id, small_batches
 
 K = 20
 S = 9
+#: All of a text's anchors up to this many, and of any text those with a hash below the bound: an eighth of all hashes.
 ANCHORS = 96
+BOUND = 1 << 37
 
 _U = np.uint64
 _EMPTY = ""
@@ -44,7 +47,10 @@ def anchors(points: np.ndarray, first: np.ndarray, k: int = K, s: int = S) -> tu
 
 
 def fingerprints(texts: list[str], kept: int = ANCHORS) -> list[str]:
-    """One per text: up to kept anchors 'hash:place' in hexadecimal, in text order. A text without anchors is its own."""
+    """One per text: the kept least anchors and all below BOUND as 'hash:place' in hexadecimal, in text order.
+
+    A text without anchors is its own.
+    """
     raw = "".join(texts).encode("utf-32-le")
     points = np.frombuffer(raw, np.uint32)
     first = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
@@ -58,7 +64,7 @@ def fingerprints(texts: list[str], kept: int = ANCHORS) -> list[str]:
             out.append(hashlib.sha256(text.encode()).hexdigest()[:10] + ":0")
         else:
             value, where = np.unique(code[a:b], return_index=True)
-            order = np.sort(where[:kept])
+            order = np.sort(where[: max(kept, int(np.searchsorted(value, BOUND)))])
             out.append(" ".join(f"{c:010x}:{p:x}" for c, p in zip(code[a + order].tolist(), place[a + order].tolist())))
     return out
 
@@ -71,8 +77,8 @@ def likeness(one: str, other: str) -> float:
         return 0.0
     a = [x.split(":")[0] for x in one.split(" ")]
     b = {x.split(":")[0]: i for i, x in enumerate(other.split(" "))}
-    # anchors above the lesser of the two largest hashes may be cut off in one of them
-    limit = min(max(x) if len(x) >= ANCHORS else "g" for x in (a, b))
+    # anchors above the lesser of the two largest hashes, or above the bound, may be cut off in one of them
+    limit = min(max(*x, f"{BOUND - 1:010x}") if len(x) >= ANCHORS else "g" for x in (a, b))
     known_a, known_b = sum(x <= limit for x in a), sum(x <= limit for x in b)
     tails: list[int] = []
     for place in (b[x] for x in a if x <= limit and x in b):
@@ -139,15 +145,15 @@ def fingerprint_documents(documents: DataFrame, parts: int | None = None) -> Dat
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions")) * 2
     cuts = docs.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10 * parts).alias("c")).first().c or []
     cuts = sorted(set(cuts))
-    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: F.col("doc_id") > c)) if cuts else F.lit(0)
+    part = F.size(F.filter(F.lit(cuts), lambda c: F.col("doc_id") > c)) if cuts else F.lit(0)
     dealt = docs.withColumn("part", part.cast("int"))
     order = F.xxhash64("text"), F.col("text")
     # the first row of each range in descending order: no more rows than ranges
     heads = {r.part: r.doc_id for r in dealt.groupBy("part").agg(F.max("doc_id").alias("doc_id")).collect()}
     ranges = sorted(heads, reverse=True)
-    before = {p: q for q, p in zip(ranges, ranges[1:])} | ({ranges[0]: ranges[-1]} if ranges else {})
-    is_head = F.coalesce(*[F.when((F.col("part") == p) & (F.col("doc_id") == d), F.lit(before[p])) for p, d in heads.items()], F.lit(None).cast("int")) if heads else F.lit(None).cast("int")
-    guests = dealt.withColumn("part", is_head).filter("part is not null").groupBy("doc_id", "part").agg(F.min(F.struct(order[0].alias("h"), order[1].alias("text"))).alias("t"))
+    before = [(heads[p], q) for q, p in zip([ranges[-1], *ranges], ranges)] if ranges else []
+    guests = docs.join(F.broadcast(spark.createDataFrame(before, "doc_id long, part int")), "doc_id")
+    guests = guests.groupBy("doc_id", "part").agg(F.min(F.struct(order[0].alias("h"), order[1].alias("text"))).alias("t"))
     both = dealt.select("part", "doc_id", "text", F.lit(False).alias("guest")).unionByName(guests.select("part", "doc_id", "t.text", F.lit(True).alias("guest")))
     ordered = both.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "guest", F.desc("doc_id"), *order)
     return ordered.mapInArrow(_neighbours, _RESULT).withColumn("doc_id", public_id())

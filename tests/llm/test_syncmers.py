@@ -57,3 +57,16 @@ def test_likeness_follows_the_shared_part():
         assert abs(syncmers.likeness(a, b) - share / (2 - share)) < 0.15
     a, b = syncmers.fingerprints([base, other])
     assert syncmers.likeness(a, b) < 0.02 and syncmers.likeness(a, a) == 1
+
+
+def test_long_texts_keep_anchors_in_proportion():
+    """Two texts of 60,000 words that share 300 words in the middle still have anchors in common, and likeness follows the uncut one."""
+    one, other, shared = words(60_000, 4), words(60_000, 5), words(300, 6)
+    texts = [" ".join([*x[:30_000], *shared, *x[30_000:]]) for x in (one, other)]
+    a, b = syncmers.fingerprints(texts)
+    assert len(a.split(" ")) > 50 * syncmers.ANCHORS
+    assert 0 < syncmers.likeness(a, b) < 0.02
+    edited = " ".join([*one[:15_000], *other[15_000:]])
+    got = syncmers.likeness(*syncmers.fingerprints([" ".join(one), edited]))
+    share = len(" ".join(one[:15_000]))
+    assert abs(got - share / (len(" ".join(one)) + len(edited) - share)) < 0.02
