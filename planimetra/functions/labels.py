@@ -72,3 +72,9 @@ def scaled_translation(vector: Column, scale: Column) -> Column:
 def scaled_intrinsics(fx, fy, cx, cy, to=(256, 192), of=(1920, 1440)) -> Column:
     sx, sy = to[0] / of[0], to[1] / of[1]
     return F.struct((fx * sx).alias("fx"), (fy * sy).alias("fy"), (cx * sx).alias("cx"), (cy * sy).alias("cy"))
+
+
+def safe_capture_id(name: Column) -> Column:
+    """Whether an id can name a folder: not null or empty, without '..' and without slashes of either kind."""
+    bad = (F.length(name) == 0) | F.contains(name, F.lit("..")) | F.contains(name, F.lit("/")) | F.contains(name, F.lit("\\"))
+    return F.coalesce(~bad, F.lit(False))

@@ -138,3 +138,17 @@ def canonical(vertices: Column, decimals: int = 4) -> Column:
 def rectangle(x0: Column, z0: Column, width: Column, depth: Column) -> Column:
     corner = lambda x, z: F.struct(x.alias("x"), z.alias("z"))
     return F.array(corner(x0, z0), corner(x0 + width, z0), corner(x0 + width, z0 + depth), corner(x0, z0 + depth))
+
+
+def label_position(x1, y1, x2, y2, offset: float = 0.15) -> Column:
+    """struct (x, y) beside the middle of a segment, to the left of its direction; the middle itself for a segment under 0.1 mm."""
+    dx, dy = x2 - x1, y2 - y1
+    length = F.hypot(dx, dy)
+    side = F.when(length >= 1e-4, offset / length).otherwise(0.0)
+    return F.struct(((x1 + x2) / 2 - dy * side).alias("x"), ((y1 + y2) / 2 + dx * side).alias("y"))
+
+
+def label_angle(x1, y1, x2, y2) -> Column:
+    """Degrees of a text along a segment, within -90 and 90, so that it never stands upside down."""
+    angle = F.degrees(F.atan2(y2 - y1, x2 - x1))
+    return F.when(angle > 90, angle - 180).when(angle < -90, angle + 180).otherwise(angle)

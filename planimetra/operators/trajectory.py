@@ -179,3 +179,29 @@ def loop_residual(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         d = F.col(f"s{c}") - F.col(f"t{c}") - F.col(f"d{c}")
         square = square + d * d
     return edges.join(a, "source").join(b, "target").agg(F.coalesce(F.avg(F.sqrt(square)), F.lit(0.0)).alias("residual"), F.count(F.lit(1)).alias("loops"))
+
+
+def camera_poses(solved: DataFrame) -> DataFrame:
+    """solved with t_vec (an array) as x, y, z and a reason, 'no_camera_centre' where it has under three elements or is null."""
+    whole = F.coalesce(F.size("t_vec") >= 3, F.lit(False))
+    centre = {c: F.when(whole, F.get("t_vec", F.lit(i))) for i, c in enumerate(AXES)}
+    return solved.withColumns({**centre, "reason": F.when(~whole, "no_camera_centre")}).drop("t_vec")
+
+
+def with_poses(images: DataFrame, poses: DataFrame, key: str = "image") -> DataFrame:
+    """images with position and quaternion (x, y, z, w) of the pose of their name, both null where either is missing.
+
+    poses: key, position, quaternion_wxyz, one row a name.
+    """
+    w = F.col("quaternion_wxyz")
+    whole = F.col("position").isNotNull() & w.isNotNull()
+    turned = poses.select(key, F.when(whole, F.col("position")).alias("position"), F.when(whole, F.concat(F.slice(w, 2, 3), F.slice(w, 1, 1))).alias("quaternion"))
+    return images.join(turned, key, "left")
+
+
+def first_frames(frames: DataFrame, key: str, most: int, *order: str) -> DataFrame:
+    """At most so many frames of each trajectory, in order; 0 keeps all."""
+    if not most:
+        return frames
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    return frames.withColumn("_place", place).filter(F.col("_place") <= most).drop("_place")

@@ -846,3 +846,50 @@ UNION ALL SELECT 'incumbent', tier, count(*) FILTER (e < abs(i.incumbent - t.ref
 def e6_benchmark(spark, sf_dir):
     rows = view(spark, sf_dir, "measurements").selectExpr(*bindings.columns(_TIERS))
     return captures.benchmark(rows, rows.select("room_id", "entity", "type", "incumbent"))
+
+
+# ---- captures: labels, ids, poses -----------------------------------------------------------------------------------
+
+
+@query("""WITH s AS (SELECT detection_id, x1, y1, x2, y2, x2 - x1 AS dx, y2 - y1 AS dy FROM detections), l AS (SELECT *, sqrt(dx * dx + dy * dy) AS n, degrees(atan2(dy, dx)) AS a FROM s)
+SELECT detection_id, round(CASE WHEN n < 0.0001 THEN (x1 + x2) / 2 ELSE (x1 + x2) / 2 - dy / n * 0.15 END, 5) + 0.0 AS x, round(CASE WHEN n < 0.0001 THEN (y1 + y2) / 2 ELSE (y1 + y2) / 2 + dx / n * 0.15 END, 5) + 0.0 AS y,
+round(CASE WHEN a > 90 THEN a - 180 WHEN a < -90 THEN a + 180 ELSE a END, 5) + 0.0 AS angle FROM l""", "detections")
+def f41_label_places(spark, sf_dir):
+    ends = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
+    placed = view(spark, sf_dir, "detections").select("detection_id", plan.label_position(*ends).alias("p"), plan.label_angle(*ends).alias("angle"))
+    return rounded(placed.select("detection_id", "p.*", "angle"), "x", "y", "angle", decimals=5)
+
+
+@query("""SELECT detection_id, detection_id % 5 = 4 AND prompt <> 3 AS safe FROM detections""", "detections")
+def p20_capture_ids(spark, sf_dir):
+    kind, text = F.col("detection_id") % 5, F.col("detection_id").cast("string")
+    name = F.when(kind == 0, "").when(kind == 1, F.concat(F.lit("a.."), text)).when(kind == 2, F.concat(F.lit("a/"), text)).when(kind == 3, F.concat(F.lit("a\\"), text)).otherwise(text)
+    named = view(spark, sf_dir, "detections").withColumn("name", F.when(F.col("prompt") != 3, name))
+    return named.select("detection_id", labels.safe_capture_id(F.col("name")).alias("safe"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 9 > 0 THEN x END AS x, CASE WHEN event_id % 9 > 0 THEN y END AS y, CASE WHEN event_id % 9 > 0 THEN z END AS z, CASE WHEN event_id % 9 = 0 THEN 'no_camera_centre' END AS reason FROM poses""", "poses")
+def f28_camera_poses(spark, sf_dir):
+    solved = view(spark, sf_dir, "poses").select("event_id", F.when(F.col("event_id") % 9 > 0, F.array("x", "y", "z")).otherwise(F.when(F.col("event_id") % 2 > 0, F.array("x", "z"))).alias("t_vec"))
+    return trajectory.camera_poses(solved)
+
+
+@query("""SELECT CAST(event_id AS VARCHAR) AS image, CASE WHEN event_id % 3 > 0 AND event_id % 7 > 0 THEN x END AS x, CASE WHEN event_id % 3 > 0 AND event_id % 7 > 0 THEN z END AS z, CASE WHEN event_id % 3 > 0 AND event_id % 7 > 0 THEN round(qy, 6) + 0.0 END AS qy, CASE WHEN event_id % 3 > 0 AND event_id % 7 > 0 THEN round(qw, 6) + 0.0 END AS qw FROM poses""", "poses")
+def j20_image_poses(spark, sf_dir):
+    table = view(spark, sf_dir, "poses").withColumn("image", F.col("event_id").cast("string"))
+    known = table.filter("event_id % 3 > 0").select("image", F.array("x", "y", "z").alias("position"), F.when(F.col("event_id") % 7 > 0, F.array("qw", "qx", "qy", "qz")).alias("quaternion_wxyz"))
+    joined = trajectory.with_poses(table.select("image"), known)
+    part = lambda name, i: F.get(name, F.lit(i))
+    return rounded(joined.select("image", part("position", 0).alias("x"), part("position", 2).alias("z"), part("quaternion", 1).alias("qy"), part("quaternion", 3).alias("qw")), "qy", "qw")
+
+
+@query("""SELECT trajectory_id, event_id AS frame, CASE WHEN event_id % 5 = 0 THEN event_id // 5 END AS node FROM poses""", "poses")
+def j12_nodes_of_frames(spark, sf_dir):
+    frames = view(spark, sf_dir, "poses").select("trajectory_id", F.col("event_id").alias("frame"))
+    nodes = frames.filter("frame % 5 = 0").withColumn("node", F.expr("frame div 5"))
+    return trajectory.nodes_of_frames(frames, nodes, "trajectory_id")
+
+
+@query("""SELECT trajectory_id, event_id FROM poses QUALIFY row_number() OVER (PARTITION BY trajectory_id ORDER BY ts_s, event_id) <= 5""", "poses")
+def t9_first_frames(spark, sf_dir):
+    return trajectory.first_frames(view(spark, sf_dir, "poses"), "trajectory_id", 5, "ts_s", "event_id").select("trajectory_id", "event_id")
