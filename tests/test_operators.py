@@ -210,3 +210,29 @@ def test_openings_choose_the_nearer_wall(spark):
     one = spark.createDataFrame([(1, "o", 0.0, 3.0, 0.9, 0.85)], "c int, opening_id string, x double, z double, width double, score double")
     walls = spark.createDataFrame([(1, "wall_A", 0, -2.0, 3.0, 2.0, 3.0), (1, "wall_B", 1, 5.0, -2.0, 5.0, 2.0)], "c int, wall_id string, ord int, x1 double, z1 double, x2 double, z2 double")
     assert openings.to_walls(one, walls, ["c"]).first().wall_id == "wall_A"
+
+
+def test_labels_of_degenerate_and_upside_down_segments(spark):
+    rows = spark.createDataFrame([(0, 1.0, 1.0, 1.0, 1.0), (1, 0.0, 0.0, -2.0, 0.0), (2, 0.0, 0.0, 0.0, -3.0), (3, 4.0, 0.0, 0.0, -4.0)], "i long, x1 double, y1 double, x2 double, y2 double")
+    ends = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
+    got = rows.select("i", plan.label_position(*ends).alias("p"), plan.label_angle(*ends).alias("a")).orderBy("i").collect()
+    assert [round(r.a, 6) for r in got] == [0.0, 0.0, -90.0, 45.0]
+    assert (got[0].p.x, got[0].p.y) == (1.0, 1.0) and (got[1].p.x, round(got[1].p.y, 6)) == (-1.0, -0.15)
+
+
+def test_capture_ids_that_leave_their_folder(spark):
+    names = [("room-1", True), ("", False), (None, False), ("..", False), ("a/b", False), ("a\\b", False), ("a.b", True)]
+    got = spark.createDataFrame(names, "name string, safe boolean").select("safe", labels.safe_capture_id(F.col("name")).alias("got")).collect()
+    assert all(r.safe == r.got for r in got)
+
+
+def test_first_frames_and_missing_poses(spark):
+    frames = spark.createDataFrame([("a", 3), ("a", 1), ("a", 2), ("b", 9)], "capture string, frame long")
+    assert sorted(map(tuple, trajectory.first_frames(frames, "capture", 2, "frame").collect())) == [("a", 1), ("a", 2), ("b", 9)]
+    assert trajectory.first_frames(frames, "capture", 0, "frame").count() == 4
+    images = spark.createDataFrame([("x",), ("y",), ("z",)], "image string")
+    poses = spark.createDataFrame([("x", [1.0, 2.0, 3.0], [0.1, 0.2, 0.3, 0.4]), ("y", None, [1.0, 0.0, 0.0, 0.0])], "image string, position array<double>, quaternion_wxyz array<double>")
+    got = {r.image: (r.position, r.quaternion) for r in trajectory.with_poses(images, poses).collect()}
+    assert got == {"x": ([1.0, 2.0, 3.0], [0.2, 0.3, 0.4, 0.1]), "y": (None, None), "z": (None, None)}
+    solved = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [1.0]), (3, None), (4, [])], "i long, t_vec array<double>")
+    assert {r.i: (r.x, r.reason) for r in trajectory.camera_poses(solved).collect()} == {1: (1.0, None), 2: (None, "no_camera_centre"), 3: (None, "no_camera_centre"), 4: (None, "no_camera_centre")}
