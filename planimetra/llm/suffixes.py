@@ -3,7 +3,8 @@
 The distinct contexts of an anchor (see repeats.py) arrive in batches. A batch gets a suffix array, is merge-scanned
 against the levels that exist, where equal neighbours are matches of the full length, and becomes a level itself;
 levels of equal size merge, so that n batches leave at most log2(n) levels. An anchor with so many contexts that their
-windows would fill a task's memory keeps 64-bit hashes of them instead, and one with more still is split into windows.
+windows would fill a task's memory keeps 64-bit hashes of them instead and compares the bytes of those that are equal;
+one with more still is split into windows.
 """
 
 from __future__ import annotations
@@ -65,8 +66,9 @@ def family_matches(window: int, batch_contexts: int = BATCH_CONTEXTS, batches: i
     """Batches of batch_contexts, or of more where an anchor has so many that there would be over batches of them."""
 
     def judge(doc_ids: list[int], contents: list[bytes]) -> Iterator[tuple[int, int, int]]:
-        if len(contents) > TEXT_CONTEXTS:
-            yield from _by_hash(contents, window)
+        found = _by_hash(contents, window) if len(contents) > TEXT_CONTEXTS else None
+        if found is not None:
+            yield from found
             return
         family = IndexFamily(window)
         numbered = list(enumerate(contents))
@@ -79,13 +81,36 @@ def family_matches(window: int, batch_contexts: int = BATCH_CONTEXTS, batches: i
     return judge
 
 
-def _by_hash(contents: list[bytes], window: int) -> Iterator[tuple[int, int, int]]:
-    hashes = [arrays.RangeHash(arrays.byte_values(np.frombuffer(c, np.uint8))).grams(window) for c in contents]
-    _, place, count = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+def _window_hashes(content: bytes, window: int) -> np.ndarray:
+    return arrays.RangeHash(arrays.byte_values(np.frombuffer(content, np.uint8))).grams(window)
+
+
+def _by_hash(contents: list[bytes], window: int, hashed=_window_hashes) -> list[tuple[int, int, int]] | None:
+    """Matches by the hashes of windows, once the bytes of equal ones are seen to be equal; None if some are not."""
+    hashes = [hashed(c, window) for c in contents]
+    size = np.array([len(h) for h in hashes])
+    _, first, place, count = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True, return_counts=True)
+    edge = np.concatenate([[0], np.cumsum(size)])
+    shift = np.concatenate([[0], np.cumsum([len(c) for c in contents])])[:-1] - edge[:-1]
+    begin = (np.repeat(shift.astype(np.int32), size) + np.arange(edge[-1], dtype=np.int32)).astype(np.int32)
+    if not _equal_bytes(np.frombuffer(b"".join(contents), np.uint8), begin, begin[first][place], window):
+        return None
     repeated = count[place] > 1
-    edge = np.concatenate([[0], np.cumsum([len(h) for h in hashes])])
-    for number, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())):
-        yield from ((number, begin, size) for begin, size in _runs(np.flatnonzero(repeated[a:b]).tolist()))
+    return [(number, start, n) for number, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())) for start, n in _runs(np.flatnonzero(repeated[a:b]).tolist())]
+
+
+def _equal_bytes(data: np.ndarray, one: np.ndarray, other: np.ndarray, window: int, rows: int = 4096) -> bool:
+    """Whether windows at one and other are equal pair by pair. A pair that moves on by one byte from the pair before needs only its last."""
+    step = np.arange(window)
+    for at in range(0, len(one), rows):
+        a, b = one[at : at + rows], other[at : at + rows]
+        if (data[a + window - 1] != data[b + window - 1]).any():
+            return False
+        whole = a != b
+        whole[1:] &= (np.diff(a) != 1) | (np.diff(b) != 1)
+        if (data[a[whole][:, None] + step] != data[b[whole][:, None] + step]).any():
+            return False
+    return True
 
 
 def spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:

@@ -2,6 +2,7 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -87,3 +88,16 @@ def test_very_long_texts_choose_the_same_anchors():
     for values, first, window, gram in ((*repeats.word_values(data, starts), 50, 8), (*repeats.byte_values(data, starts), 400, 48)):
         short, long = (repeats.contexts_of(values, first, window, gram, most) for most in (1 << 20, 10))
         assert all((a == b).all() for a, b in zip(short, long, strict=True)) and len(short[0])
+
+
+def test_equal_hashes_of_unequal_bytes_are_noticed(monkeypatch):
+    """Windows matched by hash are those that the suffix arrays match, whatever the hash is worth."""
+    base = bytes(range(97, 123)) * 3
+    contents = [base[:40], b"__" + base[5:50], b"-" * 45, base[60:78] + base[:30], bytes(range(200, 250))]
+    wanted = sorted(suffixes.family_matches(20)([0] * 5, contents))
+    assert wanted and sorted(suffixes._by_hash(contents, 20)) == wanted
+    weak = lambda content, window: np.array([content[i] % 3 for i in range(len(content) - window + 1)], np.uint64)
+    assert suffixes._by_hash(contents, 20, weak) is None
+    monkeypatch.setattr(suffixes, "TEXT_CONTEXTS", 2)
+    monkeypatch.setattr(suffixes, "_by_hash", lambda c, w: None)
+    assert sorted(suffixes.family_matches(20)([0] * 5, contents)) == wanted
