@@ -69,8 +69,49 @@ def triangles(polygon: np.ndarray) -> list[np.ndarray]:
     return [*out, p[left]]
 
 
+def is_convex(p: list[tuple[float, float]]) -> bool:
+    """Whether the corners turn one way only, and once around."""
+    n, way, changes, last = len(p), 0, 0, 0
+    for i in range(n):
+        (ax, ay), (bx, by), (cx, cy) = p[i - 2], p[i - 1], p[i]
+        turn = (bx - ax) * (cy - by) - (by - ay) * (cx - bx)
+        if turn * way < 0:
+            return False
+        way = way or turn
+        step = (bx > ax) - (bx < ax)
+        if step and last and step != last:
+            changes += 1
+        last = step or last
+    return n >= 3 and changes <= 2
+
+
+def convex_overlap(subject: list[tuple[float, float]], ring: list[tuple[float, float]]) -> float:
+    """Common area of a polygon and a convex one, clipped edge by edge over plain floats: most pairs are rectangles."""
+    if sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1])) < 0:
+        ring = ring[::-1]
+    out = subject
+    for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]):
+        dx, dy, kept = bx - ax, by - ay, []
+        sides = [dx * (y - ay) - dy * (x - ax) for x, y in out]
+        for k in range(len(out)):
+            s, t = sides[k - 1], sides[k]
+            if s * t < 0:
+                (px, py), (qx, qy), r = out[k - 1], out[k], s / (s - t)
+                kept.append((px + (qx - px) * r, py + (qy - py) * r))
+            if t >= 0:
+                kept.append(out[k])
+        out = kept
+        if not out:
+            return 0.0
+    return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(out, out[1:] + out[:1]))) / 2
+
+
 def overlap(one: np.ndarray, two: np.ndarray) -> float:
     """Common area of two simple polygons of any shape."""
+    a, b = (list(map(tuple, p.tolist())) for p in (one, two))
+    for subject, ring in ((a, b), (b, a)):
+        if is_convex(ring):
+            return convex_overlap(subject, ring)
     return sum(abs(signed_area(clipped(a, b))) for a in triangles(one) for b in triangles(two))
 
 

@@ -47,13 +47,15 @@ def rule_table(spark: SparkSession, rules: list[tuple] = RULES) -> DataFrame:
 
 
 def flags(regions: DataFrame, rules: DataFrame) -> DataFrame:
-    """Every rule that fires on a region (damage_id, damage_class, surface_type, extent); a rule without surfaces fires on all.
+    """Every rule that fires on a region (damage_id, damage_class, surface_type, area, length); a rule without surfaces fires on all.
 
-    rules is exploded to one row a class, so it joins by equality; an unknown extent fires nothing.
+    rules is exploded to one row a class, so it joins by equality. The extent is the area in m² or, failing that, the length in m; the
+    evidence names it with its unit. A region with neither counts as 0 and its evidence names none.
     """
     exploded = rules.withColumn("damage_class", F.explode("classes")).drop("classes")
-    fired = regions.join(exploded, "damage_class").filter(((F.size("surfaces") == 0) | F.array_contains("surfaces", F.col("surface_type"))) & (F.col("extent") >= F.col("least_extent")))
-    evidence = F.format_string("Observed %s on %s (%s) spanning %.2f m²", "damage_class", "surface_type", F.col("damage_id").cast("string"), "extent")
+    fired = regions.join(exploded, "damage_class").filter(((F.size("surfaces") == 0) | F.array_contains("surfaces", F.col("surface_type"))) & (F.coalesce("area", "length", F.lit(0.0)) >= F.col("least_extent")))
+    span = F.when(F.col("area").isNotNull(), F.format_string(" spanning %.2f m²", "area")).when(F.col("length").isNotNull(), F.format_string(" spanning %.2f m", "length")).otherwise("")
+    evidence = F.concat(F.format_string("Observed %s on %s (%s)", "damage_class", "surface_type", F.col("damage_id").cast("string")), span)
     return fired.select("damage_id", "rule_id", "issue", "recommendation", "rule_confidence", evidence.alias("evidence"))
 
 

@@ -100,11 +100,11 @@ def _selected(pdf: pd.DataFrame, metres: float, degrees: float, frames: int, tai
     p = pdf[AXES].to_numpy(float)
     q = pdf[["qx", "qy", "qz", "qw"]].to_numpy(float)
     number = pdf["frame"].to_numpy()
-    kept = [0]
+    kept, least_cosine = [0], np.cos(np.radians(degrees) / 2)
     for i in range(1, len(pdf)):
         last = kept[-1]
-        turn = np.degrees(2 * np.arccos(min(1.0, abs(float(q[i] @ q[last])))))
-        if np.linalg.norm(p[i] - p[last]) >= metres or turn >= degrees or number[i] - number[last] >= frames:
+        (a, b, c, d), (e, f, g, h) = q[i], q[last]  # summed in order, so that every machine agrees
+        if np.linalg.norm(p[i] - p[last]) >= metres or abs(a * e + b * f + c * g + d * h) <= least_cosine or number[i] - number[last] >= frames:
             kept.append(i)
     if number[-1] - number[kept[-1]] > tail:
         kept.append(len(pdf) - 1)

@@ -20,7 +20,7 @@ VIEWS: dict[str, tuple[str, str]] = {
     "poses": (
         "events",
         "user_id AS trajectory_id, event_id, {ts} AS ts_s, value / 25 AS x, 0.0 AS y, ({ts} / 14400) % 6 AS z, "
-        "0.0 AS qx, sin((event_id % 360) / 114.59155902616465) AS qy, 0.0 AS qz, cos((event_id % 360) / 114.59155902616465) AS qw",
+        "0.0 AS qx, sin((event_id % 360) * 1.0137 / 114.59155902616465) AS qy, 0.0 AS qz, cos((event_id % 360) * 1.0137 / 114.59155902616465) AS qw",
     ),
     "measurements": (
         "lineitem",

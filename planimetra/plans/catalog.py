@@ -175,12 +175,13 @@ def w7_interpolated_poses(spark, sf_dir):
     return rounded(trajectory.interpolated(poses, keys, "trajectory_id").select("trajectory_id", "frame", "dx"), "dx")
 
 
-@query(_NUMBERED + """, e AS (SELECT trajectory_id, sqrt(power(arg_max(x, frame) - arg_min(x, frame), 2) + power(arg_max(z, frame) - arg_min(z, frame), 2)) AS g FROM n GROUP BY trajectory_id)
-SELECT trajectory_id, round(g, 5) AS raw_gap, round(g * 0.5, 5) AS optimised_gap, round(CASE WHEN g > 0 THEN 50.0 END, 4) AS reduction_pct FROM e""", "poses")
+@query(_NUMBERED + """, e AS (SELECT trajectory_id, sqrt(power(arg_max(x, frame) - arg_min(x, frame), 2) + power(arg_max(z, frame) - arg_min(z, frame), 2)) AS g,
+  sqrt(power(0.5 * (arg_max(x, frame) - arg_min(x, frame)), 2) + power(0.25 * (arg_max(z, frame) - arg_min(z, frame)), 2)) AS o FROM n GROUP BY trajectory_id)
+SELECT trajectory_id, round(g, 5) AS raw_gap, round(o, 5) AS optimised_gap, round(CASE WHEN g > 0 THEN 100 * (g - o) / g END, 4) AS reduction_pct FROM e""", "poses")
 def a21_drift_ablation(spark, sf_dir):
     raw = _poses(spark, sf_dir)
-    halved = raw.withColumns({c: F.col(c) * 0.5 for c in "xyz"})
-    return rounded(rounded(trajectory.drift(raw, halved, "trajectory_id"), "raw_gap", "optimised_gap", decimals=5), "reduction_pct", decimals=4)
+    shrunk = raw.withColumns({"x": F.col("x") * 0.5, "z": F.col("z") * 0.25})
+    return rounded(rounded(trajectory.drift(raw, shrunk, "trajectory_id"), "raw_gap", "optimised_gap", decimals=5), "reduction_pct", decimals=4)
 
 
 @query(_NUMBERED + """ SELECT trajectory_id, frame, round(degrees(2 * acos(least(1.0, abs(qy * lag(qy) OVER w + qw * lag(qw) OVER w)))), 4) AS degrees FROM n WINDOW w AS (PARTITION BY trajectory_id ORDER BY frame)""", "poses")
@@ -197,13 +198,17 @@ def f5_camera_to_world(spark, sf_dir):
     return rounded(poses.select("event_id", *[c.alias(n) for c, n in zip(world, "xyz", strict=True)]), "x", "y", "z")
 
 
-@query("""SELECT event_id, round(sqrt(1.0 + 4.0), 6) AS shift, round(degrees(acos(greatest(-1.0, least(1.0, 1.0)))), 3) AS turn FROM poses""", "poses")
+@query(_NUMBERED + """, p AS (SELECT *, lag(x) OVER w AS px, lag(z) OVER w AS pz, lag(qy) OVER w AS py, lag(qw) OVER w AS pw FROM n WINDOW w AS (PARTITION BY trajectory_id ORDER BY frame)),
+r AS (SELECT *, 1 - 2 * py * py AS c, 2 * py * pw AS s FROM p WHERE px IS NOT NULL)
+SELECT trajectory_id, frame, round(c * (x - px) - s * (z - pz), 5) + 0.0 AS x, round(s * (x - px) + c * (z - pz), 5) + 0.0 AS z, round(sqrt(power(x - px, 2) + power(z - pz, 2)), 6) AS shift,
+  round(degrees(2 * acos(least(1.0, abs(qy * py + qw * pw)))), 4) AS turn FROM r""", "poses")
 def f8_relative_transform(spark, sf_dir):
-    q, t = vectors.vector("qx", "qy", "qz", "qw"), vectors.vector("x", "y", "z")
-    one = vectors.pose_matrix(q, t)
-    two = vectors.pose_matrix(q, (t[0] + 1, t[1], t[2] + 2))
-    table = view(spark, sf_dir, "poses").select("event_id", vectors.relative_transform(one, two).alias("m"))
-    return rounded(rounded(table.select("event_id", vectors.translation_length(F.col("m")).alias("shift"), vectors.rotation_degrees(F.col("m")).alias("turn")), "shift"), "turn", decimals=3)
+    """Each pose in the frame of the one before."""
+    posed = _poses(spark, sf_dir).withColumn("m", vectors.pose_matrix(vectors.vector("qx", "qy", "qz", "qw"), vectors.vector("x", "y", "z")))
+    before = posed.withColumn("before", F.lag("m").over(Window.partitionBy("trajectory_id").orderBy("frame"))).filter("before is not null")
+    table = before.select("trajectory_id", "frame", vectors.relative_transform(F.col("before"), F.col("m")).alias("m"))
+    shown = table.select("trajectory_id", "frame", vectors.cell(F.col("m"), 0, 3).alias("x"), vectors.cell(F.col("m"), 2, 3).alias("z"), vectors.translation_length(F.col("m")).alias("shift"), vectors.rotation_degrees(F.col("m")).alias("turn"))
+    return rounded(rounded(rounded(shown, "shift"), "turn", decimals=4), "x", "z", decimals=5)
 
 
 @query("""WITH c AS (SELECT event_id, (event_id % 100) / 100.0 AS fitness, (event_id % 9) / 100.0 AS rmse, event_id % 160 AS correspondences, (event_id % 7) / 10.0 AS shift, (event_id % 30) * 1.0 AS turn FROM poses)
@@ -331,12 +336,13 @@ def w8_polygon_edges(spark, sf_dir):
     return edges.select("room_id", "i", "x1", "z1", F.hypot(F.col("x2") - F.col("x1"), F.col("z2") - F.col("z1")).alias("length"))
 
 
-@query("""SELECT room_id, w * h AS area FROM rooms""", "rooms")
+@query("""SELECT min(room_id) AS room_id, count(*) AS copies FROM rooms GROUP BY x0, z0, w, h""", "rooms")
 def i18_canonical_polygons(spark, sf_dir):
-    """Rooms whose polygon equals itself turned and reversed: all."""
-    v = F.col("vertices")
-    turned = F.reverse(F.concat(F.slice(v, 3, 2), F.slice(v, 1, 2)))
-    return _rectangles(spark, sf_dir).filter(plan.canonical(v) == plan.canonical(turned)).select("room_id", F.round(plan.area(v), 6).alias("area"))
+    """Equal polygons, each room's given from another corner on and every second one in the other direction."""
+    v, first = F.col("vertices"), (F.col("room_id") % 4).cast("int")
+    turned = F.concat(F.slice(v, first + 1, 4 - first), F.slice(v, F.lit(1), first))
+    given = _rectangles(spark, sf_dir).withColumn("given", F.when(F.col("room_id") % 2 == 0, turned).otherwise(F.reverse(turned)))
+    return given.groupBy(plan.canonical(F.col("given")).alias("polygon")).agg(F.min("room_id").alias("room_id"), F.count(F.lit(1)).alias("copies")).drop("polygon")
 
 
 _LINES = """WITH l AS (SELECT wall_id, capture_id, a / sqrt(a * a + c * c) AS la, c / sqrt(a * a + c * c) AS lb, d / sqrt(a * a + c * c) AS lc FROM walls)"""
@@ -586,29 +592,29 @@ def a16_area_extents(spark, sf_dir):
     return rounded(damage.area_extents(view(spark, sf_dir, "observations"), "surface_id"), "area", decimals=4)
 
 
-_REGION = "SELECT observation_id AS damage_id, CASE observation_id % 6 WHEN 0 THEN 'water_stain' WHEN 1 THEN 'mold' WHEN 2 THEN 'crack_structural' WHEN 3 THEN 'burn_or_char' WHEN 4 THEN 'hole_or_missing_material' ELSE 'surface_peeling' END AS damage_class, CASE observation_id % 4 WHEN 0 THEN 'wall' WHEN 1 THEN 'ceiling' WHEN 2 THEN 'floor' ELSE 'wall' END AS surface_type, (observation_id % 50) / 100.0 AS extent"
+_REGION = "SELECT observation_id AS damage_id, CASE observation_id % 6 WHEN 0 THEN 'water_stain' WHEN 1 THEN 'mold' WHEN 2 THEN 'crack_structural' WHEN 3 THEN 'burn_or_char' WHEN 4 THEN 'hole_or_missing_material' ELSE 'surface_peeling' END AS damage_class, CASE observation_id % 4 WHEN 0 THEN 'wall' WHEN 1 THEN 'ceiling' WHEN 2 THEN 'floor' ELSE 'wall' END AS surface_type, CASE WHEN observation_id % 3 > 0 THEN (observation_id % 50) / 100.0 END AS area, CASE WHEN observation_id % 7 > 0 THEN 1.5 END AS length"
 
 
 def _regions(spark, sf_dir):
     rows = view(spark, sf_dir, "observations")
     return rows.selectExpr(
         "observation_id AS damage_id", "CASE observation_id % 6 WHEN 0 THEN 'water_stain' WHEN 1 THEN 'mold' WHEN 2 THEN 'crack_structural' WHEN 3 THEN 'burn_or_char' WHEN 4 THEN 'hole_or_missing_material' ELSE 'surface_peeling' END AS damage_class",
-        "CASE observation_id % 4 WHEN 0 THEN 'wall' WHEN 1 THEN 'ceiling' WHEN 2 THEN 'floor' ELSE 'wall' END AS surface_type", "(observation_id % 50) / 100D AS extent",
-        "CASE WHEN observation_id % 3 > 0 THEN (observation_id % 50) / 100D END AS area", "1.5D AS length", "CASE WHEN observation_id % 5 > 0 THEN 'ACCEPTED' ELSE 'UNCERTAIN' END AS status",
+        "CASE observation_id % 4 WHEN 0 THEN 'wall' WHEN 1 THEN 'ceiling' WHEN 2 THEN 'floor' ELSE 'wall' END AS surface_type", "CASE WHEN observation_id % 3 > 0 THEN (observation_id % 50) / 100D END AS area", "CASE WHEN observation_id % 7 > 0 THEN 1.5D END AS length", "CASE WHEN observation_id % 5 > 0 THEN 'ACCEPTED' ELSE 'UNCERTAIN' END AS status",
     )
 
 
 @query(f"""WITH d AS ({_REGION} FROM observations), r(rule_id, damage_class, surface_type, least_extent) AS (VALUES
 ('RULE_WATER_STAIN_WALL_CAVITY', 'water_stain', 'wall', 0.01), ('RULE_WATER_STAIN_CEILING_PLENUM', 'water_stain', 'ceiling', 0.01), ('RULE_MOLD_DISCOLORATION_SAMPLING', 'mold', 'wall', 0.005), ('RULE_MOLD_DISCOLORATION_SAMPLING', 'mold', 'ceiling', 0.005), ('RULE_MOLD_DISCOLORATION_SAMPLING', 'mold', 'floor', 0.005),
 ('RULE_CRACK_STRUCTURAL_SHEAR', 'crack_structural', 'wall', 0.25), ('RULE_BURN_CHAR_FRAMING', 'burn_or_char', 'wall', 0.05), ('RULE_BURN_CHAR_FRAMING', 'burn_or_char', 'ceiling', 0.05), ('RULE_HOLE_CAVITY_EXPOSURE', 'hole_or_missing_material', 'wall', 0.02), ('RULE_HOLE_CAVITY_EXPOSURE', 'hole_or_missing_material', 'ceiling', 0.02))
-SELECT damage_id, rule_id, printf('Observed %s on %s (%s) spanning %.2f m²', damage_class, surface_type, CAST(damage_id AS VARCHAR), extent) AS evidence FROM d JOIN r USING (damage_class, surface_type) WHERE extent >= least_extent""", "observations")
+SELECT damage_id, rule_id, printf('Observed %s on %s (%s)', damage_class, surface_type, CAST(damage_id AS VARCHAR)) || CASE WHEN area IS NOT NULL THEN printf(' spanning %.2f m²', area) WHEN length IS NOT NULL THEN printf(' spanning %.2f m', length) ELSE '' END AS evidence
+FROM d JOIN r USING (damage_class, surface_type) WHERE coalesce(area, length, 0.0) >= least_extent""", "observations")
 def j18_rule_flags(spark, sf_dir):
     return rules.flags(_regions(spark, sf_dir), rules.rule_table(spark)).select("damage_id", "rule_id", "evidence")
 
 
-@query(f"""WITH d AS ({_REGION}, CASE WHEN observation_id % 3 > 0 THEN (observation_id % 50) / 100.0 END AS area, observation_id % 5 > 0 AS sure FROM observations),
+@query(f"""WITH d AS ({_REGION}, observation_id % 5 > 0 AS sure FROM observations),
 i AS (SELECT *, unnest(CASE WHEN damage_class IN ('mold', 'burn_or_char') THEN ['01_diag', '02_contain', '03_remed', '04_finish'] ELSE ['01_diag', '03_remed', '04_finish'] END) AS step FROM d)
-SELECT CAST(damage_id AS VARCHAR) || '_item_' || step AS line_item_id, damage_id, CASE WHEN step < '03' THEN 1.0 WHEN sure THEN coalesce(area, 1.5) END AS quantity, CASE WHEN step = '01_diag' THEN 'inspection' WHEN step = '02_contain' THEN 'setup' WHEN sure AND area IS NOT NULL THEN 'm2' WHEN sure THEN 'linear_m' ELSE 'count' END AS unit FROM i""", "observations")
+SELECT CAST(damage_id AS VARCHAR) || '_item_' || step AS line_item_id, damage_id, CASE WHEN step < '03' THEN 1.0 WHEN sure THEN coalesce(area, length) END AS quantity, CASE WHEN step = '01_diag' THEN 'inspection' WHEN step = '02_contain' THEN 'setup' WHEN sure AND area IS NOT NULL THEN 'm2' WHEN sure AND length IS NOT NULL THEN 'linear_m' ELSE 'count' END AS unit FROM i""", "observations")
 def r3_repair_scope(spark, sf_dir):
     return rules.scope(_regions(spark, sf_dir)).select("line_item_id", "damage_id", "quantity", "unit")
 
@@ -774,10 +780,12 @@ def j22_document_difference(spark, sf_dir):
     return evaluate.document_difference(one, two).select("room_id", "verdict")
 
 
-@query("""SELECT 2 AS run, round(max(CASE WHEN room_id % 7 = 0 THEN 0.001 ELSE 0.0 END), 6) AS largest, false AS agrees FROM rooms UNION ALL SELECT 3, 0.0, true""", "rooms")
+@query("""WITH d AS (SELECT 2 AS run, CASE WHEN room_id % 7 = 0 THEN w * h * 0.0001 ELSE 0.0 END AS d FROM rooms UNION ALL SELECT 3, (room_id % 13) * 0.0000003 FROM rooms)
+SELECT run, round(max(d), 6) AS largest, max(d) <= 0.00001 AS agrees FROM d GROUP BY run""", "rooms")
 def j23_determinism(spark, sf_dir):
     table = view(spark, sf_dir, "rooms")
-    runs = [table.selectExpr(f"{r} AS run", "room_id", f"w * h + CASE WHEN {r} = 2 AND room_id % 7 = 0 THEN 0.001D ELSE 0D END AS value") for r in (1, 2, 3)]
+    off = {1: "0D", 2: "CASE WHEN room_id % 7 = 0 THEN w * h * 0.0001D ELSE 0D END", 3: "(room_id % 13) * 0.0000003D"}
+    runs = [table.selectExpr(f"{r} AS run", "room_id", f"w * h + {d} AS value") for r, d in off.items()]
     return rounded(evaluate.determinism(runs[0].unionByName(runs[1]).unionByName(runs[2]), ["room_id"]), "largest")
 
 
@@ -789,14 +797,18 @@ def p19_opening_sanity(spark, sf_dir):
     return openings.sane(rows).select("opening_id", "reason")
 
 
-@query("""SELECT room_id, 'nope' AS reason FROM rooms WHERE false""", "rooms")
+@query("""WITH c AS (SELECT room_id, unnest([0, 1, 2, 3])::INT AS i, unnest([x0, x0 + w, x0 + w, x0]) AS x, unnest([z0, z0, z0 + h, z0 + h]) AS z, cos(room_id * 0.1) AS c, sin(room_id * 0.1) AS s FROM rooms)
+SELECT room_id, i, round(c * x + s * z + 1, 5) + 0.0 AS x, round(c * z - s * x - 2, 5) + 0.0 AS z, NULL AS reason FROM c WHERE room_id % 11 > 1
+UNION ALL SELECT room_id, -1, NULL, NULL, CASE room_id % 11 WHEN 0 THEN 'not_rigid' ELSE 'no_transform' END FROM rooms WHERE room_id % 11 < 2""", "rooms")
 def f23_moved_rooms(spark, sf_dir):
-    """Rooms whose transform is refused: none of these rotations."""
+    """Corners of rooms under their transforms; every eleventh is stretched and refused, the next has none."""
     table = _rectangles(spark, sf_dir).select("room_id", "vertices")
-    cos, sin = F.cos(F.col("room_id") * 0.1), F.sin(F.col("room_id") * 0.1)
+    size = F.when(F.col("room_id") % 11 == 0, 1.1).otherwise(1.0)
+    cos, sin = size * F.cos(F.col("room_id") * 0.1), size * F.sin(F.col("room_id") * 0.1)
     zero, one = F.lit(0.0), F.lit(1.0)
-    moves = table.select("room_id", F.array(cos, zero, sin, one, zero, one, zero, zero, -sin, zero, cos, one, zero, zero, zero, one).alias("matrix"))
-    return rooms.moved_rooms(table, moves).filter("reason is not null").select("room_id", "reason")
+    moves = table.filter("room_id % 11 <> 1").select("room_id", F.array(cos, zero, sin, one, zero, size, zero, zero, -sin, zero, cos, F.lit(-2.0), zero, zero, zero, one).alias("matrix"))
+    moved = rooms.moved_rooms(table, moves).select("room_id", "reason", F.posexplode_outer("vertices").alias("i", "v"))
+    return rounded(moved.select("room_id", F.coalesce("i", F.lit(-1)).alias("i"), "v.x", "v.z", "reason"), "x", "z", decimals=5)
 
 
 @query("""SELECT image_id, CASE WHEN mean < 20 OR mean > 240 OR contrast < 12 OR laplacian < 5 THEN 'REJECTED' WHEN laplacian < 15 THEN 'PROVISIONAL' ELSE 'USABLE' END AS status FROM (SELECT observation_id AS image_id, observation_id % 256 AS mean, observation_id % 60 AS contrast, observation_id % 100 AS laplacian FROM observations)""", "observations")

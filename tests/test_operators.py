@@ -152,8 +152,13 @@ def test_rules_and_scope(spark):
         [("d1", "water_stain", "wall", 0.5, 0.5, None, "ACCEPTED"), ("d2", "mold", "ceiling", 0.1, 0.1, None, "ACCEPTED"), ("d3", "crack_structural", "wall", 0.3, None, 0.3, "PROVISIONAL"), ("d4", "water_stain", "floor", None, None, None, "ACCEPTED")],
         "damage_id string, damage_class string, surface_type string, extent double, area double, length double, status string",
     )
-    fired = {(r.damage_id, r.rule_id) for r in rules.flags(regions, rules.rule_table(spark)).collect()}
+    told = rules.flags(regions, rules.rule_table(spark)).collect()
+    fired = {(r.damage_id, r.rule_id) for r in told}
     assert fired == {("d1", "RULE_WATER_STAIN_WALL_CAVITY"), ("d2", "RULE_MOLD_DISCOLORATION_SAMPLING"), ("d3", "RULE_CRACK_STRUCTURAL_SHEAR")}
+    said = {r.damage_id: r.evidence for r in told}
+    assert said["d1"] == "Observed water_stain on wall (d1) spanning 0.50 m²" and said["d3"] == "Observed crack_structural on wall (d3) spanning 0.30 m"
+    always = spark.createDataFrame([("R", ["water_stain"], [], 0.0, "i", "r", 0.5)], rules.rule_table(spark).schema)
+    assert {r.damage_id: r.evidence for r in rules.flags(regions, always).collect()}["d4"] == "Observed water_stain on floor (d4)"
     items = {r.line_item_id: r for r in rules.scope(regions).collect()}
     assert items["d4_item_03_remed"].quantity is None and items["d3_item_04_finish"].unit == "linear_m"
     assert "d2_item_02_contain" in items and "d1_item_02_contain" not in items
