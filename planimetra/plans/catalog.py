@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from planimetra.functions import labels, plan, uncertainty, vectors
-from planimetra.operators import damage, evaluate, graph, imaging, measure, openings, points, rooms, rules, scale, structure, trajectory
+from planimetra.operators import damage, evaluate, graph, imaging, measure, openings, points, posegraph, registration, rooms, rules, scale, structure, trajectory
 from planimetra.plans import bindings, captures
 from planimetra.plans.bindings import sql, view
 
@@ -220,6 +220,69 @@ def p7_loop_validation(spark, sf_dir):
     return trajectory.validated_loops(loops).select("event_id", "decision", F.size("reasons").alias("n_reasons"))
 
 
+@query()
+def i16_pose_graphs(spark, sf_dir):
+    """Trajectories whose poses drift with the frame number; true steps and loops from the first frame to every sixteenth pull them back."""
+    q, t = vectors.vector("qx", "qy", "qz", "qw"), vectors.vector("x", "y", "z")
+    half = F.col("frame") * 0.0005
+    sin, cos = F.sin(half), F.cos(half)
+    drifted = (q[0] * cos + q[2] * sin, q[1] * cos + q[3] * sin, q[2] * cos - q[0] * sin, q[3] * cos - q[1] * sin)
+    posed = _poses(spark, sf_dir).select(
+        "trajectory_id", F.col("frame").cast("long").alias("node"), vectors.pose_matrix(q, t).alias("true"), vectors.pose_matrix(drifted, (t[0] + F.col("frame") * 0.003, t[1], t[2] - F.col("frame") * 0.002)).alias("raw")
+    )
+    steps = posegraph.odometry(posed.select("trajectory_id", "node", F.col("true").alias("matrix")), "trajectory_id")
+    first = posed.filter("node = 0").select("trajectory_id", F.col("true").alias("_first"))
+    ends = posed.filter("node % 16 = 15").join(first, "trajectory_id").withColumns({"source": F.lit(0).cast("long"), "target": F.col("node"), "matrix": vectors.relative_transform(F.col("true"), F.col("_first")), "information": F.transform(F.sequence(F.lit(0), F.lit(35)), lambda i: F.when(i % 7 == 0, 1000.0).otherwise(0.0))})
+    closed = posegraph.loops(ends.select("trajectory_id", "source", "target", "matrix", "information", F.when(F.col("node") % 32 == 15, "accepted").otherwise("uncertain").alias("decision")))
+    found = posegraph.optimised(posed.select("trajectory_id", "node", F.col("raw").alias("matrix")), steps.unionByName(closed), "trajectory_id")
+    told = found.groupBy("trajectory_id").agg(F.count(F.lit(1)).alias("nodes"), *[F.any_value(c).alias(c) for c in ("status", "raw_residual", "residual", "gain_pct", "largest_shift")])
+    return rounded(told, "raw_residual", "residual", "gain_pct", "largest_shift", decimals=4)
+
+
+def _motion(turn, x, z):
+    zero, one = F.lit(0.0), F.lit(1.0)
+    return F.array(F.cos(turn), zero, F.sin(turn), x, zero, one, zero, F.lit(0.02), -F.sin(turn), zero, F.cos(turn), z, zero, zero, zero, one)
+
+
+def _off(got, planted):
+    """Largest difference of two matrices."""
+    return F.array_max(F.zip_with(got, planted, lambda a, b: F.abs(a - b)))
+
+
+@query()
+def i14_registrations(spark, sf_dir):
+    """The points of each view laid on themselves after a small planted motion."""
+    cloud = view(spark, sf_dir, "points").groupBy("view_id").agg(F.sort_array(F.collect_list(F.array("x", "y", "z"))).alias("source")).withColumn("planted", _motion(F.lit(0.01) + F.col("view_id") * 0.002, F.lit(0.05), F.lit(-0.03)))
+    m = F.col("planted")
+    turned = F.transform("source", lambda p: F.array(*[m[4 * i] * p[0] + m[4 * i + 1] * p[1] + m[4 * i + 2] * p[2] + m[4 * i + 3] for i in range(3)]))
+    pairs = cloud.select(F.col("view_id").cast("long").alias("pair_id"), "source", turned.alias("target"), "planted")
+    found = registration.registered(pairs, radius=0.6).join(pairs.select("pair_id", "planted"), "pair_id")
+    judged = trajectory.validated_loops(found, correspondences=20, rmse=0.1, shift=1.0).withColumn("off", _off(F.col("matrix"), F.col("planted")))
+    return rounded(judged.select("pair_id", (F.col("decision") == "accepted").alias("accepted"), "fitness", "rmse", "correspondences", "off"), "fitness", "rmse", "off", decimals=4)
+
+
+#: Ends of the faces of a room without symmetry: walls, floor and furniture.
+_FACES = [((0, 0, 0), (4, 0, 3)), ((0, 0, 0), (0, 2.4, 3)), ((0, 0, 0), (4, 2.4, 0)), ((4, 0, 0), (4, 2.4, 1.8)), ((0.6, 1.1, 0.4), (1.4, 1.1, 1.3)), ((2.6, 0, 2.2), (3.3, 0.7, 2.2)), ((1.9, 0, 0.9), (2.2, 1.6, 0.9))]
+
+
+@query()
+def i15_room_registrations(spark, sf_dir):
+    """Rooms of points on seven faces, each scanned twice: the second scan is turned far and moved, and found again without a start."""
+    place = {c: "CASE l_linenumber " + " ".join(f"WHEN {k} THEN {lo[i]}D + {hi[i] - lo[i]:.3f}D * {'u' if not any(hi[j] > lo[j] for j in range(i)) else 'v'}" for k, (lo, hi) in enumerate(_FACES, 1)) + " END" for i, c in enumerate("xyz")}
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("*", "(l_orderkey * 7919 + l_linenumber * 104729) % 9973 / 9973D AS u", "(l_partkey * 6271 + l_orderkey * 3571) % 9967 / 9967D AS v")
+    own = lines.selectExpr("l_suppkey AS view_id", "concat('a', CAST(l_suppkey AS STRING)) AS room", "(l_orderkey * 8 + l_linenumber) * 2 AS point_id", *[f"{e} AS {c}" for c, e in place.items()], "(l_partkey % 7 - 3) / 300D AS noise")
+    m = own.select("view_id").distinct().select("view_id", _motion(F.lit(1.0) + F.col("view_id") * 0.5, F.lit(4.0), F.lit(-2.0)).alias("planted"))
+    p = F.col("planted")
+    across = own.join(m, "view_id").select(
+        F.concat(F.lit("b"), F.col("view_id").cast("string")).alias("room"), (F.col("point_id") + 1).alias("point_id"), *[(p[4 * i] * F.col("x") + p[4 * i + 1] * F.col("y") + p[4 * i + 2] * F.col("z") + p[4 * i + 3] + F.col("noise")).alias(c) for i, c in enumerate("xyz")], "view_id"
+    )
+    own = own.drop("noise")
+    pairs = m.select(F.concat(F.lit("a"), F.col("view_id").cast("string")).alias("source"), F.concat(F.lit("b"), F.col("view_id").cast("string")).alias("target"), "planted")
+    found = registration.registered_rooms(own.unionByName(across).drop("view_id"), pairs, "room", voxel=0.25, tries=4096)
+    judged = found.join(pairs, ["source", "target"]).withColumn("off", _off(F.col("matrix"), p))
+    return rounded(judged.select("source", "target", "accepted", "reason", "fitness", "off"), "fitness", "off", decimals=3)
+
+
 # ---- evaluation -----------------------------------------------------------------------------------------------------
 
 

@@ -174,18 +174,6 @@ def test_cycles_and_components(spark):
     assert dict(map(tuple, graph.components(pairs).collect())) == {1: 1, 2: 1, 3: 1, 5: 5, 6: 5}
 
 
-def test_registration_and_pose_graph(spark):
-    cloud = [[math.cos(i * 0.7) * (1 + i * 0.05), 0.1 * i, math.sin(i * 0.7)] for i in range(40)]
-    moved = [[x + 0.05, y, z - 0.03] for x, y, z in cloud]
-    table = spark.createDataFrame([(1, cloud, moved)], "pair_id long, source array<array<double>>, target array<array<double>>")
-    r = graph.registered(table).first()
-    assert r.fitness == 1.0 and r.rmse < 1e-6 and (r.matrix[3], r.matrix[11]) == pytest.approx((0.05, -0.03), abs=1e-6)
-    nodes = spark.createDataFrame([(1, i, i * 1.0, 0.0, 0.1 * i) for i in range(5)], "t int, node long, x double, y double, z double")
-    edges = spark.createDataFrame([(1, i, i + 1, -1.0, 0.0, -0.1, 1.0, False) for i in range(4)] + [(1, 0, 4, -4.0, 0.0, 0.0, 1.0, True)], "t int, source long, target long, dx double, dy double, dz double, weight double, is_loop boolean")
-    out = graph.optimised_positions(nodes, edges, "t").collect()
-    assert out[0].accepted and out[0].after < out[0].before
-
-
 def test_distance_join_meets_every_pair_once(spark):
     rows = [(i, (i * 37 % 101) / 10, (i * 53 % 97) / 10, (i * 29 % 89) / 10) for i in range(300)]
     df = spark.createDataFrame(rows, "id int, x double, y double, z double")
