@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from planimetra.functions import labels, plan, uncertainty, vectors
-from planimetra.operators import damage, evaluate, graph, imaging, measure, openings, points, posegraph, registration, rooms, rules, scale, structure, trajectory
+from planimetra.operators import damage, evaluate, graph, imaging, measure, openings, outlines, points, posegraph, registration, rooms, rules, scale, structure, trajectory
 from planimetra.plans import bindings, captures
 from planimetra.plans.bindings import sql, view
 
@@ -539,6 +539,22 @@ def p13_room_overlaps(spark, sf_dir):
     return rounded(rooms.overlaps(_rectangles(spark, sf_dir), ["property_id"]), "overlap", "ratio")
 
 
+_CELLS = """WITH e AS (SELECT property_id, x0 AS x, NULL AS z FROM rooms UNION SELECT property_id, x0 + w, NULL FROM rooms UNION SELECT property_id, NULL, z0 FROM rooms UNION SELECT property_id, NULL, z0 + h FROM rooms),
+xs AS (SELECT property_id, x, lead(x) OVER (PARTITION BY property_id ORDER BY x) AS x2 FROM e WHERE x IS NOT NULL), zs AS (SELECT property_id, z, lead(z) OVER (PARTITION BY property_id ORDER BY z) AS z2 FROM e WHERE z IS NOT NULL),
+c AS (SELECT xs.property_id, x, z, (x2 - x) * (z2 - z) AS area, min(room_id) AS first FROM xs JOIN zs USING (property_id) JOIN rooms r ON r.property_id = xs.property_id AND r.x0 <= x AND x2 <= r.x0 + w AND r.z0 <= z AND z2 <= r.z0 + h GROUP BY ALL),
+f AS (SELECT property_id, min(room_id) AS room_id FROM rooms GROUP BY 1)"""
+
+
+@query(_CELLS + """ SELECT property_id, round(sum(area), 4) AS area, round(coalesce(sum(area) FILTER (first <> f.room_id), 0), 4) AS beside_first FROM c JOIN f USING (property_id) GROUP BY 1""", "rooms")
+def i17_footprints(spark, sf_dir):
+    """Area of all rooms of a property together, and of what its first room leaves of that."""
+    table = _rectangles(spark, sf_dir).select("property_id", "room_id", "vertices")
+    first = table.groupBy("property_id").agg(F.min_by("vertices", "room_id").alias("vertices"))
+    whole = outlines.union(table, ["property_id"])
+    beside = outlines.union(outlines.difference(table, first, ["property_id"]).select("property_id", F.explode_outer("rings").alias("vertices")), ["property_id"])
+    return rounded(whole.select("property_id", "area").join(beside.select("property_id", F.col("area").alias("beside_first")), "property_id"), "area", "beside_first", decimals=4)
+
+
 @query("""SELECT property_id, count(*) AS n_rooms, round(sum(w * h), 3) AS total_area FROM rooms GROUP BY property_id""", "rooms")
 def a24_property_documents(spark, sf_dir):
     shaped = measure.shape(_rectangles(spark, sf_dir))
