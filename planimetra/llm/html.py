@@ -44,15 +44,25 @@ BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary searc
 MODIFIERS = frozenset("with without has have no not is hide show before after".split())
 CONTENT_NAMES = frozenset("article content main post entry story body text prose markdown".split())
 NAME_WEIGHT, CONTENT_NAME_WEIGHT = -8.0, 1.5
+#: Of a name that has other words beside the telling one (alert-the-press), unless they are STRUCTURE: the text may outweigh it.
+PART_WEIGHT = -1.0
+STRUCTURE = frozenset(
+    "page site reader user post story news box bar block wrap wrapper container content list area section item items inner outer left right top bottom main primary secondary slot unit link links button "
+    "icon icons group holder panel region zone frame row col column module component class id js is global local fixed sticky full small large mobile desktop text title label form field input".split()
+)
+#: Of names where nothing else on the page is content: what is left is the best there is. Forms then say nothing.
+LAST_RESORT_WEIGHT = -1.0
 LARGEST = 12.0
 NEIGHBOUR, SAME_PARENT = 0.8, 0.6
 
-_TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|title|textarea|template|noscript|iframe|svg|math|canvas|object|video|audio)\b(?:[^>"']++|"[^"]*"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""",
-    re.S | re.I,
-)
+_RAW = "script|style|title|textarea|template|noscript|iframe|svg|math|canvas|object|video|audio"
+#: A tag whose quotes may hide a '>', and one that ends at the first.
+_QUOTED = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>""")
+_PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+_RAW_TAGS = frozenset(_RAW.split("|"))
 _NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
+_RAW_ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in _RAW_TAGS}
 _SENTENCE = re.compile(r"[.!?。](?:\s|$)")
 
 
@@ -69,13 +79,17 @@ def _name_weight(parts: list[str], article: bool) -> float:
     said = set(parts[: next((i for i, p in enumerate(parts) if p in MODIFIERS), len(parts))])
     boilerplate = bool(said & (BOILERPLATE_NAMES - PART_OF_ARTICLE if article else BOILERPLATE_NAMES))
     content = bool(said & CONTENT_NAMES)
-    return 0.0 if boilerplate == content else NAME_WEIGHT if boilerplate else CONTENT_NAME_WEIGHT
+    if boilerplate == content:
+        return 0.0
+    if content:
+        return CONTENT_NAME_WEIGHT
+    return NAME_WEIGHT if said <= BOILERPLATE_NAMES | STRUCTURE | CONTENT_NAMES else PART_WEIGHT
 
 
-def _prior(tag: str, attributes: str, article: bool) -> float:
+def _prior(tag: str, attributes: str, article: bool, last_resort: bool = False) -> float:
     weight = 0.0
     if tag in BOILERPLATE_TAGS and not (tag == "header" and article):
-        weight += BOILERPLATE_TAGS[tag]
+        weight += 0.0 if last_resort and tag == "form" else BOILERPLATE_TAGS[tag]
     weight += CONTENT_TAGS.get(tag, 0.0)
     if tag in ("body", "html") or "=" not in attributes and "hidden" not in attributes:
         return weight
@@ -89,14 +103,54 @@ def _prior(tag: str, attributes: str, article: bool) -> float:
             weight += NAME_WEIGHT if value.lower() in BOILERPLATE_ROLES else CONTENT_TAGS["main"] if value.lower() in ("main", "article") else 0
         else:
             for token in value.split():
-                weight += _name_weight(_PARTS.findall(token), article)
+                own = _name_weight(_PARTS.findall(token), article)
+                weight += max(own, LAST_RESORT_WEIGHT) if last_resort else own
     return weight
 
 
-def blocks(page: str) -> list[Block]:
+def tokens(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """Start and end of what is not text, with '/' or '' and the lowered name and attributes of a tag; comments and raw elements have no name.
+
+    Each character is looked at a bounded number of times: where no '>' follows all is text, and after a quote that never ends quotes hide no '>' any more.
+    """
+    at, last, quoted = page.find("<"), page.rfind(">"), True
+    while 0 <= at:
+        end = at + 1
+        following = page[at + 1 : at + 3]
+        if page.startswith("<!--", at):
+            close = page.find("-->", at + 4)
+            end = close + 3 if close >= 0 else len(page)
+            yield at, end, "", "", ""
+        elif at > last:
+            return
+        elif following[:1].isascii() and following[:1].isalpha() or following[:1] == "/" and following[1:].isascii() and following[1:].isalpha():
+            match = _QUOTED.match(page, at) if quoted else None
+            if match is None:
+                quoted = False
+                match = _PLAIN.match(page, at)
+            if match is None:  # a name that runs into a sign no name has
+                end = page.find(">", at) + 1
+                yield at, end, "", "", ""
+            else:
+                end, tag = match.end(), match[2].lower()
+                if not match[1] and tag in _RAW_TAGS:
+                    close = _RAW_ENDS[tag].search(page, end)
+                    end = close.end() if close else len(page)
+                    yield at, end, "", "", ""
+                else:
+                    yield at, end, match[1], tag, match[3]
+        elif following[:1] in ("!", "?", "/"):
+            end = page.find(">", at) + 1
+            yield at, end, "", "", ""
+        at = page.find("<", end)
+
+
+def blocks(page: str, last_resort: bool = False) -> list[Block]:
     """Text blocks in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, float, bool, int]] = [("", 0.0, False, 0)]  # tag, summed prior, inside an article, element number
+    # tag, summed prior, whether only a form speaks against it, inside an article, element number
+    stack: list[tuple[str, float, bool, bool, int]] = [("", 0.0, False, False, 0)]
+    near, scopes, where = [0], [0], {}  # places in the stack of block elements, of scopes, and of each tag
     number = links = 0
     text: list[str] = []
     linked = 0
@@ -107,64 +161,64 @@ def blocks(page: str) -> list[Block]:
             whole = " ".join("".join(text).split())
             text.clear()
             if whole:
-                near = [e for e in stack if e[0] in BLOCKS or not e[0]]
-                own = near[-1]
-                parent = near[-2][3] if len(near) > 1 else own[3]
-                out.append(Block(whole, min(linked, len(whole)), own[0], stack[-1][1], own[2], parent, near[-3][3] if len(near) > 2 else 0))
+                own = stack[near[-1]]
+                parent = stack[near[-2]][4] if len(near) > 1 else own[4]
+                out.append(Block(whole, min(linked, len(whole)), own[0], stack[-1][1], own[3], parent, stack[near[-3]][4] if len(near) > 2 else 0))
         linked = 0
 
     def pop(to: int) -> None:
         nonlocal links
-        links -= sum(e[0] == "a" for e in stack[to:])
+        for e in stack[to:]:
+            links -= e[0] == "a"
+            where[e[0]].pop()
         del stack[to:]
+        for places in (near, scopes):
+            while places[-1] >= to:
+                places.pop()
 
     at = 0
-    for match in _TOKEN.finditer(page):
-        if match.start() > at:
-            piece = html.unescape(page[at : match.start()])
+    for start, end, closing, tag, attributes in tokens(page):
+        if start > at:
+            piece = html.unescape(page[at:start])
             text.append(piece)
             if links:
                 linked += len(piece.strip())
-        at = match.end()
-        closing, tag, attributes = (match[2], match[3], match[4]) if match[3] else (match[5], match[6], match[7])
+        at = end
         if not tag:
             continue
-        tag = tag.lower()
         if tag == "br":
             text.append(" ")
         if tag in BLOCKS:
             flush()
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    pop(k)
-                    break
-                if stack[k][0] in SCOPES and tag not in BLOCKS:
-                    break
+            if where.get(tag) and (tag in BLOCKS or where[tag][-1] >= scopes[-1]):
+                pop(where[tag][-1])
             continue
         if tag in VOID:
             continue
-        if tag in ENDS_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    pop(k)
-                    break
-                if stack[k][0] in BLOCKS:
-                    break
+        if tag in ENDS_P and stack[near[-1]][0] == "p":
+            pop(near[-1])
         if tag in SIBLINGS:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in SIBLINGS[tag]:
-                    pop(k)
-                    break
-                if stack[k][0] in SCOPES:
-                    break
+            place = max((where[t][-1] for t in SIBLINGS[tag] if where.get(t)), default=0)
+            if place > scopes[-1]:
+                pop(place)
         number += 1
         links += tag == "a"
-        _, prior, article, _ = stack[-1]
-        own = _prior(tag, attributes or "", article)
-        # the inner of two opposite signs decides, but nothing inside boilerplate is content again, except a page's main part
-        prior = min(prior, 0.0) + own if own < 0 else own if tag == "main" else prior + own if prior >= 0 else prior
-        stack.append((tag, prior, article or tag in CONTENT_TAGS, number))
+        _, prior, form, article, _ = stack[-1]
+        own = _prior(tag, attributes, article, last_resort)
+        if form and tag in CONTENT_TAGS:  # a form around a whole page
+            prior, form = own, False
+        else:
+            # the inner of two opposite signs decides, but nothing inside boilerplate is content again, except a page's main part
+            form = own < 0 and tag == "form" and own >= BOILERPLATE_TAGS["form"] and prior >= 0 or form and own >= 0
+            prior = min(prior, 0.0) + own if own < 0 else own if tag == "main" else prior + own if prior >= 0 else prior
+        places = len(stack)
+        stack.append((tag, prior, form, article or tag in CONTENT_TAGS, number))
+        where.setdefault(tag, []).append(places)
+        if tag in BLOCKS:
+            near.append(places)
+        if tag in SCOPES:
+            scopes.append(places)
     if at < len(page):
         text.append(html.unescape(page[at:]))
     flush()
@@ -280,7 +334,11 @@ def _blocking_flows(excess: list[float], edges: list[tuple[int, int, float]]) ->
 
 
 def main_text(page: str) -> str:
-    found = blocks(page)
+    """The page's content; where names and forms alone leave none, what they leave when they say less."""
+    return labelled(blocks(page)) or labelled(blocks(page, last_resort=True))
+
+
+def labelled(found: list[Block]) -> str:
     if not found:
         return ""
     edges, last = [], {}

@@ -108,3 +108,47 @@ def test_precision_and_recall_on_labelled_pages():
         got = html.main_text(page).split("\n")
         right, found, wanted = right + len(set(got) & set(want)), found + len(got), wanted + len(want)
     assert right / found > 0.98 and right / wanted > 0.98, (right / found, right / wanted)
+
+
+def test_no_single_name_or_form_takes_an_article_away():
+    """Names of sites as they are found, none of them made from the operator's lists."""
+    first, second = "The council met on Tuesday evening to discuss the bridge, which has been closed since March. " * 2, "Nobody could say when the repairs would be finished, or what they would cost the town in the end. " * 2
+    article = f"<h1>Bridge stays closed</h1><p>{first}</p><p>{second}</p>"
+    for page in (
+        '<form id="aspnetForm" method="post"><div><article>%s</article></div></form>', '<form id="aspnetForm"><div id="ctl00_body">%s</div></form>', '<div class="alert-the-press">%s</div>', '<section id="notice-board">%s</section>',
+        '<div class="share-prices">%s</div>', '<div class="legal-affairs-desk">%s</div>', '<div id="promotion-race-2024">%s</div>', '<div class="popup-book">%s</div>',
+    ):
+        got = html.main_text(f"<body><nav><a href=1>Home</a><a href=2>Sport</a></nav>{page % article}<footer>All rights reserved by the owners of this paper.</footer></body>")
+        assert got == f"Bridge stays closed\n{first.strip()}\n{second.strip()}", page
+
+
+def test_forms_inside_pages_still_go():
+    long = "A long sentence that any reader would call the text of this page. " * 2
+    assert html.main_text(f"<body><div><p>{long}</p></div><form><p>{long}Please fill in all of the fields below.</p><input></form></body>") == long.strip()
+
+
+def test_broken_markup_takes_linear_time():
+    import time
+
+    unit = 1_000_000
+    pages = [
+        '<script "' * (unit // 9), '<b "' * (unit // 4), "<b " * (unit // 3), "<div>" * (unit // 9) + "</b>" * (unit // 9), '<a ">" ' * (unit // 7) + '"', "<b><ul>" + "<i>" * (unit // 7) + "</b>" * (unit // 7),
+        "</" * (unit // 2), "<!" * (unit // 2), "<p" * (unit // 2) + ">", "<a href='" * (unit // 9) + ">", "<li>" * (unit // 4), "<x><p>" * (unit // 6), "<textarea" * (unit // 9),
+    ]
+    for page in pages:
+        began = time.perf_counter()
+        html.main_text(page)
+        assert time.perf_counter() - began < 12, page[:40]
+    for page in pages:  # ten times the page, not a hundred times the time
+        began = time.perf_counter()
+        html.blocks(page[: len(page) // 10])
+        small = time.perf_counter() - began
+        began = time.perf_counter()
+        html.blocks(page)
+        assert time.perf_counter() - began < 40 * max(small, 0.01), page[:40]
+
+
+def test_tokens():
+    page = """a<b c=">">d</b ><!-- <p> --><script>"<p>"</script><3 </ x><br/>e<p title='x>f"""
+    got = [(page[s:e], c, t) for s, e, c, t, _ in html.tokens(page)]
+    assert got == [('<b c=">">', "", "b"), ("</b >", "/", "b"), ("<!-- <p> -->", "", ""), ('<script>"<p>"</script>', "", ""), ("</ x>", "", ""), ("<br/>", "", "br"), ("<p title='x>", "", "p")]
