@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from planimetra.functions import pictures
 from planimetra.functions.gates import reasons
 from planimetra.operators import spatial
 
@@ -216,3 +217,32 @@ def plane_documents(documents: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(F.col("planes").isNull(), "NOT_EVALUABLE").otherwise("OK"))
 
 
+
+
+def image_measures(frames: DataFrame, key: str, order: str = "frame") -> DataFrame:
+    """frames (key, order, width, height, pixels: grey values by rows) with sharpness, texture, mean, exposed and motion, without pixels.
+
+    motion is the difference to the frame before in the same key, 0 for the first. Only thumbnails are compared, so the window moves those and not the images. A null or
+    empty image, or one whose number of pixels is not width times height, measures 0 and is not exposed.
+    """
+    thumbnail = pictures.THUMBNAIL[0] * pictures.THUMBNAIL[1]
+
+    def images(width: pd.Series, height: pd.Series, pixels: pd.Series):
+        for w, h, p in zip(width, height, pixels):
+            sound = p is not None and w is not None and h is not None and w == w and h == h and len(p) == w * h
+            yield np.asarray(p, np.uint8).reshape(int(h), int(w)) if sound else np.zeros((0, 0), np.uint8)
+
+    def measured(width: pd.Series, height: pd.Series, pixels: pd.Series) -> pd.DataFrame:
+        out = []
+        for image in images(width, height, pixels):
+            small = pictures.shrunk(image, *pictures.THUMBNAIL).astype(np.int16).ravel() if image.size else None
+            out.append((pictures.sharpness(image), pictures.texture(image), float(image.mean()) if image.size else 0.0, small))
+        return pd.DataFrame(out, columns=["sharpness", "texture", "mean", "small"])
+
+    def moved(one: pd.Series, two: pd.Series) -> pd.Series:
+        return pd.Series([0.0 if a is None or b is None else float(np.abs(np.asarray(a, int) - np.asarray(b, int)).sum()) / thumbnail for a, b in zip(one, two)], dtype=float)
+
+    told = frames.withColumn("_m", F.pandas_udf(measured, "struct<sharpness:double,texture:double,mean:double,small:array<short>>")("width", "height", "pixels")).drop("pixels")
+    told = told.withColumns({"sharpness": F.col("_m.sharpness"), "texture": F.col("_m.texture"), "mean": F.col("_m.mean"), "_small": F.col("_m.small")}).drop("_m")
+    before = told.withColumn("_before", F.lag("_small").over(Window.partitionBy(key).orderBy(order)))
+    return before.withColumns({"exposed": F.col("_small").isNotNull() & exposed(F.col("mean")), "motion": F.pandas_udf(moved, "double")("_before", "_small")}).drop("_small", "_before")

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from planimetra.functions import labels, plan, uncertainty, vectors
-from planimetra.operators import damage, evaluate, graph, imaging, measure, openings, outlines, points, posegraph, registration, rooms, rules, scale, structure, trajectory
+from planimetra.functions import documents, labels, plan, uncertainty, vectors
+from planimetra.operators import damage, evaluate, graph, imaging, labelling, measure, openings, outlines, points, posegraph, registration, rooms, rules, scale, structure, trajectory
 from planimetra.plans import bindings, captures
 from planimetra.plans.bindings import sql, view
 
@@ -896,6 +896,49 @@ def p9_image_gate(spark, sf_dir):
     return damage.image_gate(rows).select("image_id", "status")
 
 
+_DOCUMENT = """CASE room_id % 6 WHEN 0 THEN '{"rooms": [{"room_id": "r"}], "area": ' || CAST(room_id % 7 AS VARCHAR(20)) || '}'
+  WHEN 1 THEN '{"room_polygon": {}, "status": "accepted", "area": {"value": ' || CAST(room_id % 7 AS VARCHAR(20)) || ', "unit": "ft", "interval": [' || CAST(room_id % 5 AS VARCHAR(20)) || ', 9.5]}}'
+  WHEN 2 THEN '{"status": "NOT_EVALUABLE", "failure_reasons": ["dark"]}' WHEN 3 THEN '{broken' WHEN 4 THEN '{"measurements": "", "rooms": [1], "status": "rejected", "area": "7"}'
+  ELSE '{"rooms": [], "failure_reasons": [], "measurements": [1]}' END"""
+
+
+@query(f"""WITH d AS (SELECT room_id, {_DOCUMENT} AS text FROM rooms), j AS (SELECT room_id, CASE WHEN json_valid(text) THEN CAST(text AS JSON) END AS j FROM d),
+p AS (SELECT *, j->>'$.status' AS said, json_type(j, '$.area') AS kind FROM j)
+SELECT room_id, CASE WHEN j IS NULL OR said = 'NOT_EVALUABLE' OR (json_type(j, '$.rooms') = 'ARRAY' AND json_array_length(j, '$.rooms') = 0 AND json_type(j, '$.failure_reasons') = 'ARRAY') THEN 'failure'
+  WHEN json_type(j, '$.room_polygon') = 'OBJECT' OR json_type(j, '$.measurements') = 'ARRAY' THEN 'single_room' ELSE 'property' END AS route,
+  CASE WHEN upper(said) = 'ACCEPTED' THEN 'COMPLETE' WHEN upper(said) = 'REJECTED' THEN 'FAILED' WHEN said = 'NOT_EVALUABLE' THEN said ELSE 'COMPLETE' END AS status,
+  CASE kind WHEN 'OBJECT' THEN CAST(j->>'$.area.value' AS DOUBLE) WHEN 'VARCHAR' THEN NULL ELSE CAST(j->>'$.area' AS DOUBLE) END AS value,
+  CASE WHEN kind = 'OBJECT' THEN j->>'$.area.unit' WHEN kind <> 'VARCHAR' THEN 'm' END AS unit, CASE WHEN kind = 'OBJECT' THEN CAST(j->>'$.area.interval[0]' AS DOUBLE) END AS lower FROM p""", "rooms")
+def r14_document_routes(spark, sf_dir):
+    """Documents of several shapes, some broken: where each goes, its status and its area."""
+    told = view(spark, sf_dir, "rooms").selectExpr("room_id", f"{_DOCUMENT} AS text").withColumn("d", documents.parsed(F.col("text")))
+    told = told.withColumn("area", documents.measured(documents.at(F.col("d"), "$.area")))
+    return told.select("room_id", documents.route(F.col("d")).alias("route"), documents.normal_status(documents.at(F.col("d"), "$.status"), F.lit("lidar")).alias("status"), "area.value", "area.unit", "area.lower")
+
+
+def _wall_labels(spark, sf_dir):
+    """Labels of the walls of all rooms of a property, beside their middles, longer walls first."""
+    walls = _rectangles(spark, sf_dir).select("property_id", "room_id", F.inline(plan.edges(F.col("vertices")))).withColumn("length", F.hypot(F.col("x2") - F.col("x1"), F.col("z2") - F.col("z1")))
+    at = plan.label_position(F.col("x1"), F.col("z1"), F.col("x2"), F.col("z2"))
+    return walls.select(
+        "property_id", (F.col("room_id") * 4 + F.col("i")).alias("label_id"), F.format_string("%.2f m", "length").alias("text"), F.lit(0.3).alias("font"), (-F.col("length")).alias("priority"), at["x"].alias("x"), at["y"].alias("y"),
+        "x1", F.col("z1").alias("y1"), "x2", F.col("z2").alias("y2"),
+    )
+
+
+@query()
+def t8_label_places(spark, sf_dir):
+    return rounded(labelling.placed(_wall_labels(spark, sf_dir), ["property_id"], 15), "x", "y")
+
+
+@query()
+def a25_image_measures(spark, sf_dir):
+    """Rows of pixels made of what a supplier delivers, one a line number."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("l_suppkey AS video", "l_linenumber AS frame", "struct(l_orderkey, CAST(l_quantity AS INT) * 5 AS grey) AS p")
+    frames = lines.groupBy("video", "frame").agg(F.sort_array(F.collect_list("p")).alias("p")).select("video", "frame", F.size("p").alias("width"), F.lit(1).alias("height"), F.transform("p", lambda x: x["grey"]).alias("pixels"))
+    return rounded(imaging.image_measures(frames, "video").select("video", "frame", "sharpness", "texture", "mean", "exposed", "motion"), "sharpness", "texture", "mean", "motion", decimals=4)
+
+
 # ---- whole runs -----------------------------------------------------------------------------------------------------
 
 _PIXELS = "point_id AS pixel, view_id % 8 AS capture_id, view_id AS frame, point_id * 7 % 256 AS u, point_id * 11 % 192 AS v, CAST(floor(abs(z) * 1000) AS BIGINT) AS depth_mm, CAST(confidence AS INT) AS confidence"

@@ -48,3 +48,23 @@ def live_funnel(pixels: DataFrame, time: str = "ts", lateness: str = "10 minutes
     return pixels.withWatermark(time, lateness).groupBy(F.window(time, window), "capture_id").agg(
         F.count(F.lit(1)).alias("pixels"), F.count_if(sure).alias("confident"), F.count_if(sure & F.col("depth").between(low, high)).alias("in_range")
     )
+
+
+def live_voxels(points: DataFrame, size: float, key: str = "capture_id") -> DataFrame:
+    """Fused cloud of arriving points (key, view_id, x, y, z): per voxel its sums and its views so far, for output mode 'update'.
+
+    The state is one row a voxel, held by Spark under the voxel's key; frames may arrive in any order and late ones count too. A point without coordinates or
+    with one that is not finite counts for nothing, a null view for no view.
+    """
+    sound = F.lit(True)
+    for c in "xyz":
+        sound = sound & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    grid = [F.floor(F.col(c) / size).cast("long").alias(f"v{c}") for c in "xyz"]
+    return points.filter(sound).groupBy(key, *grid).agg(F.count(F.lit(1)).alias("n_points"), F.collect_set("view_id").alias("views"), *[F.sum(c).alias(f"sum_{c}") for c in "xyz"])
+
+
+def closed_voxels(updates: DataFrame, key: str = "capture_id") -> DataFrame:
+    """The cloud that the updates of live_voxels() end with: per voxel its last row as n_points, n_views and mean x, y, z. Repeated and reordered updates do no harm."""
+    voxel = [key, "vx", "vy", "vz"]
+    last = updates.groupBy(*voxel).agg(F.max_by(F.struct("n_points", "views", "sum_x", "sum_y", "sum_z"), "n_points").alias("_l"))
+    return last.select(*voxel, "_l.n_points", F.size("_l.views").cast("long").alias("n_views"), *[(F.col(f"_l.sum_{c}") / F.col("_l.n_points")).alias(c) for c in "xyz"])
