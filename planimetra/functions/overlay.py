@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-from planimetra.functions.shapes import signed_area
+from planimetra.functions.shapes import is_convex, signed_area
 
 #: Corners this near are one; the sides of an edge are looked at this far from it.
 SNAP, ASIDE = 1e-7, 1e-6
@@ -109,7 +109,15 @@ def union(regions: list[Rings]) -> Rings:
     return combined(regions, lambda x: x.any(axis=0))
 
 
+def _meet(one: Rings, two: Rings) -> bool:
+    a, b = (np.concatenate(r) for r in (one, two))
+    return bool((a.min(axis=0) <= b.max(axis=0) + SNAP).all() and (b.min(axis=0) <= a.max(axis=0) + SNAP).all())
+
+
 def difference(one: Rings, others: list[Rings]) -> Rings:
+    others = [o for o in others if one and o and _meet(one, o)]
+    if not others and len(one) == 1 and is_convex(list(map(tuple, one[0].tolist()))):
+        return [one[0] if signed_area(one[0]) > 0 else one[0][::-1]]
     return combined([one, *others], lambda x: x[0] & ~x[1:].any(axis=0))
 
 

@@ -8,14 +8,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planimetra.functions import overlay
+from planimetra.operators.shared import cut
 
 _OUTLINE = "struct<rings:array<array<struct<x:double,z:double>>>,area:double>"
 
 
-def _region(rings) -> overlay.Rings:
-    """Rings of finite corners; null ones count for nothing."""
-    out = [np.array([(v["x"], v["z"]) for v in r if v is not None], float).reshape(-1, 2) for r in (() if rings is None else rings) if r is not None]
-    return [r for r in out if np.isfinite(r).all()]
+def _gathered(polygons: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and the corners of all polygons of a place in one array, each with its ring and number: lists of lists of different lengths do not reach Python whole."""
+    numbered = polygons.select(*keys, "vertices").withColumn("ring", F.monotonically_increasing_id()).select(*keys, "ring", F.posexplode_outer("vertices").alias("i", "v"))
+    return numbered.groupBy(*keys).agg(F.collect_list(F.struct("ring", "i", F.col("v.x").cast("double").alias("x"), F.col("v.z").cast("double").alias("z"))).alias("_c"))
+
+
+def _rings(corners) -> overlay.Rings:
+    """Rings of gathered corners. Missing corners go, and rings with one that is not finite count for nothing."""
+    rings: dict[int, list] = {}
+    for c in sorted((c for c in (() if corners is None else corners) if c["x"] is not None and c["z"] is not None), key=lambda c: (c["ring"], c["i"])):
+        rings.setdefault(c["ring"], []).append((c["x"], c["z"]))
+    return [r for r in (np.array(v, float) for v in rings.values()) if np.isfinite(r).all()]
+
+
+def _ring(vertices) -> overlay.Rings:
+    return _rings([{"ring": 0, "i": i, "x": v["x"], "z": v["z"]} for i, v in enumerate(() if vertices is None else vertices) if v is not None])
 
 
 def _told(rings: overlay.Rings) -> dict:
@@ -23,21 +36,20 @@ def _told(rings: overlay.Rings) -> dict:
 
 
 def _united(groups: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_told(overlay.union([_region([p]) for p in g])) for g in groups], columns=["rings", "area"])
+    return pd.DataFrame([_told(overlay.union([[r] for r in _rings(g)])) for g in groups], columns=["rings", "area"])
 
 
 def _less(ones: pd.Series, others: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_told(overlay.difference(_region([a]), [_region([p]) for p in (() if b is None else b)])) for a, b in zip(ones, others)], columns=["rings", "area"])
+    return pd.DataFrame([_told(overlay.difference(_ring(a), [[r] for r in _rings(b)])) for a, b in zip(ones, others)], columns=["rings", "area"])
 
 
 def union(polygons: DataFrame, keys: list[str]) -> DataFrame:
     """keys, rings (outer ones counter-clockwise, holes clockwise) and area of all polygons (keys, vertices) of a place together."""
-    grouped = polygons.groupBy(*keys).agg(F.collect_list("vertices").alias("_v"))
-    return grouped.withColumn("_o", F.pandas_udf(_united, _OUTLINE)("_v")).select(*keys, "_o.rings", "_o.area")
+    # written, since the optimizer would move the function into an explode of its rings, where Python does not run
+    return cut(_gathered(polygons, keys).withColumn("_o", F.pandas_udf(_united, _OUTLINE)("_c")).select(*keys, "_o.rings", "_o.area"))
 
 
 def difference(polygons: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
     """polygons with rings and area of what the others (keys, vertices) of their place leave of them: no rings and 0 where nothing is left."""
-    taken = others.groupBy(*keys).agg(F.collect_list("vertices").alias("_v"))
-    joined = polygons.join(taken, keys, "left").withColumn("_o", F.pandas_udf(_less, _OUTLINE)("vertices", "_v"))
-    return joined.withColumns({"rings": F.col("_o.rings"), "area": F.col("_o.area")}).drop("_v", "_o")
+    joined = polygons.join(_gathered(others, keys), keys, "left").withColumn("_o", F.pandas_udf(_less, _OUTLINE)("vertices", "_c"))
+    return cut(joined.withColumns({"rings": F.col("_o.rings"), "area": F.col("_o.area")}).drop("_c", "_o"))

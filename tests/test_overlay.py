@@ -51,7 +51,7 @@ def test_shared_walls_holes_and_corners():
 
 
 def test_operators(spark):
-    rows = [(1, "a", square(0, 0, 2)), (1, "b", square(1, 0, 2)), (2, "c", square(5, 5, 1)), (3, "d", None)]
+    rows = [(1, "a", square(0, 0, 2)), (1, "b", np.insert(square(1, 0, 2), 1, [2, 0], axis=0)), (2, "c", square(5, 5, 1)), (3, "d", None)]
     table = spark.createDataFrame([(k, n, None if p is None else [tuple(map(float, v)) for v in p]) for k, n, p in rows], "place int, room string, vertices array<struct<x double, z double>>")
     got = {r.place: r for r in outlines.union(table, ["place"]).collect()}
     assert {k: round(r.area, 6) for k, r in got.items()} == {1: 6.0, 2: 1.0, 3: 0.0} and len(got[1].rings[0]) == 4 and got[3].rings == []
