@@ -6,10 +6,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from planimetra.functions import plan
 from planimetra.functions.gates import reasons
-from planimetra.functions.uncertainty import NORMAL_95
+from planimetra.functions.uncertainty import NORMAL_95, area_confidence, corner_sigma, length_interval, measurement, wall_confidence
+from planimetra.functions.vectors import clipped
 
 
 def shape(rooms: DataFrame, vertices: str = "vertices") -> DataFrame:
@@ -77,3 +79,58 @@ def monte_carlo(rooms: DataFrame, key: str, samples: int = 1000, seed: int = 42)
             yield pd.DataFrame(out, columns=[c.strip("` ").split("`")[0].split(" ")[0] for c in schema.split(", ")])
 
     return rooms.select(key, "vertices", "sigma").mapInPandas(run, schema)
+
+
+#: What a corner's walls, an edge's wall and the levels are taken to be where nothing is known of them.
+CORNER_RMSE, EDGE_RMSE, EDGE_CONFIDENCE, FLOOR_RMSE, CEILING_RMSE, LEVEL_CONFIDENCE = 0.02, 0.025, 0.70, 0.015, 0.025, 0.8
+
+
+def _edges_of(rooms: DataFrame, corners: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """One row an edge: its ends, their corners' sigmas, length with interval and confidence."""
+    placed = rooms.select(key, F.posexplode("vertices").alias("i", "v")).select(key, "i", F.col("v.x").alias("x"), F.col("v.z").alias("z"))
+    known = corners.select(key, "i", "corner_id", "inferred", "extension", "degrees", "rmse_a", "rmse_b")
+    number = F.col("i") + 1
+    placed = placed.join(known, [key, "i"], "left").withColumns({
+        "corner_id": F.coalesce("corner_id", F.format_string("corner_%02d", number)), "inferred": F.coalesce("inferred", F.lit(False)), "extension": F.coalesce("extension", F.lit(0.0)),
+        "sigma": corner_sigma(F.coalesce("rmse_a", F.lit(CORNER_RMSE)), F.coalesce("rmse_b", F.lit(CORNER_RMSE)), F.sin(F.radians(F.coalesce("degrees", F.lit(90.0)))), F.coalesce("inferred", F.lit(False)), F.coalesce("extension", F.lit(0.0))),
+    })
+    order = Window.partitionBy(key).orderBy("i")
+    next_ = lambda c: F.coalesce(F.lead(c).over(order), F.first(c).over(order))
+    ringed = placed.withColumns({f"{c}_2": next_(c) for c in ("x", "z", "sigma", "inferred", "extension", "corner_id")})
+    joined = ringed.join(edges.select(key, "i", "wall_id", "rmse", "confidence"), [key, "i"], "left")
+    length, rmse = F.hypot(F.col("x_2") - F.col("x"), F.col("z_2") - F.col("z")), F.coalesce("rmse", F.lit(EDGE_RMSE))
+    lower, upper = length_interval(length, F.col("sigma"), F.col("sigma_2"), rmse)
+    inferred = F.col("inferred").cast("int") + F.col("inferred_2").cast("int")
+    return joined.withColumns({"wall_id": F.coalesce("wall_id", F.format_string("wall_%02d", number)), "length": length, "lower": lower, "upper": upper, "edge_confidence": wall_confidence(F.coalesce("confidence", F.lit(EDGE_CONFIDENCE)), rmse, inferred)})
+
+
+def assembled(rooms: DataFrame, corners: DataFrame, edges: DataFrame, levels: DataFrame, key: str, samples: int = 1000, seed: int = 42) -> DataFrame:
+    """The measurements of each room in one row: key, status, reasons, walls, perimeter, floor_area, ceiling_height, ceiling_status, wall_count, inferred_corners.
+
+    rooms: key, vertices (not closed), validity, reasons, support (share of the boundary that was seen; null: all). corners: key, i (vertex from 0), corner_id, inferred, extension, degrees,
+    rmse_a, rmse_b. edges: key, i (from vertex i to the next), wall_id, rmse, confidence. levels: key, floor_y, ceiling_y and their rmse and confidence. Whatever of these is missing is
+    taken as the constants above say; a missing level leaves ceiling_height null and not_observed. A measurement is a struct of value, unit, lower, upper, interval, confidence, method, to the
+    millimetre. Area and perimeter get their bounds from samples of the corners' noise, lengths and heights theirs in closed form.
+    """
+    sides = _edges_of(rooms, corners, edges, key)
+    rounded = lambda c: F.round(c, 3)
+    length = measurement(rounded(F.col("length")), "m", rounded(F.col("lower")), rounded(F.col("upper")), rounded(F.col("edge_confidence")), "polygon_edge")
+    wall = F.struct("i", "wall_id", F.col("corner_id").alias("start_corner"), F.col("corner_id_2").alias("end_corner"), length.alias("length"), (F.col("inferred") | F.col("inferred_2")).alias("has_inferred_corner"))
+    told = sides.groupBy(key).agg(
+        F.sort_array(F.collect_list(F.struct("i", "sigma"))).alias("_s"), F.sort_array(F.collect_list(wall)).alias("walls"), F.sum("length").alias("_perimeter"), F.avg("edge_confidence").alias("_mean"), F.count(F.lit(1)).alias("wall_count"),
+        F.count_if("inferred").alias("inferred_corners"),
+    )
+    whole = rooms.select(key, "vertices", "validity", "reasons", F.coalesce("support", F.lit(1.0)).alias("_support")).join(told, key, "left").withColumn("sigma", F.transform("_s", lambda s: s["sigma"]))
+    noise = monte_carlo(whole.filter("wall_count >= 3"), key, samples, seed)
+    high = levels.select(key, "floor_y", "ceiling_y", *[F.coalesce(c, F.lit(d)).alias(c) for c, d in (("floor_rmse", FLOOR_RMSE), ("ceiling_rmse", CEILING_RMSE), ("floor_confidence", LEVEL_CONFIDENCE), ("ceiling_confidence", LEVEL_CONFIDENCE))])
+    table = whole.join(noise, key, "left").join(high, key, "left")
+    share = F.col("inferred_corners") / F.greatest(F.col("wall_count"), F.lit(1))
+    perimeter = measurement(rounded(F.col("_perimeter")), "m", rounded(F.col("perimeter_lower")), rounded(F.col("perimeter_upper")), rounded(clipped(F.col("_mean") * (1 - 0.15 * share), 0.10, 0.99)), "polygon_edge_sum")
+    area = measurement(rounded(plan.area(F.col("vertices"))), "m2", rounded(F.col("area_lower")), rounded(F.col("area_upper")), rounded(area_confidence(F.col("_mean"), F.col("_support"), share, F.col("validity") == "PROVISIONAL")), "polygon_monte_carlo")
+    height, half = F.abs(F.col("ceiling_y") - F.col("floor_y")), NORMAL_95 * F.hypot("floor_rmse", "ceiling_rmse")
+    ceiling = measurement(rounded(height), "m", rounded(height - half), rounded(height + half), rounded(F.sqrt(F.col("floor_confidence") * F.col("ceiling_confidence"))), "level_planes_distance")
+    shaped = F.col("wall_count") >= 3
+    return table.select(
+        key, F.col("validity").alias("status"), "reasons", "walls", F.when(shaped, perimeter).alias("perimeter"), F.when(shaped, area).alias("floor_area"), F.when(height.isNotNull(), ceiling).alias("ceiling_height"),
+        F.when(height.isNotNull(), "observed").otherwise("not_observed").alias("ceiling_status"), F.coalesce("wall_count", F.lit(0)).alias("wall_count"), F.coalesce("inferred_corners", F.lit(0)).alias("inferred_corners"),
+    )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planimetra.functions import overlay
-from planimetra.operators.shared import cut
+from planimetra.operators.shared import cut, spread
 
 _OUTLINE = "struct<rings:array<array<struct<x:double,z:double>>>,area:double>"
 
@@ -16,7 +16,7 @@ _OUTLINE = "struct<rings:array<array<struct<x:double,z:double>>>,area:double>"
 def _gathered(polygons: DataFrame, keys: list[str]) -> DataFrame:
     """keys and the corners of all polygons of a place in one array, each with its ring and number: lists of lists of different lengths do not reach Python whole."""
     numbered = polygons.select(*keys, "vertices").withColumn("ring", F.monotonically_increasing_id()).select(*keys, "ring", F.posexplode_outer("vertices").alias("i", "v"))
-    return numbered.groupBy(*keys).agg(F.collect_list(F.struct("ring", "i", F.col("v.x").cast("double").alias("x"), F.col("v.z").cast("double").alias("z"))).alias("_c"))
+    return spread(numbered, keys).groupBy(*keys).agg(F.collect_list(F.struct("ring", "i", F.col("v.x").cast("double").alias("x"), F.col("v.z").cast("double").alias("z"))).alias("_c"))
 
 
 def _rings(corners) -> overlay.Rings:
@@ -51,5 +51,5 @@ def union(polygons: DataFrame, keys: list[str]) -> DataFrame:
 
 def difference(polygons: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
     """polygons with rings and area of what the others (keys, vertices) of their place leave of them: no rings and 0 where nothing is left."""
-    joined = polygons.join(_gathered(others, keys), keys, "left").withColumn("_o", F.pandas_udf(_less, _OUTLINE)("vertices", "_c"))
+    joined = spread(polygons, keys).join(_gathered(others, keys), keys, "left").withColumn("_o", F.pandas_udf(_less, _OUTLINE)("vertices", "_c"))
     return cut(joined.withColumns({"rings": F.col("_o.rings"), "area": F.col("_o.area")}).drop("_c", "_o"))

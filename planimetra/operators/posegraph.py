@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from planimetra.functions import motions, vectors
+from planimetra.operators.shared import spread
 
 #: An uncertain loop weighs this much of a certain one.
 UNCERTAIN_WEIGHT = 0.2
@@ -195,7 +196,7 @@ def optimised(nodes: DataFrame, edges: DataFrame, key: str, reach: float = 1.0)
 
     ready = edges.select(F.col(key).alias(key), "source", "target", "matrix", "information", F.coalesce("is_loop", F.lit(False)).alias("is_loop"), F.coalesce("uncertain", F.lit(False)).alias("uncertain"))
     own = nodes.filter("node is not null and matrix is not null").select(F.col(key).alias(key), F.col("node").cast("long").alias("node"), "matrix")
-    return own.groupBy(key).cogroup(ready.groupBy(key)).applyInPandas(run, fields)
+    return spread(own, [key]).groupBy(key).cogroup(spread(ready, [key]).groupBy(key)).applyInPandas(run, fields)
 
 
 def corrected_poses(poses: DataFrame, keyframes: DataFrame, key: str) -> DataFrame:

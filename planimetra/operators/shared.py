@@ -7,6 +7,11 @@ import tempfile
 from pyspark.sql import DataFrame
 
 
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df dealt by keys to as many partitions as a shuffle has, for groups whose Python work is long: adaptive execution would join them by their few bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written to the folder in spark.checkpoint.dir; a temporary one only for local sessions that name none."""
     context = df.sparkSession.sparkContext

@@ -539,6 +539,30 @@ def p13_room_overlaps(spark, sf_dir):
     return rounded(rooms.overlaps(_rectangles(spark, sf_dir), ["property_id"]), "overlap", "ratio")
 
 
+_SIGMA = "sqrt((0.0004 + power((room_id % 5) / 100.0, 2)) / power(sin(radians(90 - room_id % 40)), 2) + CASE WHEN (room_id + i) % 4 = 0 THEN power(0.5 * ((room_id % 9) / 100.0), 2) ELSE 0 END + 0.0001)"
+
+
+@query(f"""WITH v AS (SELECT *, unnest([0, 1, 2, 3])::INT AS i, unnest([w, h, w, h]) AS length FROM rooms), s AS (SELECT *, {_SIGMA} AS sigma, (room_id + i) % 4 = 0 AS inferred FROM v),
+n AS (SELECT *, coalesce(lead(sigma) OVER o, first(sigma) OVER o) AS sigma2, coalesce(lead(inferred) OVER o, first(inferred) OVER o) AS inferred2 FROM s WINDOW o AS (PARTITION BY room_id ORDER BY i)),
+b AS (SELECT *, 1.96 * sqrt(sigma * sigma + sigma2 * sigma2 + power((room_id % 6) / 100.0, 2)) AS half,
+  greatest(0.1, least(0.99, (0.5137 + (room_id % 4) / 10.17) * greatest(0.5, 1 - (room_id % 6) / 100.0 / 0.15) * power(0.85, inferred::INT + inferred2::INT))) AS c FROM n),
+a AS (SELECT room_id, w, h, avg(c) AS mean, count(*) FILTER (inferred) AS k, min(greatest(length - half, 0.01)) FILTER (i = 0) AS lower, max(length + half) FILTER (i = 0) AS upper FROM b GROUP BY 1, 2, 3)
+SELECT room_id, round(2 * (w + h), 3) AS perimeter, round(w * h, 3) AS area, round(lower, 3) AS lower, round(upper, 3) AS upper, round(greatest(0.1, least(0.99, mean * (1 - 0.15 * k / 4))), 3) AS perimeter_confidence,
+  round(greatest(0.1, least(0.99, mean * greatest(0.5, 1 - 0.25 * k / 4))), 3) AS area_confidence, round(CASE WHEN room_id % 3 > 0 THEN 2.2 + (room_id % 8) / 10.0 END, 3) AS height, k AS inferred_corners FROM a""", "rooms")
+def a11_room_measurements(spark, sf_dir):
+    """Rooms of known walls, corners and levels; what rests on random samples is left out here."""
+    table = _rectangles(spark, sf_dir)
+    four = table.withColumn("i", F.explode(F.array(*map(F.lit, range(4)))))
+    corners = four.selectExpr("room_id", "i", "CAST(NULL AS STRING) AS corner_id", "(room_id + i) % 4 = 0 AS inferred", "(room_id % 9) / 100D AS extension", "CAST(90 - room_id % 40 AS DOUBLE) AS degrees", "0.02D AS rmse_a", "(room_id % 5) / 100D AS rmse_b")
+    edges = four.selectExpr("room_id", "i", "CAST(NULL AS STRING) AS wall_id", "(room_id % 6) / 100D AS rmse", "0.5137D + (room_id % 4) / 10.17D AS confidence")
+    unknown = [F.lit(None).cast("double").alias(c) for c in ("floor_rmse", "ceiling_rmse", "floor_confidence", "ceiling_confidence")]
+    levels = table.filter("room_id % 3 > 0").select("room_id", F.lit(0.0).alias("floor_y"), F.expr("2.2D + (room_id % 8) / 10D").alias("ceiling_y"), *unknown)
+    rooms_ = table.select("room_id", "vertices", F.lit("VALID").alias("validity"), F.array().cast("array<string>").alias("reasons"), F.lit(1.0).alias("support"))
+    told = measure.assembled(rooms_, corners, edges, levels, "room_id")
+    first = F.col("walls")[0]["length"]
+    return told.select("room_id", F.col("perimeter.value").alias("perimeter"), F.col("floor_area.value").alias("area"), first["lower"].alias("lower"), first["upper"].alias("upper"), F.col("perimeter.confidence").alias("perimeter_confidence"), F.col("floor_area.confidence").alias("area_confidence"), F.col("ceiling_height.value").alias("height"), "inferred_corners")
+
+
 _CELLS = """WITH e AS (SELECT property_id, x0 AS x, NULL AS z FROM rooms UNION SELECT property_id, x0 + w, NULL FROM rooms UNION SELECT property_id, NULL, z0 FROM rooms UNION SELECT property_id, NULL, z0 + h FROM rooms),
 xs AS (SELECT property_id, x, lead(x) OVER (PARTITION BY property_id ORDER BY x) AS x2 FROM e WHERE x IS NOT NULL), zs AS (SELECT property_id, z, lead(z) OVER (PARTITION BY property_id ORDER BY z) AS z2 FROM e WHERE z IS NOT NULL),
 c AS (SELECT xs.property_id, x, z, (x2 - x) * (z2 - z) AS area, min(room_id) AS first FROM xs JOIN zs USING (property_id) JOIN rooms r ON r.property_id = xs.property_id AND r.x0 <= x AND x2 <= r.x0 + w AND r.z0 <= z AND z2 <= r.z0 + h GROUP BY ALL),
