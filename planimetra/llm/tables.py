@@ -19,7 +19,9 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _OWN.setdefault(context.applicationId, tempfile.mkdtemp(prefix="planimetra-"))
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = tempfile.mkdtemp(prefix="planimetra-")
+    return _OWN[context.applicationId]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
