@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +12,10 @@ from planimetra.functions import plan
 from planimetra.functions.gates import reasons
 from planimetra.functions.uncertainty import NORMAL_95, area_confidence, corner_sigma, length_interval, measurement, wall_confidence
 from planimetra.functions.vectors import clipped
+from planimetra.operators.shared import spread
+
+#: Corners of samples that are held at once.
+_DRAWN = 250_000
 
 
 def shape(rooms: DataFrame, vertices: str = "vertices") -> DataFrame:
@@ -61,24 +65,35 @@ def ceiling_height(rooms: DataFrame) -> DataFrame:
 def monte_carlo(rooms: DataFrame, key: str, samples: int = 1000, seed: int = 42) -> DataFrame:
     """95 % intervals and population std of area and perimeter under corner noise (vertices, sigma arrays), the same for equal seeds.
 
-    A corner's sigma is shared by both axes (sigma / sqrt 2 each). Areas are absolute shoelace areas of each sample, crossing or not.
+    A corner's sigma is shared by both axes (sigma / sqrt 2 each); a shorter list repeats its last. Areas are absolute shoelace areas of each sample, crossing or not.
     """
     schema = f"`{key}` {dict(rooms.dtypes)[key]}, area_lower double, area_upper double, area_std double, perimeter_lower double, perimeter_upper double, perimeter_std double"
+    lists = lambda column: (column.value_lengths().fill_null(0).to_numpy(False), column.flatten().cast("double").to_numpy(False))
 
     def run(batches):
-        for pdf in batches:
-            out = []
-            for k, vertices, sigma in zip(pdf[key], pdf["vertices"], pdf["sigma"]):
-                p = np.array([(v["x"], v["z"]) for v in vertices], float)
-                s = np.maximum(np.array(sigma, float), 0)[None, :, None] / np.sqrt(2)
-                q = p[None] + np.random.RandomState(seed).standard_normal((samples, len(p), 2)) * s
-                r = np.roll(q, -1, axis=1)
-                area = np.abs((q[:, :, 0] * r[:, :, 1] - r[:, :, 0] * q[:, :, 1]).sum(axis=1)) / 2
-                length = np.hypot(*(r - q).transpose(2, 0, 1)).sum(axis=1)
-                out.append((k, *[f for x in (area, length) for f in (*np.percentile(x, [2.5, 97.5]), x.std())]))
-            yield pd.DataFrame(out, columns=[c.strip("` ").split("`")[0].split(" ")[0] for c in schema.split(", ")])
-
-    return rooms.select(key, "vertices", "sigma").mapInPandas(run, schema)
+        noises: dict[int, np.ndarray] = {}
+        for batch in batches:
+            (corners, x), (_, z), (sigmas, sigma) = (lists(batch.column(i)) for i in (1, 2, 3))
+            start, of_sigma = np.cumsum(corners) - corners, np.cumsum(sigmas) - sigmas
+            out = np.zeros((len(corners), 6))
+            for n in np.unique(corners):
+                # rooms of as many corners share their draws, as each starts from the seed
+                if n not in noises:
+                    noises[n] = np.random.RandomState(seed).standard_normal((samples, n, 2))
+                same, step = np.flatnonzero(corners == n), max(1, _DRAWN // max(1, samples * int(n)))
+                for rows in (same[at : at + step] for at in range(0, len(same), step)):
+                    place = start[rows, None] + np.arange(n)
+                    own = of_sigma[rows, None] + np.minimum(np.arange(n), np.maximum(sigmas[rows, None] - 1, 0))
+                    s = np.maximum(sigma[own], 0)[:, None] / np.sqrt(2)
+                    qx, qz = x[place][:, None] + noises[n][None, :, :, 0] * s, z[place][:, None] + noises[n][None, :, :, 1] * s
+                    rx, rz = np.roll(qx, -1, axis=2), np.roll(qz, -1, axis=2)
+                    area = np.abs((qx * rz - rx * qz).sum(axis=2)) / 2
+                    length = np.hypot(rx - qx, rz - qz).sum(axis=2)
+                    out[rows] = np.stack([f for v in (area, length) for f in (*np.percentile(v, [2.5, 97.5], axis=1), v.std(axis=1))], axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, out.T)], names=[key, "area_lower", "area_upper", "area_std", "perimeter_lower", "perimeter_upper", "perimeter_std"])
+
+    axis = lambda c: F.transform("vertices", lambda v: v[c].cast("double"))
+    return spread(rooms.select(key, axis("x").alias("x"), axis("z").alias("z"), F.col("sigma").cast("array<double>").alias("sigma")), [key]).mapInArrow(run, schema)
 
 
 #: What a corner's walls, an edge's wall and the levels are taken to be where nothing is known of them.
@@ -88,7 +103,8 @@ CORNER_RMSE, EDGE_RMSE, EDGE_CONFIDENCE, FLOOR_RMSE, CEILING_RMSE, LEVEL_CONFIDE
 def _edges_of(rooms: DataFrame, corners: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     """One row an edge: its ends, their corners' sigmas, length with interval and confidence."""
     placed = rooms.select(key, F.posexplode("vertices").alias("i", "v")).select(key, "i", F.col("v.x").alias("x"), F.col("v.z").alias("z"))
-    known = corners.select(key, "i", "corner_id", "inferred", "extension", "degrees", "rmse_a", "rmse_b")
+    # tables as large as rooms' own: small files of them would be broadcast through the driver once exploded
+    known = corners.select(key, "i", "corner_id", "inferred", "extension", "degrees", "rmse_a", "rmse_b").hint("merge")
     number = F.col("i") + 1
     placed = placed.join(known, [key, "i"], "left").withColumns({
         "corner_id": F.coalesce("corner_id", F.format_string("corner_%02d", number)), "inferred": F.coalesce("inferred", F.lit(False)), "extension": F.coalesce("extension", F.lit(0.0)),
@@ -97,7 +113,7 @@ def _edges_of(rooms: DataFrame, corners: DataFrame, edges: DataFrame, key: str)
     order = Window.partitionBy(key).orderBy("i")
     next_ = lambda c: F.coalesce(F.lead(c).over(order), F.first(c).over(order))
     ringed = placed.withColumns({f"{c}_2": next_(c) for c in ("x", "z", "sigma", "inferred", "extension", "corner_id")})
-    joined = ringed.join(edges.select(key, "i", "wall_id", "rmse", "confidence"), [key, "i"], "left")
+    joined = ringed.join(edges.select(key, "i", "wall_id", "rmse", "confidence").hint("merge"), [key, "i"], "left")
     length, rmse = F.hypot(F.col("x_2") - F.col("x"), F.col("z_2") - F.col("z")), F.coalesce("rmse", F.lit(EDGE_RMSE))
     lower, upper = length_interval(length, F.col("sigma"), F.col("sigma_2"), rmse)
     inferred = F.col("inferred").cast("int") + F.col("inferred_2").cast("int")
@@ -120,10 +136,10 @@ def assembled(rooms: DataFrame, corners: DataFrame, edges: DataFrame, levels: Da
         F.sort_array(F.collect_list(F.struct("i", "sigma"))).alias("_s"), F.sort_array(F.collect_list(wall)).alias("walls"), F.sum("length").alias("_perimeter"), F.avg("edge_confidence").alias("_mean"), F.count(F.lit(1)).alias("wall_count"),
         F.count_if("inferred").alias("inferred_corners"),
     )
-    whole = rooms.select(key, "vertices", "validity", "reasons", F.coalesce("support", F.lit(1.0)).alias("_support")).join(told, key, "left").withColumn("sigma", F.transform("_s", lambda s: s["sigma"]))
+    whole = rooms.select(key, "vertices", "validity", "reasons", F.coalesce("support", F.lit(1.0)).alias("_support")).join(told.hint("merge"), key, "left").withColumn("sigma", F.transform("_s", lambda s: s["sigma"]))
     noise = monte_carlo(whole.filter("wall_count >= 3"), key, samples, seed)
     high = levels.select(key, "floor_y", "ceiling_y", *[F.coalesce(c, F.lit(d)).alias(c) for c, d in (("floor_rmse", FLOOR_RMSE), ("ceiling_rmse", CEILING_RMSE), ("floor_confidence", LEVEL_CONFIDENCE), ("ceiling_confidence", LEVEL_CONFIDENCE))])
-    table = whole.join(noise, key, "left").join(high, key, "left")
+    table = whole.join(noise.hint("merge"), key, "left").join(high.hint("merge"), key, "left")
     share = F.col("inferred_corners") / F.greatest(F.col("wall_count"), F.lit(1))
     perimeter = measurement(rounded(F.col("_perimeter")), "m", rounded(F.col("perimeter_lower")), rounded(F.col("perimeter_upper")), rounded(clipped(F.col("_mean") * (1 - 0.15 * share), 0.10, 0.99)), "polygon_edge_sum")
     area = measurement(rounded(plan.area(F.col("vertices"))), "m2", rounded(F.col("area_lower")), rounded(F.col("area_upper")), rounded(area_confidence(F.col("_mean"), F.col("_support"), share, F.col("validity") == "PROVISIONAL")), "polygon_monte_carlo")

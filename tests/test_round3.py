@@ -8,7 +8,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from planimetra.operators import imaging
+from planimetra.operators import damage, imaging, measure, structure
 
 
 def written(spark, path, **tables):
@@ -33,3 +33,51 @@ def test_errors_are_summed_in_order(spark):
     for e in errors:
         total += e
     assert imaging.sfm_status(table, ["k"]).first().error == total / len(errors)
+
+
+def test_room_measurements_broadcast_no_table_that_grows(spark, tmp_path):
+    folder = written(spark, tmp_path, orders=("o_orderkey long, o_custkey long", [(i, i % 7) for i in range(50)]))
+    plan = entry.queries()["a11_room_measurements"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+
+
+def test_monte_carlo_is_spread_and_equals_one_room_at_a_time(spark):
+    shapes_ = {1: [(0, 0), (5, 0), (5, 4), (0, 4)], 2: [(0, 0), (3, 0), (0, 3)], 3: [(1, 1), (4, 1), (4, 6), (1, 6)]}
+    rows = [(k, [Row(x=float(x), z=float(z)) for x, z in v], [0.01 * k * (i + 1) for i in range(len(v))]) for k, v in shapes_.items()]
+    table = spark.createDataFrame(rows, "k long, vertices array<struct<x double, z double>>, sigma array<double>").coalesce(1)
+    found = measure.monte_carlo(table, "k", samples=200)
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = {r.k: tuple(r)[1:] for r in found.collect()}
+    for k, vertices, sigma in rows:
+        p = np.array([(v.x, v.z) for v in vertices])
+        q = p[None] + np.random.RandomState(42).standard_normal((200, len(p), 2)) * np.array(sigma)[None, :, None] / np.sqrt(2)
+        r = np.roll(q, -1, axis=1)
+        area, length = np.abs((q[:, :, 0] * r[:, :, 1] - r[:, :, 0] * q[:, :, 1]).sum(axis=1)) / 2, np.hypot(*(r - q).transpose(2, 0, 1)).sum(axis=1)
+        assert got[k] == pytest.approx([f for x in (area, length) for f in (*np.percentile(x, [2.5, 97.5]), x.std())], rel=1e-12)
+
+
+def test_masks_with_the_same_rays_meet_planes_once(spark):
+    rays = spark.createDataFrame([(m, 1, 0.0, 1.5, 0.0, dx, 0.0, 1.0) for m in range(200) for dx in (-0.2, 0.0, 0.2)], "mask_id long, capture_id int, ox double, oy double, oz double, dx double, dy double, dz double")
+    planes = spark.createDataFrame([(1, k, k, 0.0, 0.0, 1.0, -2.0) for k in (4, 3)], "capture_id int, plane_id long, ord long, a double, b double, c double, d double")
+    found = damage.host_planes(rays, planes)
+    assert sorted(tuple(r) for r in found.collect()) == [(m, 3, 3, 3) for m in range(200)]
+    assert "distinct" in damage.host_planes.__code__.co_names
+
+
+def test_hull_areas_are_dealt_in_batches(spark):
+    grid = spark.createDataFrame([(m, float(u), float(v)) for m in range(30) for u in range(3) for v in range(m % 3 + 1)], "mask long, u double, v double").coalesce(1)
+    found = damage.area_extents(grid, "mask")
+    assert {r.mask: (r.area, r.n_points) for r in found.collect()} == {m: (2.0 * (m % 3), 3 * (m % 3 + 1)) for m in range(30)}
+    assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("block", [2, 3, 512])
+def test_corner_numbers_do_not_depend_on_blocks(spark, block):
+    lines = [(c, i, i, Row(a=math.cos(0.9 * i), b=math.sin(0.9 * i), c=0.3 * i), 0.0, 0.0, 1.0, 1.0) for c in (1, 2) for i in range(9)]
+    walls = spark.createDataFrame(lines, "capture_id int, wall_id long, ord long, line struct<a double, b double, c double>, x1 double, z1 double, x2 double, z2 double")
+    found = structure.corners(walls, ["capture_id"], block=block).collect()
+    for c in (1, 2):
+        own = sorted((r.ord_a, r.ord_b, r.corner, r.x) for r in found if r.capture_id == c)
+        assert len(own) == 36 and [r[2] for r in own if r[3] is not None] == list(range(1, 1 + sum(r[3] is not None for r in own)))
+        assert all(r[2] is None for r in own if r[3] is None)
+    assert structure.wall_pairs(walls, ["capture_id"], block).count() == 72
