@@ -11,6 +11,7 @@ from planimetra.functions import shapes
 from planimetra.functions.plan import ray_hit
 from planimetra.functions.vectors import clipped
 from planimetra.operators.grouped import labelled
+from planimetra.operators.shared import spread
 
 LINEAR = ("surface_crack", "crack_structural")
 
@@ -18,12 +19,18 @@ LINEAR = ("surface_crack", "crack_structural")
 def host_planes(rays: DataFrame, planes: DataFrame, nearest=0.10, farthest=8.0, grazing=0.08, support=0.5) -> DataFrame:
     """The plane of each mask (mask_id) that most of its rays (ox..oz, dx..dz) hit, if at least support of them do.
 
-    rays and planes (plane_id, ord, a, b, c, d) have capture_id, and planes are a few surfaces of a capture. Ties go to the first in ord.
+    rays and planes (plane_id, ord, a, b, c, d) have capture_id, and planes are a few surfaces of a capture. Ties go to the first in ord. Masks of a capture
+    with the same rays are met with its planes once.
     """
-    hit = ray_hit(tuple(F.col(f"o{c}") for c in "xyz"), tuple(F.col(f"d{c}") for c in "xyz"), tuple(F.col(c) for c in "abcd"), nearest, farthest, grazing)
-    counts = rays.join(planes, "capture_id").withColumn("_hit", hit).groupBy("mask_id", "plane_id", "ord").agg(F.count("_hit").alias("hits"), F.count(F.lit(1)).alias("rays"))
-    best = counts.groupBy("mask_id").agg(F.max(F.struct("hits", (-F.col("ord")).alias("o"), "plane_id", "rays")).alias("m"))
-    return best.select("mask_id", "m.plane_id", "m.hits", "m.rays").filter((F.col("hits") > 0) & (F.col("hits") >= support * F.col("rays")))
+    way = [f"{s}{c}" for s in "od" for c in "xyz"]
+    masks = rays.filter("capture_id is not null").groupBy("mask_id", "capture_id").agg(F.sort_array(F.collect_list(F.struct(*way))).alias("_rays"))
+    distinct = masks.select("capture_id", "_rays").distinct()
+    hit = lambda r: ray_hit(tuple(r[f"o{c}"] for c in "xyz"), tuple(r[f"d{c}"] for c in "xyz"), tuple(F.col(c) for c in "abcd"), nearest, farthest, grazing)
+    hits = F.size(F.filter("_rays", lambda r: hit(r).isNotNull())).cast("long")
+    met = distinct.join(planes, "capture_id").select("capture_id", "_rays", "plane_id", "ord", hits.alias("hits")).filter("hits > 0")
+    best = met.groupBy("capture_id", "_rays").agg(F.max(F.struct("hits", (-F.col("ord")).alias("o"), "plane_id")).alias("m"))
+    found = masks.join(best, ["capture_id", "_rays"]).select("mask_id", "m.plane_id", "m.hits", F.size("_rays").cast("long").alias("rays"))
+    return found.filter(F.col("hits") >= support * F.col("rays"))
 
 
 def extent_status(rows: DataFrame) -> DataFrame:
@@ -41,14 +48,18 @@ def extent_status(rows: DataFrame) -> DataFrame:
 def area_extents(points: DataFrame, key: str) -> DataFrame:
     """Convex-hull area of each mask's surface points (u, v); 0.7 of their box where the hull is flat."""
 
-    def area(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf[["u", "v"]].to_numpy(float)
-        value = abs(shapes.signed_area(shapes.hull(p)))
-        if value <= 0:
-            value = 0.7 * float(np.prod(p.max(axis=0) - p.min(axis=0)))
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "area": [value], "n_points": [len(p)]})
-
-    return points.groupBy(key).applyInPandas(area, f"`{key}` {dict(points.dtypes)[key]}, area double, n_points long")
+    def area(us: pd.Series, vs: pd.Series) -> pd.Series:
+        out = []
+        for u, v in zip(us, vs):
+            p = np.column_stack([np.asarray(u, float), np.asarray(v, float)])
+            value = abs(shapes.signed_area(shapes.hull(p)))
+            out.append(value if value > 0 else 0.7 * float(np.prod(p.max(axis=0) - p.min(axis=0))))
+        return pd.Series(out, dtype=float)
+
+    # many masks to an Arrow batch: a group of its own would cost more than its hull
+    packed = spread(points.select(key, F.struct(F.col("u").cast("double").alias("u"), F.col("v").cast("double").alias("v")).alias("_p")), [key]).groupBy(key).agg(F.collect_list("_p").alias("_p"))
+    axis = lambda c: F.transform("_p", lambda p: p[c])
+    return packed.select(key, F.pandas_udf(area, "double")(axis("u"), axis("v")).alias("area"), F.size("_p").cast("long").alias("n_points"))
 
 
 def linear_extents(points: DataFrame, key: str) -> DataFrame:
