@@ -25,6 +25,10 @@ RESIDUAL_SLACK, LARGEST_SHIFT, LEAST_GAIN = 0.01, 1.2, 5.0
 PRUNED_BELOW = 0.25
 
 
+#: Graphs of so many nodes at most are solved directly; larger ones by conjugate gradients, whose memory grows with the edges alone.
+DIRECT = 200
+
+
 def odometry(nodes: DataFrame, key: str, turn_weight: float = 100.0, shift_weight: float = 100.0) -> DataFrame:
     """Edges between consecutive nodes (key, node, matrix), from the first into the second's frame, with a diagonal information matrix of 36."""
     order = Window.partitionBy(key).orderBy("node")
@@ -112,6 +116,12 @@ def adjusted(graph: Graph, r: np.ndarray, t: np.ndarray, reach: float = 1.0, rou
         np.add.at(diagonal, s, ws @ js)
         np.add.at(diagonal, e, we @ je)
         gradient[0] = 0
+        if n <= DIRECT:
+            whole = np.zeros((n, n, 6, 6))
+            for i, wi in ((s, ws), (e, we)):
+                for j, jj in ((s, js), (e, je)):
+                    np.add.at(whole, (i, j), wi @ jj)
+            square = whole.transpose(0, 2, 1, 3).reshape(6 * n, 6 * n)[6:, 6:]
         while True:
             extra = damping * np.einsum("nii->ni", diagonal) + 1e-9
             blocks = diagonal + extra[:, :, None] * np.eye(6)
@@ -124,7 +134,11 @@ def adjusted(graph: Graph, r: np.ndarray, t: np.ndarray, reach: float = 1.0, rou
                 out[0] = 0
                 return out
 
-            step = _solved(blocks, apply, -gradient, 6 * n)
+            if n <= DIRECT:
+                step = np.zeros((n, 6))
+                step[1:] = np.linalg.solve(square + np.diag(extra[1:].ravel()), -gradient[1:].ravel()).reshape(-1, 6)
+            else:
+                step = _solved(blocks, apply, -gradient, 6 * n)
             new_r, new_t = r @ motions.turned(step[:, :3]), t + np.einsum("nij,nj->ni", r, step[:, 3:])
             new_error, *jacobians = graph.errors(new_r, new_t)
             new_cost = cost_of(new_error, confidence)
