@@ -8,7 +8,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from planimetra.operators import damage, imaging, measure, structure
+from planimetra.operators import damage, imaging, measure, spatial, structure
 
 
 def written(spark, path, **tables):
@@ -81,3 +81,20 @@ def test_corner_numbers_do_not_depend_on_blocks(spark, block):
         assert len(own) == 36 and [r[2] for r in own if r[3] is not None] == list(range(1, 1 + sum(r[3] is not None for r in own)))
         assert all(r[2] is None for r in own if r[3] is None)
     assert structure.wall_pairs(walls, ["capture_id"], block).count() == 72
+
+
+def test_small_images_are_moved_as_they_are(spark):
+    frames = spark.createDataFrame([(1, f, 3, 2, [f * 10 + i for i in range(6)]) for f in range(3)], "video int, frame int, width int, height int, pixels array<int>")
+    found = imaging.image_measures(frames, "video")
+    assert [r.motion for r in found.orderBy("frame").collect()] == pytest.approx([0.0, 10.0, 10.0])
+    assert "array<smallint>" not in found._jdf.queryExecution().analyzed().toString()
+
+
+def test_crowded_points_look_nearby_first(spark):
+    p = np.random.default_rng(3).normal(size=(600, 3))
+    points = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(p)], "k long, x double, y double, z double")
+    assert spatial._crowded(points, ["x", "y", "z"], 1.5, 5, []) < 1.0
+    got = sorted((r.k, r["rank"], r.neighbour) for r in spatial.nearest_among(points, ["x", "y", "z"], 1.5, 5, "k").collect())
+    d = np.linalg.norm(p[:, None] - p[None], axis=2)
+    np.fill_diagonal(d, np.inf)
+    assert got == [(i, j + 1, int(n)) for i in range(600) for j, n in enumerate(np.argsort(d[i])[:5]) if d[i][n] <= 1.5]
