@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from planimetra.functions import clouds, motions
 from planimetra.functions.vectors import cross, dot, minus, unit
 from planimetra.operators import points, spatial
-from planimetra.operators.imaging import normals
-from planimetra.operators.shared import cut
+from planimetra.operators.shared import cut, spread
 
 #: Clouds under so many points are not registered: keyframes, rooms.
 LEAST_POINTS, LEAST_ROOM_POINTS = 20, 100
@@ -109,32 +108,25 @@ def registered_rooms(cloud: DataFrame, pairs: DataFrame, key: str, voxel: float
 
     cloud: key, point_id (of its own in the whole table), x, y, z. pairs: source, target, both values of key. Rooms are thinned to voxels, whose normals face the middle of the room;
     features match them, random triples find a start, and points on planes refine it on the voxels. Refused: 'insufficient_cloud_points' under
-    LEAST_ROOM_POINTS points, 'no_common_triples', 'weak_shared_geometry'. Features are found once a room by joins; a pair of rooms is one task's work, and a
-    room's voxels are bounded by its surface.
+    LEAST_ROOM_POINTS points, 'no_common_triples', 'weak_shared_geometry'. A pair of rooms is one task's work, normals and features included, and a room's voxels are bounded by
+    its surface: only they reach the pair, since neighbours by joins are hundreds of rows a voxel.
     """
-    number = F.xxhash64(key, "vx", "vy", "vz")
-    thin = cut(points.voxels(cloud, voxel, [key]).select(key, number.alias("point_id"), "x", "y", "z"))
-    middle = thin.groupBy(key).agg(*[F.avg(c).alias(f"_m{c}") for c in "xyz"])
-    turned = normals(thin, "point_id", 2 * voxel, 30, [key]).filter("nx is not null")
-    placed = thin.join(turned.select("point_id", "nx", "ny", "nz"), "point_id").join(middle, key)
-    inward = dot(tuple(F.col(f"n{c}") for c in "xyz"), tuple(F.col(f"_m{c}") - F.col(c) for c in "xyz")) < 0
-    oriented = cut(placed.select(key, "point_id", "x", "y", "z", *[F.when(inward, -F.col(f"n{c}")).otherwise(F.col(f"n{c}")).alias(f"n{c}") for c in "xyz"]))
-    described = cut(oriented.join(features(oriented, [key], 5 * voxel), [key, "point_id"]).drop("point_id"))
+    sound_point = F.lit(True)
+    for c in "xyz":
+        sound_point = sound_point & F.col(c).isNotNull() & ~F.isnan(c)
+    # one shuffle of coordinates by room; voxels and their arrays need no other
+    thin = points.voxels(spread(cloud.select(key, *[F.col(c).cast("double").alias(c) for c in "xyz"]), [key]), voxel, [key])
+    gathered = thin.groupBy(key).agg(F.sum("n_points").alias("n"), F.sort_array(F.collect_list(F.when(sound_point, F.struct("x", "y", "z")))).alias("_p"))
+    rooms = cut(gathered.select(key, "n", *[F.col("_p")[c].alias(f"_{c}") for c in "xyz"]))
     kind = dict(cloud.dtypes)[key]
-    sizes = cloud.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    size = lambda s: sizes.select(F.col(key).alias(s), F.col("n").alias(f"n_{s}"))
-    asked = pairs.select("source", "target").distinct().join(size("source"), "source", "left").join(size("target"), "target", "left")
-    enough = (F.coalesce("n_source", F.lit(0)) >= LEAST_ROOM_POINTS) & (F.coalesce("n_target", F.lit(0)) >= LEAST_ROOM_POINTS)
-    sound = asked.filter(enough).select("source", "target")
-    named = ["source", "target", "x", "y", "z", "nx", "ny", "nz", "feature"]
-    side = lambda s: sound.join(described.withColumnRenamed(key, s), s).select(*[F.col(c).alias(c) for c in named]).groupBy("source", "target")
+    named = ["n", "_x", "_y", "_z"]
+    side = lambda s: rooms.select(F.col(key).alias(s), *[F.col(c).alias(f"{s}{c}") for c in named])
+    asked = pairs.select("source", "target").distinct().join(side("source"), "source", "left").join(side("target"), "target", "left")
+    enough = (F.coalesce("sourcen", F.lit(0)) >= LEAST_ROOM_POINTS) & (F.coalesce("targetn", F.lit(0)) >= LEAST_ROOM_POINTS)
     schema = f"source {kind}, target {kind}, accepted boolean, reason string, fitness double, rmse double, matrix array<double>"
 
-    def run(k, one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
-        order = ["x", "y", "z"]
-        (a, _, fa), (b, n, fb) = (
-            (f[order].to_numpy(float), f[["nx", "ny", "nz"]].to_numpy(float), np.array(f["feature"].tolist(), float).reshape(len(f), -1)) for f in (one.sort_values(order), two.sort_values(order))
-        )
+    def one(s: str, t: str, a: np.ndarray, b: np.ndarray) -> tuple:
+        (a, _, fa), (b, n, fb) = (clouds.described(p, 2 * voxel, 5 * voxel, BINS) for p in (a, b))
         fit, rmse, matrix, reason = 0.0, None, None, "no_common_triples"
         start = clouds.by_features(a, b, _matches(fa, fb), 1.5 * voxel, tries) if len(a) and len(b) else None
         if start is not None:
@@ -142,9 +134,15 @@ def registered_rooms(cloud: DataFrame, pairs: DataFrame, key: str, voxel: float
             met = partner >= 0
             fit, rmse, matrix = float(met.mean()), float(np.sqrt((distance[met] ** 2).mean())) if met.any() else 0.0, move.ravel().tolist()
             reason = None if fit >= LEAST_FITNESS and rmse <= MOST_RMSE else "weak_shared_geometry"
-        return pd.DataFrame([(*k, reason is None, reason, fit, rmse, matrix)], columns=["source", "target", "accepted", "reason", "fitness", "rmse", "matrix"])
+        return s, t, reason is None, reason, fit, rmse, matrix
 
-    found = side("source").cogroup(side("target")).applyInPandas(run, schema)
+    def run(batches):
+        for pdf in batches:
+            place = lambda s: [np.column_stack(p) for p in zip(*(pdf[f"{s}_{c}"] for c in "xyz"))]  # noqa: E731, B023
+            out = [one(*k) for k in zip(pdf["source"], pdf["target"], place("source"), place("target"))]
+            yield pd.DataFrame(out, columns=["source", "target", "accepted", "reason", "fitness", "rmse", "matrix"])
+
+    found = spread(asked.filter(enough).select("source", "target", *[f"{s}_{c}" for s in ("source", "target") for c in "xyz"]), ["source", "target"]).mapInPandas(run, schema)
     none = lambda c, t: F.lit(None).cast(t).alias(c)
     few = asked.filter(~enough).select("source", "target", F.lit(False).alias("accepted"), F.lit("insufficient_cloud_points").alias("reason"), F.lit(0.0).alias("fitness"), none("rmse", "double"), none("matrix", "array<double>"))
     return found.unionByName(few)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from planimetra.functions import clouds, motions
-from planimetra.operators import registration, trajectory
+from planimetra.operators import imaging, registration, trajectory
 from planimetra.plans import catalog
 
 
@@ -107,3 +107,26 @@ def test_features_do_not_change_with_a_motion(spark):
 def test_queries(spark, name):
     got = catalog.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
     assert got and all(r.off < 0.05 for r in got if r.accepted) and any(r.accepted for r in got)
+
+
+def test_features_of_a_room_equal_those_by_joins(spark):
+    p = np.unique(room(700, 3), axis=0)
+    points, normals, got = clouds.described(p, 0.4, 0.6, registration.BINS)
+    data = [("a", i, *map(float, x), *map(float, y)) for i, (x, y) in enumerate(zip(points, normals))]
+    table = spark.createDataFrame(data, "room string, point_id long, x double, y double, z double, nx double, ny double, nz double")
+    joined = {r.point_id: np.array(r.feature) for r in registration.features(table, ["room"], 0.6).collect()}
+    off = np.array([np.abs(joined[i] - got[i]).max() for i in range(len(points))])
+    # an angle on the edge of a bin may fall on either side of it
+    assert len(joined) == len(points) > 600 and (off < 1e-6).mean() > 0.95, (len(joined), len(points), off.mean(), (off < 1e-6).mean())
+    turned = imaging.normals(spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(p)], "point_id long, x double, y double, z double"), "point_id", 0.4).collect()
+    where = {tuple(x): n for x, n in zip(points.tolist(), normals)}
+    # two neighbours are a line, whose plane is open
+    assert np.mean([abs(abs(where[tuple(p[r.point_id].tolist())] @ np.array([r.nx, r.ny, r.nz])) - 1) < 1e-6 for r in turned if tuple(p[r.point_id].tolist()) in where]) > 0.97
+
+
+def test_pairs_of_neighbours_are_not_written(spark, tmp_path, monkeypatch):
+    written = []
+    monkeypatch.setattr(registration, "cut", lambda df: written.append(df.count()) or df)
+    cloud = spark.createDataFrame([(k, i, *map(float, x)) for k in "ab" for i, x in enumerate(room(2000, 1))], "room string, point_id long, x double, y double, z double")
+    registration.registered_rooms(cloud, spark.createDataFrame([("a", "b")], "source string, target string"), "room").collect()
+    assert sum(written) <= 2 * 2000
