@@ -1,5 +1,7 @@
 """Unions and differences of polygons against a raster and each other."""
 
+import time
+
 import numpy as np
 import pytest
 
@@ -57,3 +59,32 @@ def test_operators(spark):
     assert {k: round(r.area, 6) for k, r in got.items()} == {1: 6.0, 2: 1.0, 3: 0.0} and len(got[1].rings[0]) == 4 and got[3].rings == []
     left = {r.room: round(r.area, 6) for r in outlines.difference(table, table.filter("room in ('b', 'd')"), ["place"]).collect()}
     assert left == {"a": 2.0, "b": 0.0, "c": 1.0, "d": 0.0}
+
+
+def test_areas_of_many_places_equal_rings_of_each(spark):
+    rng, rows = np.random.default_rng(8), []
+    for place in range(60):
+        for room in range(place % 7 + 1):
+            n = rng.integers(3, 7)
+            turn = np.sort(rng.uniform(0, 2 * np.pi, n))
+            ring = rng.integers(0, 6, 2) + np.column_stack([np.cos(turn), np.sin(turn)]) * 2 if place % 2 else square(*map(int, rng.integers(0, 6, 2)), *map(int, rng.integers(1, 4, 2)))
+            rows.append((place, room, ring if room % 2 else ring[::-1]))
+    rows += [(100, 1, None), (100, 2, square(0, 0, 2)), (101, 5, np.array([[0, 0], [np.nan, 1], [1, 1]])), (102, 1, square(0, 0, 3)), (102, 2, square(1, 1, 1))]
+    table = spark.createDataFrame([(k, n, None if p is None else [tuple(map(float, v)) for v in p]) for k, n, p in rows], "place int, room int, vertices array<struct<x double, z double>>")
+    got = {r.place: (r.area, r.beside_first) for r in outlines.covered(table, ["place"], "room").collect()}
+    assert set(got) == {r[0] for r in rows}
+    for place, found in got.items():
+        rings = [[p] for k, _, p in rows if k == place and p is not None and np.isfinite(p).all()]
+        whole = overlay.union(rings)
+        first = [] if place >= 100 and place < 102 else rings[0]
+        assert found == pytest.approx((overlay.area(whole), overlay.area(overlay.combined([whole, first], lambda x: x[0] & ~x[1]))), abs=1e-6)
+    assert got[102] == pytest.approx((9, 0)) and got[100] == pytest.approx((4, 4)) and got[101] == (0, 0)
+
+
+def test_a_thousand_places_take_seconds():
+    x, z, w, h = (np.random.default_rng(k).integers(1, 20, 10_000).astype(float) for k in range(4))
+    corner = np.stack([np.stack([x, x + w, x + w, x]), np.stack([z, z, z + h, z + h])], axis=2).transpose(1, 0, 2).reshape(-1, 2)
+    ring = np.repeat(np.arange(10_000), 4)
+    start = time.process_time()
+    overlay.areas(*corner.T, ring, ring // 10, ring % 10 == 0, 1000)
+    assert time.process_time() - start < 5
