@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import functools
+import math
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from planimetra.operators.shared import cut
+from planimetra.operators.shared import spread
 
 #: A letter's width and a label's height by font size, the space beside the text, the least distance of two labels in m.
 LETTER, HEIGHT, PADDING, MARGIN = 0.55, 1.4, 0.6, 0.02
@@ -14,63 +18,77 @@ LETTER, HEIGHT, PADDING, MARGIN = 0.55, 1.4, 0.6, 0.02
 ATTEMPTS, OFFSET, STEP = 3, 0.15, 0.15
 
 
-def _places(labels: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, label_id, attempt and the box of each place that a label may take; walls shorter than 0.1 mm move theirs to the middle."""
-    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    size = F.hypot(dx, dy)
-    far = OFFSET + F.col("attempt") * STEP
-    moved = lambda middle, normal: F.when(F.col("attempt") == 0, F.col(middle)).when(size < 1e-4, (F.col(f"{middle}1") + F.col(f"{middle}2")) / 2).otherwise((F.col(f"{middle}1") + F.col(f"{middle}2")) / 2 + normal / size * far)
-    whole = F.col("x1").isNotNull() & F.col("y1").isNotNull() & F.col("x2").isNotNull() & F.col("y2").isNotNull()
-    tried = labels.withColumn("attempt", F.explode(F.when(whole, F.sequence(F.lit(0), F.lit(ATTEMPTS))).otherwise(F.array(F.lit(0)))))
-    width, height = F.col("font") * LETTER * F.length("text") + F.col("font") * PADDING, F.col("font") * HEIGHT
-    return tried.select(*keys, "label_id", "priority", "attempt", moved("x", -dy).alias("px"), moved("y", dx).alias("py"), (width / 2).alias("hw"), (height / 2).alias("hh"))
+def _spots(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each label's own place and its other ones beside the middle of its wall (n, 1 + ATTEMPTS), and how many it has; walls shorter than 0.1 mm move theirs to the middle."""
+    x, y, x1, y1, x2, y2 = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x", "y", "x1", "y1", "x2", "y2"))
+    walled = batch.column("walled").to_numpy(zero_copy_only=False)
+    dx, dy = x2 - x1, y2 - y1
+    size = np.hypot(dx, dy)
+    far = OFFSET + np.arange(1, ATTEMPTS + 1) * STEP
+    with np.errstate(divide="ignore", invalid="ignore"):
+        aside = [np.where(size < 1e-4, 0.0, d / size)[:, None] * far for d in (-dy, dx)]
+    px, py = (np.column_stack([own, ((p + q) / 2)[:, None] + off]) for own, p, q, off in ((x, x1, x2, aside[0]), (y, y1, y2, aside[1])))
+    return px, py, np.where(walled, ATTEMPTS + 1, 1)
+
+
+class _Shown:
+    """Boxes of the labels that are shown in one place, by the cells of a grid that they touch."""
 
+    def __init__(self, cell: float):
+        self.cell, self.cells, self.n = cell, {}, 0
 
-def _conflicts(places: DataFrame, keys: list[str], cell: float) -> DataFrame:
-    """Pairs of places of two labels that overlap, the later label's first; boxes meet in a grid, each pair in the first cell that both have."""
-    low = lambda c, h: F.floor((F.col(c) - F.col(h) - MARGIN) / cell)
-    high = lambda c, h: F.floor((F.col(c) + F.col(h) + MARGIN) / cell)
-    boxed = places.withColumns({"lx": low("px", "hw"), "ly": low("py", "hh")})
-    celled = cut(boxed.withColumn("cx", F.explode(F.sequence("lx", high("px", "hw")))).withColumn("cy", F.explode(F.sequence("ly", high("py", "hh")))))
-    a, b = celled.alias("a"), celled.alias("b")
-    earlier = (F.col("b.priority") < F.col("a.priority")) | ((F.col("b.priority") == F.col("a.priority")) & (F.col("b.label_id") < F.col("a.label_id")))
-    # apart if a whole margin lies between them on either axis
-    over = (F.abs(F.col("a.px") - F.col("b.px")) < F.col("a.hw") + F.col("b.hw") + MARGIN) & (F.abs(F.col("a.py") - F.col("b.py")) < F.col("a.hh") + F.col("b.hh") + MARGIN)
-    first = (F.col("a.cx") == F.greatest("a.lx", "b.lx")) & (F.col("a.cy") == F.greatest("a.ly", "b.ly"))
-    joined = a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*keys, "cx", "cy"]]).filter(earlier & over & first)
-    return joined.select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.label_id").alias("label_id"), F.col("a.attempt").alias("attempt"), F.col("b.label_id").alias("other"), F.col("b.attempt").alias("other_attempt"))
+    def _touched(self, x: float, y: float, w: float, h: float) -> list[tuple[int, int]]:
+        low = lambda c, r: math.floor((c - r - MARGIN) / self.cell)
+        high = lambda c, r: math.floor((c + r + MARGIN) / self.cell) + 1
+        return [(i, j) for i in range(low(x, w), high(x, w)) for j in range(low(y, h), high(y, h))]
 
+    def take(self, x: float, y: float, w: float, h: float) -> bool:
+        """Shows a label there if it is free: apart by a margin at least on either axis. A place that is not finite meets nothing."""
+        touched = self._touched(x, y, w, h) if math.isfinite(x + y + w + h) else []
+        for at in touched:
+            for bx, by, bw, bh in self.cells.get(at, ()):
+                if abs(x - bx) < w + bw + MARGIN and abs(y - by) < h + bh + MARGIN:
+                    return False
+        for at in touched:
+            self.cells.setdefault(at, []).append((x, y, w, h))
+        self.n += 1
+        return True
 
-def placed(labels: DataFrame, keys: list[str], most: Column | int | None = None, cell: float = 1.0) -> DataFrame:
+
+def placed(labels: DataFrame, keys: list[str], most: int | None = None, cell: float = 1.0) -> DataFrame:
     """keys, label_id, visible, x, y: each label at its own place, or the first of its other places that no more important one covers; hidden if there is none.
 
     labels: keys, label_id, text, font, priority (the least first, then the least label_id), x, y and, for walls, x1, y1, x2, y2 (null for others). most: how many are shown at most
-    in each place, the most important first. A label without a text, font, priority or place is hidden. A round decides all labels whose more important neighbours are
-    decided, so the number of rounds is that of the longest chain of neighbours, not of labels. A hidden label keeps its own place.
+    in each place, the most important first. A label without a text, font, priority or place is hidden, and a hidden label keeps its own place. Labels come to a task sorted by place
+    and importance, so one pass decides them all; a task holds the boxes shown in its current place and nothing else.
     """
-    whole = F.lit(True)
-    for c in ("text", "font", "priority", "x", "y"):
-        whole = whole & F.col(c).isNotNull()
-    places = cut(_places(labels.filter(whole), keys))
-    conflicts = cut(_conflicts(places, keys, cell))
-    name = [*keys, "label_id"]
-    left = cut(places.select(*name).distinct())
-    other = [*keys, F.col("label_id").alias("other")]
-    chosen = cut(places.select(*name, "attempt").limit(0))
-    while not left.isEmpty():
-        waiting = conflicts.join(left, name, "left_semi").join(left.select(*other), [*keys, "other"], "left_semi").select(*name).distinct()
-        ready = cut(left.join(waiting, name, "left_anti"))
-        taken = chosen.filter("attempt is not null").select(*other, F.col("attempt").alias("other_attempt"))
-        covered = conflicts.join(ready, name, "left_semi").join(taken, [*keys, "other", "other_attempt"], "left_semi").select(*name, "attempt").distinct()
-        free = places.join(ready, name, "left_semi").select(*name, "attempt").join(covered, [*name, "attempt"], "left_anti").groupBy(*name).agg(F.min("attempt").alias("attempt"))
-        chosen = cut(chosen.unionByName(ready.join(free, name, "left")))
-        left = cut(left.join(ready, name, "left_anti"))
-    spot = places.select(*name, "attempt", "px", "py")
-    told = labels.select(*name, "priority", "x", "y").join(chosen.join(spot, [*name, "attempt"], "left"), name, "left")
-    shown = F.col("attempt").isNotNull()
-    if most is not None:
-        place = F.row_number().over(Window.partitionBy(*keys, shown).orderBy("priority", "label_id"))
-        shown = shown & (place <= most)
-        told = told.withColumn("_shown", shown)
-        shown = F.col("_shown")
-    return told.select(*name, shown.alias("visible"), F.when(shown, F.col("px")).otherwise(F.col("x")).alias("x"), F.when(shown, F.col("py")).otherwise(F.col("y")).alias("y"))
+    known = lambda *names: functools.reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in names])
+    kinds = dict(labels.dtypes)
+    named = [*keys, "label_id"]
+    width, height = F.col("font") * LETTER * F.length("text") + F.col("font") * PADDING, F.col("font") * HEIGHT
+    row = labels.select(
+        *named, "priority", known("text", "font", "priority", "x", "y").alias("sound"), known("x1", "y1", "x2", "y2").alias("walled"),
+        *[F.col(c).cast("double").alias(c) for c in ("x", "y", "x1", "y1", "x2", "y2")], (width / 2).cast("double").alias("hw"), (height / 2).cast("double").alias("hh"),
+    )
+
+    def run(batches):
+        place, shown = None, _Shown(cell)
+        for batch in batches:
+            px, py, tries = _spots(batch)
+            visible, at = np.zeros(len(px), bool), np.zeros(len(px), np.int64)
+            columns = (batch.column(c).to_pylist() for c in ("sound", "hw", "hh"))
+            for i, (own, sound, w, h) in enumerate(zip(zip(*[batch.column(k).to_pylist() for k in keys]), *columns)):
+                if own != place:
+                    place, shown = own, _Shown(cell)
+                if not sound or (most is not None and shown.n >= most):
+                    continue
+                for k in range(tries[i]):
+                    if shown.take(float(px[i, k]), float(py[i, k]), w, h):
+                        visible[i], at[i] = True, k
+                        break
+            number = np.arange(len(px))
+            told = [pa.array(p[number, at], mask=~(visible | batch.column(c).is_valid().to_numpy(zero_copy_only=False))) for p, c in ((px, "x"), (py, "y"))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in named], pa.array(visible), *told], names=[*named, "visible", "x", "y"])
+
+    sorted_ = spread(row, keys).sortWithinPartitions(*keys, "priority", "label_id")
+    return sorted_.mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in named], "visible boolean, x double, y double"]))

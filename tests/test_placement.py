@@ -124,3 +124,15 @@ def test_live_cloud_equals_the_whole(spark, tmp_path):
     assert {tuple(r) for r in catalog.rounded(got.drop("n_views"), "x", "y", "z").collect()} == want and updates.count() > len(want)
     views = whole.groupBy("capture_id", *[F.floor(F.col(c) / 0.4).cast("long").alias(f"v{c}") for c in "xyz"]).agg(F.count_distinct("view_id").alias("n"))
     assert {tuple(r) for r in got.select("capture_id", "vx", "vy", "vz", "n_views").collect()} == {tuple(r) for r in views.collect()}
+
+
+def test_a_long_chain_of_labels_is_one_pass(spark):
+    # each label covers the next one's own place, so rounds of decided neighbours would be as many as labels
+    rows = [(i % 3, i, "xxxx", 0.2, float(i), i * 0.05, 0.0, None, None, None, None) for i in range(600)]
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("labels", "labels")
+    found = labelling.placed(spark.createDataFrame(rows, LABEL), ["place"])
+    got = {(r.place, r.label_id): (r.visible, r.x, r.y) for r in found.collect()}
+    assert len(jobs.getJobIdsForGroup("labels")) <= 3
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    close(got, {(p, k): v for p in range(3) for k, v in greedy([r for r in rows if r[0] == p]).items()})
