@@ -8,7 +8,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from planimetra.operators import damage, imaging, measure, spatial, structure
+from planimetra.operators import damage, graph, imaging, measure, spatial, structure
 
 
 def written(spark, path, **tables):
@@ -98,3 +98,36 @@ def test_crowded_points_look_nearby_first(spark):
     d = np.linalg.norm(p[:, None] - p[None], axis=2)
     np.fill_diagonal(d, np.inf)
     assert got == [(i, j + 1, int(n)) for i in range(600) for j, n in enumerate(np.argsort(d[i])[:5]) if d[i][n] <= 1.5]
+
+
+def all_cycles(edges, longest):
+    """Depth first from each least corner."""
+    near, found = {}, set()
+    for s, t, w in edges:
+        near.setdefault(s, set()).add((t, w))
+        near.setdefault(t, set()).add((s, w))
+
+    def walk(path, wall):
+        for t, w in near[path[-1]]:
+            if w == wall:
+                continue
+            if t == path[0] and len(path) >= 3:
+                found.add(min(tuple(path), (path[0], *path[:0:-1])))
+            elif t > path[0] and t not in path and len(path) < longest:
+                walk([*path, t], w)
+
+    for start in near:
+        walk([start], None)
+    return found
+
+
+@pytest.mark.parametrize("longest", [3, 6, 9])
+def test_cycles_are_joins_of_half_walks(spark, longest):
+    rng = np.random.default_rng(longest)
+    # walls are runs of corners, some corners are met twice, some edges by two walls
+    edges = {c: sorted({(*sorted(map(int, rng.choice(14, 2, replace=False))), int(rng.integers(0, 9))) for _ in range(26)}) for c in (1, 2)}
+    table = spark.createDataFrame([(c, *(e if i % 2 else (e[1], e[0], e[2]))) for c, v in edges.items() for i, e in enumerate(v)], "capture_id int, source int, target int, wall_id int")
+    found = graph.cycles(table, "capture_id", longest)
+    assert "Pandas" not in found._jdf.queryExecution().executedPlan().toString()
+    got = [(r.capture_id, tuple(r.cycle)) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == {(c, k) for c, v in edges.items() for k in all_cycles(v, longest)} and len(got) > 2
