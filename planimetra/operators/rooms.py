@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -58,29 +59,33 @@ def overlap_area(one: pd.Series, two: pd.Series) -> pd.Series:
     return pd.Series([shapes.overlap(_array(a), _array(b)) for a, b in zip(one, two)])
 
 
-def gap(one: pd.Series, two: pd.Series) -> pd.Series:
-    return pd.Series([shapes.polygon_gap(_array(a), _array(b)) for a, b in zip(one, two)])
+#: Pairs of edges that are held at once.
+_EDGES = 200_000
 
 
-def contact_length(one: pd.Series, two: pd.Series) -> pd.Series:
-    """Length along which the edges of two polygons run side by side within 0.24 m."""
-    out = []
-    for a, b in zip(one, two):
-        total, p, q = 0.0, _array(a), _array(b)
-        for s, e in zip(p, np.roll(p, -1, axis=0)):
-            size = float(np.linalg.norm(e - s))
-            if size < 1e-9:
-                continue
-            along = (e - s) / size
-            for u, v in zip(q, np.roll(q, -1, axis=0)):
-                if np.linalg.norm(v - u) < 1e-9 or abs(float(along @ ((v - u) / np.linalg.norm(v - u)))) < 0.98:
-                    continue
-                off = abs(float(along[0] * (u - s)[1] - along[1] * (u - s)[0]))
-                low, high = sorted((float((u - s) @ along), float((v - s) @ along)))
-                if off <= 0.24:
-                    total += max(0.0, min(size, high) - max(0.0, low))
-        out.append(total)
-    return pd.Series(out)
+def _corners(polygons: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All corners, the first of each polygon and how many it has."""
+    edge = polygons.offsets.to_numpy()
+    flat = polygons.flatten()
+    return np.column_stack([flat.field(c).to_numpy(zero_copy_only=False).astype(float) for c in "xz"]), edge[:-1] - edge[0], np.diff(edge)
+
+
+def _neighbours(batches):
+    """gap and contact of va and vb in place of them: pairs of as many corners go through NumPy together."""
+    for batch in batches:
+        (p, at, n), (q, of, m) = (_corners(batch.column(c)) for c in ("va", "vb"))
+        gap, contact = np.full(len(n), np.inf), np.zeros(len(n))
+        order = np.lexsort((m, n))
+        new = np.flatnonzero(np.diff(n[order], prepend=-1) | np.diff(m[order], prepend=-1))
+        for low, high in zip(new, np.append(new[1:], len(order))):
+            a, b = int(n[order[low]]), int(m[order[low]])
+            held = max(1, _EDGES // max(1, a * b))
+            for k in range(low, high if a and b else low, held):
+                some = order[k : min(high, k + held)]
+                one, two = p[at[some, None] + np.arange(a)], q[of[some, None] + np.arange(b)]
+                gap[some], contact[some] = shapes.polygon_gaps(one, two), shapes.contact_lengths(one, two)
+        kept = [c for c in batch.schema.names if c not in ("va", "vb")]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(gap), pa.array(contact)], names=[*kept, "gap", "contact"])
 
 
 def overlaps(rooms: DataFrame, keys: list[str], area: float = 0.10, ratio: float = 0.05) -> DataFrame:
@@ -119,7 +124,8 @@ def door_links(openings: DataFrame, rooms: DataFrame, keys: list[str], reach: fl
 def contacts(rooms: DataFrame, doors: DataFrame, keys: list[str], reach: float = 0.35, least: float = 0.40) -> DataFrame:
     """Pairs without a door that touch or run side by side long enough; the shared length is nominal, 1 at least."""
     pairs = _pairs(rooms, keys, reach).join(doors.select(*keys, "room_a", "room_b"), [*keys, "room_a", "room_b"], "left_anti")
-    table = pairs.withColumns({"gap": _pairwise(gap), "contact": _pairwise(contact_length)})
+    named = [*keys, "room_a", "room_b"]
+    table = pairs.select(*named, "va", "vb").mapInArrow(_neighbours, ", ".join([*[f"`{c}` {dict(pairs.dtypes)[c]}" for c in named], "gap double", "contact double"]))
     near = (F.col("gap") <= reach) & ((F.col("contact") >= least) | (F.col("gap") <= 0.05))
     return table.filter(near).select(*keys, "room_a", "room_b", F.greatest(F.lit(1.0), F.round("contact", 2)).alias("shared_length"), F.lit(True).alias("is_nominal"))
 
