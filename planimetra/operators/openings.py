@@ -11,6 +11,7 @@ from planimetra.functions.gates import first_reason, reasons
 from planimetra.functions.plan import segment_distance
 from planimetra.functions.uncertainty import NORMAL_95
 from planimetra.operators.grouped import labelled
+from planimetra.operators.shared import spread
 
 
 def sane(candidates: DataFrame) -> DataFrame:
@@ -24,13 +25,29 @@ def sane(candidates: DataFrame) -> DataFrame:
     )
 
 
+def _strips(walls: DataFrame, reach: float, size: float) -> DataFrame:
+    """Walls (x1, z1, x2, z2) once for each cell (_gx, _gz) of a grid of size that a place within reach of them may be in."""
+    edge = reach + 1e-6
+    x1, z1, x2, z2 = (F.col(c) for c in ("x1", "z1", "x2", "z2"))
+    column = walls.withColumn("_gx", F.explode(F.sequence(F.floor((F.least(x1, x2) - edge) / size), F.floor((F.greatest(x1, x2) + edge) / size))))
+    # the part of the wall that is over this column and reach beside it
+    low, high = (F.col("_gx") * size - edge, (F.col("_gx") + 1) * size + edge)
+    at = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - x1) / F.nullif(x2 - x1, F.lit(0.0))))
+    over = [F.when(x1 == x2, z).otherwise(z1 + at(x) * (z2 - z1)) for x, z in ((low, z1), (high, z2))]
+    ends = F.floor((F.least(*over) - edge) / size), F.floor((F.greatest(*over) + edge) / size)
+    return column.withColumn("_gz", F.explode(F.sequence(*ends)))
+
+
 def to_walls(openings: DataFrame, walls: DataFrame, keys: list[str], farthest: float = 0.45, least: float = 0.45, most: float = 2.60) -> DataFrame:
     """The wall of each opening (opening_id, x, z, width, score) with the best score * max(0.1, 1 - distance / farthest).
 
-    walls: wall_id, ord, x1, z1, x2, z2, a few in each group of keys. Of equal walls the first in ord wins.
+    walls: wall_id, ord, x1, z1, x2, z2. Of equal walls the first in ord wins. Openings meet the walls of their own cell of a grid, and a group of keys is as many tasks' work
+    as it has cells.
     """
-    fits = openings.filter(F.col("width").between(least, most))
-    joined = fits.select(*keys, "opening_id", "x", "z", "score").join(walls.select(*keys, "wall_id", "ord", "x1", "z1", "x2", "z2"), keys)
+    size = 2 * farthest
+    fits = openings.filter(F.col("width").between(least, most)).select(*keys, "opening_id", "x", "z", "score", F.floor(F.col("x") / size).alias("_gx"), F.floor(F.col("z") / size).alias("_gz"))
+    celled = _strips(walls.select(*keys, "wall_id", "ord", "x1", "z1", "x2", "z2"), farthest, size)
+    joined = spread(fits, [*keys, "_gx", "_gz"]).join(spread(celled, [*keys, "_gx", "_gz"]), [*keys, "_gx", "_gz"])
     d = segment_distance(F.col("x"), F.col("z"), F.col("x1"), F.col("z1"), F.col("x2"), F.col("z2"), 1e-6)
     near = joined.withColumn("distance", d).filter(F.col("distance") <= farthest)
     value = F.col("score") * F.greatest(F.lit(0.1), 1 - F.col("distance") / farthest)

@@ -152,3 +152,24 @@ def test_neighbours_take_microseconds_a_pair():
     # one pair after another takes about 0.3 ms
     assert time.process_time() - start < 5
     assert np.allclose(out.column("gap"), 0.1) and np.allclose(out.column("contact"), 1.0) and out.column("room_a").to_pylist() == list(range(len(one)))
+
+
+def test_openings_meet_the_walls_of_their_cell(spark):
+    rng = np.random.default_rng(5)
+    ends = rng.uniform(-6, 6, (60, 4))
+    ends[:10, 2] = ends[:10, 0]
+    ends[10:20, 3] = ends[10:20, 1]
+    ends[20] = [1, 1, 1, 1]
+    doors = rng.uniform(-6, 6, (400, 2))
+    walls = spark.createDataFrame([(1, i, i, *map(float, e)) for i, e in enumerate(ends)], "c int, wall_id int, ord int, x1 double, z1 double, x2 double, z2 double")
+    table = spark.createDataFrame([(1, i, float(x), float(z), 1.0, 0.5) for i, (x, z) in enumerate(doors)], "c int, opening_id int, x double, z double, width double, score double")
+    found = openings.to_walls(table, walls, ["c"])
+    got = {r.opening_id: (r.wall_id, r.distance) for r in found.collect()}
+    run = ends[:, 2:] - ends[:, :2]
+    t = np.clip(((doors[:, None] - ends[:, :2]) * run).sum(axis=2) / np.maximum((run**2).sum(axis=1), 1e-12), 0, 1)
+    far = np.linalg.norm(doors[:, None] - ends[:, :2] - t[..., None] * run, axis=2)
+    # beyond nine tenths of the reach all walls are worth the same, and the first wins
+    value = np.where(far <= 0.45, 0.5 * np.maximum(0.1, 1 - far / 0.45), -1)
+    want = {i: int(v.argmax()) for i, v in enumerate(value) if v.max() > 0}
+    assert {k: v[0] for k, v in got.items()} == want and all(v[1] == pytest.approx(far[k, v[0]]) for k, v in got.items())
+    assert "_gx" in found._jdf.queryExecution().optimizedPlan().toString()
