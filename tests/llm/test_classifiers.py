@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from planimetra.llm import arrays, language, toxicity
-from tests.llm.fixtures import awkward, documents
+from tests.llm.fixtures import awkward, documents, words
 
 SF = "/root/testdata/sf0.1"
 
@@ -27,6 +27,27 @@ def test_language_reads_only_text_outside_the_fold(spark):
     assert {r.doc_id: (r.lang_pred, r.score) for r in language.identify(other).collect()} == plain
 
 
+def test_language_learns_from_every_labelled_text(spark):
+    """The weights of 300 texts a language are those of plain sums over all of them, however they are dealt."""
+    rows = [(i, " ".join(words(20, i))[: 40 + i % 60] + (" und der" if i % 2 else " and the"), "ab"[i % 2], "s", 0) for i in range(760)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    own = table.filter(~language.held_out()).select("text", "lang", F.xxhash64("doc_id", "text").alias("signs")).collect()
+    names, weights = language.learned(table.repartition(5))
+    x = language.presence(*arrays.flat_bytes(pa.array([r.text for r in own]))).astype(np.float64)
+    x /= np.sqrt(x.sum(axis=1))[:, None]
+    is_of = np.array([[r.lang == name for name in names] for r in own])
+    assert names == ["a", "b"] and is_of.sum(axis=0).min() > 280
+    sign = np.array([[(r.signs >> k & 1) * 2 - 1 for k in range(language.LANDMARKS_PER_LANGUAGE)] for r in own])
+    marks = np.concatenate([(sign * of[:, None]).T @ x for of in is_of.T])
+    marks /= np.linalg.norm(marks, axis=1)[:, None]
+    value, vector = np.linalg.eigh(marks @ marks.T)
+    root = (vector / np.sqrt(value))[:, value > 1e-6 * value.max()]
+    basis = x @ marks.T @ root
+    heavy = (is_of / is_of.sum(axis=0)).sum(axis=1)[:, None]
+    solved = np.linalg.solve(basis.T @ (heavy * basis) + language.RIDGE / len(own) * np.eye(basis.shape[1]), basis.T @ (heavy * (2.0 * is_of - 1)))
+    assert np.abs(x @ weights - x @ marks.T @ root @ solved).max() < 1e-3
+
+
 def test_awkward_languages(spark):
     rows = [(1, "hello there"), (2, None), (3, ""), (4, "123 !!"), (5, "été"), (None, "hello"), (1, "hello there")]
     more = documents(spark, rows).withColumns({"score": F.lit(1), "_letter": F.lit("x"), "names": F.array(F.lit(1))})
