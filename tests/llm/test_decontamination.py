@@ -132,3 +132,38 @@ def test_basis_holds_every_item(spark, monkeypatch):
     rows = [(i, " ".join(words(60, 8000 + i))) for i in range(30)]
     vectors = dc.queries(items, dc.fit(documents(spark, rows), bench)).vectors
     assert ((vectors @ vectors.T).diagonal() > 0.99).all() and abs(vectors @ vectors.T - np.eye(40)).max() < 0.9
+
+
+def test_basis_is_fitted_on_all_passages(spark, monkeypatch):
+    """The basis holds as much of all passages as the best one of its rank, whatever the number of passages that are multiplied at once."""
+    monkeypatch.setattr(dc, "SAMPLE_PASSAGES", 4)
+    topics = [words(12, 600 + i) for i in range(12)]
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices(topics[i % 12], k=96))) for i in range(120)]
+    items = [(0, " ".join(words(20, 7)))]
+    latent = dc.fit(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string"), rank=13)
+    passages = [w[at : at + dc.BLOCK] for w in (dc.terms_of(code_of(t)) for _, t in rows) for at in range(0, len(w), dc.BLOCK)]
+    table = np.zeros((len(passages), 1 << dc.TERM_BITS))
+    for i, w in enumerate(passages):
+        np.add.at(table[i], w, latent.idf[w])
+    table /= np.linalg.norm(table, axis=1)[:, None]
+    basis = np.divide(latent.rows, latent.idf[:, None], out=np.zeros_like(latent.rows), where=latent.idf[:, None] > 0)
+    best = np.linalg.svd(table, compute_uv=False)[:12]
+    assert len(passages) == 360 and ((table @ basis) ** 2).sum() > 0.98 * (best**2).sum()
+
+
+def test_products_match_dense_ones():
+    rng = np.random.default_rng(2)
+    size = rng.integers(1, 33, 300)
+    term = np.where(rng.random(size.sum()) < 0.3, 5, rng.integers(0, 3000, size.sum()))
+    held = type("Held", (), {"value": rng.random(1 << dc.TERM_BITS, np.float32) + 1})
+    batch = pa.RecordBatch.from_arrays([pa.array([term.astype(np.int16).tobytes()]), pa.array([size.astype(np.uint8).tobytes()]), pa.array([True])], names=["terms", "sizes", "own"])
+    table = np.zeros((300, 1 << dc.TERM_BITS))
+    np.add.at(table, (np.repeat(np.arange(300), size), term), held.value[term])
+    table *= 1.5 / np.linalg.norm(table, axis=1)[:, None]
+    want = table.T @ (table @ dc.random_basis(9))
+    for most in (7, 1000):
+        (out,) = dc._multiplied(held, None, 9, most, 1.5)(iter([batch]))
+        got = np.zeros_like(want)
+        got[out.column(0).to_numpy()] = [np.frombuffer(x, np.float32) for x in out.column(1).to_pylist()]
+        assert abs(got - want).max() < 1e-4 * abs(want).max()
