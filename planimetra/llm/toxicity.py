@@ -32,7 +32,8 @@ LARGEST_RATIO = 5.0
 CALIBRATION_ROWS = 20_000
 #: Labels are broadcast to the texts up to this many rows (16 bytes each), and joined by a shuffle beyond.
 BROADCAST_LABELS = 1_000_000
-#: The model's tables are broadcast up to this many rows in all (16 bytes each), and joined to the texts' words beyond.
+#: The model's tables are broadcast up to this many rows in all (16 bytes each). Beyond, pairs are broadcast in blocks of so many rows, each for one more
+#: pass over the texts; only if the other tables have more rows are all joined to the texts' words, which are many times the texts on disk.
 BROADCAST_MODEL = 4_000_000
 
 _U = np.uint64
@@ -80,6 +81,7 @@ class Tables:
     pairs: DataFrame
     unseen: float
     _shared: Broadcast | None = None
+    _in_turn: tuple[Broadcast, list[Broadcast]] | None = None
 
     @classmethod
     def of(cls, counted: DataFrame) -> Tables:
@@ -109,8 +111,10 @@ class Tables:
 
     def features(self, rows: DataFrame) -> DataFrame:
         """doc_id, row_key, toxic of rows with mean and peak; both are 0 without words. rows have text too."""
-        small = sum(t.count() for t in (self.words, self.histories, self.pairs)) <= BROADCAST_MODEL
-        return self._looked_up(rows) if small else self._joined(rows)
+        known, pairs = self.words.count() + self.histories.count(), self.pairs.count()
+        if known + pairs <= BROADCAST_MODEL:
+            return self._looked_up(rows)
+        return self._in_blocks(rows, -(-pairs // BROADCAST_MODEL)) if known <= BROADCAST_MODEL else self._joined(rows)
 
     def _looked_up(self, rows: DataFrame) -> DataFrame:
         if self._shared is None:
@@ -135,6 +139,42 @@ class Tables:
 
         return rows.select("doc_id", "row_key", "toxic", "text").mapInArrow(run, "doc_id long, row_key long, toxic int, mean double, peak double")
 
+    def _in_blocks(self, rows: DataFrame, n: int) -> DataFrame:
+        """The same in n passes over the texts, each for the words whose pair would be in its block: nothing but sums is shuffled."""
+        context, unseen = rows.sparkSession.sparkContext, self.unseen
+        if self._in_turn is None:
+            block = F.pmod(F.col("before").bitwiseXOR(F.col("word")), F.lit(n))
+            self._in_turn = context.broadcast([_Sorted.of(t) for t in (self.words, self.histories)]), [context.broadcast(_Sorted.of(self.pairs.filter(block == k))) for k in range(n)]
+        (shared, blocks), texts = self._in_turn, rows.select("row_key", "text")
+        schema = pa.schema([("row_key", pa.int64()), ("block", pa.int32()), ("n", pa.int64()), ("total", pa.float64()), ("peak", pa.float64())])
+
+        def passed(block: int, held: Broadcast):
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                words, histories = shared.value
+                for own, data, starts in arrays.chunks(batches):
+                    word, before, pair, first = tokens(data, starts)
+                    some = np.flatnonzero((before ^ word).view(np.int64) % n == block)
+                    row = np.repeat(np.arange(len(first) - 1), np.diff(first))[some]
+                    alone = words(word[some], unseen)
+                    both = held.value(pair[some], alone + histories(before[some], 0.0))
+                    total = np.bincount(row, np.clip(both, -LARGEST_RATIO, LARGEST_RATIO), len(first) - 1)
+                    peak = np.full(len(first) - 1, -np.inf)
+                    np.maximum.at(peak, row, np.clip(alone, -LARGEST_RATIO, LARGEST_RATIO))
+                    there = np.bincount(row, minlength=len(first) - 1)
+                    full = np.flatnonzero(there)
+                    yield arrays.batch(schema, own.column("row_key").take(pa.array(full)), np.full(len(full), block), there[full], total[full], peak[full])
+
+            return texts.mapInArrow(run, "row_key long, block int, n long, total double, peak double")
+
+        found = None
+        for k, held in enumerate(blocks):
+            found = passed(k, held) if found is None else found.unionByName(passed(k, held))
+        # rows that repeat id and text have one key and equal sums; sums are added in the order of the blocks
+        once = found.groupBy("row_key", "block").agg(*[F.first(c).alias(c) for c in ("n", "total", "peak")])
+        told = once.groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("block", "total"))).alias("_t"), F.sum("n").alias("_n"), F.max("peak").alias("peak"))
+        mean = F.aggregate("_t", F.lit(0.0), lambda x, y: x + y["total"]) / F.col("_n")
+        return rows.select("doc_id", "row_key", "toxic").join(told.select("row_key", mean.alias("mean"), "peak"), "row_key", "left").na.fill(0.0, ["mean", "peak"])
+
     def _joined(self, rows: DataFrame) -> DataFrame:
         """The same by joins, for tables of any size."""
         schema = pa.schema([("row_key", pa.int64()), ("before", pa.int64()), ("word", pa.int64()), ("n", pa.int64())])

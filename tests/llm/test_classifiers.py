@@ -144,3 +144,20 @@ def test_joined_model_gives_the_same_scores(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "BROADCAST_MODEL", 10)
     joined = {r.doc_id: r.score for r in toxicity.score(table, labels).collect()}
     assert plain.keys() == joined.keys() and all(abs(joined[d] - x) < 1e-9 for d, x in plain.items())
+
+
+def test_model_beyond_one_broadcast_shuffles_no_words(spark, monkeypatch):
+    """Pairs in blocks give the scores of one table, repeated and empty rows included, without joining the texts' words."""
+    table, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    table = table.unionByName(table.limit(20)).unionByName(table.limit(3).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "CASE WHEN doc_id % 2 = 0 THEN '' END AS text", "lang", "source", "n_chars"))
+    model = toxicity.fit(table, labels)
+    known, pairs = model.tables.words.count() + model.tables.histories.count(), model.tables.pairs.count()
+    told = lambda: sorted(((r.doc_id is None, r.doc_id), r.score, r.predicted) for r in toxicity.score(table, labels).collect())
+    plain = told()
+    monkeypatch.setattr(toxicity, "BROADCAST_MODEL", max(known, pairs // 3))
+    assert known + pairs > toxicity.BROADCAST_MODEL
+    monkeypatch.setattr(toxicity.Tables, "_joined", None)
+    got = told()
+    assert len(got) == len(plain) == table.count()
+    assert all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-9 for a, b in zip(got, plain))
+    assert told() == got
