@@ -5,7 +5,7 @@ import time
 import numpy as np
 import pytest
 
-from planimetra.operators import measure
+from planimetra.operators import graph, measure
 
 
 def test_equal_rooms_are_sampled_once(spark):
@@ -24,3 +24,15 @@ def test_equal_rooms_are_sampled_once(spark):
         q = np.roll(p, -1, axis=1)
         area = abs((p[..., 0] * q[..., 1] - q[..., 0] * p[..., 1]).sum(axis=1)) / 2
         assert got[i][:3] == pytest.approx((*np.percentile(area, [2.5, 97.5]), area.std()), abs=1e-9)
+
+
+def test_cycles_shuffle_walks_once(spark):
+    """Both halves of cycles come from one shuffle of walks, and results are not shuffled unless corners share two walls."""
+    ring = [(0, 1, "a"), (1, 2, "b"), (2, 3, "c"), (3, 0, "d"), (1, 3, "e")]
+    schema = "capture string, source long, target long, wall_id string"
+    single = graph.cycles(spark.createDataFrame([("k", *e) for e in ring], schema), "capture", 9)
+    assert sorted(r.cycle for r in single.collect()) == [[0, 1, 2, 3], [0, 1, 3], [1, 2, 3]]
+    assert single._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    double = graph.cycles(spark.createDataFrame([("k", *e) for e in [*ring, (0, 1, "f")]], schema), "capture", 9)
+    assert sorted(r.cycle for r in double.collect()) == [[0, 1, 2, 3], [0, 1, 3], [1, 2, 3]]
+    assert graph.cycles(spark.createDataFrame([("k", *e) for e in ring], schema), "capture", 2).count() == 0
