@@ -5,6 +5,7 @@ import time
 import numpy as np
 import pytest
 
+from planimetra.functions import clouds
 from planimetra.operators import graph, measure
 
 
@@ -36,3 +37,13 @@ def test_cycles_shuffle_walks_once(spark):
     double = graph.cycles(spark.createDataFrame([("k", *e) for e in [*ring, (0, 1, "f")]], schema), "capture", 9)
     assert sorted(r.cycle for r in double.collect()) == [[0, 1, 2, 3], [0, 1, 3], [1, 2, 3]]
     assert graph.cycles(spark.createDataFrame([("k", *e) for e in ring], schema), "capture", 2).count() == 0
+
+
+def test_nearest_of_few_points_equals_that_by_cells(monkeypatch):
+    rng = np.random.default_rng(1)
+    points = np.round(rng.random((200, 3)), 1)
+    queries = np.concatenate([np.round(rng.random((300, 3)) * 2, 1), points[:9]])
+    few = clouds.Grid(points, 0.2).nearest(queries)
+    monkeypatch.setattr(clouds, "_FEW", 0)
+    cells = clouds.Grid(points, 0.2).nearest(queries)
+    assert (few[0] == cells[0]).all() and (few[1] == cells[1]).all() and (few[0] >= 0).any() and (few[0] < 0).any()
