@@ -10,15 +10,15 @@ from planimetra.operators import graph, measure
 
 
 def test_equal_rooms_are_sampled_once(spark):
-    """8,000 rooms of two kinds take 50,000 samples a kind and not a room; each room gets what it gets alone."""
+    """40,000 rooms of two kinds take 50,000 samples a kind and not a room; each room gets what it gets alone."""
     corners = lambda w: [(0.0, 0.0), (w, 0.0), (w, 3.0), (0.0, 3.0)]
     schema = "room long, vertices array<struct<x: double, z: double>>, sigma array<double>"
-    rows = [(i, corners(4.0 + i % 2), [0.05, 0.02] if i % 2 else [0.05]) for i in range(8000)]
+    rows = [(i, corners(4.0 + i % 2), [0.05, 0.02] if i % 2 else [0.05]) for i in range(40_000)]
     alone = [tuple(r)[1:] for i in (0, 1) for r in measure.monte_carlo(spark.createDataFrame(rows[i : i + 1], schema), "room", samples=50_000).collect()]
     start = time.monotonic()
     got = {r.room: tuple(r)[1:] for r in measure.monte_carlo(spark.createDataFrame(rows, schema), "room", samples=50_000).collect()}
     assert time.monotonic() - start < 30
-    assert len(got) == 8000 and all(v == alone[i % 2] for i, v in got.items())
+    assert len(got) == 40_000 and all(v == alone[i % 2] for i, v in got.items())
     for i, w in enumerate((4.0, 5.0)):
         noise = np.random.RandomState(42).standard_normal((50_000, 4, 2)) * (np.array([0.05] + [0.02 if i else 0.05] * 3) / np.sqrt(2))[:, None]
         p = np.array(corners(w)) + noise
